@@ -43,6 +43,7 @@ def load_all() -> dict[str, Query]:
         q_relational,
         q_sources,
         q_splits,
+        q_steps,
         q_streams,
         q_tracking,
     )

@@ -24,7 +24,7 @@ def orders_features(spark, sf_dir):
     )
 
 
-@query("spl6_scaled_training_set", "SPL6 SPL1 SPL5 SPL7 WIN1 PRJ4", oracle="""
+FLAGSHIP_ORACLE = """
 WITH base AS (
   SELECT o_orderkey, o_orderstatus, o_totalprice,
          CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS order_day,
@@ -48,7 +48,10 @@ SELECT o_orderkey,
        CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target,
        split
 FROM split_data CROSS JOIN train_stats
-""")
+"""
+
+
+@query("spl6_scaled_training_set", "SPL6 SPL1 SPL5 SPL7 WIN1 PRJ4", oracle=FLAGSHIP_ORACLE)
 def spl6_scaled_training_set(spark, sf_dir):
     base = orders_features(spark, sf_dir)
     out = splits.scaled_training_set(
