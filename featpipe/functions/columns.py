@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_of", "safe_divide", "nullif_zero", "dow_sunday0", "month_key", "is_weekend", "epoch_micros",
-    "since_micros", "trunc_to_bigint", "bin_by", "weighted_sum", "json_number_map", "case_map",
+    "since_micros", "trunc_to_bigint", "bin_by", "weighted_sum", "json_number_map", "case_map", "round_to",
 ]
 
 
@@ -89,3 +89,12 @@ def case_map(c, mapping: dict, default=None) -> Column:
     for k, v in reversed(list(mapping.items())):
         expr = F.when(c == F.lit(k), F.lit(v)).otherwise(expr)
     return expr
+
+
+def round_to(c, digits: int) -> Column:
+    """Round a double to ``digits`` places as ``round(x * 10^d) / 10^d`` (half away from zero
+    on the binary value). Matches DuckDB's ``round(x, d)`` bit for bit; Spark's own
+    ``round(x, d)`` rounds the shortest decimal text instead, which differs on ties such as
+    13322.57535."""
+    m = float(10 ** digits)
+    return F.round(col_of(c).cast("double") * F.lit(m)) / F.lit(m)

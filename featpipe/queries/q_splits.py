@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from featpipe.functions.columns import round_to
 from featpipe.operators import splits
 from featpipe.queries import query
 from featpipe.sources.tables import read_table
@@ -59,7 +60,7 @@ def spl6_scaled_training_set(spark, sf_dir):
         "o_orderstatus", id_cols=["o_orderkey"],
         rename={"o_totalprice": "totalprice_z", "order_day": "order_day_z", "priority_level": "priority_z"},
     )
-    return out.select("o_orderkey", *[F.round(c, 6).alias(c) for c in ["totalprice_z", "order_day_z", "priority_z"]],
+    return out.select("o_orderkey", *[round_to(c, 6).alias(c) for c in ["totalprice_z", "order_day_z", "priority_z"]],
                       "target", "split")
 
 
@@ -116,7 +117,7 @@ def spl4_split_table_sizes(spark, sf_dir):
     parts = splits.split_tables(s, names=("training", "validation"))
     out = None
     for name, part in parts.items():
-        a = part.agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total_price")) \
+        a = part.agg(F.count("*").alias("n_rows"), round_to(F.sum("o_totalprice"), 2).alias("total_price")) \
             .select(F.lit(name).alias("split"), "n_rows", "total_price")
         out = a if out is None else out.unionByName(a)
     return out
@@ -144,4 +145,4 @@ def spl5_train_only_minmax(spark, sf_dir):
     s = splits.stratified_split(o, "o_orderstatus", "o_orderkey")
     state = features.fit_minmax_sql(s.where(F.col("split") == "training"), ["o_totalprice"])
     return s.select("o_orderkey", "split",
-                    F.round(features.apply_minmax_sql(state, "o_totalprice"), 6).alias("totalprice_scaled"))
+                    round_to(features.apply_minmax_sql(state, "o_totalprice"), 6).alias("totalprice_scaled"))
