@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from featpipe.functions import columns as C
@@ -364,15 +363,15 @@ def win4_value_change_per_user(spark, sf_dir):
     return lagged.select("event_id", C.round_to(F.col("value") - F.col("prev_value"), 6).alias("value_change"))
 
 
-@query("win_plain_lag_per_user", "WIN3 WIN4", oracle="""
+@query("win3_lag_text_per_user", "WIN3 WIN4", oracle="""
 SELECT event_id, event_type, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_type
 FROM events
 """)
 def win_plain_lag_per_user(spark, sf_dir):
-    # many small entities: the ordinary per-key window is the right plan here
-    e = _t(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("event_id", "event_type", F.lag("event_type").over(w).alias("prev_type"))
+    # LAG of a text column; same range-split plan as the numeric case
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts")
+    return ordered.lag(e, ["user_id"], ["ts", "event_id"], "event_type", "prev_type").select(
+        "event_id", "event_type", "prev_type")
 
 
 # ---------------------------------------------------------------- sort / limit / set ops / sample
