@@ -1 +1,127 @@
-"""Registered queries."""
+"""Source, sink and profiling queries (SRC*, SNK*, PRF*)."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from featpipe.functions.columns import round_to
+from featpipe.operators import profile
+from featpipe.queries import query
+from featpipe.sources import files
+from featpipe.sources.tables import read_table
+
+
+def _r(df, digits=9):
+    return df.select(*[round_to(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query("prf1_numeric_profile_lineitem", "PRF1 PRF3", oracle="""
+SELECT * FROM (
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, COUNT(*) AS total_rows, COUNT({c}) AS count, COUNT(*) - COUNT({c}) AS nulls, "
+    f"CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS DOUBLE) AS max, round(AVG({c}), 6) AS mean, "
+    f"round(STDDEV({c}), 6) AS std FROM lineitem"
+    for c in ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+              "l_tax"]) + ")")
+def prf1_numeric_profile_lineitem(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    p = profile.numeric_profile(li)
+    return p.select("column", "total_rows", "count", "nulls", "min", "max", round_to("mean", 6).alias("mean"),
+                    round_to("std", 6).alias("std"))
+
+
+@query("prf2_target_analysis_numeric", "PRF2", oracle="""
+SELECT COUNT(*) AS total, COUNT(quality) AS non_null, COUNT(*) - COUNT(quality) AS nulls,
+       COUNT(DISTINCT quality) AS unique, CAST(MIN(quality) AS DOUBLE) AS min, CAST(MAX(quality) AS DOUBLE) AS max,
+       round(AVG(quality), 9) AS mean, round(STDDEV(quality), 9) AS std FROM labels
+""")
+def prf2_target_analysis_numeric(spark, sf_dir):
+    return _r(profile.target_analysis(read_table(spark, sf_dir, "labels"), "quality"))
+
+
+@query("prf2_target_analysis_text", "PRF2 AGG6", oracle="""
+SELECT COUNT(*) AS total, COUNT(lang) AS non_null, COUNT(*) - COUNT(lang) AS nulls, COUNT(DISTINCT lang) AS unique,
+       (SELECT list(lang ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL
+                                              ORDER BY lang LIMIT 10)) AS sample_values
+FROM documents
+""")
+def prf2_target_analysis_text(spark, sf_dir):
+    return profile.target_analysis(read_table(spark, sf_dir, "documents"), "lang")
+
+
+@query("prf7_row_counts", "PRF7", oracle="""
+SELECT 'orders' AS table_name, COUNT(*) AS row_count FROM orders
+UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem UNION ALL SELECT 'events', COUNT(*) FROM events
+UNION ALL SELECT 'documents', COUNT(*) FROM documents
+""")
+def prf7_row_counts(spark, sf_dir):
+    out = None
+    for t in ("orders", "lineitem", "events", "documents"):
+        c = profile.row_count(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "row_count")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("src5_parquet_glob_read", "SRC5", oracle="""
+SELECT l_returnflag, l_linestatus, COUNT(*) AS n, round(SUM(l_quantity), 2) AS sum_qty FROM lineitem GROUP BY 1, 2
+""")
+def src5_parquet_glob_read(spark, sf_dir):
+    li = files.read_parquet(spark, os.path.join(sf_dir, "lineite*.parquet"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"),
+                                                         round_to(F.sum("l_quantity"), 2).alias("sum_qty"))
+
+
+@query("src5_hive_partitioned_roundtrip", "SRC5 SNK1", oracle="""
+SELECT o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n FROM orders
+WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2
+""")
+def src5_hive_partitioned_roundtrip(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    path = files.scratch_path(spark, "orders_by_status")
+    o.write.mode("overwrite").partitionBy("o_orderstatus", "year").parquet(path)
+    back = files.read_parquet(spark, path)
+    # the status filter prunes folders (PartitionFilters), not rows
+    return back.where(F.col("o_orderstatus").isin("F", "O")).groupBy("o_orderstatus", "year") \
+        .agg(F.count("*").alias("n")).select("o_orderstatus", F.col("year").cast("int").alias("year"), "n")
+
+
+@query("src2_csv_declared_schema_roundtrip", "SRC2 SRC3 SRC4 SNK6", oracle="""
+SELECT c_mktsegment, COUNT(*) AS n, round(SUM(c_acctbal), 2) AS bal FROM customer GROUP BY 1
+""")
+def src2_csv_declared_schema_roundtrip(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = files.scratch_path(spark, "customer_csv")
+    c.write.mode("overwrite").option("sep", "::").option("header", False).csv(path)
+    back = files.read_csv(spark, path, columns={"column0": "BIGINT", "column1": "VARCHAR", "column2": "DOUBLE",
+                                                "column3": "VARCHAR"}, delim="::", ignore_errors=True,
+                          names=["c_custkey", "c_name", "c_acctbal", "c_mktsegment"])
+    return back.groupBy("c_mktsegment").agg(F.count("*").alias("n"), round_to(F.sum("c_acctbal"), 2).alias("bal"))
+
+
+@query("src6_json_roundtrip", "SRC6", oracle="""
+SELECT event_type, COUNT(*) AS n, round(SUM(value), 2) AS total FROM events GROUP BY 1
+""")
+def src6_json_roundtrip(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    path = files.scratch_path(spark, "events_json")
+    e.write.mode("overwrite").json(path)
+    back = files.read_json_auto(spark, path, columns={"event_id": "BIGINT", "event_type": "VARCHAR", "value": "DOUBLE"})
+    return back.groupBy("event_type").agg(F.count("*").alias("n"), round_to(F.sum("value"), 2).alias("total"))
+
+
+@query("snk4_prediction_table_written", "SNK4 SNK5 SCR1 SCR6", oracle="""
+SELECT COUNT(*) AS n_predictions, round(AVG(1.0 / (1.0 + exp(-(0.0 + 0.000004 * (o_totalprice - 150000.0)
+         + -0.002 * (CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) - 1800.0))))), 9)
+       AS mean_probability FROM orders
+""")
+def snk4_prediction_table_written(spark, sf_dir):
+    from featpipe.operators.sinks import write_predictions
+    from featpipe.queries.q_metrics import scored_orders
+
+    s = scored_orders(spark, sf_dir).select("o_orderkey", "label", F.col("score").alias("probability"))
+    path = files.scratch_path(spark, "predictions")
+    table, n = write_predictions(s, path, {"probability": F.col("probability")}, keep=["o_orderkey", "label"])
+    return table.agg(F.count("*").alias("n_predictions"), round_to(F.avg("pred_probability"), 9)
+                     .alias("mean_probability"))
