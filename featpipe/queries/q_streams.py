@@ -1 +1,51 @@
-"""Registered queries."""
+"""Streaming queries (STR1-STR3): each drains a file-source stream of a test table and returns
+the sink contents; results must equal the batch computation."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from featpipe.functions.columns import round_to
+from featpipe.operators import features as FE
+from featpipe.queries import query
+from featpipe.sources.tables import read_table
+from featpipe.streaming import streams
+
+
+@query("str1_stream_scaled_events", "STR1 FEA3 FEA19", oracle="""
+WITH s AS (SELECT AVG(value) AS m, STDDEV(value) AS sd FROM events)
+SELECT event_id, user_id, round((value - m) / sd, 9) AS value_z FROM events, s
+""")
+def str1_stream_scaled_events(spark, sf_dir):
+    src = os.path.join(sf_dir, "events.parquet")
+    batch = read_table(spark, sf_dir, "events")
+    state = FE.fit_standard_scaler(batch, ["value"])  # fitted once in batch, reused by the stream
+
+    def fn(df):
+        return df.select("event_id", "user_id", round_to(FE.standard_scale(state, "value"), 9).alias("value_z"))
+
+    return streams.transform_stream(spark, src, batch.schema, fn, "events_scaled")
+
+
+@query("str2_stream_daily_metrics", "STR2", oracle="""
+SELECT date_trunc('day', ts) AS window_start, event_type, COUNT(*) AS n, round(SUM(value), 2) AS total
+FROM events GROUP BY 1, 2
+""")
+def str2_stream_daily_metrics(spark, sf_dir):
+    src = os.path.join(sf_dir, "events.parquet")
+    schema = read_table(spark, sf_dir, "events").schema
+    out = streams.windowed_metrics(spark, src, schema, "ts", ["event_type"],
+                                   [F.count("*").alias("n"), F.sum("value").alias("total")], "1 day", "1 day")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n",
+                      round_to("total", 2).alias("total"))
+
+
+@query("str3_stream_latest_status", "STR3 TRK5", oracle="""
+SELECT user_id, arg_max(event_type, event_id) AS event_type, MAX(event_id) AS event_id FROM events GROUP BY user_id
+""")
+def str3_stream_latest_status(spark, sf_dir):
+    src = os.path.join(sf_dir, "events.parquet")
+    schema = read_table(spark, sf_dir, "events").schema
+    return streams.latest_per_key_stream(spark, src, schema, "user_id", "event_id", "event_type", "latest_status")
