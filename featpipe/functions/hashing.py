@@ -55,9 +55,20 @@ def hash_bucket(c, n: int = 1000, dtype: T.DataType | None = None, fast: bool =
     return blake2b_bucket(col, n)
 
 
-def hash_array(c, n: int, numeric: bool) -> Column:
-    """Hash every element of an array column (numeric rule only; JVM-side)."""
+def hash_array(c, n: int, numeric: bool, fast: bool = False) -> Column:
+    """Hash every element of an array column.
+
+    Numeric items: ``int(v) mod n`` in the JVM. Text items: BLAKE2b (pandas UDF over the
+    arrays of one Arrow batch), or ``xxhash64`` in the JVM with ``fast=True``.
+    """
     col = F.col(c) if isinstance(c, str) else c
-    if not numeric:
+    if numeric:
+        return F.transform(col, lambda v: F.pmod(v.cast("bigint"), F.lit(n)))
+    if fast:
         return F.transform(col, lambda v: F.pmod(F.xxhash64(v.cast("string")), F.lit(n)))
-    return F.transform(col, lambda v: F.pmod(v.cast("bigint"), F.lit(n)))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def _udf(s: pd.Series) -> pd.Series:
+        return s.map(lambda arr: None if arr is None else [int(x) for x in _blake2b_mod(pd.Series(list(arr), dtype=object), n)])
+
+    return _udf(col)
