@@ -10,15 +10,13 @@ def write_predictions(df: DataFrame, path: str, outputs: dict[str, Column], keep
                       mode: str = "overwrite") -> tuple[DataFrame, int]:
     """Feature columns + ``pred_<output>`` DOUBLE, written in one columnar pass (SNK4).
 
-    Rows carry their own features, so predictions cannot misalign. The row count comes from
-    an ``observe`` on the write itself — no second scan.
+    Rows carry their own features, so predictions cannot misalign. The row count is read
+    from the written files' footers (no second pass over the data).
     """
-    from pyspark.sql import Observation
-
-    obs = Observation("predictions")
     out = df.select(*keep, *[c.cast("double").alias(f"pred_{k}") for k, c in outputs.items()])
-    out.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path), int(obs.get["rows"])
+    out.write.mode(mode).parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    return table, table.count()
 
 
 def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -332,10 +332,19 @@ class StepRunner:
                 self._rollback(replaced, staged, staging)
             else:
                 self._publish(staged, drops, staging)
-                for name in staged:
-                    df = self.spark.read.parquet(self.table_path(name))
-                    df.createOrReplaceTempView(name)
-                    frames[name] = df
+                if staged:
+                    # views read the staged files; re-plan them on the published tables
+                    with _quoted_identifiers(self.spark):
+                        for s in order:
+                            if s.type == "table":
+                                df = self.spark.read.parquet(self.table_path(s.name))
+                            elif s.type == "view":
+                                df = OPERATORS[s.op](self.spark, s.args) if s.op else self.spark.sql(
+                                    to_spark_sql(substitute(s.sql, spec.vars)))
+                            else:
+                                continue
+                            df.createOrReplaceTempView(s.name)
+                            frames[s.name] = df
             for o in spec.outputs:
                 df = frames[o]
                 info = {"type": next(s.type for s in spec.steps if s.name == o),

@@ -40,13 +40,15 @@ def read_csv(spark: SparkSession, path: str, columns: str | dict | None = None,
     if null_value is not None:
         r = r.option("nullValue", null_value)
     if ignore_errors:
-        r = r.option("mode", "DROPMALFORMED")
+        # PERMISSIVE + corrupt-record column, then drop flagged rows: unlike DROPMALFORMED,
+        # the result does not depend on which columns a later query reads
+        r = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_fp_corrupt")
     elif not null_padding:
         r = r.option("mode", "FAILFAST")
     if isinstance(columns, dict):
         columns = ", ".join(f"`{k}` {_sql_type(v)}" for k, v in columns.items())
     if columns:
-        r = r.schema(columns)
+        r = r.schema(columns + (", _fp_corrupt STRING" if ignore_errors else ""))
     else:
         r = r.option("inferSchema", True)
     if skip:
@@ -61,6 +63,12 @@ def read_csv(spark: SparkSession, path: str, columns: str | dict | None = None,
         df = r.csv(kept.rdd.map(lambda x: x[0]))  # noqa: RUF100
     else:
         df = r.csv(path)
+    if ignore_errors and "_fp_corrupt" in df.columns:
+        # the always-true hash test makes every column required, so each row is converted
+        # (and judged) whole even when a later query reads one column or only counts
+        data_cols = [F.col(f"`{c}`") for c in df.columns if c != "_fp_corrupt"]
+        whole_row = F.xxhash64(*data_cols) >= F.lit(-(2 ** 63))
+        df = df.where(F.col("_fp_corrupt").isNull() & whole_row).drop("_fp_corrupt")
     if names:
         df = df.toDF(*names)
     return df
