@@ -117,3 +117,24 @@ def scaled_training_set(df: DataFrame, features: Sequence[str], target: Column |
         F.col("split"),
     )
 
+
+
+def check_output_contract(df: DataFrame, target: str, split_col: str = "split") -> dict:
+    """A training table has numeric features, the target, and ``split`` holding only
+    training/validation (SPL7). Returns the findings; one aggregation pass."""
+    from pyspark.sql import types as T
+
+    problems = []
+    if split_col not in df.columns:
+        problems.append(f"missing '{split_col}' column")
+    if target not in df.columns:
+        problems.append(f"missing target '{target}'")
+    feats = [f for f in df.schema.fields if f.name not in (target, split_col)]
+    text = [f.name for f in feats if not isinstance(f.dataType, T.NumericType)]
+    if text:
+        problems.append(f"non-numeric feature columns: {text}")
+    if split_col in df.columns:
+        bad = df.agg(F.count_if(~F.col(split_col).isin(TRAIN, VALID) | F.col(split_col).isNull()).alias("n")).first()["n"]
+        if bad:
+            problems.append(f"{bad} rows with a split other than {TRAIN}/{VALID}")
+    return {"ok": not problems, "problems": problems}

@@ -75,3 +75,14 @@ def pip13_data_quality_step(spark, sf_dir):
     if not report.ok:
         raise RuntimeError(report.error)
     return frames["orders_quality"]
+
+
+@query("pip12_gated_bounded_preview", "PIP11 PIP12 PIP14", oracle="""
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100
+""")
+def pip12_gated_bounded_preview(spark, sf_dir):
+    from featpipe.plans import gate
+
+    register_tables(spark, sf_dir, ["orders"])
+    df = gate.query(spark, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey;")
+    return df.limit(100)
