@@ -125,3 +125,16 @@ def snk4_prediction_table_written(spark, sf_dir):
     table, n = write_predictions(s, path, {"probability": F.col("probability")}, keep=["o_orderkey", "label"])
     return table.agg(F.count("*").alias("n_predictions"), round_to(F.avg("pred_probability"), 9)
                      .alias("mean_probability"))
+
+
+@query("prf5_catalog_listing", "PRF5 PRF4 PRF3", oracle="""
+SELECT table_name AS "table", CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS "column"
+FROM information_schema.columns
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')
+""")
+def prf5_catalog_listing(spark, sf_dir):
+    from featpipe.sources.tables import register_tables
+
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+    register_tables(spark, sf_dir, names)
+    return profile.list_tables(spark).where(F.col("table").isin(names)).select("table", "position", "column")

@@ -86,3 +86,25 @@ def pip12_gated_bounded_preview(spark, sf_dir):
     register_tables(spark, sf_dir, ["orders"])
     df = gate.query(spark, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey;")
     return df.limit(100)
+
+
+@query("pip8_output_report", "PIP8 PIP1 SNK1 SNK3", oracle="""
+SELECT 'customer_orders' AS output, 3 AS n_columns, COUNT(*) AS row_count
+FROM (SELECT o_custkey FROM orders GROUP BY o_custkey)
+UNION ALL
+SELECT 'status_totals' AS output, 2 AS n_columns, COUNT(*) AS row_count
+FROM (SELECT o_orderstatus FROM orders GROUP BY o_orderstatus)
+""")
+def pip8_output_report(spark, sf_dir):
+    register_tables(spark, sf_dir, ["orders"])
+    spec = {"name": "report", "steps": [
+        {"name": "customer_orders", "type": "table", "sql": """
+            SELECT o_custkey, COUNT(*) AS n_orders, SUM(o_totalprice) AS spent FROM "orders" GROUP BY o_custkey"""},
+        {"name": "status_totals", "type": "view", "depends_on": ["customer_orders"], "sql": """
+            SELECT o_orderstatus, COUNT(*) AS n FROM "orders" GROUP BY o_orderstatus"""}],
+        "outputs": ["customer_orders", "status_totals"]}
+    report, _ = run_steps(spark, spec, count_outputs=True)
+    if not report.ok:
+        raise RuntimeError(report.error)
+    rows = [(name, len(info["schema"]), int(info["rows"])) for name, info in report.outputs.items()]
+    return spark.createDataFrame(rows, "output string, n_columns int, row_count bigint")
