@@ -124,15 +124,21 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     g = list(group_cols)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     v = F.col(value_col).cast("double")
-    vc = df.where(F.col(value_col).isNotNull()).groupBy(*g, v.alias("_fp_v")).agg(F.count("*").alias("_fp_c"))
-    cum = ordered.running(vc, g, ["_fp_v"], [("_fp_before", "sum", "_fp_c", False)], n_buckets)
+    raw = df.where(F.col(value_col).isNotNull()).select(*g, v.alias("_fp_v"))
+    # one scan of the raw column gives the range bounds (and the total for the global case)
+    k = n_buckets or ordered.default_buckets(df)
+    sk = raw.agg(F.count("*").alias("n"),
+                 F.percentile_approx("_fp_v", [i / k for i in range(1, k)], max(10000, 20 * k)).alias("q")).first()
+    bounds = sorted(set(x for x in (sk["q"] or []) if x is not None and x == x))
+    vc = raw.groupBy(*g, "_fp_v").agg(F.count("*").alias("_fp_c"))
+    cum = ordered.running(vc, g, ["_fp_v"], [("_fp_before", "sum", "_fp_c", False)], bounds=bounds)
     cum = cum.withColumn("_fp_before", F.coalesce("_fp_before", F.lit(0)))
     if g:
         n_tbl = vc.groupBy(*g).agg(F.sum("_fp_c").alias("_fp_n"))
         cum = cum.join(n_tbl, on=g, how="inner")
         n = F.col("_fp_n")
     else:
-        n = vc.agg(F.sum("_fp_c")).scalar()
+        n = F.lit(int(sk["n"]))
     aggs = []
     for p, name in zip(probs, names):
         pos = F.lit(float(p)) * (n - F.lit(1)).cast("double")

@@ -136,6 +136,12 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 1, 0).otherwise(1)).alias("neg"))
 
 
+def _score_bounds(df: DataFrame, score: str, n_buckets: int | None) -> list:
+    """Range bounds from the raw score column (one scan, before the per-score aggregate)."""
+    s = df.select(F.col(score).cast("double").alias("_fp_s"))
+    return ordered.range_bounds(s, "_fp_s", n_buckets or ordered.default_buckets(df))
+
+
 def auc(df: DataFrame, label: str, score: str, n_buckets: int | None = None) -> DataFrame:
     """AUC-ROC as the tie-aware Mann-Whitney statistic; 0.5 when one class is absent (MET7).
 
@@ -143,7 +149,8 @@ def auc(df: DataFrame, label: str, score: str, n_buckets: int | None = None) ->
     area under the ROC curve with its (0,0) end.
     """
     sc = _score_counts(df, label, score)
-    cum = ordered.running(sc, [], ["score"], [("neg_below", "sum", "neg", False)], n_buckets)
+    bounds = _score_bounds(df, score, n_buckets)
+    cum = ordered.running(sc, [], ["score"], [("neg_below", "sum", "neg", False)], bounds=bounds)
     a = cum.agg(F.sum(F.col("pos") * (F.coalesce("neg_below", F.lit(0)) + F.col("neg") * F.lit(0.5))).alias("u"),
                 F.sum("pos").cast("double").alias("n_pos"), F.sum("neg").cast("double").alias("n_neg"))
     return a.select(F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(0.5))
@@ -154,8 +161,9 @@ def auc(df: DataFrame, label: str, score: str, n_buckets: int | None = None) ->
 def roc_curve(df: DataFrame, label: str, score: str, n_buckets: int | None = None) -> DataFrame:
     """One point per distinct score t: predicted positive when score >= t (MET9)."""
     sc = _score_counts(df, label, score).withColumn("_fp_neg_score", -F.col("score"))
+    bounds = sorted(-b for b in _score_bounds(df, score, n_buckets))
     cum = ordered.running(sc, [], ["_fp_neg_score"], [("tp", "sum", "pos", True), ("fp", "sum", "neg", True)],
-                          n_buckets)
+                          bounds=bounds)
     P = sc.agg(F.sum("pos")).scalar()
     N = sc.agg(F.sum("neg")).scalar()
     return cum.select(F.col("score").alias("threshold"),

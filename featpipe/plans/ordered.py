@@ -90,9 +90,13 @@ def bucket_of(c: Column, bounds: Sequence, dtype: T.DataType) -> Column:
     return F.when(c.isNull(), F.lit(-1)).otherwise(build(0, len(bounds)))
 
 
-def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
-    n = n_buckets or default_buckets(df)
-    bounds = range_bounds(df, order_col, n)
+def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None, bounds: list | None = None
+                 ) -> DataFrame:
+    """Add the range index of ``order_col``. ``bounds`` computed earlier (e.g. on the raw
+    column, before an aggregation) skip the sketch job; any sorted list gives exact results,
+    the bounds only decide how evenly work is split."""
+    if bounds is None:
+        bounds = range_bounds(df, order_col, n_buckets or default_buckets(df))
     dtype = df.schema[order_col].dataType
     return df.withColumn(_B, bucket_of(F.col(order_col), bounds, dtype))
 
@@ -117,6 +121,7 @@ def running(
     order_by: Sequence[str | Column],
     specs: Sequence[tuple[str, str, str | Column, bool]],
     n_buckets: int | None = None,
+    bounds: list | None = None,
 ) -> DataFrame:
     """Running aggregates along ``order_by`` within ``partition_by``.
 
@@ -129,7 +134,7 @@ def running(
     first = order_by[0]
     if not isinstance(first, str):
         raise ValueError("the first order column must be given by name (ascending)")
-    x = with_buckets(df, first, n_buckets)
+    x = with_buckets(df, first, n_buckets, bounds)
     keys = partition_by + [_B]
     order = _order_cols(order_by)
 
@@ -170,19 +175,19 @@ def running(
 
 
 def row_number(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column], out: str = "rn",
-               n_buckets: int | None = None) -> DataFrame:
+               n_buckets: int | None = None, bounds: list | None = None) -> DataFrame:
     """Exact ROW_NUMBER() OVER (PARTITION BY .. ORDER BY ..); the order must be unique."""
-    return running(df, partition_by, order_by, [(out, "count", "*", True)], n_buckets).withColumn(
+    return running(df, partition_by, order_by, [(out, "count", "*", True)], n_buckets, bounds).withColumn(
         out, F.col(out).cast("int")
     )
 
 
 def lag(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column], col: str, out: str,
-        n_buckets: int | None = None) -> DataFrame:
+        n_buckets: int | None = None, bounds: list | None = None) -> DataFrame:
     """Exact LAG(col) OVER (PARTITION BY .. ORDER BY ..) with the order cut into ranges."""
     partition_by = list(partition_by)
     first = order_by[0]
-    x = with_buckets(df, first, n_buckets)
+    x = with_buckets(df, first, n_buckets, bounds)
     keys = partition_by + [_B]
     order = _order_cols(order_by)
     wl = Window.partitionBy(*keys).orderBy(*order)

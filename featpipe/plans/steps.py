@@ -265,7 +265,13 @@ def _hadoop_fs(spark, path):
 
 
 def _temp_view_exists(spark, name) -> bool:
-    return any(t.name == name and t.isTemporary for t in spark.catalog.listTables())
+    """Direct catalog lookup (listing the whole catalog costs a round trip per table)."""
+    if not spark.catalog.tableExists(name):
+        return False
+    try:
+        return bool(spark.catalog.getTable(name).isTemporary)
+    except Exception:  # noqa: BLE001
+        return False
 
 
 _DROP = re.compile(r"^\s*DROP\s+(TABLE|VIEW)\s+(IF\s+EXISTS\s+)?\"?([A-Za-z_][A-Za-z0-9_.]*)\"?\s*$", re.IGNORECASE)

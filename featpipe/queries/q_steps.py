@@ -21,7 +21,7 @@ TRAINING_SET_SPEC = {
             FROM "orders"
             WHERE o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL
               AND o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL"""},
-        {"name": "orders_split", "type": "view", "depends_on": ["orders_base"], "op": "stratified_split",
+        {"name": "orders_split", "type": "table", "depends_on": ["orders_base"], "op": "stratified_split",
          "args": {"source": "orders_base", "target": "o_orderstatus", "order_by": "o_orderkey"}},
         {"name": "train_stats", "type": "view", "depends_on": ["orders_split"], "sql": """
             SELECT AVG(o_totalprice) AS p_mean, STDDEV(o_totalprice) AS p_std,
