@@ -129,7 +129,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     k = n_buckets or ordered.default_buckets(df)
     sk = raw.agg(F.count("*").alias("n"),
                  F.percentile_approx("_fp_v", [i / k for i in range(1, k)], max(10000, 20 * k)).alias("q")).first()
-    bounds = sorted(set(x for x in (sk["q"] or []) if x is not None and x == x))
+    small = n_buckets is None and sk["n"] <= ordered.min_rows_to_split(df)
+    bounds = [] if small else sorted(set(x for x in (sk["q"] or []) if x is not None and x == x))
     vc = raw.groupBy(*g, "_fp_v").agg(F.count("*").alias("_fp_c"))
     cum = ordered.running(vc, g, ["_fp_v"], [("_fp_before", "sum", "_fp_c", False)], bounds=bounds)
     cum = cum.withColumn("_fp_before", F.coalesce("_fp_before", F.lit(0)))

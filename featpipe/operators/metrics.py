@@ -139,7 +139,7 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
 def _score_bounds(df: DataFrame, score: str, n_buckets: int | None) -> list:
     """Range bounds from the raw score column (one scan, before the per-score aggregate)."""
     s = df.select(F.col(score).cast("double").alias("_fp_s"))
-    return ordered.range_bounds(s, "_fp_s", n_buckets or ordered.default_buckets(df))
+    return ordered.range_bounds(s, "_fp_s", n_buckets or ordered.default_buckets(df), force=n_buckets is not None)
 
 
 def auc(df: DataFrame, label: str, score: str, n_buckets: int | None = None) -> DataFrame:

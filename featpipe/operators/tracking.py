@@ -66,7 +66,8 @@ def early_stopping(df: DataFrame, run: str, order: Sequence[str], loss: str, pat
     Epochs are the run's rows in ``order``, numbered from 1.
     """
     base = df.select(run, *order, loss)
-    bounds = ordered.range_bounds(base, order[0], n_buckets or ordered.default_buckets(base))
+    bounds = ordered.range_bounds(base, order[0], n_buckets or ordered.default_buckets(base),
+                                  force=n_buckets is not None)
     # pass 1: epoch number and the best loss before each epoch; pass 2: last improving epoch
     prev = ordered.running(base, [run], list(order), [("epoch", "count", "*", True),
                                                       ("_fp_prev_min", "min", loss, False)], bounds=bounds)

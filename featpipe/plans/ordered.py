@@ -34,21 +34,34 @@ def default_buckets(df: DataFrame) -> int:
     return max(16, min(1024, 2 * sp))
 
 
-def range_bounds(df: DataFrame, col: str, n_buckets: int) -> list:
-    """Sorted, distinct cut points that split ``col`` into about ``n_buckets`` ranges."""
+def min_rows_to_split(df: DataFrame) -> int:
+    """Below this many rows one task takes the whole ordered computation (plain window)."""
+    return int(df.sparkSession.conf.get("featpipe.ordered.minRowsToSplit", "1000000"))
+
+
+def range_bounds(df: DataFrame, col: str, n_buckets: int, force: bool = False) -> list:
+    """Sorted, distinct cut points that split ``col`` into about ``n_buckets`` ranges.
+
+    Returns ``[]`` (one range: a plain window) when the input has at most
+    ``featpipe.ordered.minRowsToSplit`` rows, unless ``force``. The row count comes from
+    the same pass as the sketch.
+    """
     if n_buckets <= 1:
         return []
     dtype = df.schema[col].dataType
+    limit = -1 if force else min_rows_to_split(df)
     if isinstance(dtype, _SKETCH_TYPES) and not isinstance(dtype, T.DecimalType):
         probs = [i / n_buckets for i in range(1, n_buckets)]
         accuracy = max(10000, 20 * n_buckets)
-        row = df.agg(F.percentile_approx(F.col(col), probs, accuracy).alias("q")).first()
-        vals = list(row["q"] or []) if row is not None else []
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(col), probs, accuracy).alias("q")).first()
+        if row is None or row["n"] <= limit:
+            return []
+        vals = list(row["q"] or [])
     else:
         # Strings, decimals, booleans: a bounded sample of the column. Python sorts str by
         # code point, which equals Spark's byte order on UTF-8.
         n = df.count()
-        if n == 0:
+        if n == 0 or n <= limit:
             return []
         target = 64 * n_buckets
         frac = min(1.0, target / n)
@@ -96,7 +109,7 @@ def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None, bo
     column, before an aggregation) skip the sketch job; any sorted list gives exact results,
     the bounds only decide how evenly work is split."""
     if bounds is None:
-        bounds = range_bounds(df, order_col, n_buckets or default_buckets(df))
+        bounds = range_bounds(df, order_col, n_buckets or default_buckets(df), force=n_buckets is not None)
     dtype = df.schema[order_col].dataType
     return df.withColumn(_B, bucket_of(F.col(order_col), bounds, dtype))
 
@@ -134,8 +147,6 @@ def running(
     first = order_by[0]
     if not isinstance(first, str):
         raise ValueError("the first order column must be given by name (ascending)")
-    x = with_buckets(df, first, n_buckets, bounds)
-    keys = partition_by + [_B]
     order = _order_cols(order_by)
 
     def colof(c):
@@ -143,6 +154,17 @@ def running(
             return c
         return F.lit(1) if c == "*" else F.col(c)
 
+    if bounds is None:
+        bounds = range_bounds(df, first, n_buckets or default_buckets(df), force=n_buckets is not None)
+    if not bounds:
+        # small input: one window per key is the cheaper plan
+        w = Window.partitionBy(*partition_by).orderBy(*order)
+        return df.select("*", *[
+            _ROW_OP[op](colof(c)).over(w.rowsBetween(Window.unboundedPreceding, 0 if inc else -1)).alias(name)
+            for name, op, c, inc in specs])
+    x = with_buckets(df, first, n_buckets, bounds)
+    keys = partition_by + [_B]
+
     totals = x.groupBy(*keys).agg(*[_ROW_OP[op](colof(c)).alias(f"_fp_t{i}") for i, (_, op, c, _) in enumerate(specs)])
     wb = Window.partitionBy(*partition_by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(
@@ -187,9 +209,13 @@ def lag(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Col
     """Exact LAG(col) OVER (PARTITION BY .. ORDER BY ..) with the order cut into ranges."""
     partition_by = list(partition_by)
     first = order_by[0]
+    order = _order_cols(order_by)
+    if bounds is None:
+        bounds = range_bounds(df, first, n_buckets or default_buckets(df), force=n_buckets is not None)
+    if not bounds:
+        return df.select("*", F.lag(F.col(col)).over(Window.partitionBy(*partition_by).orderBy(*order)).alias(out))
     x = with_buckets(df, first, n_buckets, bounds)
     keys = partition_by + [_B]
-    order = _order_cols(order_by)
     wl = Window.partitionBy(*keys).orderBy(*order)
     local = x.select("*", F.lag(F.col(col)).over(wl).alias("_fp_lag"), (F.row_number().over(wl) == 1).alias("_fp_first"))
     last = x.groupBy(*keys).agg(F.max_by(F.col(col), F.struct(*order)).alias("_fp_last"))

@@ -13,6 +13,8 @@ def spark():
     from featpipe.session import build_session
 
     s = build_session("local[4]", app="featpipe-tests", shuffle_partitions=4,
-                      extra={"spark.driver.memory": "4g", "featpipe.ordered.buckets": "8"})
+                      extra={"spark.driver.memory": "4g", "featpipe.ordered.buckets": "8",
+                             # always take the range-split path, so every query checks it
+                             "featpipe.ordered.minRowsToSplit": "0"})
     yield s
     s.stop()
