@@ -39,21 +39,25 @@ def confusion_counts(df: DataFrame, label: str, pred: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
 
 
-def _per_class(counts: DataFrame) -> DataFrame:
-    """tp, predicted and support per class 0..K-1, K = max(label, pred) + 1 (absent classes
-    count, as in the reference's range(num_classes) loop)."""
-    k = counts.agg((F.max(F.greatest("label", "pred")) + 1).alias("k"))
-    classes = k.select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("cls"))
-    per = counts.select(
+def _present_classes(counts: DataFrame) -> DataFrame:
+    """tp, predicted and support for every class that occurs as a label or a prediction."""
+    return counts.select(
         F.explode(F.array(
             F.struct(F.col("label").alias("cls"), F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
                      .alias("tp"), F.lit(0).cast("bigint").alias("npred"), F.col("n").alias("support")),
             F.struct(F.col("pred").alias("cls"), F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("npred"),
                      F.lit(0).cast("bigint").alias("support")),
         )).alias("s")).select("s.*").groupBy("cls").agg(
-        F.sum("tp").alias("tp"), F.sum("npred").alias("npred"), F.sum("support").alias("support"))
-    return classes.join(per, "cls", "left").select(
-        "cls", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("tp", "npred", "support")])
+        *[F.sum(c).cast("double").alias(c) for c in ("tp", "npred", "support")])
+
+
+def _per_class(counts: DataFrame) -> DataFrame:
+    """Every class 0..K-1, K = max(label, pred) + 1; absent classes get zeros (the
+    reference's range(num_classes) loop). Used where the per-class rows are the output."""
+    k = counts.agg((F.max(F.greatest("label", "pred")) + 1).alias("k"))
+    classes = k.select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("cls"))
+    return classes.join(_present_classes(counts), "cls", "left").select(
+        "cls", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("tp", "npred", "support")])
 
 
 def classification_metrics(df: DataFrame, label: str, pred: str, average: str = "macro") -> DataFrame:
@@ -72,11 +76,14 @@ def classification_metrics(df: DataFrame, label: str, pred: str, average: str =
         F.sum(F.when((F.col("label") != 1) & (F.col("pred") == 1), F.col("n")).otherwise(0)).cast("double").alias("fp1"),
         F.sum(F.when((F.col("label") == 1) & (F.col("pred") != 1), F.col("n")).otherwise(0)).cast("double").alias("fn1"),
     )
-    pc = _per_class(counts).select(
+    # classes absent from labels and predictions add 0 to every sum, so the macro mean over
+    # 0..K-1 is the sum over present classes divided by K (no K-row domain is built)
+    pc = _present_classes(counts).select(
         (F.col("tp") / (F.col("npred") + F.lit(EPS))).alias("p"),
         (F.col("tp") / (F.col("support") + F.lit(EPS))).alias("r"),
         "support")
-    avg = pc.agg(F.avg("p").alias("p_macro"), F.avg("r").alias("r_macro"),
+    k = counts.agg((F.max(F.greatest("label", "pred")) + 1).cast("double")).scalar()
+    avg = pc.agg((F.sum("p") / k).alias("p_macro"), (F.sum("r") / k).alias("r_macro"),
                  (F.sum(F.col("p") * F.col("support")) / F.sum("support")).alias("p_w"),
                  (F.sum(F.col("r") * F.col("support")) / F.sum("support")).alias("r_w"))
     # both sides are one row: the averages enter as scalar subqueries, not a join

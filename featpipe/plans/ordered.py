@@ -114,6 +114,32 @@ def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None, bo
     return df.withColumn(_B, bucket_of(F.col(order_col), bounds, dtype))
 
 
+def _key_surrogates(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Non-null stand-ins for grouping keys: (value or a typed default, is-null flag).
+
+    Grouping, the window and the join back all use the same plain columns, so the join
+    finds its input already hash-partitioned by the window's keys and shuffles only the small
+    side (a null-safe ``<=>`` join would rewrite the keys and reshuffle the big side).
+    """
+    names = []
+    for i, k in enumerate(keys):
+        dt = df.schema[k].dataType
+        if isinstance(dt, T.StringType):
+            d = F.lit("")
+        elif isinstance(dt, T.BooleanType):
+            d = F.lit(False)
+        elif isinstance(dt, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            d = F.lit(0).cast(dt)
+        else:
+            d = None
+        if d is None or not df.schema[k].nullable:
+            names.append(k)
+            continue
+        df = df.withColumn(f"_fp_kv{i}", F.coalesce(F.col(k), d)).withColumn(f"_fp_kn{i}", F.col(k).isNull())
+        names += [f"_fp_kv{i}", f"_fp_kn{i}"]
+    return df, names
+
+
 def _order_cols(order_by: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order_by]
 
@@ -163,12 +189,13 @@ def running(
             _ROW_OP[op](colof(c)).over(w.rowsBetween(Window.unboundedPreceding, 0 if inc else -1)).alias(name)
             for name, op, c, inc in specs])
     x = with_buckets(df, first, n_buckets, bounds)
-    keys = partition_by + [_B]
+    x, pkeys = _key_surrogates(x, partition_by)
+    keys = pkeys + [_B]
 
     totals = x.groupBy(*keys).agg(*[_ROW_OP[op](colof(c)).alias(f"_fp_t{i}") for i, (_, op, c, _) in enumerate(specs)])
-    wb = Window.partitionBy(*partition_by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*pkeys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(
-        *[F.col(k).alias(f"_fp_k{j}") for j, k in enumerate(keys)],
+        *keys,
         *[_FOLD_OP[op](F.col(f"_fp_t{i}")).over(wb).alias(f"_fp_o{i}") for i, (_, op, _, _) in enumerate(specs)],
     )
     wl = Window.partitionBy(*keys).orderBy(*order)
@@ -177,8 +204,7 @@ def running(
         frame = wl.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         local_cols.append(_ROW_OP[op](colof(c)).over(frame).alias(f"_fp_l{i}"))
     local = x.select("*", *local_cols)
-    cond = [local[k].eqNullSafe(offs[f"_fp_k{j}"]) for j, k in enumerate(keys)]
-    j = local.join(offs, cond, "left")
+    j = local.join(offs, on=keys, how="left")
     outs = []
     for i, (name, op, _, _) in enumerate(specs):
         o, l = F.col(f"_fp_o{i}"), F.col(f"_fp_l{i}")
@@ -215,16 +241,13 @@ def lag(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Col
     if not bounds:
         return df.select("*", F.lag(F.col(col)).over(Window.partitionBy(*partition_by).orderBy(*order)).alias(out))
     x = with_buckets(df, first, n_buckets, bounds)
-    keys = partition_by + [_B]
+    x, pkeys = _key_surrogates(x, partition_by)
+    keys = pkeys + [_B]
     wl = Window.partitionBy(*keys).orderBy(*order)
     local = x.select("*", F.lag(F.col(col)).over(wl).alias("_fp_lag"), (F.row_number().over(wl) == 1).alias("_fp_first"))
     last = x.groupBy(*keys).agg(F.max_by(F.col(col), F.struct(*order)).alias("_fp_last"))
-    prev = last.select(
-        *[F.col(k).alias(f"_fp_k{j}") for j, k in enumerate(keys)],
-        F.lag("_fp_last").over(Window.partitionBy(*partition_by).orderBy(_B)).alias("_fp_prev"),
-    )
-    cond = [local[k].eqNullSafe(prev[f"_fp_k{j}"]) for j, k in enumerate(keys)]
-    j = local.join(prev, cond, "left")
+    prev = last.select(*keys, F.lag("_fp_last").over(Window.partitionBy(*pkeys).orderBy(_B)).alias("_fp_prev"))
+    j = local.join(prev, on=keys, how="left")
     return j.select(*[F.col(c) for c in df.columns],
                     F.when(F.col("_fp_first"), F.col("_fp_prev")).otherwise(F.col("_fp_lag")).alias(out))
 
