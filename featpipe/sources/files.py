@@ -15,11 +15,21 @@ from pyspark.sql import functions as F
 from featpipe.session import checkpoint_root
 
 
-def read_csv_auto(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """Header + type inference. Spark does not sniff the delimiter: pass ``sep``.
+def sniff_delimiter(spark: SparkSession, path: str, candidates: str = ",\t|;") -> str:
+    """Pick the delimiter from the first line of the input (a one-line read)."""
+    first = spark.read.text(path).limit(1).collect()
+    line = first[0][0] if first else ""
+    counts = {c: line.count(c) for c in candidates}
+    best = max(counts, key=lambda c: counts[c])
+    return best if counts[best] > 0 else ","
+
+
+def read_csv_auto(spark: SparkSession, path: str, sep: str | None = None, header: bool = True) -> DataFrame:
+    """Header + type inference; the delimiter is sniffed from the first line when not given.
 
     Inference reads the data an extra time; give ``columns`` to ``read_csv`` on big inputs.
     """
+    sep = sep or sniff_delimiter(spark, path)
     return spark.read.option("header", header).option("inferSchema", True).option("sep", sep).csv(path)
 
 
@@ -52,15 +62,10 @@ def read_csv(spark: SparkSession, path: str, columns: str | dict | None = None,
     else:
         r = r.option("inferSchema", True)
     if skip:
-        # per-file line skipping: the text source numbers nothing, so read with the file name
-        # and drop the first ``skip`` lines of each file via a per-file row index
-        raw = spark.read.text(path).withColumn("_fp_file", F.input_file_name())
-        raw = raw.withColumn("_fp_pos", F.monotonically_increasing_id())
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("_fp_file").orderBy("_fp_pos")
-        kept = raw.withColumn("_fp_ln", F.row_number().over(w)).where(F.col("_fp_ln") > skip).select("value")
-        df = r.csv(kept.rdd.map(lambda x: x[0]))  # noqa: RUF100
+        if not columns:
+            raise ValueError("skip needs declared columns")
+        df = _skip_lines(spark, path, skip + (1 if header else 0), columns, delim, quote, escape, encoding,
+                         ignore_errors, null_value)
     else:
         df = r.csv(path)
     if ignore_errors and "_fp_corrupt" in df.columns:
@@ -74,6 +79,31 @@ def read_csv(spark: SparkSession, path: str, columns: str | dict | None = None,
     return df
 
 
+def _skip_lines(spark, path, n, columns, delim, quote, escape, encoding, ignore_errors, null_value) -> DataFrame:
+    """Drop the first ``n`` lines of every file, then parse the rest with ``from_csv``.
+
+    The first lines of a file sit at the start of the split that begins at byte 0
+    (``input_file_block_start() = 0``); row ids are contiguous inside a split, so the
+    lines to drop are the ``n`` smallest ids of that split. Only a per-file minimum is
+    aggregated (one row per file), never a whole file in one task.
+    """
+    raw = spark.read.option("encoding", encoding).text(path).select(
+        "value", F.input_file_name().alias("_fp_file"), (F.input_file_block_start() == 0).alias("_fp_head"),
+        F.monotonically_increasing_id().alias("_fp_id"))
+    starts = raw.where("_fp_head").groupBy("_fp_file").agg(F.min("_fp_id").alias("_fp_first"))
+    kept = raw.join(starts, "_fp_file", "left").where(
+        ~F.col("_fp_head") | (F.col("_fp_id") >= F.col("_fp_first") + F.lit(n)))
+    opts = {"sep": delim, "quote": quote}
+    if escape is not None:
+        opts["escape"] = escape
+    if null_value is not None:
+        opts["nullValue"] = null_value
+    schema = columns + (", _fp_corrupt STRING" if ignore_errors else "")
+    if ignore_errors:
+        opts.update({"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_fp_corrupt"})
+    return kept.select(F.from_csv("value", schema, opts).alias("_fp_row")).select("_fp_row.*")
+
+
 def _sql_type(t: str) -> str:
     t = t.strip().upper()
     return {"VARCHAR": "STRING", "TEXT": "STRING", "INTEGER": "INT", "REAL": "FLOAT"}.get(t, t)

@@ -56,3 +56,19 @@ def test_parquet_hive_partitions_prune(spark, tmp_path):
     assert df.count() == 10
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan or "year" in plan
+
+
+def test_csv_sniffed_delimiter(spark, tmp_path):
+    p = tmp_path / "p.csv"
+    p.write_text("a|b|c\n1|2|x\n3|4|y\n")
+    df = files.read_csv_auto(spark, str(p))
+    assert df.columns == ["a", "b", "c"] and df.count() == 2
+
+
+def test_csv_skip_with_header_and_many_files(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    for i in range(3):
+        (d / f"f{i}.csv").write_text(f"# export {i}\nid,name\n{i},n{i}\n{i + 10},m{i}\n")
+    df = files.read_csv(spark, str(d), columns="id INT, name STRING", header=True, skip=1)
+    assert sorted(r.id for r in df.collect()) == [0, 1, 2, 10, 11, 12]
