@@ -64,30 +64,26 @@ def classification_metrics(df: DataFrame, label: str, pred: str, average: str =
     """One row: accuracy, precision, recall, f1, correct, total, num_classes (MET1-MET4).
 
     Two classes and ``average != 'micro'``: the positive class 1. ``micro``: class 1 counts
-    only (the reference's definition). ``macro``: mean over classes; ``weighted``: by support.
-    Every ratio adds 1e-8 to its denominator, F1 uses the averaged precision and recall.
+    only (the reference's definition). ``macro``: mean over classes 0..K-1; ``weighted``: by
+    support. Every ratio adds 1e-8 to its denominator, F1 uses the averaged precision and
+    recall. One job: confusion counts -> per-class table -> one global aggregate.
     """
-    counts = confusion_counts(df, label, pred)
-    tot = counts.agg(
-        F.sum("n").cast("double").alias("total"),
-        F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).cast("double").alias("correct"),
-        (F.max(F.greatest("label", "pred")) + 1).alias("num_classes"),
-        F.sum(F.when((F.col("label") == 1) & (F.col("pred") == 1), F.col("n")).otherwise(0)).cast("double").alias("tp1"),
-        F.sum(F.when((F.col("label") != 1) & (F.col("pred") == 1), F.col("n")).otherwise(0)).cast("double").alias("fp1"),
-        F.sum(F.when((F.col("label") == 1) & (F.col("pred") != 1), F.col("n")).otherwise(0)).cast("double").alias("fn1"),
+    pc = _present_classes(confusion_counts(df, label, pred))
+    p_k = F.col("tp") / (F.col("npred") + F.lit(EPS))
+    r_k = F.col("tp") / (F.col("support") + F.lit(EPS))
+    one = F.col("cls") == 1
+    a = pc.agg(
+        F.sum("support").alias("total"), F.sum("tp").alias("correct"),
+        (F.max("cls") + 1).alias("num_classes"),
+        F.sum(F.when(one, F.col("tp")).otherwise(0.0)).alias("tp1"),
+        F.sum(F.when(one, F.col("npred") - F.col("tp")).otherwise(0.0)).alias("fp1"),
+        F.sum(F.when(one, F.col("support") - F.col("tp")).otherwise(0.0)).alias("fn1"),
+        # absent classes add 0, so the mean over 0..K-1 is the sum over present classes / K
+        F.sum(p_k).alias("p_sum"), F.sum(r_k).alias("r_sum"),
+        (F.sum(p_k * F.col("support")) / F.sum("support")).alias("p_w"),
+        (F.sum(r_k * F.col("support")) / F.sum("support")).alias("r_w"),
     )
-    # classes absent from labels and predictions add 0 to every sum, so the macro mean over
-    # 0..K-1 is the sum over present classes divided by K (no K-row domain is built)
-    pc = _present_classes(counts).select(
-        (F.col("tp") / (F.col("npred") + F.lit(EPS))).alias("p"),
-        (F.col("tp") / (F.col("support") + F.lit(EPS))).alias("r"),
-        "support")
-    k = counts.agg((F.max(F.greatest("label", "pred")) + 1).cast("double")).scalar()
-    avg = pc.agg((F.sum("p") / k).alias("p_macro"), (F.sum("r") / k).alias("r_macro"),
-                 (F.sum(F.col("p") * F.col("support")) / F.sum("support")).alias("p_w"),
-                 (F.sum(F.col("r") * F.col("support")) / F.sum("support")).alias("r_w"))
-    # both sides are one row: the averages enter as scalar subqueries, not a join
-    j = tot.select("*", *[avg.select(c).scalar().alias(c) for c in ("p_macro", "r_macro", "p_w", "r_w")])
+    k = F.col("num_classes").cast("double")
     p_bin = F.col("tp1") / (F.col("tp1") + F.col("fp1") + F.lit(EPS))
     r_bin = F.col("tp1") / (F.col("tp1") + F.col("fn1") + F.lit(EPS))
     binary = (F.col("num_classes") == 2) & F.lit(average != "micro")
@@ -97,9 +93,9 @@ def classification_metrics(df: DataFrame, label: str, pred: str, average: str =
         p = F.when(binary, p_bin).otherwise(F.col("p_w"))
         r = F.when(binary, r_bin).otherwise(F.col("r_w"))
     else:
-        p = F.when(binary, p_bin).otherwise(F.col("p_macro"))
-        r = F.when(binary, r_bin).otherwise(F.col("r_macro"))
-    return j.select(
+        p = F.when(binary, p_bin).otherwise(F.col("p_sum") / k)
+        r = F.when(binary, r_bin).otherwise(F.col("r_sum") / k)
+    return a.select(
         (F.col("correct") / F.col("total")).alias("accuracy"),
         p.alias("precision"), r.alias("recall"),
         (F.lit(2.0) * p * r / (p + r + F.lit(EPS))).alias("f1"),
@@ -143,10 +139,18 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 1, 0).otherwise(1)).alias("neg"))
 
 
-def _score_bounds(df: DataFrame, score: str, n_buckets: int | None) -> list:
-    """Range bounds from the raw score column (one scan, before the per-score aggregate)."""
-    s = df.select(F.col(score).cast("double").alias("_fp_s"))
-    return ordered.range_bounds(s, "_fp_s", n_buckets or ordered.default_buckets(df), force=n_buckets is not None)
+def _score_stats(df: DataFrame, label: str, score: str, n_buckets: int | None) -> tuple[list, int, int]:
+    """Range bounds of the score plus the positive and negative totals, in one pass over
+    the scored rows (the totals then enter later plans as literals)."""
+    k = n_buckets or ordered.default_buckets(df)
+    s = F.col(score).cast("double")
+    y = F.col(label).cast("int")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("pos"),
+                 F.percentile_approx(s, [i / k for i in range(1, k)], max(10000, 20 * k)).alias("q")).first()
+    n, pos = int(row["n"]), int(row["pos"])
+    small = n_buckets is None and n <= ordered.min_rows_to_split(df)
+    bounds = [] if small else sorted(set(v for v in (row["q"] or []) if v is not None and v == v))
+    return bounds, pos, n - pos
 
 
 def auc(df: DataFrame, label: str, score: str, n_buckets: int | None = None) -> DataFrame:
@@ -155,27 +159,24 @@ def auc(df: DataFrame, label: str, score: str, n_buckets: int | None = None) ->
     ``sum over scores of pos * (neg below + neg at / 2) / (P * N)``; equals the trapezoid
     area under the ROC curve with its (0,0) end.
     """
+    bounds, n_pos, n_neg = _score_stats(df, label, score, n_buckets)
     sc = _score_counts(df, label, score)
-    bounds = _score_bounds(df, score, n_buckets)
     cum = ordered.running(sc, [], ["score"], [("neg_below", "sum", "neg", False)], bounds=bounds)
-    a = cum.agg(F.sum(F.col("pos") * (F.coalesce("neg_below", F.lit(0)) + F.col("neg") * F.lit(0.5))).alias("u"),
-                F.sum("pos").cast("double").alias("n_pos"), F.sum("neg").cast("double").alias("n_neg"))
-    return a.select(F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(0.5))
-                    .otherwise(F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"),
-                    F.col("n_pos").cast("bigint").alias("n_positive"), F.col("n_neg").cast("bigint").alias("n_negative"))
+    u = cum.agg(F.sum(F.col("pos") * (F.coalesce("neg_below", F.lit(0)) + F.col("neg") * F.lit(0.5))).alias("u"))
+    value = F.lit(0.5) if n_pos == 0 or n_neg == 0 else F.col("u") / F.lit(float(n_pos) * float(n_neg))
+    return u.select(value.alias("auc"), F.lit(n_pos).cast("bigint").alias("n_positive"),
+                    F.lit(n_neg).cast("bigint").alias("n_negative"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, n_buckets: int | None = None) -> DataFrame:
     """One point per distinct score t: predicted positive when score >= t (MET9)."""
+    bounds, n_pos, n_neg = _score_stats(df, label, score, n_buckets)
     sc = _score_counts(df, label, score).withColumn("_fp_neg_score", -F.col("score"))
-    bounds = sorted(-b for b in _score_bounds(df, score, n_buckets))
     cum = ordered.running(sc, [], ["_fp_neg_score"], [("tp", "sum", "pos", True), ("fp", "sum", "neg", True)],
-                          bounds=bounds)
-    P = sc.agg(F.sum("pos")).scalar()
-    N = sc.agg(F.sum("neg")).scalar()
-    return cum.select(F.col("score").alias("threshold"),
-                      F.when(N > 0, F.col("fp") / N).otherwise(F.lit(0.0)).alias("fpr"),
-                      F.when(P > 0, F.col("tp") / P).otherwise(F.lit(0.0)).alias("tpr"))
+                          bounds=sorted(-b for b in bounds))
+    fpr = F.col("fp") / F.lit(float(n_neg)) if n_neg else F.lit(0.0)
+    tpr = F.col("tp") / F.lit(float(n_pos)) if n_pos else F.lit(0.0)
+    return cum.select(F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, k: int = 127) -> DataFrame:
