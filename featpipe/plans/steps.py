@@ -72,6 +72,25 @@ class StepSpec:
             raise SpecError("PyYAML is not installed; build the spec with from_dict") from e
         return cls.from_dict(yaml.safe_load(text))
 
+    def to_dict(self) -> dict:
+        steps = []
+        for s in self.steps:
+            d = {"name": s.name, "type": s.type, "depends_on": list(s.depends_on)}
+            if s.op:
+                d.update({"op": s.op, "args": dict(s.args)})
+            else:
+                d["sql"] = s.sql
+            steps.append(d)
+        out = {"name": self.name, "description": self.description, "steps": steps, "outputs": list(self.outputs)}
+        if self.vars:
+            out["vars"] = dict(self.vars)
+        return out
+
+    def to_yaml(self) -> str:
+        import yaml
+
+        return yaml.safe_dump(self.to_dict(), sort_keys=False)
+
 
 # ---------------------------------------------------------------- spec checks (PIP5, PIP2, PIP3)
 

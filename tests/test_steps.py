@@ -99,3 +99,41 @@ def test_operator_step(runner, spark):
     rep, out = runner.run(_spec(steps, ["cnt"]))
     assert rep.ok, rep.error
     assert {r.split: r.n for r in out["cnt"].collect()} == {"training": 80, "validation": 20}
+
+
+YAML_SPEC = """
+name: cleaning
+description: zero means missing
+vars:
+  min_value: 0
+steps:
+  - name: drop_old
+    type: execute
+    depends_on: []
+    sql: DROP VIEW IF EXISTS "cleaned"
+  - name: raw_rows
+    type: view
+    depends_on: []
+    sql: |
+      SELECT * FROM VALUES (1, 0.0, 5), (2, 3.5, 0), (3, 2.0, 7) AS t(column0, column1, column2)
+  - name: cleaned
+    type: view
+    depends_on: [drop_old, raw_rows]
+    sql: |
+      SELECT column0,
+             CASE WHEN column1 = 0 THEN NULL ELSE column1 END AS column1,
+             CASE WHEN column2 = 0 THEN NULL ELSE column2 END AS column2
+      FROM "raw_rows"
+      WHERE column0 >= ${min_value}
+outputs: [cleaned]
+"""
+
+
+def test_yaml_spec_roundtrip_and_run(runner):
+    spec = StepSpec.from_yaml(YAML_SPEC)
+    again = StepSpec.from_yaml(spec.to_yaml())
+    assert again.to_dict() == spec.to_dict()
+    rep, out = runner.run(spec)
+    assert rep.ok, rep.error
+    rows = sorted(tuple(r) for r in out["cleaned"].collect())
+    assert rows == [(1, None, 5), (2, 3.5, None), (3, 2.0, 7)]
