@@ -59,3 +59,11 @@ def counts_over_domain(df: DataFrame, key: str, domain: Sequence, out_key: str =
 def page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int) -> DataFrame:
     """One page in key order (``ORDER BY key LIMIT n OFFSET m``); runs as a top-(m+n)."""
     return df.orderBy(*order_by).offset(int(offset)).limit(int(limit))
+
+
+def distinct_counts(df: DataFrame, group_by: Sequence[str], columns: Sequence[str], approx: bool = False,
+                    rsd: float = 0.05) -> DataFrame:
+    """``COUNT(DISTINCT c)`` per group; ``approx`` switches to HyperLogLog++ (fixed memory,
+    relative error ``rsd``) for very high cardinalities."""
+    fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
+    return df.groupBy(*group_by).agg(*[fn(c).alias(f"n_distinct_{c}") for c in columns])

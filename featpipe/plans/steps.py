@@ -310,8 +310,10 @@ class StepRunner:
         fs, p = _hadoop_fs(self.spark, path)
         return fs.exists(p)
 
-    def run(self, spec: StepSpec, count_outputs: bool = True, dry_run: bool = False) -> tuple[RunReport, dict]:
+    def run(self, spec: StepSpec, count_outputs: bool = True, dry_run: bool = False, keep_views: bool = False
+            ) -> tuple[RunReport, dict]:
         t0 = time.time()
+        self._last_replaced = {}
         validate(spec)
         report = RunReport(ok=False, spec=spec.name)
         errs = syntax_errors(self.spark, spec)
@@ -353,8 +355,10 @@ class StepRunner:
                     except Exception as e:  # noqa: BLE001
                         raise StepFailed(s.name, e) from e
                     report.executed.append(s.name)
+            self._last_replaced = replaced
             if dry_run:
-                self._rollback(replaced, staged, staging)
+                if not keep_views:
+                    self._rollback(replaced, staged, staging)
             else:
                 self._publish(staged, drops, staging)
                 if staged:
@@ -387,10 +391,28 @@ class StepRunner:
         report.seconds = time.time() - t0
         return report, {o: frames[o] for o in spec.outputs if o in frames}
 
-    def dry_run(self, spec: StepSpec) -> tuple[bool, str | None]:
-        """Analyse every step without writing anything; returns (ok, error naming the step)."""
-        report, _ = self.run(spec, count_outputs=False, dry_run=True)
-        return report.ok, report.error
+    def dry_run(self, spec: StepSpec, sample: int | None = None) -> tuple[bool, str | None]:
+        """Analyse every step without writing anything; returns (ok, error naming the step).
+
+        Analysis finds missing tables, columns and type errors. Errors that only data can
+        raise (a failing cast, a division under ANSI mode) need ``sample``: each output then
+        computes its first ``sample`` rows (a bounded run, still nothing written).
+        """
+        if not sample:
+            report, _ = self.run(spec, count_outputs=False, dry_run=True)
+            return report.ok, report.error
+        report, frames = self.run(spec, count_outputs=False, dry_run=True, keep_views=True)
+        try:
+            if not report.ok:
+                return False, report.error
+            for name, df in frames.items():
+                try:
+                    df.limit(int(sample)).collect()
+                except Exception as e:  # noqa: BLE001
+                    return False, f"step '{name}' failed on sample rows: {e}"
+            return True, None
+        finally:
+            self._rollback(self._last_replaced, {}, "")
 
     # -- helpers
 

@@ -89,3 +89,14 @@ def test_remote_and_synthetic(spark):
     assert df.columns == ["id", "feature_0", "feature_1", "feature_2", "target"]
     r = df.agg(F.avg("feature_0").alias("m"), F.min("target").alias("lo"), F.max("target").alias("hi")).first()
     assert abs(r["m"]) < 0.2 and (r["lo"], r["hi"]) == (0, 1)
+
+
+def test_approx_opt_ins(spark):
+    from featpipe.operators import features, relational
+
+    df = spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v")
+    a = {r["g"]: r["q50"] for r in features.approx_quantiles(df, "v", [0.5], ["g"]).collect()}
+    e = {r["g"]: r["q50"] for r in features.exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    assert all(abs(a[g] - e[g]) <= 6 for g in e)
+    d = relational.distinct_counts(df, ["g"], ["v"], approx=True).collect()
+    assert all(abs(r["n_distinct_v"] - 333) < 40 for r in d)

@@ -137,3 +137,12 @@ def test_yaml_spec_roundtrip_and_run(runner):
     assert rep.ok, rep.error
     rows = sorted(tuple(r) for r in out["cleaned"].collect())
     assert rows == [(1, None, 5), (2, 3.5, None), (3, 2.0, 7)]
+
+
+def test_dry_run_with_sample_finds_data_errors(runner, spark):
+    spec = _spec([{"name": "bad_cast", "type": "view", "sql": "SELECT CAST('abc' AS INT) AS x"}], ["bad_cast"])
+    ok, _ = runner.dry_run(spec)
+    assert ok  # analysis alone cannot see it
+    ok, err = runner.dry_run(spec, sample=10)
+    assert not ok and "bad_cast" in err
+    assert not any(t.name == "bad_cast" for t in spark.catalog.listTables())
