@@ -316,26 +316,36 @@ class TargetEncoding:
     frame: DataFrame  # (value, n, mean)
     global_mean: float
     smoothing: float
+    size: int = 0
 
 
-def fit_target_encoder(df: DataFrame, col: str, target: str, smoothing: float = 1.0) -> TargetEncoding:
+def fit_target_encoder(df: DataFrame, col: str, target: str, smoothing: float = 1.0,
+                       cut_lineage: bool = True) -> TargetEncoding:
     """Per category count and target mean on training rows, plus the global mean.
 
     Encoded value: ``(n * mean_c + s * mean) / (n + s)``; an unseen category gets the global
     mean. (The reference declares this operator without a body; this is our definition.)
+    The per-category table is the fitted state: written once to the checkpoint folder, its
+    size and the global mean are then read from it, and it is broadcast when small.
     """
     if smoothing < 0:
         raise FeatureError("smoothing must be >= 0")
     frame = df.groupBy(F.col(col).alias("value")).agg(F.count(target).alias("n"),
-                                                      F.avg(F.col(target).cast("double")).alias("mean"))
-    g = df.agg(F.avg(F.col(target).cast("double"))).first()[0]
-    return TargetEncoding(col, frame, g, float(smoothing))
+                                                      F.sum(F.col(target).cast("double")).alias("_fp_s"))
+    if cut_lineage:
+        frame = frame.checkpoint(eager=True)
+    tot = frame.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("_fp_s").alias("s")).first()
+    g = None if not tot["n"] else tot["s"] / tot["n"]
+    frame = frame.select("value", "n", (F.col("_fp_s") / F.col("n")).alias("mean"))
+    return TargetEncoding(col, frame, g, float(smoothing), int(tot["k"]))
 
 
 def target_encode(df: DataFrame, enc: TargetEncoding, out: str | None = None) -> DataFrame:
     out = out or f"{enc.column}_te"
     s, g = F.lit(enc.smoothing), F.lit(enc.global_mean).cast("double")
     f = enc.frame.select(F.col("value").alias("_fp_value"), F.col("n").alias("_fp_n"), F.col("mean").alias("_fp_mean"))
+    if enc.size <= _broadcast_limit(df):
+        f = F.broadcast(f)
     j = df.join(f, df[enc.column].eqNullSafe(f["_fp_value"]), "left")
     val = F.when(F.col("_fp_n").isNull() | ((F.col("_fp_n") + s) == 0), g) \
         .otherwise((F.col("_fp_n") * F.col("_fp_mean") + s * g) / (F.col("_fp_n") + s))
