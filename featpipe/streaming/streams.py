@@ -65,11 +65,13 @@ def _upsert_batches(path: str):
 
 
 def windowed_metrics(spark: SparkSession, src: str, schema: StructType, ts: str, keys: list[str],
-                     aggs: list, window: str = "1 day", watermark: str = "1 day", name: str = "windowed") -> DataFrame:
+                     aggs: list, window: str = "1 day", watermark: str = "1 day", name: str = "windowed",
+                     files_per_trigger: int | None = None) -> DataFrame:
     """STR2: ``groupBy(window(ts), keys).agg(...)`` with a watermark; the result holds the
     last emitted value of every (window, key)."""
     base = scratch_path(spark, name)
-    s = read_stream(spark, src, schema).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    s = read_stream(spark, src, schema, files_per_trigger).withColumn(ts, F.col(ts).cast("timestamp")) \
+        .withWatermark(ts, watermark)
     agg = s.groupBy(F.window(ts, window).alias("w"), *keys).agg(*aggs)
     run_available(agg, f"{base}/data", f"{base}/_checkpoint", mode="update", batch_fn=_upsert_batches(f"{base}/data"))
     out = spark.read.parquet(f"{base}/data")
@@ -79,10 +81,10 @@ def windowed_metrics(spark: SparkSession, src: str, schema: StructType, ts: str,
 
 
 def latest_per_key_stream(spark: SparkSession, src: str, schema: StructType, key: str, order: str, value: str,
-                          name: str = "latest") -> DataFrame:
+                          name: str = "latest", files_per_trigger: int | None = None) -> DataFrame:
     """STR3: latest ``value`` per ``key`` by ``order`` (update mode, upserted per batch)."""
     base = scratch_path(spark, name)
-    s = read_stream(spark, src, schema)
+    s = read_stream(spark, src, schema, files_per_trigger)
     agg = s.groupBy(key).agg(F.max_by(F.col(value), F.col(order)).alias(value), F.max(order).alias(order))
     run_available(agg, f"{base}/data", f"{base}/_checkpoint", mode="update", batch_fn=_upsert_batches(f"{base}/data"))
     out = spark.read.parquet(f"{base}/data")
