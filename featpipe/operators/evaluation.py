@@ -7,7 +7,6 @@ from the written files instead of recomputing the scoring.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from featpipe.operators import metrics as M
 

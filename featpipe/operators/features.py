@@ -292,6 +292,19 @@ def one_hot(df: DataFrame, col: str, categories: Sequence[str], handle_unknown:
     return df.select(*base, *cols)
 
 
+def one_hot_sparse(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = None) -> DataFrame:
+    """One-hot as an MLlib sparse vector, for many categories (FEA13): the dictionary index,
+    then ``OneHotEncoder`` sized from the dictionary itself. Unknown values -> all zeros."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    out = out or f"{col}_onehot"
+    idx = label_encode(df, col, vocab, out="_fp_idx").withColumn("_fp_idx", F.col("_fp_idx").cast("double"))
+    # the unknown index (= size) is "invalid": kept as an extra slot, which dropLast removes
+    enc = OneHotEncoder(inputCols=["_fp_idx"], outputCols=[out], dropLast=True, handleInvalid="keep")
+    model = enc.fit(vocab.frame.select(F.col("idx").cast("double").alias("_fp_idx")))
+    return model.transform(idx).drop("_fp_idx")
+
+
 def save_vocabulary(vocab: Vocabulary, path: str, mode: str = "overwrite") -> None:
     """Persist as typed parquet ``(feature, value, idx, version)`` (FEA20)."""
     vocab.frame.select(F.lit(vocab.column).alias("feature"), "value", "idx",

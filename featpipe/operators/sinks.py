@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 def write_predictions(df: DataFrame, path: str, outputs: dict[str, Column], keep: list[str],

@@ -273,3 +273,22 @@ def fea0_feature_pipeline_spec(spark, sf_dir):
     out, states, vars_ = FeaturePipeline(FEATURE_SPEC).run(o, training=True, keep=["o_orderkey"])
     return out.select("o_orderkey", F.transform("x_scaled", lambda v: round_to(v, 6)).alias("x_scaled"),
                       "prio_idx", "cust_bucket")
+
+
+@query("fea13_one_hot_sparse_brand", "FEA13 FEA7 FEA8", oracle=f"""
+WITH train AS (SELECT DISTINCT p_brand FROM part WHERE {_TRAIN_MD5.format(k='p_partkey')} AND p_brand IS NOT NULL),
+v AS (SELECT p_brand, ROW_NUMBER() OVER (ORDER BY p_brand) - 1 AS idx FROM train)
+SELECT p.p_partkey,
+       list_transform(range((SELECT COUNT(*) FROM v)),
+                      lambda i: CASE WHEN i = v.idx THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)
+         AS brand_onehot
+FROM part p LEFT JOIN v ON p.p_brand = v.p_brand
+""")
+def fea13_one_hot_sparse_brand(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    train = splits.hash_split(p, "p_partkey", (8, 2)).where(F.col("split") == "training")
+    vocab = FE.fit_label_encoder(train.where(F.col("p_brand").isNotNull()), "p_brand", include_null=False)
+    enc = FE.one_hot_sparse(p, "p_brand", vocab, "brand_vec")
+    return enc.select("p_partkey", vector_to_array("brand_vec").alias("brand_onehot"))

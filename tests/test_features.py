@@ -152,3 +152,11 @@ def test_vocabulary_save_load(spark, tmp_path):
     FE.save_vocabulary(v, str(tmp_path / "vocab"))
     back = FE.load_vocabulary(spark, str(tmp_path / "vocab"), "c")
     assert back.size == 2 and {r["value"] for r in back.frame.collect()} == {"x", "y"}
+
+
+def test_one_hot_sparse_unknown_is_zero(spark):
+    train = spark.createDataFrame([("b",), ("a",), ("c",)], "x string")
+    v = FE.fit_label_encoder(train, "x", include_null=False, cut_lineage=False)
+    test = spark.createDataFrame([("a",), ("c",), ("zz",)], "x string")
+    rows = {r["x"]: r["x_onehot"].toArray().tolist() for r in FE.one_hot_sparse(test, "x", v).collect()}
+    assert rows == {"a": [1.0, 0.0, 0.0], "c": [0.0, 0.0, 1.0], "zz": [0.0, 0.0, 0.0]}
