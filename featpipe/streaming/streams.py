@@ -58,8 +58,11 @@ def transform_stream(spark: SparkSession, src: str, schema: StructType, fn: Call
 
 
 def _upsert_batches(path: str):
+    """Each micro-batch's changed rows go to their own ``_fp_batch=<id>`` folder, written in
+    overwrite mode: a batch replayed after a failure replaces its folder (exactly once)."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_fp_batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/_fp_batch={batch_id}")
 
     return write
 
