@@ -80,6 +80,15 @@ def split_tables(df: DataFrame, split_col: str = "split", names: Sequence[str] =
     return {n: df.where(F.col(split_col) == F.lit(n)).drop(split_col) for n in names}
 
 
+def write_split_tables(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> dict[str, str]:
+    """All parts in one pass: ``path/split=training``, ``path/split=validation``, ... (SPL4).
+
+    One scan and one write instead of one filtered scan per part; each folder reads back as
+    its own table, and a filter on the split column prunes to one folder."""
+    df.write.mode(mode).partitionBy(split_col).parquet(path)
+    return {n: f"{path}/{split_col}={n}" for n in (TRAIN, VALID, TEST)}
+
+
 def training_stats(df: DataFrame, columns: Sequence[str], split_col: str = "split") -> dict:
     """AVG and sample STDDEV of ``columns`` over training rows only (SPL5), one pass.
 

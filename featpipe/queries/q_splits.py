@@ -112,15 +112,14 @@ WITH s AS (
 SELECT split, COUNT(*) AS n_rows, round(SUM(o_totalprice), 2) AS total_price FROM s GROUP BY split
 """)
 def spl4_split_table_sizes(spark, sf_dir):
+    from featpipe.sources.files import scratch_path
+
     o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
     s = splits.hash_split(o, "o_custkey", (8, 2))
-    parts = splits.split_tables(s, names=("training", "validation"))
-    out = None
-    for name, part in parts.items():
-        a = part.agg(F.count("*").alias("n_rows"), round_to(F.sum("o_totalprice"), 2).alias("total_price")) \
-            .select(F.lit(name).alias("split"), "n_rows", "total_price")
-        out = a if out is None else out.unionByName(a)
-    return out
+    path = scratch_path(spark, "orders_split_tables")
+    splits.write_split_tables(s, path)  # one pass writes both tables
+    back = spark.read.parquet(path)
+    return back.groupBy("split").agg(F.count("*").alias("n_rows"), round_to(F.sum("o_totalprice"), 2).alias("total_price"))
 
 
 @query("spl3_exact_random_split_sizes", "SPL3")
