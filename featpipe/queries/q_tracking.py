@@ -131,3 +131,21 @@ def trk12_metric_type_from_name(spark, sf_dir):
     prefix = F.when(F.col("event_id") % 3 == 0, "val_").when(F.col("event_id") % 3 == 1, "test_").otherwise("")
     m = e.select(F.concat(prefix, F.col("event_type")).alias("metric_name"))
     return m.groupBy("metric_name", TR.metric_type("metric_name").alias("metric_type")).agg(F.count("*").alias("n"))
+
+
+@query("trk5_store_latest_metrics", "TRK5 TRK12 SNK6", oracle="""
+SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS metric_name, 'train' AS metric_type,
+       arg_max(value, event_id) AS value, CAST(MAX(event_id) AS INTEGER) AS step, CAST(NULL AS INTEGER) AS epoch
+FROM events GROUP BY user_id, event_type
+""")
+def trk5_store_latest_metrics(spark, sf_dir):
+    from featpipe.operators.tracking_store import TrackingStore
+    from featpipe.sources.files import scratch_path
+
+    store = TrackingStore(spark, scratch_path(spark, "tracking"))
+    e = _events(spark, sf_dir)
+    store.append("training_metrics", e.select(
+        F.col("event_id").cast("string").alias("metric_id"), F.col("user_id").cast("string").alias("run_id"),
+        F.col("event_type").alias("metric_name"), TR.metric_type("event_type").alias("metric_type"),
+        F.col("event_id").cast("int").alias("step"), F.col("value"), F.col("ts").cast("timestamp").alias("timestamp")))
+    return store.latest_metrics()
