@@ -264,7 +264,7 @@ def agg3_having_frequent_customers(spark, sf_dir):
 
 @query("agg4_null_counts", "AGG4 PIP13", oracle="""
 SELECT COUNT(*) AS total,
-       SUM(CASE WHEN l_discount = 0 THEN 1 ELSE 0 END) AS zero_discount,
+       CAST(SUM(CASE WHEN l_discount = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_discount,
        COUNT(*) FILTER (WHERE NULLIF(l_tax, 0) IS NULL) AS null_tax,
        COUNT(*) FILTER (WHERE l_shipdate IS NULL) AS null_shipdate
 FROM lineitem

@@ -41,6 +41,35 @@ def rows_of(cols, rows):
     return sorted(out, key=repr)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "date": "DATE",
+                 "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def spark_type_as_duck(t: str) -> str:
+    if t.startswith("array<") and t.endswith(">"):
+        return spark_type_as_duck(t[6:-1]) + "[]"
+    if t.startswith("decimal"):
+        return t.upper().replace(" ", "")
+    return SPARK_TO_DUCK.get(t, t)
+
+
+def kinds(cols, rows):
+    """Python value type per column (first non-NULL value), by column name."""
+    out = {}
+    for i, c in enumerate(cols):
+        k = None
+        for r in rows:
+            if r[i] is not None:
+                v = r[i]
+                k = type(v).__name__
+                if isinstance(v, (list, tuple)) and v:
+                    k += "[" + type(v[0]).__name__ + "]"
+                break
+        out[c] = k
+    return out
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pats = sys.argv[2:]
@@ -81,6 +110,16 @@ def main():
             print(f"FAIL {name}: columns spark={sorted(scols)} duck={sorted(dcols)}")
             bad += 1
             continue
+        st = {c: spark_type_as_duck(t) for c, t in df.dtypes}
+        dt = {d[0]: str(d[1]).replace(" ", "") for d in res.description}
+        bad_t = [f"{c}: spark={st[c]} duck={dt.get(c)}" for c in st if st[c].replace(" ", "") != dt.get(c)]
+        if bad_t:
+            print(f"SCHEMA {name}: " + ", ".join(bad_t))
+        ks, kd = kinds(scols, srows), kinds(dcols, drows)
+        kd = {c: ("list" + k[5:] if k and k.startswith("tuple") else k) for c, k in kd.items()}
+        ks = {c: ("list" + k[5:] if k and k.startswith("tuple") else k) for c, k in ks.items()}
+        if ks != kd:
+            print(f"TYPE {name}: " + ", ".join(f"{c}: spark={ks[c]} duck={kd.get(c)}" for c in ks if ks[c] != kd.get(c)))
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
         if a != b:
             diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
