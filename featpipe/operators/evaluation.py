@@ -32,15 +32,16 @@ def task_from_loss(loss: str) -> str:
 
 
 def evaluate_binary(df: DataFrame, label: str, score: str, threshold: float = 0.5,
-                    prediction_table: str | None = None) -> DataFrame:
+                    prediction_table: str | None = None, rank_by: str | None = None) -> DataFrame:
     """One row: accuracy, precision, recall, f1, auc, n. Optionally writes
-    ``(features..., label, prediction)`` to ``prediction_table`` first."""
+    ``(features..., label, prediction)`` to ``prediction_table`` first. ``rank_by`` names a
+    column in the same order as the score (e.g. the logit) to rank by for the AUC."""
     scored = df.withColumn("prediction", M.predicted_class(score, threshold=threshold))
     if prediction_table:
         scored.write.mode("overwrite").parquet(prediction_table)
         scored = df.sparkSession.read.parquet(prediction_table)
     cls = M.classification_metrics(scored, label, "prediction")
-    a = M.auc(scored, label, score)
+    a = M.auc(scored, label, rank_by or score)
     return cls.select("accuracy", "precision", "recall", "f1", "total", a.select("auc").scalar().alias("auc"))
 
 

@@ -151,28 +151,32 @@ def met5_regression_metrics(spark, sf_dir):
                     round_to("r2", 9).alias("r2"), "n")
 
 
+# Ranking metrics (AUC, ROC) rank by the logit z: the sigmoid is monotone, so the curve and
+# the area are the same, and z is bit-identical in every engine while exp() may differ by one
+# unit in the last place between the JVM and C libraries (which would split or merge ties).
 @query("met7_auc_orders", "MET7 WIN5", oracle=f"""
 WITH {SCORED_CTE},
-sc AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY score),
-cum AS (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+sc AS (SELECT z, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY z),
+cum AS (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
         AS neg_below FROM sc)
 SELECT round(CASE WHEN SUM(pos) = 0 OR SUM(neg) = 0 THEN 0.5
              ELSE SUM(pos * (neg_below + 0.5 * neg)) / (SUM(pos)::DOUBLE * SUM(neg)::DOUBLE) END, 9) AS auc,
        CAST(SUM(pos) AS BIGINT) AS n_positive, CAST(SUM(neg) AS BIGINT) AS n_negative FROM cum
 """)
 def met7_auc_orders(spark, sf_dir):
-    return _r(M.auc(scored_orders(spark, sf_dir), "label", "score"))
+    return _r(M.auc(scored_orders(spark, sf_dir), "label", "z"))
 
 
 @query("met9_roc_curve_orders", "MET9 WIN5", oracle=f"""
 WITH {SCORED_CTE},
-sc AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY score),
-cum AS (SELECT score, SUM(pos) OVER (ORDER BY score DESC) AS tp, SUM(neg) OVER (ORDER BY score DESC) AS fp FROM sc)
-SELECT round(score, 9) AS threshold, round(fp / (SELECT SUM(neg) FROM sc), 9) AS fpr,
+sc AS (SELECT z, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY z),
+cum AS (SELECT z, SUM(pos) OVER (ORDER BY z DESC) AS tp, SUM(neg) OVER (ORDER BY z DESC) AS fp FROM sc)
+SELECT round(z, 9) AS threshold_logit, round(fp / (SELECT SUM(neg) FROM sc), 9) AS fpr,
        round(tp / (SELECT SUM(pos) FROM sc), 9) AS tpr FROM cum
 """)
 def met9_roc_curve_orders(spark, sf_dir):
-    return _r(M.roc_curve(scored_orders(spark, sf_dir), "label", "score"))
+    roc = M.roc_curve(scored_orders(spark, sf_dir), "label", "z")
+    return _r(roc.withColumnRenamed("threshold", "threshold_logit"))
 
 
 @query("met10_pr_curve_orders", "MET10", oracle=f"""
@@ -274,8 +278,8 @@ c AS (SELECT SUM(CASE WHEN label = pred THEN 1 ELSE 0 END)::DOUBLE AS correct, C
              SUM(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp,
              SUM(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END)::DOUBLE AS fp,
              SUM(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END)::DOUBLE AS fn FROM scored),
-sc AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY score),
-cum AS (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+sc AS (SELECT z, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY z),
+cum AS (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
         AS neg_below FROM sc),
 a AS (SELECT SUM(pos * (neg_below + 0.5 * neg)) / (SUM(pos)::DOUBLE * SUM(neg)::DOUBLE) AS auc FROM cum)
 SELECT round(correct / total, 9) AS accuracy, round(tp / (tp + fp + 1e-8), 9) AS precision,
@@ -284,8 +288,9 @@ SELECT round(correct / total, 9) AS accuracy, round(tp / (tp + fp + 1e-8), 9) AS
 def met16_evaluate_end_to_end(spark, sf_dir):
     from featpipe.operators.evaluation import evaluate_binary
 
-    return _r(evaluate_binary(scored_orders(spark, sf_dir), "label", "score").select(
-        "accuracy", "precision", "recall", "auc"))
+    # classes from the probability (> 0.5), ranking by the logit (see met7)
+    s = scored_orders(spark, sf_dir)
+    return _r(evaluate_binary(s, "label", "score", rank_by="z").select("accuracy", "precision", "recall", "auc"))
 
 
 @query("trn2_loss_per_split", "TRN2 MET15 SPL1", oracle=f"""
