@@ -150,19 +150,22 @@ class Dense:
 def dense_score(df: DataFrame, model: Dense, features: str, keep: Sequence[str], out: str = "scores") -> DataFrame:
     """Apply a dense model to an ``array<float>`` column, one Arrow batch at a time.
 
-    Narrow (no shuffle); the model travels with the task closure and is small by nature.
+    Narrow (no shuffle): every partition scores its own rows with numpy matrix products.
     """
     import pandas as pd
 
     keep = list(keep)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    # the weights ship once per executor as a broadcast variable, not inside every task closure
+    layers = df.sparkSession.sparkContext.broadcast(model.layers)
 
     def run(batches):
+        local = Dense(layers.value)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf[features].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            y = model.apply(x)
+            y = local.apply(x)
             res = pdf[keep].copy()
             res[out] = pd.Series(list(y), index=pdf.index).map(list)
             yield res
