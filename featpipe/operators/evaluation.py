@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 
 from featpipe.operators import metrics as M
 
-# metric sets per task (MET8); aliases map to the canonical name
+# Metric sets per task (MET8), metric-name aliases, primary metric per task and
+# the direction of each metric.
 TASK_METRICS = {
     "binary": ["accuracy", "precision", "recall", "f1", "auc"],
     "multiclass": ["accuracy", "precision", "recall", "f1"],

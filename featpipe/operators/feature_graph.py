@@ -185,7 +185,7 @@ def _shift(df, inputs, out, ctx):
                                                 inputs.get("fill_value", 0)))
 
 
-# operator registry (FEA18): names and the aliases the processor catalogue uses
+# operator registry (FEA18). The operator names and the processor aliases.
 REGISTRY = {
     "transform.assemble_vector": _assemble,
     "inspect.feature_stats": _feature_stats,

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from featpipe.plans import ordered
 
+# Fixed value: ranges / deviations at or below this count as zero.
 EPS = 1e-8
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from featpipe.plans import ordered
 
+# Fixed value: the epsilon every ratio adds to its denominator.
 EPS = 1e-8
 
 

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# dtype names accepted in input specs -> Spark SQL types (unknown -> float)
+# Dtype names accepted in input specs -> Spark SQL types (unknown -> float), and
+# the output names preferred when a model has several outputs.
 DTYPES = {
     "float32": "float", "float": "float", "float64": "double", "double": "double",
     "int32": "int", "int": "int", "int64": "bigint", "long": "bigint", "bool": "boolean",

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+# Statements allowed in read-only mode.
 READ_ONLY_START = ("SELECT", "WITH", "DESCRIBE", "DESC", "SHOW", "EXPLAIN")
 
 
