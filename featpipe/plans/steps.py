@@ -196,15 +196,11 @@ def substitute(sql: str, variables: dict | None) -> str:
     return _VAR.sub(lambda m: str(variables[m.group(1)]), sql)
 
 
-_TEXT_CAST = re.compile(r"\bAS\s+TEXT\b", re.IGNORECASE)
+def to_spark_sql(sql: str, spark: SparkSession | None = None) -> str:
+    """DuckDB forms used by pipelines -> Spark SQL (see ``plans/dialect.py``)."""
+    from featpipe.plans.dialect import translate
 
-
-def to_spark_sql(sql: str) -> str:
-    """Small DuckDB-dialect fixes: trailing ';', ``CAST(x AS TEXT)``."""
-    s = sql.strip()
-    while s.endswith(";"):
-        s = s[:-1].rstrip()
-    return _TEXT_CAST.sub("AS STRING", s)
+    return translate(sql, spark)
 
 
 def syntax_errors(spark: SparkSession, spec: StepSpec) -> dict[str, str]:
@@ -214,12 +210,14 @@ def syntax_errors(spark: SparkSession, spec: StepSpec) -> dict[str, str]:
     for s in spec.steps:
         if s.op is not None:
             continue
-        text = to_spark_sql(substitute(s.sql, spec.vars))
         try:
+            text = to_spark_sql(substitute(s.sql, spec.vars))
             with _quoted_identifiers(spark):
                 spark.sql("EXPLAIN " + text)
         except ParseException as e:
             errs[s.name] = str(e).splitlines()[0]
+        except (SpecError, ValueError) as e:
+            errs[s.name] = str(e)
         except Exception:  # noqa: BLE001 - analysis errors are expected here
             pass
     return errs
@@ -334,13 +332,13 @@ class StepRunner:
             with _quoted_identifiers(self.spark):
                 for s in order:
                     report.log.append((f"step {s.name} ({s.type})", "info"))
-                    if s.op is None:
-                        text = to_spark_sql(substitute(s.sql, spec.vars))
-                        texts.append(f"-- {s.name} ({s.type})\n{text};")
-                    else:
-                        text = None
-                        texts.append(f"-- {s.name} ({s.type}): operator {s.op}({s.args})")
                     try:
+                        if s.op is None:
+                            text = to_spark_sql(substitute(s.sql, spec.vars), self.spark)
+                            texts.append(f"-- {s.name} ({s.type})\n{text};")
+                        else:
+                            text = None
+                            texts.append(f"-- {s.name} ({s.type}): operator {s.op}({s.args})")
                         if s.type == "execute":
                             self._execute(text, dry_run, drops, replaced)
                         else:
@@ -369,7 +367,7 @@ class StepRunner:
                                 df = self.spark.read.parquet(self.table_path(s.name))
                             elif s.type == "view":
                                 df = OPERATORS[s.op](self.spark, s.args) if s.op else self.spark.sql(
-                                    to_spark_sql(substitute(s.sql, spec.vars)))
+                                    to_spark_sql(substitute(s.sql, spec.vars), self.spark))
                             else:
                                 continue
                             df.createOrReplaceTempView(s.name)

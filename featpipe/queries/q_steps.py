@@ -108,3 +108,26 @@ def pip8_output_report(spark, sf_dir):
         raise RuntimeError(report.error)
     rows = [(name, len(info["schema"]), int(info["rows"])) for name, info in report.outputs.items()]
     return spark.createDataFrame(rows, "output string, n_columns int, row_count bigint")
+
+
+DIALECT_STEP_SQL = """
+SELECT CAST(EXTRACT(DOW FROM ts) AS INTEGER) AS dow, CAST(user_id % 10 AS TEXT) AS user_group,
+       COUNT(*) AS n, round(SUM(value), 2) AS total
+FROM {source}
+GROUP BY 1, 2;
+"""
+
+
+@query("pip1_duckdb_dialect_steps", "PIP1 PIP10 SRC5 PRJ9 PRJ6", oracle=DIALECT_STEP_SQL.format(source="events"))
+def pip1_duckdb_dialect_steps(spark, sf_dir):
+    """The same SQL text DuckDB runs (table function, DOW, TEXT cast, ';') as a pipeline step."""
+    import os
+
+    src = "read_parquet('" + os.path.join(sf_dir, "events.parquet") + "')"
+    spec = {"name": "dialect", "steps": [{"name": "dow_groups", "type": "view",
+                                          "sql": DIALECT_STEP_SQL.format(source=src)}],
+            "outputs": ["dow_groups"]}
+    report, frames = run_steps(spark, spec, count_outputs=False)
+    if not report.ok:
+        raise RuntimeError(report.error)
+    return frames["dow_groups"]
