@@ -9,7 +9,9 @@ distributed quantile sketch (or a bounded sample for strings). The window then r
 depends on the sketch.
 
 All public functions take and return DataFrames; nothing row-level goes through the driver.
-Only the range bounds (at most ``n_buckets`` values) are collected.
+Only the range bounds (at most ``n_buckets`` values) are collected. Ranges split on the first
+order column, so it should be close to unique (ids, timestamps, values already reduced to
+distinct rows); rows sharing one value of it always share a range.
 """
 
 from __future__ import annotations
@@ -128,8 +130,12 @@ def _key_surrogates(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list
             d = F.lit("")
         elif isinstance(dt, T.BooleanType):
             d = F.lit(False)
-        elif isinstance(dt, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(dt, T.NumericType):
             d = F.lit(0).cast(dt)
+        elif isinstance(dt, T.DateType):
+            d = F.lit("1970-01-01").cast(dt)
+        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            d = F.lit("1970-01-01 00:00:00").cast(dt)
         else:
             d = None
         if d is None or not df.schema[k].nullable:

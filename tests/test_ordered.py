@@ -66,3 +66,15 @@ def test_bucketing_spans_hot_key(spark):
     d = _data(spark)
     b = ordered.with_buckets(d, "id", 8)
     assert b.where(F.col("k") == "hot").select("_fp_bucket").distinct().count() >= 6
+
+
+def test_date_and_timestamp_keys_with_nulls(spark):
+    import datetime as dt
+
+    rows = [(i, None if i % 7 == 0 else dt.date(2024, 1, 1 + i % 3),
+             None if i % 5 == 0 else dt.datetime(2024, 1, 1, i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, d date, t timestamp_ntz")
+    for key in ("d", "t"):
+        got = ordered.row_number(df, [key], ["id"], "rn", n_buckets=5)
+        exp = df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("id")))
+        assert _rows(got, ["id", "rn"]) == _rows(exp, ["id", "rn"])
