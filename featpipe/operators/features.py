@@ -146,8 +146,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     cum = ordered.running(vc, g, ["_fp_v"], [("_fp_before", "sum", "_fp_c", False)], bounds=bounds)
     cum = cum.withColumn("_fp_before", F.coalesce("_fp_before", F.lit(0)))
     if g:
-        n_tbl = vc.groupBy(*g).agg(F.sum("_fp_c").alias("_fp_n"))
-        cum = cum.join(n_tbl, on=g, how="inner")
+        # one row per group (small: broadcast by AQE); NULL is a group, as in GROUP BY
+        n_tbl = vc.groupBy(*g).agg(F.sum("_fp_c").alias("_fp_n")).select(
+            *[F.col(k).alias(f"_fp_g{i}") for i, k in enumerate(g)], "_fp_n")
+        cum = cum.join(n_tbl, [cum[k].eqNullSafe(n_tbl[f"_fp_g{i}"]) for i, k in enumerate(g)], "inner")
         n = F.col("_fp_n")
     else:
         n = F.lit(int(sk["n"]))

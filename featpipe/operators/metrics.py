@@ -35,8 +35,10 @@ def predicted_class(score=None, probs=None, threshold: float = 0.5) -> Column:
 
 
 def confusion_counts(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """``(label, pred, n)``: the one pass every classification metric reads."""
-    return df.groupBy(F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("pred")) \
+    """``(label, pred, n)``: the one pass every classification metric reads. Rows without a
+    label or a prediction cannot be scored and are left out."""
+    y, p = F.col(label).cast("int"), F.col(pred).cast("int")
+    return df.where(y.isNotNull() & p.isNotNull()).groupBy(y.alias("label"), p.alias("pred")) \
         .agg(F.count("*").alias("n"))
 
 

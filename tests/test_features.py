@@ -160,3 +160,9 @@ def test_one_hot_sparse_unknown_is_zero(spark):
     test = spark.createDataFrame([("a",), ("c",), ("zz",)], "x string")
     rows = {r["x"]: r["x_onehot"].toArray().tolist() for r in FE.one_hot_sparse(test, "x", v).collect()}
     assert rows == {"a": [1.0, 0.0, 0.0], "c": [0.0, 0.0, 1.0], "zz": [0.0, 0.0, 0.0]}
+
+
+def test_exact_quantiles_keep_null_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "g string, v double")
+    got = {r["g"]: r["q50"] for r in FE.exact_quantiles(df, "v", [0.5], ["g"], n_buckets=2).collect()}
+    assert got == {"a": 2.0, None: 6.0}
