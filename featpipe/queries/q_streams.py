@@ -19,9 +19,15 @@ WITH s AS (SELECT AVG(value) AS m, STDDEV(value) AS sd FROM events)
 SELECT event_id, user_id, round((value - m) / sd, 9) AS value_z FROM events, s
 """)
 def str1_stream_scaled_events(spark, sf_dir):
+    from featpipe.operators.feature_graph import load_numeric_state, save_numeric_state
+    from featpipe.sources.files import scratch_path
+
     src = os.path.join(sf_dir, "events.parquet")
     batch = read_table(spark, sf_dir, "events")
-    state = FE.fit_standard_scaler(batch, ["value"])  # fitted once in batch, reused by the stream
+    # fitted once in batch, saved as typed state, loaded back by the streaming job
+    state_path = scratch_path(spark, "scaler_state")
+    save_numeric_state(spark, FE.fit_standard_scaler(batch, ["value"]), state_path)
+    state = load_numeric_state(spark, state_path, "standard")
 
     def fn(df):
         return df.select("event_id", "user_id", round_to(FE.standard_scale(state, "value"), 9).alias("value_z"))

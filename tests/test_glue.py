@@ -100,3 +100,26 @@ def test_approx_opt_ins(spark):
     assert all(abs(a[g] - e[g]) <= 6 for g in e)
     d = relational.distinct_counts(df, ["g"], ["v"], approx=True).collect()
     assert all(abs(r["n_distinct_v"] - 333) < 40 for r in d)
+
+
+def test_python_data_source_plugin(spark):
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    class Countdown(DataSource):
+        @classmethod
+        def name(cls):
+            return "fp_countdown"
+
+        def schema(self):
+            return "n int"
+
+        def reader(self, schema):
+            return CountdownReader()
+
+    class CountdownReader(DataSourceReader):
+        def read(self, partition):
+            for i in range(3, 0, -1):
+                yield (i,)
+
+    remote.register_python_source(spark, Countdown)
+    assert sorted(r.n for r in spark.read.format("fp_countdown").load().collect()) == [1, 2, 3]
