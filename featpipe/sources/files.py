@@ -79,6 +79,19 @@ def read_csv(spark: SparkSession, path: str, columns: str | dict | None = None,
     return df
 
 
+def malformed_rows(spark: SparkSession, path: str, columns: str | dict, **options) -> DataFrame:
+    """The rows ``ignore_errors`` drops, as a report: ``(bad_rows, total_rows)`` (SRC3)."""
+    if isinstance(columns, dict):
+        columns = ", ".join(f"`{k}` {_sql_type(v)}" for k, v in columns.items())
+    r = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_fp_corrupt") \
+        .option("sep", options.get("delim", ",")).option("header", options.get("header", False))
+    df = r.schema(columns + ", _fp_corrupt STRING").csv(path)
+    data_cols = [F.col(f"`{c}`") for c in df.columns if c != "_fp_corrupt"]
+    whole_row = F.xxhash64(*data_cols) >= F.lit(-(2 ** 63))  # every column converted, see read_csv
+    return df.where(whole_row).agg(F.count_if(F.col("_fp_corrupt").isNotNull()).alias("bad_rows"),
+                                   F.count("*").alias("total_rows"))
+
+
 def _skip_lines(spark, path, n, columns, delim, quote, escape, encoding, ignore_errors, null_value) -> DataFrame:
     """Drop the first ``n`` lines of every file, then parse the rest with ``from_csv``.
 

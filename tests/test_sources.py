@@ -72,3 +72,10 @@ def test_csv_skip_with_header_and_many_files(spark, tmp_path):
         (d / f"f{i}.csv").write_text(f"# export {i}\nid,name\n{i},n{i}\n{i + 10},m{i}\n")
     df = files.read_csv(spark, str(d), columns="id INT, name STRING", header=True, skip=1)
     assert sorted(r.id for r in df.collect()) == [0, 1, 2, 10, 11, 12]
+
+
+def test_malformed_row_report(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_text("1,2.0\nx,3.0\n3,4.0\n4,zz\n")
+    r = files.malformed_rows(spark, str(p), "a INT, b DOUBLE").first()
+    assert (r["bad_rows"], r["total_rows"]) == (2, 4)
