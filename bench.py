@@ -43,7 +43,10 @@ def main():
     from featpipe.queries import load_all
     from featpipe.session import build_session
 
-    spark = build_session(f"local[{cpus}]", app="featpipe-bench", shuffle_partitions=int(cpus))
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):  # stage and task times, read offline (no UI)
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]}
+    spark = build_session(f"local[{cpus}]", app="featpipe-bench", shuffle_partitions=int(cpus), extra=extra)
     reg = load_all()
     names = [n for n in HEADLINE if n in reg]
     # warm-up on the smallest tables (JVM, JIT); not timed
