@@ -188,8 +188,13 @@ def embedding_lookup(df: DataFrame, idx_col: str, table: DataFrame, table_idx: s
 
 # ---------------------------------------------------------------- training (TRN1, TRN3)
 
-def loss_to_estimator(loss: str):
-    """Map a loss name to the MLlib estimator that fits the same task (TRN1)."""
+def loss_to_estimator(loss: str, hidden: Sequence[int] | None = None):
+    """Map a loss name to the MLlib estimator that fits the same task (TRN1).
+
+    mse -> linear regression; l1 / mae / huber -> robust (Huber) linear regression;
+    bce / bce_with_logits -> logistic regression; cross_entropy / nll -> multinomial logistic
+    regression, or a multilayer perceptron when hidden layer sizes are given.
+    """
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     from pyspark.ml.regression import LinearRegression
 
@@ -201,17 +206,25 @@ def loss_to_estimator(loss: str):
     if name in ("bce", "bce_loss", "bce_with_logits", "binary_cross_entropy", "bcewithlogits"):
         return LogisticRegression
     if name in ("cross_entropy", "ce", "nll", "nll_loss"):
-        return MultilayerPerceptronClassifier
+        if hidden:
+            return MultilayerPerceptronClassifier
+        return lambda **kw: LogisticRegression(family="multinomial", **kw)
     raise ScoringError(f"unknown loss {loss}")
 
 
-def train(df: DataFrame, features: Sequence[str], label: str, loss: str = "bce", **params):
-    """Fit an MLlib model for the task the loss names; returns the fitted model."""
+def train(df: DataFrame, features: Sequence[str], label: str, loss: str = "bce",
+          hidden: Sequence[int] | None = None, **params):
+    """Fit an MLlib model for the task the loss names; returns (model, assembler).
+
+    Training is distributed by MLlib (tree aggregation of gradients), not a driver loop."""
     from pyspark.ml.feature import VectorAssembler
 
     vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     data = vec.transform(df.select(*features, F.col(label).cast("double").alias("label")))
-    est = loss_to_estimator(loss)(featuresCol="features", labelCol="label", **params)
+    if hidden:
+        n_classes = int(data.agg(F.max("label")).first()[0]) + 1
+        params["layers"] = [len(features), *hidden, n_classes]
+    est = loss_to_estimator(loss, hidden)(featuresCol="features", labelCol="label", **params)
     return est.fit(data), vec
 
 

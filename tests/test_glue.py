@@ -123,3 +123,15 @@ def test_python_data_source_plugin(spark):
 
     remote.register_python_source(spark, Countdown)
     assert sorted(r.n for r in spark.read.format("fp_countdown").load().collect()) == [1, 2, 3]
+
+
+def test_training_by_loss(spark):
+    df = spark.range(300).selectExpr("CAST(id % 3 AS DOUBLE) AS y", "CAST(id % 3 AS DOUBLE) * 2.0 + rand(1) AS x1",
+                                     "rand(2) AS x2")
+    m, vec = scoring.train(df, ["x1", "x2"], "y", "mse")
+    assert abs(m.coefficients[0] - 0.5) < 0.1
+    m, vec = scoring.train(df, ["x1", "x2"], "y", "cross_entropy", maxIter=50)
+    pred = m.transform(vec.transform(df.withColumn("label", df.y)))
+    assert pred.where("prediction = label").count() > 250
+    m, vec = scoring.train(df, ["x1", "x2"], "y", "cross_entropy", hidden=[4], maxIter=100, seed=1)
+    assert m.transform(vec.transform(df)).count() == 300
