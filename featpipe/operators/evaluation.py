@@ -51,3 +51,28 @@ def metrics_long(row_df: DataFrame, task: str) -> DataFrame:
     names = [m for m in TASK_METRICS[task] if m in row_df.columns]
     stack = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE), {str(HIGHER_IS_BETTER[n]).lower()}" for n in names)
     return row_df.selectExpr(f"stack({len(names)}, {stack}) AS (name, value, higher_is_better)")
+
+
+def evaluate(df: DataFrame, task: str, label: str, pred: str | None = None, score: str | None = None,
+             average: str = "macro") -> DataFrame:
+    """The task's metric set as ``(name, value, higher_is_better)`` rows (MET8, MET16).
+
+    binary: classes from ``score > 0.5`` (or ``pred``), AUC from ``score``; multiclass: ``pred``;
+    regression: ``pred`` against ``label``.
+    """
+    from pyspark.sql import functions as F
+
+    task = ALIASES.get(task, task)
+    if task == "binary":
+        if score is None:
+            raise ValueError("binary evaluation needs a score column")
+        row = evaluate_binary(df, label, score) if pred is None else \
+            M.classification_metrics(df, label, pred).select(
+                "*", M.auc(df, label, score).select("auc").scalar().alias("auc"))
+    elif task == "multiclass":
+        row = M.classification_metrics(df, label, pred or "prediction", average)
+    elif task == "regression":
+        row = M.regression_metrics(df, label, pred or "prediction")
+    else:
+        raise ValueError(f"unknown task {task}")
+    return metrics_long(row, task).withColumn("value", F.col("value").cast("double"))

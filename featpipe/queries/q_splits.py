@@ -122,7 +122,11 @@ def spl4_split_table_sizes(spark, sf_dir):
     return back.groupBy("split").agg(F.count("*").alias("n_rows"), round_to(F.sum("o_totalprice"), 2).alias("total_price"))
 
 
-@query("spl3_exact_random_split_sizes", "SPL3")
+@query("spl3_exact_random_split_sizes", "SPL3", oracle="""
+SELECT 'validation' AS split, CAST(floor(COUNT(*) * 0.2) AS BIGINT) AS n_rows FROM orders
+UNION ALL
+SELECT 'training' AS split, CAST(COUNT(*) - floor(COUNT(*) * 0.2) AS BIGINT) AS n_rows FROM orders
+""")
 def spl3_exact_random_split_sizes(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey")
     s = splits.random_split_exact(o, "o_orderkey", 0.2, 42)

@@ -135,3 +135,41 @@ def test_training_by_loss(spark):
     assert pred.where("prediction = label").count() > 250
     m, vec = scoring.train(df, ["x1", "x2"], "y", "cross_entropy", hidden=[4], maxIter=100, seed=1)
     assert m.transform(vec.transform(df)).count() == 300
+
+
+def test_evaluate_by_task(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0.1, 0), (0.9, 1), (0.2, 0), (0.8, 1)], "score double, label int")
+    got = {r["name"]: r["value"] for r in evaluation.evaluate(df, "binary", "label", score="score").collect()}
+    assert got["accuracy"] == 1.0 and got["auc"] == 1.0 and set(got) == set(evaluation.TASK_METRICS["binary"])
+    reg = spark.createDataFrame([(1.0, 1.5), (2.0, 2.5)], "y double, p double")
+    r = {x["name"]: (x["value"], x["higher_is_better"]) for x in
+         evaluation.evaluate(reg, "regression", "y", pred="p").collect()}
+    assert r["mse"] == (0.25, False) and r["r2"][1] is True
+
+
+def test_early_stopping_matches_training_loop(spark):
+    import random
+
+    from featpipe.operators import tracking
+
+    rng = random.Random(5)
+    rows, expected = [], {}
+    for run in range(6):
+        losses = [round(rng.uniform(0, 1), 3) for _ in range(rng.randint(1, 15))]
+        best, best_epoch, since, stop = float("inf"), None, 0, None
+        for epoch, v in enumerate(losses, start=1):  # the reference's loop, epochs numbered from 1
+            if v < best:
+                best, best_epoch, since = v, epoch, 0
+            else:
+                since += 1
+            if stop is None and since >= 3:
+                stop = epoch
+        expected[run] = (len(losses), best_epoch, best, stop)
+        rows += [(run, i, v) for i, v in enumerate(losses)]
+    df = spark.createDataFrame(rows, "run int, step int, loss double")
+    for n_buckets in (None, 4):
+        got = {r["run"]: (r["n_epochs"], r["best_epoch"], r["best_loss"], r["stop_epoch"])
+               for r in tracking.early_stopping(df, "run", ["step"], "loss", patience=3, n_buckets=n_buckets).collect()}
+        assert got == expected
