@@ -166,3 +166,16 @@ def test_exact_quantiles_keep_null_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "g string, v double")
     got = {r["g"]: r["q50"] for r in FE.exact_quantiles(df, "v", [0.5], ["g"], n_buckets=2).collect()}
     assert got == {"a": 2.0, None: 6.0}
+
+
+def test_column_quantiles_many_columns_one_pass(spark):
+    import pandas as pd
+
+    pdf = pd.DataFrame({"a": [1.0, 2.0, 3.0, 4.0, None], "b": [10.0, 10.0, 20.0, 40.0, 50.0]})
+    df = spark.createDataFrame(pdf)
+    qs = FE.column_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75], ["q1", "med", "q3"])
+    for c in ("a", "b"):
+        s = pdf[c].dropna()
+        assert (qs[c]["q1"], qs[c]["med"], qs[c]["q3"]) == (s.quantile(0.25), s.median(), s.quantile(0.75))
+    st = FE.fit_robust(df, ["a", "b"])
+    assert st["params"]["b"] == {"median": 20.0, "iqr": 30.0}
