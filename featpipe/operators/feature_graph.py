@@ -220,7 +220,7 @@ def fit_processors(df: DataFrame, steps: Sequence[tuple[str, Sequence[str], dict
             st = FE.fit_robust(cur, cols)
         elif k == "onehot":
             st = {"kind": "onehot", "columns": list(cols),
-                  "params": {c: FE.fit_categories(cur, c) for c in cols},
+                  "params": FE.fit_categories_many(cur, cols),
                   "handle_unknown": params.get("handle_unknown", "ignore")}
         else:
             raise PipelineError(f"unknown processor {kind}")

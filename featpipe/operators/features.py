@@ -295,6 +295,25 @@ def fit_categories(df: DataFrame, col: str, max_categories: int = 1000) -> list[
     return sorted(r["v"] for r in vals)
 
 
+def fit_categories_many(df: DataFrame, columns: Sequence[str], max_categories: int = 1000) -> dict[str, list[str]]:
+    """``fit_categories`` for several columns in two passes whatever their number: distinct
+    counts per column first (so nothing unbounded is collected), then the distinct
+    (column, value) pairs."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_fp_col"), F.col(c).cast("string").alias("_fp_val")) for c in columns
+    ])).alias("_fp_kv")).select("_fp_kv.*").where(F.col("_fp_val").isNotNull()).distinct()
+    counts = {r["_fp_col"]: r["n"] for r in pairs.groupBy("_fp_col").agg(F.count("*").alias("n")).collect()}
+    for c in columns:
+        if not counts.get(c):
+            raise FeatureError(f"No data found for column {c}")
+        if counts[c] > max_categories:
+            raise FeatureError(f"{c} has more than {max_categories} categories; use label encoding instead")
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for r in pairs.collect():  # at most max_categories per column, checked above
+        out[r["_fp_col"]].append(r["_fp_val"])
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def one_hot(df: DataFrame, col: str, categories: Sequence[str], handle_unknown: str = "ignore",
             drop_input: bool = False) -> DataFrame:
     """``{col}_{cat}`` 0/1 columns; unknown values give all zeros, or an error (FEA13/FEA14)."""

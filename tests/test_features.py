@@ -179,3 +179,10 @@ def test_column_quantiles_many_columns_one_pass(spark):
         assert (qs[c]["q1"], qs[c]["med"], qs[c]["q3"]) == (s.quantile(0.25), s.median(), s.quantile(0.75))
     st = FE.fit_robust(df, ["a", "b"])
     assert st["params"]["b"] == {"median": 20.0, "iqr": 30.0}
+
+
+def test_fit_categories_many(spark):
+    df = spark.createDataFrame([("red", "S"), ("blue", "M"), ("red", None), ("green", "S")], "colour string, size string")
+    assert FE.fit_categories_many(df, ["colour", "size"]) == {"colour": ["blue", "green", "red"], "size": ["M", "S"]}
+    with pytest.raises(FE.FeatureError, match="more than 2"):
+        FE.fit_categories_many(df, ["colour"], max_categories=2)
