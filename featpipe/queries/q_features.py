@@ -292,3 +292,23 @@ def fea13_one_hot_sparse_brand(spark, sf_dir):
     vocab = FE.fit_label_encoder(train.where(F.col("p_brand").isNotNull()), "p_brand", include_null=False)
     enc = FE.one_hot_sparse(p, "p_brand", vocab, "brand_vec")
     return enc.select("p_partkey", vector_to_array("brand_vec").alias("brand_onehot"))
+
+
+@query("fea17_target_encoding_order_value", "FEA17 SPL5", oracle=f"""
+WITH j AS (SELECT o.o_orderkey, c.c_mktsegment, o.o_totalprice AS y,
+                  {_TRAIN_MD5.format(k='o.o_orderkey')} AS is_train
+           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+g AS (SELECT SUM(y) / COUNT(y) AS gm FROM j WHERE is_train),
+st AS (SELECT c_mktsegment, COUNT(y) AS n, SUM(y) / COUNT(y) AS m FROM j WHERE is_train GROUP BY 1)
+SELECT j.o_orderkey, round(CASE WHEN st.n IS NULL THEN gm ELSE (st.n * st.m + 25.0 * gm) / (st.n + 25.0) END, 4)
+       AS segment_value_te
+FROM j LEFT JOIN st ON j.c_mktsegment = st.c_mktsegment, g
+""")
+def fea17_target_encoding_order_value(spark, sf_dir):
+    """Regression target: each market segment encoded by its smoothed mean order value."""
+    o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_mktsegment", F.col("o_totalprice").alias("y"))
+    train = splits.hash_split(j, "o_orderkey", (8, 2)).where(F.col("split") == "training")
+    enc = FE.fit_target_encoder(train, "c_mktsegment", "y", smoothing=25.0)
+    out = FE.target_encode(j, enc, "segment_value_te").select("o_orderkey", "segment_value_te")
+    return out.select("o_orderkey", round_to("segment_value_te", 4).alias("segment_value_te"))

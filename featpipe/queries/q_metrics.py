@@ -372,3 +372,19 @@ SELECT COUNT(*) FILTER (WHERE len(embedding) <> 64) AS bad_rows, COUNT(*) AS row
 """)
 def inp4_shape_check_embeddings(spark, sf_dir):
     return scoring.shape_check(read_table(spark, sf_dir, "embeddings"), "embedding", 64)
+
+
+@query("met7_auc_quality_by_length", "MET7 MET14 JN1", oracle="""
+WITH s AS (SELECT l.quality AS label, d.n_chars AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+sc AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM s GROUP BY score),
+cum AS (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS neg_below FROM sc)
+SELECT round(CASE WHEN SUM(pos) = 0 OR SUM(neg) = 0 THEN 0.5
+             ELSE SUM(pos * (neg_below + 0.5 * neg)) / (SUM(pos)::DOUBLE * SUM(neg)::DOUBLE) END, 9) AS auc,
+       CAST(SUM(pos) AS BIGINT) AS n_positive, CAST(SUM(neg) AS BIGINT) AS n_negative FROM cum
+""")
+def met7_auc_quality_by_length(spark, sf_dir):
+    """How well document length ranks the quality label: labels joined to documents."""
+    lab, doc = read_table(spark, sf_dir, "labels"), read_table(spark, sf_dir, "documents")
+    s = lab.join(doc, "doc_id").select(F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("score"))
+    return _r(M.auc(s, "label", "score"))

@@ -138,3 +138,42 @@ def prf5_catalog_listing(spark, sf_dir):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
     register_tables(spark, sf_dir, names)
     return profile.list_tables(spark).where(F.col("table").isin(names)).select("table", "position", "column")
+
+
+# The numeric columns of the test tables (their schemas).
+NUMERIC_COLUMNS = {
+    "region": ['r_regionkey'],
+    "nation": ['n_nationkey', 'n_regionkey'],
+    "customer": ['c_custkey', 'c_nationkey', 'c_acctbal'],
+    "supplier": ['s_suppkey', 's_nationkey', 's_acctbal'],
+    "part": ['p_partkey', 'p_size', 'p_retailprice'],
+    "orders": ['o_orderkey', 'o_custkey', 'o_totalprice'],
+    "lineitem": ['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'],
+    "events": ['event_id', 'user_id', 'value'],
+    "documents": ['doc_id', 'n_chars'],
+    "embeddings": ['vec_id', 'label'],
+    "pages": ['page_id'],
+    "benchmark": ['item_id'],
+    "labels": ['doc_id', 'quality', 'toxic'],
+    "conversations": ['conv_id', 'turn'],
+}
+
+_PROFILE_ALL_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column, COUNT(*) AS total_rows, COUNT({c}) AS count, "
+    f"CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS DOUBLE) AS max, round(AVG({c}), 6) AS mean, "
+    f"round(STDDEV({c}), 6) AS std FROM {t}"
+    for t, cols in NUMERIC_COLUMNS.items() for c in cols)
+
+
+@query("prf1_numeric_profile_every_table", "PRF1 PRF3 PRF7", oracle=_PROFILE_ALL_SQL)
+def prf1_numeric_profile_every_table(spark, sf_dir):
+    """Every test table profiled: one aggregation pass per table, numeric columns found from
+    the schema (PRF3)."""
+    out = None
+    for t in NUMERIC_COLUMNS:
+        df = read_table(spark, sf_dir, t)
+        p = profile.numeric_profile(df).select(
+            F.lit(t).alias("table_name"), "column", "total_rows", "count", "min", "max",
+            round_to("mean", 6).alias("mean"), round_to("std", 6).alias("std"))
+        out = p if out is None else out.unionByName(p)
+    return out
