@@ -64,13 +64,19 @@ class FeaturePipeline:
         if missing:
             raise PipelineError(f"columns not found: {sorted(missing)}")
         cur = df.select(*[c for c in df.columns if c in needed])  # prune to what the spec reads
-        for op in self.ops:
+        prefit: dict[int, dict] = {}
+        for pos, op in enumerate(self.ops):
             name = op["op"]
             if not training and (name.startswith(("fit.", "inspect.")) or op.get("train_only")):
                 continue
             ns, key = _ns(op["output"])
             ctx = {"states": states, "vars": vars_, "widths": widths}
-            result = REGISTRY[name](cur, op.get("inputs") or {}, key, ctx)
+            if name == "fit.standard_scaler" and training:
+                if pos not in prefit:
+                    prefit.update(_fit_standard_batch(cur, self.ops, pos, ctx))
+                result = prefit[pos]
+            else:
+                result = REGISTRY[name](cur, op.get("inputs") or {}, key, ctx)
             if ns == "tensors":
                 cur = result
             elif ns == "states":
@@ -141,6 +147,32 @@ def _fit_standard(df, inputs, out, ctx):
     return {"kind": "standard_vector", "mean": mean, "std": std}
 
 
+def _fit_standard_batch(df, ops, start, ctx) -> dict[int, dict]:
+    """All ``fit.standard_scaler`` ops from ``start`` on whose input already exists, fitted in
+    one aggregation (one pass for all fits of a level)."""
+    todo = [(i, _tensor((op.get("inputs") or {}).get("x"))) for i, op in enumerate(ops)
+            if i >= start and op["op"] == "fit.standard_scaler"]
+    todo = [(i, x) for i, x in todo if i == start or x in df.columns]
+    aggs, layout = [], {}
+    for i, x in todo:
+        if isinstance(df.schema[x].dataType, T.ArrayType):
+            n = _width(df, x, ctx)
+            elems = [F.col(x)[j].cast("double") for j in range(n)]
+        else:
+            elems = [F.col(x).cast("double")]
+        layout[i] = len(elems)
+        for j, e in enumerate(elems):
+            aggs += [F.avg(e).alias(f"m{i}_{j}"), F.stddev_samp(e).alias(f"s{i}_{j}")]
+    row = df.agg(*aggs).first()
+    out = {}
+    for i, n in layout.items():
+        mean = [row[f"m{i}_{j}"] for j in range(n)]
+        std = [row[f"s{i}_{j}"] for j in range(n)]
+        std = [1.0 if (v is None or (isinstance(v, float) and math.isnan(v)) or v == 0) else v for v in std]
+        out[i] = {"kind": "standard_vector", "mean": mean, "std": std}
+    return out
+
+
 def _transform_standard(df, inputs, out, ctx):
     x = _tensor(inputs.get("x"))
     st = _state(inputs.get("state"), ctx)

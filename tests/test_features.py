@@ -186,3 +186,16 @@ def test_fit_categories_many(spark):
     assert FE.fit_categories_many(df, ["colour", "size"]) == {"colour": ["blue", "green", "red"], "size": ["M", "S"]}
     with pytest.raises(FE.FeatureError, match="more than 2"):
         FE.fit_categories_many(df, ["colour"], max_categories=2)
+
+
+def test_feature_pipeline_batches_scaler_fits(spark):
+    df = spark.createDataFrame([(1.0, 10.0), (3.0, 30.0)], "a double, b double")
+    spec = {"ops": [
+        {"op": "fit.standard_scaler", "inputs": {"x": "a"}, "output": "states.sa"},
+        {"op": "fit.standard_scaler", "inputs": {"x": "b"}, "output": "states.sb"},
+        {"op": "transform.standard_scaler", "inputs": {"x": "a", "state": "states.sa"}, "output": "tensors.za"},
+        {"op": "transform.standard_scaler", "inputs": {"x": "b", "state": "states.sb"}, "output": "tensors.zb"}],
+        "outputs": ["tensors.za", "tensors.zb"]}
+    out, states, _ = FeaturePipeline(spec).run(df)
+    assert states["sa"]["mean"] == [2.0] and states["sb"]["mean"] == [20.0]
+    assert sorted((round(r.za, 6), round(r.zb, 6)) for r in out.collect()) == [(-0.707107, -0.707107), (0.707107, 0.707107)]
