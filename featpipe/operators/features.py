@@ -181,6 +181,9 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     ``(column, value)`` and the column name becomes the group. Returns
     ``{column: {name: value}}`` (a few numbers per column)."""
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
+    if len(columns) == 1:  # nothing to share: the ungrouped plan is cheaper
+        row = exact_quantiles(df, columns[0], probs, names=names).first()
+        return {columns[0]: {n: (row[n] if row else None) for n in names}}
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_fp_col"), F.col(c).cast("double").alias("_fp_val")) for c in columns
     ])).alias("_fp_kv")).select("_fp_kv.*")
