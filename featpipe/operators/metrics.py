@@ -57,8 +57,8 @@ def _present_classes(counts: DataFrame) -> DataFrame:
 def _per_class(counts: DataFrame) -> DataFrame:
     """Every class 0..K-1, K = max(label, pred) + 1; absent classes get zeros (the
     reference's range(num_classes) loop). Used where the per-class rows are the output."""
-    k = counts.agg((F.max(F.greatest("label", "pred")) + 1).alias("k"))
-    classes = k.select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("cls"))
+    k = counts.agg((F.max(F.greatest("label", "pred")) + 1).alias("k")).first()["k"] or 0  # one number
+    classes = counts.sparkSession.range(int(k)).select(F.col("id").cast("int").alias("cls"))  # generated in parallel
     return classes.join(_present_classes(counts), "cls", "left").select(
         "cls", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("tp", "npred", "support")])
 
