@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _B = "_fp_bucket"
+# a CASE tree (used for text order columns) stays fast and inside code generation up to here
+MAX_TREE_BOUNDS = 256
 _SKETCH_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -33,7 +35,7 @@ def default_buckets(df: DataFrame) -> int:
     if conf:
         return max(1, int(conf))
     sp = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(1024, 2 * sp))
+    return max(16, min(8192, 4 * sp))
 
 
 def min_rows_to_split(df: DataFrame) -> int:
@@ -41,30 +43,50 @@ def min_rows_to_split(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("featpipe.ordered.minRowsToSplit", "1000000"))
 
 
+def order_key(c: Column, dtype: T.DataType) -> Column | None:
+    """A double that never decreases as ``c`` increases, for numeric, date and timestamp
+    columns (None for other types). Range bounds and range lookups both use it."""
+    if isinstance(dtype, T.NumericType):
+        return c.cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        # wall-clock seconds built from zone-free parts (a zone-based conversion is not monotone
+        # across daylight-saving changes)
+        return (F.unix_date(c.cast("date")).cast("double") * F.lit(86400.0) + F.hour(c) * F.lit(3600.0)
+                + F.minute(c) * F.lit(60.0) + F.date_part(F.lit("SECOND"), c).cast("double"))
+    return None
+
+
 def range_bounds(df: DataFrame, col: str, n_buckets: int, force: bool = False) -> list:
     """Sorted, distinct cut points that split ``col`` into about ``n_buckets`` ranges.
 
-    Returns ``[]`` (one range: a plain window) when the input has at most
-    ``featpipe.ordered.minRowsToSplit`` rows, unless ``force``. The row count comes from
-    the same pass as the sketch.
+    For numeric, date and timestamp columns the bounds are quantiles of ``order_key(col)``
+    (a distributed sketch); for other types, values of a bounded sample. Returns ``[]`` (one
+    range: a plain window) when the input has at most ``featpipe.ordered.minRowsToSplit``
+    rows, unless ``force``. The row count comes from the same pass as the sketch.
     """
     if n_buckets <= 1:
         return []
     dtype = df.schema[col].dataType
     limit = -1 if force else min_rows_to_split(df)
-    if isinstance(dtype, _SKETCH_TYPES) and not isinstance(dtype, T.DecimalType):
+    key = order_key(F.col(col), dtype)
+    if key is not None:
         probs = [i / n_buckets for i in range(1, n_buckets)]
         accuracy = max(10000, 20 * n_buckets)
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(col), probs, accuracy).alias("q")).first()
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, probs, accuracy).alias("q")).first()
         if row is None or row["n"] <= limit:
             return []
         vals = list(row["q"] or [])
     else:
-        # Strings, decimals, booleans: a bounded sample of the column. Python sorts str by
-        # code point, which equals Spark's byte order on UTF-8.
+        # Strings, booleans: a bounded sample of the column. Python sorts str by code point,
+        # which equals Spark's byte order on UTF-8.
         n = df.count()
         if n == 0 or n <= limit:
             return []
+        n_buckets = min(n_buckets, MAX_TREE_BOUNDS)
         target = 64 * n_buckets
         frac = min(1.0, target / n)
         sample = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).sample(False, frac, 17).collect()]
@@ -107,13 +129,29 @@ def bucket_of(c: Column, bounds: Sequence, dtype: T.DataType) -> Column:
 
 def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None, bounds: list | None = None
                  ) -> DataFrame:
-    """Add the range index of ``order_col``. ``bounds`` computed earlier (e.g. on the raw
-    column, before an aggregation) skip the sketch job; any sorted list gives exact results,
-    the bounds only decide how evenly work is split."""
+    """Add the range index of ``order_col`` (NULL -> -1, before every range).
+
+    ``bounds`` computed earlier (e.g. on the raw column, before an aggregation) skip the sketch
+    job; any sorted list gives exact results, the bounds only decide how evenly work is split.
+    Numeric and temporal columns are looked up by binary search (MLlib ``Bucketizer``, a JVM
+    function) on ``order_key``; text columns by a CASE tree over a capped number of bounds.
+    """
     if bounds is None:
         bounds = range_bounds(df, order_col, n_buckets or default_buckets(df), force=n_buckets is not None)
     dtype = df.schema[order_col].dataType
-    return df.withColumn(_B, bucket_of(F.col(order_col), bounds, dtype))
+    key = order_key(F.col(order_col), dtype)
+    if key is None:
+        return df.withColumn(_B, bucket_of(F.col(order_col), bounds, dtype))
+    from pyspark.ml.feature import Bucketizer
+
+    splits = sorted(set(float(b) for b in bounds if b is not None and b == b))
+    if not splits:
+        return df.withColumn(_B, F.when(F.col(order_col).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    bz = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_fp_key", outputCol="_fp_bkt",
+                    handleInvalid="keep")  # NaN -> one more range after all others (NaN sorts last)
+    out = bz.transform(df.withColumn("_fp_key", key))
+    return out.withColumn(_B, F.when(F.col(order_col).isNull(), F.lit(-1)).otherwise(F.col("_fp_bkt").cast("int"))) \
+        .drop("_fp_key", "_fp_bkt")
 
 
 def _key_surrogates(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
