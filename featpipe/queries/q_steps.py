@@ -5,8 +5,19 @@ from __future__ import annotations
 from featpipe.plans.steps import StepSpec, run_steps
 from featpipe.queries import query
 from featpipe.queries.q_splits import FLAGSHIP_ORACLE
+from featpipe.session import checkpoint_root
 from featpipe.sources.tables import register_tables
 
+
+def _table_root(spark, sf_dir: str) -> str:
+    """Published tables of these queries live per data folder, so runs over different folders
+    (the smoke run and the checks) never replace each other's tables."""
+    import hashlib
+    import os
+
+    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
+    return f"{checkpoint_root(spark)}/featpipe_tables/{tag}"
+
 TRAINING_SET_SPEC = {
     "name": "orders_training_set",
     "description": "stratified split, statistics from training rows, scaled features",
@@ -48,7 +59,8 @@ TRAINING_SET_SPEC = {
 @query("pip1_sql_steps_training_set", "PIP1 PIP2 PIP4 PIP5 PIP6 PIP9 PIP10 SNK2 SNK3 SPL6 JN4", oracle=FLAGSHIP_ORACLE)
 def pip1_sql_steps_training_set(spark, sf_dir):
     register_tables(spark, sf_dir, ["orders"])
-    report, frames = run_steps(spark, StepSpec.from_dict(TRAINING_SET_SPEC), count_outputs=False)
+    report, frames = run_steps(spark, StepSpec.from_dict(TRAINING_SET_SPEC), count_outputs=False,
+                                table_root=_table_root(spark, sf_dir))
     if not report.ok:
         raise RuntimeError(report.error)
     return frames["orders_training_data"]
@@ -103,7 +115,7 @@ def pip8_output_report(spark, sf_dir):
         {"name": "status_totals", "type": "view", "depends_on": ["customer_orders"], "sql": """
             SELECT o_orderstatus, COUNT(*) AS n FROM "orders" GROUP BY o_orderstatus"""}],
         "outputs": ["customer_orders", "status_totals"]}
-    report, _ = run_steps(spark, spec, count_outputs=True)
+    report, _ = run_steps(spark, spec, count_outputs=True, table_root=_table_root(spark, sf_dir))
     if not report.ok:
         raise RuntimeError(report.error)
     rows = [(name, len(info["schema"]), int(info["rows"])) for name, info in report.outputs.items()]
