@@ -173,3 +173,18 @@ def test_early_stopping_matches_training_loop(spark):
         got = {r["run"]: (r["n_epochs"], r["best_epoch"], r["best_loss"], r["stop_epoch"])
                for r in tracking.early_stopping(df, "run", ["step"], "loss", patience=3, n_buckets=n_buckets).collect()}
         assert got == expected
+
+
+def test_read_table_reuse_and_refresh(spark, tmp_path):
+    import time
+
+    from featpipe.sources.tables import read_table
+
+    d = str(tmp_path)
+    spark.range(3).write.parquet(f"{d}/t.parquet")
+    a = read_table(spark, d, "t")
+    assert read_table(spark, d, "t") is a  # same session, unchanged folder: same lazy frame
+    time.sleep(0.01)
+    spark.range(5).write.mode("overwrite").parquet(f"{d}/t.parquet")
+    b = read_table(spark, d, "t")
+    assert b is not a and b.count() == 5
