@@ -312,3 +312,24 @@ def fea17_target_encoding_order_value(spark, sf_dir):
     enc = FE.fit_target_encoder(train, "c_mktsegment", "y", smoothing=25.0)
     out = FE.target_encode(j, enc, "segment_value_te").select("o_orderkey", "segment_value_te")
     return out.select("o_orderkey", round_to("segment_value_te", 4).alias("segment_value_te"))
+
+
+@query("fea5_role_sequences_conversations", "FEA5 FEA7 FEA8", oracle="""
+WITH v AS (SELECT role, ROW_NUMBER() OVER (ORDER BY role) - 1 AS idx
+           FROM (SELECT DISTINCT role FROM conversations WHERE role IS NOT NULL)),
+s AS (SELECT c.conv_id, list_slice(list(v.idx ORDER BY c.turn), 1, 6) AS ids
+      FROM conversations c JOIN v ON c.role = v.role GROUP BY c.conv_id)
+SELECT conv_id, list_slice(list_concat(list_transform(ids, lambda x: ((x % 10) + 10) % 10), [0, 0, 0, 0, 0, 0]), 1, 6)
+       AS role_seq
+FROM s
+""")
+def fea5_role_sequences_conversations(spark, sf_dir):
+    """Each conversation's first 6 turns as role indices, hashed and padded to length 6."""
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    vocab = FE.fit_label_encoder(conv.where(F.col("role").isNotNull()), "role", include_null=False)
+    enc = FE.label_encode(conv.where(F.col("role").isNotNull()), "role", vocab, out="role_idx")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    top = enc.select("conv_id", "turn", "role_idx", F.row_number().over(w).alias("rn")).where(F.col("rn") <= 6)
+    seq = top.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rn", "role_idx"))).alias("s"))
+    ids = F.transform("s", lambda x: x["role_idx"])
+    return seq.select("conv_id", FE.hash_and_pad(ids, 10, 6, 0, numeric=True).alias("role_seq"))
