@@ -28,3 +28,31 @@ def test_running_and_lag_equal_plain_window(spark, data, buckets):
     cols = ["id", "rn", "s", "mn", "mx", "prev"]
     assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == \
         sorted(tuple(r[c] for c in cols) for r in exp.collect())
+
+
+groups_values = st.lists(
+    st.tuples(st.sampled_from(["hot", "hot", "hot", "b", "c"]),
+              st.one_of(st.none(), st.integers(-20, 20).map(float))),
+    min_size=1, max_size=150)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=groups_values, buckets=st.integers(2, 7))
+def test_exact_quantiles_equal_numpy(spark, data, buckets):
+    import numpy as np
+
+    from featpipe.operators import features as FE
+
+    df = spark.createDataFrame(list(data), "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: [r[f"p{i}"] for i in range(len(probs))]
+           for r in FE.exact_quantiles(df, "v", probs, ["g"], [f"p{i}" for i in range(len(probs))],
+                                       n_buckets=buckets).collect()}
+    want = {}
+    for g in {g for g, _ in data}:
+        vals = [v for gg, v in data if gg == g and v is not None]
+        if vals:
+            want[g] = [float(np.quantile(vals, p)) for p in probs]  # linear interpolation
+    assert set(got) == set(want)
+    for g in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g])), (g, got[g], want[g])
