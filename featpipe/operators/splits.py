@@ -31,16 +31,22 @@ def stratified_split(df: DataFrame, target: str, order_by: str, train_tenths: in
 
 
 def hash_split(df: DataFrame, key: str, weights: Sequence[int] = (8, 2), names: Sequence[str] | None = None,
-               out: str = "split") -> DataFrame:
-    """Deterministic split by ``md5(key)`` mod 10: the same entity always lands on one side.
+               out: str = "split", method: str = "md5") -> DataFrame:
+    """Deterministic split by a hash of ``key`` mod 10: the same entity always lands on one side.
 
     ``weights`` are tenths, e.g. (8, 2) or (7, 2, 1); ``names`` default to
-    training/validation/test.
+    training/validation/test. ``method="md5"`` gives the same buckets as SQL engines
+    (``conv(substr(md5(key), 1, 8), 16, 10)``); ``"xxhash64"`` is the cheaper JVM hash.
     """
     if sum(weights) != 10:
         raise ValueError("weights are tenths and must sum to 10")
     names = list(names or [TRAIN, VALID, TEST][: len(weights)])
-    b = md5_bucket(key, 10)
+    if method == "md5":
+        b = md5_bucket(key, 10)
+    elif method == "xxhash64":
+        b = F.pmod(F.xxhash64(F.col(key)), F.lit(10))
+    else:
+        raise ValueError("method must be 'md5' or 'xxhash64'")
     # bucket < w0 -> names[0], < w0+w1 -> names[1], ..., else the last name
     expr = F.lit(names[-1])
     cum = []

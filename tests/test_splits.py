@@ -34,3 +34,11 @@ def test_training_stats_use_training_rows_only(spark):
                                "id int, x double, split string")
     st = splits.training_stats(df, ["x"])
     assert st["x"][0] == 2.0
+
+
+def test_hash_split_xxhash64_option(spark):
+    df = spark.range(2000).select((F.col("id") % 200).alias("user"))
+    s = splits.hash_split(df, "user", (8, 2), method="xxhash64")
+    assert s.groupBy("user").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    share = s.where("split = 'training'").count() / 2000
+    assert 0.6 < share < 0.95
