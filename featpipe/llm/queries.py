@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from featpipe.llm import decontaminate
+from featpipe.llm import decontaminate, pieces, tokencount
 from featpipe.llm.common import read
 
 # SQL text of the folding of A-Z and of the white space set
@@ -41,5 +42,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-QUERIES = {"op7_benchmark_decontamination": op7_benchmark_decontamination}
+
+def op3_sentencepiece(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op5_token_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    out = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
+    "op5_token_counts": op5_token_counts,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+}
 ORACLES = {"op7_benchmark_decontamination": OP7_SQL}
