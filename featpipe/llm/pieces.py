@@ -2,14 +2,13 @@
 
 Texts are normalised here, by longest prefixes through the model's compiled character map (a double-array trie and its
 replacement strings), while every normalised byte keeps the original byte it came from. The normalised
-text, cut where no piece of the vocabulary can cross, goes through the library's encoder with its own normalisation
-switched off; the pieces' normalised lengths, summed up and sent through the alignment, give original byte spans.
+text goes through the library's encoder with its own normalisation switched off; the pieces' normalised lengths,
+summed up and sent through the alignment, give original byte spans.
 The model file (under 1 MB) is broadcast.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,6 @@ from pyspark.sql import types as T
 
 MARK = "▁"  # fixed value: the library's stand-in for a blank
 SLICE = 2 << 20  # characters of a result batch
-CACHE = 200_000  # cut parts whose ids a worker remembers; beyond that it starts afresh
 
 
 class CharacterMap:
@@ -80,11 +78,6 @@ class Encoder:
         self.inner = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
         self.lengths = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in m.pieces], np.int64)
         self.unknown = m.trainer_spec.unk_id
-        # a cut before a mark that follows another character is safe if no piece holds such a place, for merges
-        # only ever make pieces; a unigram model also needs its score sums, which are separate on both sides
-        crossing = any(MARK in p.piece.lstrip(MARK) for p in m.pieces)
-        self.parts = None if crossing or self.suffix or self.symbols else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
-        self.cache: dict[str, bytes] = {}
 
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them (and their end) the original byte offset."""
@@ -151,18 +144,8 @@ class Encoder:
         return size, data[at : at + size]
 
     def segment(self, text: str) -> np.ndarray:
-        if self.parts is None:
-            return np.array(self.inner.encode(text), np.int32)
-        parts = self.parts.findall(text)
-        cache = self.cache
-        missing = list({p for p in parts if p not in cache})
-        if missing:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(set(parts))
-            for p, ids in zip(missing, self.inner.encode(missing, num_threads=1), strict=True):
-                cache[p] = np.array(ids, np.int32).tobytes()
-        return np.frombuffer(b"".join([cache[p] for p in parts]), np.int32)
+        """Ids of a normalised text."""
+        return np.array(self.inner.encode(text), np.int32)
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and one more original byte offset than ids: piece i covers [offset i, offset i + 1)."""
