@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featpipe.llm import decontaminate, pieces, tokencount
+from featpipe.llm import chat, decontaminate, pieces, sharding, tokencount
 from featpipe.llm.common import read
 
 # SQL text of the folding of A-Z and of the white space set
@@ -55,9 +55,48 @@ def op5_token_counts(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+
+def op2_sharding(spark, sf_dir):
+    plan = sharding.assign_shards(read(spark, sf_dir, "documents"), shards=40)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def op4_chat_formatting(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    formatted = chat.format_conversations(turns)
+    lost = chat.masked(chat.expand_targets(formatted)).withColumnRenamed("conv_id", "c")
+    text = formatted.select("conv_id", F.array_join("segments", "").alias("formatted"))
+    back = text.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"),
+                       chat.read_turns(F.col("formatted")).alias("turns"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.coalesce("loss_text", F.lit(""))
+    return back.join(lost, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(18 + length(regexp_replace(role || text, '([\[<\\])', '\1\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 QUERIES = {
+    "op2_sharding": op2_sharding,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_token_counts": op5_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
-ORACLES = {"op7_benchmark_decontamination": OP7_SQL}
+ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL}
