@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featpipe.llm import chat, decontaminate, pieces, sharding, tokencount
+from featpipe.llm import chat, decontaminate, pieces, quality, sharding, tokencount
 from featpipe.llm.common import read
 
 # SQL text of the folding of A-Z and of the white space set
@@ -92,11 +92,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+
+def op9_quality_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_token_counts": op5_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL}
