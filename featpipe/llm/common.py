@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from featpipe.session import checkpoint_root
 
@@ -96,3 +97,32 @@ def slices(pdf: pd.DataFrame, column: str, limit: int):
         total += s
     if start < len(pdf):
         yield pdf.iloc[start:]
+
+
+def buckets(spark: SparkSession) -> int:
+    """How many parts packed rows are dealt into: as many as the session's shuffles have."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node that edges (a, b) touch; the label is the smallest node of its component.
+
+    Alternating large-star and small-star steps; each round's edges are written to the shared folder. Hubs are reduced by
+    partial minimum before any shuffle, and joins on them are left to Spark's splitting of skewed joins.
+    """
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    seen = None
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+            low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        e = stored(small, "edges")
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+    labels = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return labels.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

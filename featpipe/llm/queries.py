@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featpipe.llm import chat, decontaminate, pieces, quality, sharding, tokencount
+from featpipe.llm import chat, decontaminate, jaccard, pieces, quality, sharding, tokencount
 from featpipe.llm.common import read
 
 # SQL text of the folding of A-Z and of the white space set
@@ -99,6 +99,25 @@ def op9_quality_rules(spark, sf_dir):
     return quality.judge(docs, rules).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.similar_groups(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+')"
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, q.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) q USING (doc_id)
+"""
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_sentencepiece": op3_sentencepiece,
@@ -106,5 +125,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_quality_rules": op9_quality_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL}
+ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL}
