@@ -6,7 +6,8 @@ conjunction of thresholds at a time on two thirds of the labels, by information
 Spark aggregates; drops its last conditions again where the other third does not bear them out; removes the rows it covers, and
 starts the next rule. The list ends as one conditional expression over the columns.
 
-All labelled rows take part. What reaches the driver is one count per class, feature and bin.
+A bounded sample of labelled rows teaches (``sample_rows``); what reaches the driver is one count per class, feature and
+bin. Every document is measured and judged.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from featpipe.llm.common import LOWER, UPPER, WORD, stored
 
+SAMPLE_ROWS = 20_000  # labelled rows that teach
 SYMBOLS = r"[#*$%&|<>]"
 FEATURES = ["n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "distinct_rate",
             "digit_rate", "n_flagged"]
@@ -211,13 +213,17 @@ def _best_literal(counts, grid) -> tuple[Literal, int] | None:
     return best and best[1:]
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DecisionList:
-    """A list that rejects what the labels call toxic or of low quality. Rows without either label teach nothing;
-    of several labels for a key the worse counts. Without labels of both kinds the list is empty: it keeps all."""
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
+          sample_rows: int = SAMPLE_ROWS) -> DecisionList:
+    """A list that rejects what the labels call toxic or of low quality, learned from at most ``sample_rows`` labelled
+    keys (those of the smallest hash). Rows without either label teach nothing; of several labels for a key the worse
+    counts. Without labels of both kinds the list is empty: it keeps all."""
     marks = labels.where(F.col(key).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(
         F.col(key).alias("__q_key")).agg(F.max(F.coalesce("toxic", F.lit(0)) == 1).alias("__q_toxic"),
                                          F.min(F.coalesce("quality", F.lit(1)) != 1).alias("__q_low"))
-    own = docs.select(F.col(f"`{key}`").alias("__q_key"), F.col(f"`{text}`").alias("__q_text")).join(marks, "__q_key")
+    marks = marks.orderBy(F.xxhash64("__q_key"), "__q_key").limit(sample_rows)  # so a broadcast has a bound
+    own = stored(docs.select(F.col(f"`{key}`").alias("__q_key"), F.col(f"`{text}`").alias("__q_text")).join(
+        F.broadcast(marks), "__q_key"), "quality-sample")
     flagged = flagged_words(own, "__q_toxic", "__q_text")
     rows = measure(own, "__q_text", flagged).select(
         (F.col("__q_c2") | F.col("__q_c3")).alias("bad"), F.pmod(F.xxhash64("__q_c0"), F.lit(3)).alias("part"), *FEATURES)
