@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featpipe.llm import chat, decontaminate, jaccard, pieces, quality, sharding, tokencount
+from featpipe.llm import chains, chat, decontaminate, jaccard, pieces, quality, sharding, tokencount
 from featpipe.llm.common import read
 
 # SQL text of the folding of A-Z and of the white space set
@@ -93,6 +93,10 @@ FROM c GROUP BY conv_id
 """
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return chains.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn(docs, read(spark, sf_dir, "labels"))
@@ -123,6 +127,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_token_counts": op5_token_counts,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
