@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featpipe.session import checkpoint_root
@@ -38,6 +38,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that neither filters nor later projections compute them again."""
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", made)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that sums and products of hashes spread over all bits."""
     x = x.astype(np.uint64, copy=True)

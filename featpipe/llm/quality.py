@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featpipe.llm.common import LOWER, UPPER, WORD, stored
+from featpipe.llm.common import LOWER, UPPER, WORD, bound, stored
 
 SAMPLE_ROWS = 20_000  # labelled rows that teach
 SYMBOLS = r"[#*$%&|<>]"
@@ -27,12 +27,6 @@ FEATURES = ["n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _bound(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a generator, so that neither filters nor later projections compute them again."""
-    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select("*", made)
-
-
 def vocabulary(text: Column) -> Column:
     """The text's words as runs of letters, A-Z folded."""
     return F.split(F.translate(text, UPPER, LOWER), r"[^\p{L}]+")
@@ -42,18 +36,18 @@ def measure(docs: DataFrame, text: str = "text", flagged: list[str] | None = Non
     """``docs`` under the names __q_c0.., and BASE and FEATURES. NULL texts have no words."""
     kept = [F.col(f"`{c}`").alias(f"__q_c{k}") for k, c in enumerate(docs.columns)]
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    x = _bound(docs.select(*kept, t.alias("__q_t")),
+    x = bound(docs.select(*kept, t.alias("__q_t")),
                __q_w=F.regexp_extract_all("__q_t", F.lit(WORD), F.lit(0)),
                __q_l=F.filter(F.split("__q_t", "\n", -1), lambda s: s.rlike(WORD)))
     n = F.size("__q_w")
     # a window's hash and its place share one long: sorting brings equal windows side by side
     bits = F.when(n <= 1 << 20, 20).otherwise(28)
-    x = _bound(x, __q_bits=bits)
+    x = bound(x, __q_bits=bits)
     packed = F.when(n >= 4, F.sort_array(F.transform(
         F.sequence(F.lit(0), n - 3),
         lambda i: F.call_function("shiftleft", F.xxhash64(*[F.get(F.col("__q_w"), i + k) for k in range(3)]),
                                   F.col("__q_bits")) + i))).otherwise(F.array().cast("array<bigint>"))
-    x = _bound(x, __q_p=packed)
+    x = bound(x, __q_p=packed)
     key = lambda v: F.call_function("shiftright", v, F.col("__q_bits"))
     place = lambda v: (v - F.call_function("shiftleft", key(v), F.col("__q_bits"))).cast("int")
     window = lambda i: F.struct(*[F.get(F.col("__q_w"), i + k) for k in range(3)])
@@ -63,13 +57,13 @@ def measure(docs: DataFrame, text: str = "text", flagged: list[str] | None = Non
 
     again = F.filter("__q_p", lambda v, j: F.coalesce(
         same(v, F.get(F.col("__q_p"), j - 1)) | same(v, F.get(F.col("__q_p"), j + 1)), F.lit(False)))
-    x = _bound(x, __q_d=F.array_sort(F.transform(again, place)))
+    x = bound(x, __q_d=F.array_sort(F.transform(again, place)))
     repeated = F.aggregate(
         "__q_d", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
         lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(a["reach"], i)).alias("n"), (i + 3).alias("reach")),
         lambda a: a["n"])
     marks = F.array(*[F.lit(w) for w in flagged]) if flagged else F.array().cast("array<string>")
-    x = _bound(
+    x = bound(
         x, n_words=n.cast("long"),
         word_chars=(F.length("__q_t") - F.regexp_count("__q_t", F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
         n_symbols=F.regexp_count("__q_t", F.lit(SYMBOLS)).cast("long"),
@@ -79,7 +73,7 @@ def measure(docs: DataFrame, text: str = "text", flagged: list[str] | None = Non
         __q_digit=F.regexp_count("__q_t", F.lit("[0-9]")), __q_kinds=F.size(F.array_distinct("__q_w")),
         n_flagged=(F.size(F.array_intersect(vocabulary(F.col("__q_t")), marks)) if flagged else F.lit(0)).cast("double"))
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    x = _bound(x, mean_word=F.col("word_chars") / words, symbol_rate=F.col("n_symbols") / words,
+    x = bound(x, mean_word=F.col("word_chars") / words, symbol_rate=F.col("n_symbols") / words,
                dup_line_rate=F.col("n_dup_lines") / F.greatest("__q_lines", F.lit(1)),
                repeat_rate=F.col("n_repeat_words") / words, upper_rate=F.col("__q_upper") / chars,
                distinct_rate=F.col("__q_kinds") / words, digit_rate=F.col("__q_digit") / chars)
@@ -130,7 +124,7 @@ def flagged_words(labelled: DataFrame, bad: str, text: str, share: float = 0.01,
     texts, and after at least ``contexts`` different words (copies of one text lend a word only one). At most
     ``size`` words, the most frequent first."""
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = _bound(labelled.select(F.col(bad).alias("bad"), t.alias("t")), w=vocabulary(F.col("t"))).drop("t")
+    rows = bound(labelled.select(F.col(bad).alias("bad"), t.alias("t")), w=vocabulary(F.col("t"))).drop("t")
     n = {r["bad"]: r["count"] for r in rows.groupBy("bad").count().collect()}
     if not n.get(True) or not n.get(False):
         return []
@@ -237,12 +231,12 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame
     gives an empty table.
     """
     made = [*BASE, "base_failed", "kept"]
-    rows = _bound(measure(docs, text, rules.flagged), __q_failed=base_failed(), __q_keeps=rules.keeps())
+    rows = bound(measure(docs, text, rules.flagged), __q_failed=base_failed(), __q_keeps=rules.keeps())
     return rows.select(*[F.col(f"__q_c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in made], *BASE,
                        F.col("__q_failed").alias("base_failed"), (~F.col("__q_failed") & F.col("__q_keeps")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """The documents the rules keep, with their own columns."""
-    rows = _bound(measure(docs, text, rules.flagged), __q_keeps=~base_failed() & rules.keeps())
+    rows = bound(measure(docs, text, rules.flagged), __q_keeps=~base_failed() & rules.keeps())
     return rows.where("__q_keeps").select(*[F.col(f"__q_c{k}").alias(c) for k, c in enumerate(docs.columns)])

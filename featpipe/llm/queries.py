@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featpipe.llm import chains, chat, decontaminate, jaccard, pieces, quality, sharding, tokencount
+from featpipe.llm import chains, chat, decontaminate, jaccard, pieces, quality, sharding, surrogates, tokencount
 from featpipe.llm.common import read
 
 # SQL text of the folding of A-Z and of the white space set
@@ -97,6 +97,13 @@ def op6_substring_dedup(spark, sf_dir):
     return chains.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+PII_KEY = "surrogate-key-1"  # in production a secret of the pipeline's owner
+
+
+def op8_pii_surrogates(spark, sf_dir):
+    return surrogates.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op9_quality_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn(docs, read(spark, sf_dir, "labels"))
@@ -129,6 +136,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
 }
