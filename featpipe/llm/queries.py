@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featpipe.llm import chains, chat, decontaminate, jaccard, pieces, quality, sharding, surrogates, tokencount
+from featpipe.llm import chains, chat, decontaminate, jaccard, pieces, pitman_yor, quality, sharding, surrogates, tokencount
 from featpipe.llm.common import read
 
 # SQL text of the folding of A-Z and of the white space set
@@ -56,6 +56,10 @@ def op5_token_counts(spark, sf_dir):
 
 
 
+def op1_pitman_yor(spark, sf_dir):
+    return pitman_yor.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark, sf_dir):
     plan = sharding.assign_shards(read(spark, sf_dir, "documents"), shards=40)
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -130,6 +134,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP
 """
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_sharding": op2_sharding,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_formatting": op4_chat_formatting,
