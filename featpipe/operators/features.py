@@ -126,9 +126,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
                     names: Sequence[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (``quantile_cont`` / pandas default).
 
-    Rows are first reduced to ``(group, value, count)`` (map-side combine), so a value that
-    repeats a billion times is one row. A running count over values (range-split, see
-    ``ordered.running``) gives each value its rank interval; the values at ranks
+    Values are reduced to ``(group, value, count)`` inside ranges (``ordered.collapsed``: one exchange, hot values summed
+    before it). A running count over them gives each value its rank interval; the values at ranks
     ``floor(p(n-1))`` and ``ceil(p(n-1))`` are then picked with one grouped aggregate.
     Returns one row per group with one column per probability.
     """
@@ -136,14 +135,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     v = F.col(value_col).cast("double")
     raw = df.where(F.col(value_col).isNotNull()).select(*g, v.alias("_fp_v"))
-    # one scan of the raw column gives the range bounds (and the total for the global case)
-    k = n_buckets or ordered.default_buckets(df)
-    sk = raw.agg(F.count("*").alias("n"),
-                 F.percentile_approx("_fp_v", [i / k for i in range(1, k)], max(10000, 20 * k)).alias("q")).first()
-    small = n_buckets is None and sk["n"] <= ordered.min_rows_to_split(df)
-    bounds = [] if small else sorted(set(x for x in (sk["q"] or []) if x is not None and x == x))
-    vc = raw.groupBy(*g, "_fp_v").agg(F.count("*").alias("_fp_c"))
-    cum = ordered.running(vc, g, ["_fp_v"], [("_fp_before", "sum", "_fp_c", False)], bounds=bounds)
+    vc = ordered.collapsed(raw, g, "_fp_v", {"_fp_c": F.lit(1).cast("long")}, n_buckets)
+    cum = ordered.running(vc, g, ["_fp_v"], [("_fp_before", "sum", "_fp_c", False)])
     cum = cum.withColumn("_fp_before", F.coalesce("_fp_before", F.lit(0)))
     if g:
         # one row per group (small: broadcast by AQE); NULL is a group, as in GROUP BY
@@ -152,7 +145,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
         cum = cum.join(n_tbl, [cum[k].eqNullSafe(n_tbl[f"_fp_g{i}"]) for i, k in enumerate(g)], "inner")
         n = F.col("_fp_n")
     else:
-        n = F.lit(int(sk["n"]))
+        n = vc.agg(F.sum("_fp_c")).scalar()
     aggs = []
     for p, name in zip(probs, names):
         pos = F.lit(float(p)) * (n - F.lit(1)).cast("double")

@@ -136,50 +136,58 @@ def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
                     (F.lit(1.0) - F.col("ss_res") / (F.col("ss_tot") + F.lit(EPS))).alias("r2"), "ss_res", "ss_tot", "n")
 
 
-def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    y = F.col(label).cast("int")
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 1, 0).otherwise(1)).alias("neg"))
+def scored_rows(df: DataFrame, label: str, score: str) -> DataFrame:
+    """``(label, score)`` of the rows every score metric is computed over: a 0/1 label, a score that is a number."""
+    s = F.col(score).cast("double")
+    return df.select(F.col(label).cast("int").alias("label"), s.alias("score")).where(
+        F.col("label").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
 
 
-def _score_stats(df: DataFrame, label: str, score: str, n_buckets: int | None) -> tuple[list, int, int]:
-    """Range bounds of the score plus the positive and negative totals, in one pass over
-    the scored rows (the totals then enter later plans as literals)."""
-    k = n_buckets or ordered.default_buckets(df)
-    s = F.col(score).cast("double")
-    y = F.col(label).cast("int")
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("pos"),
-                 F.percentile_approx(s, [i / k for i in range(1, k)], max(10000, 20 * k)).alias("q")).first()
-    n, pos = int(row["n"]), int(row["pos"])
-    small = n_buckets is None and n <= ordered.min_rows_to_split(df)
-    bounds = [] if small else sorted(set(v for v in (row["q"] or []) if v is not None and v == v))
-    return bounds, pos, n - pos
+def _score_counts(df: DataFrame, label: str, score: str, n_buckets: int | None, descending: bool = False) -> DataFrame:
+    y = F.col("label") == 1
+    return ordered.collapsed(scored_rows(df, label, score), [], "score", {
+        "pos": y.cast("long"), "neg": (~y).cast("long")}, n_buckets, descending)
 
 
 def auc(df: DataFrame, label: str, score: str, n_buckets: int | None = None) -> DataFrame:
     """AUC-ROC as the tie-aware Mann-Whitney statistic; 0.5 when one class is absent (MET7).
 
     ``sum over scores of pos * (neg below + neg at / 2) / (P * N)``; equals the trapezoid
-    area under the ROC curve with its (0,0) end.
+    area under the ROC curve with its (0,0) end. Rows as in ``scored_rows``.
     """
-    bounds, n_pos, n_neg = _score_stats(df, label, score, n_buckets)
-    sc = _score_counts(df, label, score)
-    cum = ordered.running(sc, [], ["score"], [("neg_below", "sum", "neg", False)], bounds=bounds)
-    u = cum.agg(F.sum(F.col("pos") * (F.coalesce("neg_below", F.lit(0)) + F.col("neg") * F.lit(0.5))).alias("u"))
-    value = F.lit(0.5) if n_pos == 0 or n_neg == 0 else F.col("u") / F.lit(float(n_pos) * float(n_neg))
-    return u.select(value.alias("auc"), F.lit(n_pos).cast("bigint").alias("n_positive"),
-                    F.lit(n_neg).cast("bigint").alias("n_negative"))
-
-
-def roc_curve(df: DataFrame, label: str, score: str, n_buckets: int | None = None) -> DataFrame:
-    """One point per distinct score t: predicted positive when score >= t (MET9)."""
-    bounds, n_pos, n_neg = _score_stats(df, label, score, n_buckets)
-    sc = _score_counts(df, label, score).withColumn("_fp_neg_score", -F.col("score"))
-    cum = ordered.running(sc, [], ["_fp_neg_score"], [("tp", "sum", "pos", True), ("fp", "sum", "neg", True)],
-                          bounds=sorted(-b for b in bounds))
-    fpr = F.col("fp") / F.lit(float(n_neg)) if n_neg else F.lit(0.0)
-    tpr = F.col("tp") / F.lit(float(n_pos)) if n_pos else F.lit(0.0)
-    return cum.select(F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
+    sc = _score_counts(df, label, score, n_buckets)
+    cum = ordered.running(sc, [], ["score"], [("neg_below", "sum", "neg", False)])
+    u = cum.agg(F.sum(F.col("pos") * (F.coalesce("neg_below", F.lit(0)) + F.col("neg") * F.lit(0.5))).alias("u"),
+                F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n"))
+    value = F.when((F.col("p") == 0) | (F.col("n") == 0), F.lit(0.5)).otherwise(
+        F.col("u") / (F.col("p").cast("double") * F.col("n").cast("double")))
+    return u.select(value.alias("auc"), F.col("p").cast("bigint").alias("n_positive"), F.col("n").cast("bigint").alias("n_negative"))
+
+
+def roc_curve(df: DataFrame, label: str, score: str, n_buckets: int | None = None, ends: bool = False) -> DataFrame:
+    """One point per distinct score t: predicted positive when score >= t (MET9). ``ends`` adds the point (0, 0),
+    whose threshold is infinity."""
+    sc = _score_counts(df, label, score, n_buckets, descending=True)
+    cum = ordered.running(sc, [], ["_fp_neg_score"], [("tp", "sum", "pos", True), ("fp", "sum", "neg", True)])
+    n_pos, n_neg = sc.agg(F.sum("pos")).scalar(), sc.agg(F.sum("neg")).scalar()
+    fpr = F.when(n_neg > 0, F.col("fp") / n_neg).otherwise(F.lit(0.0))
+    tpr = F.when(n_pos > 0, F.col("tp") / n_pos).otherwise(F.lit(0.0))
+    out = cum.select(F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
+    if not ends:
+        return out
+    origin = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return out.unionByName(origin)
+
+
+def roc_area(df: DataFrame, label: str, score: str, n_buckets: int | None = None) -> DataFrame:
+    """Trapezoid area under the ROC curve with its (0, 0) end (MET9): each point's strip down to the next higher score,
+    summed over the counts, so no second pass over the curve is needed."""
+    sc = _score_counts(df, label, score, n_buckets, descending=True)
+    cum = ordered.running(sc, [], ["_fp_neg_score"], [("tp", "sum", "pos", True)])
+    area = cum.agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") * F.lit(0.5))).alias("a"),
+                   F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return area.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("a") / (F.col("p").cast("double") * F.col("n").cast("double")))
+                       .otherwise(F.lit(0.5)).alias("area"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, k: int = 127) -> DataFrame:
@@ -188,10 +196,9 @@ def pr_curve(df: DataFrame, label: str, score: str, k: int = 127) -> DataFrame:
     Scores are binned to k bins first (one aggregate, k rows), so the running sums run on
     k rows only.
     """
-    s = F.col(score).cast("double")
-    b = F.least(F.greatest(F.floor(s * F.lit(k)), F.lit(0)), F.lit(k - 1)).cast("int")
-    y = F.col(label).cast("int")
-    binned = df.groupBy(b.alias("bin")).agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"),
+    b = F.least(F.greatest(F.floor(F.col("score") * F.lit(k)), F.lit(0)), F.lit(k - 1)).cast("int")
+    y = F.col("label")
+    binned = scored_rows(df, label, score).groupBy(b.alias("bin")).agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"),
                                             F.sum(F.when(y == 1, 0).otherwise(1)).alias("neg"))
     spark = df.sparkSession
     bins = spark.range(k).select(F.col("id").cast("int").alias("bin"))

@@ -66,14 +66,13 @@ def early_stopping(df: DataFrame, run: str, order: Sequence[str], loss: str, pat
     Epochs are the run's rows in ``order``, numbered from 1.
     """
     base = df.select(run, *order, loss)
-    bounds = ordered.range_bounds(base, order[0], n_buckets or ordered.default_buckets(base),
-                                  force=n_buckets is not None)
+    split = ordered.plan_split(base, [run], order[0], n_buckets)
     # pass 1: epoch number and the best loss before each epoch; pass 2: last improving epoch
     prev = ordered.running(base, [run], list(order), [("epoch", "count", "*", True),
-                                                      ("_fp_prev_min", "min", loss, False)], bounds=bounds)
+                                                      ("_fp_prev_min", "min", loss, False)], split=split)
     imp = prev.withColumn("_fp_imp", F.col("_fp_prev_min").isNull() | (F.col(loss) < F.col("_fp_prev_min")))
     last = ordered.running(imp, [run], list(order),
-                           [("_fp_last_imp", "max", F.when(F.col("_fp_imp"), F.col("epoch")), True)], bounds=bounds)
+                           [("_fp_last_imp", "max", F.when(F.col("_fp_imp"), F.col("epoch")), True)], split=split)
     return last.groupBy(run).agg(
         F.count("*").alias("n_epochs"),
         F.min_by(F.col("epoch"), F.struct(F.col(loss), F.col("epoch"))).alias("best_epoch"),
