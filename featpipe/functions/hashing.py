@@ -2,10 +2,10 @@
 
 * ``md5_bucket``: ``conv(substr(md5(key), 1, 8), 16, 10) % n`` — the same number in Spark and
   DuckDB, so hash splits can be checked against SQL.
-* ``hash_bucket``: numeric values -> ``int(v) mod n`` (floor modulo, truncating cast);
-  strings -> first 8 bytes of BLAKE2b read little-endian, mod n (bit-exact with the reference
-  feature operator). The string form needs Python (no BLAKE2b in Spark), so it runs as an
-  Arrow-batched pandas UDF; ``fast=True`` keeps it in the JVM with ``xxhash64`` instead.
+* ``hash_bucket``: numeric values -> ``int(v) mod n`` (floor modulo, truncating cast; NULL is 0);
+  strings -> ``xxhash64`` mod n, in the JVM. ``method="blake2b"`` gives the first 8 bytes of
+  BLAKE2b read little-endian, mod n, where buckets must equal another system's; Spark has no BLAKE2b, so that form
+  runs in Arrow batches, and ``blake2b_table`` hashes only the distinct values of a column.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ def _blake2b_mod(values: pd.Series, n: int) -> pd.Series:
         h = hashlib.blake2b(str(v).encode("utf-8", errors="ignore"), digest_size=8).digest()
         return int.from_bytes(h, "little") % n
 
-    return values.map(one).astype("int64")
+    codes, distinct = pd.factorize(values.map(lambda v: "None" if v is None else str(v)))
+    return pd.Series(distinct).map(one).astype("int64").reindex(codes).set_axis(values.index)
 
 
 def blake2b_bucket(c, n: int) -> Column:
@@ -45,27 +46,34 @@ def blake2b_bucket(c, n: int) -> Column:
     return _udf(F.col(c) if isinstance(c, str) else c)
 
 
-def hash_bucket(c, n: int = 1000, dtype: T.DataType | None = None, fast: bool = False) -> Column:
+def blake2b_table(df, c: str, n: int, out: str):
+    """``df`` with the BLAKE2b bucket of a text column; only its distinct values go through Python."""
+    text = F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    table = df.select(text.alias("_fp_hv")).distinct().withColumn(out, blake2b_bucket("_fp_hv", n))
+    return df.withColumn("_fp_hv", text).join(table, "_fp_hv", "left").select(*[df[x] for x in df.columns], out)
+
+
+def hash_bucket(c, n: int = 1000, dtype: T.DataType | None = None, method: str = "xxhash64") -> Column:
     """Bucket index in [0, n) for one value (FEA4)."""
     col = F.col(c) if isinstance(c, str) else c
     if dtype is not None and isinstance(dtype, T.NumericType):
-        return F.pmod(col.cast("bigint"), F.lit(n)).cast("bigint")
-    if fast:
-        return F.pmod(F.xxhash64(col.cast("string")), F.lit(n))
-    return blake2b_bucket(col, n)
-
+        return F.pmod(F.coalesce(col.cast("bigint"), F.lit(0)), F.lit(n)).cast("bigint")
+    if method == "xxhash64":
+        return F.pmod(F.xxhash64(F.coalesce(col.cast("string"), F.lit("None"))), F.lit(n)).cast("bigint")
+    if method == "blake2b":
+        return blake2b_bucket(col, n)
+    raise ValueError("method must be 'xxhash64' or 'blake2b'")
 
-def hash_array(c, n: int, numeric: bool, fast: bool = False) -> Column:
-    """Hash every element of an array column.
 
-    Numeric items: ``int(v) mod n`` in the JVM. Text items: BLAKE2b (pandas UDF over the
-    arrays of one Arrow batch), or ``xxhash64`` in the JVM with ``fast=True``.
-    """
+def hash_array(c, n: int, numeric: bool, method: str = "xxhash64") -> Column:
+    """Hash every element of an array column, as ``hash_bucket`` does."""
     col = F.col(c) if isinstance(c, str) else c
     if numeric:
-        return F.transform(col, lambda v: F.pmod(v.cast("bigint"), F.lit(n)))
-    if fast:
-        return F.transform(col, lambda v: F.pmod(F.xxhash64(v.cast("string")), F.lit(n)))
+        return F.transform(col, lambda v: F.pmod(F.coalesce(v.cast("bigint"), F.lit(0)), F.lit(n)))
+    if method == "xxhash64":
+        return F.transform(col, lambda v: F.pmod(F.xxhash64(F.coalesce(v.cast("string"), F.lit("None"))), F.lit(n)).cast("bigint"))
+    if method != "blake2b":
+        raise ValueError("method must be 'xxhash64' or 'blake2b'")
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def _udf(s: pd.Series) -> pd.Series:

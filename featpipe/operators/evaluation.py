@@ -7,6 +7,7 @@ from the written files instead of recomputing the scoring.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from featpipe.operators import metrics as M
 
@@ -32,15 +33,28 @@ def task_from_loss(loss: str) -> str:
     return "regression"
 
 
+LEAST_ROWS = 10  # fixed value: fewer valid rows than this are no evaluation
+
+
+def valid_rows(df: DataFrame, label: str, score: str) -> DataFrame:
+    """The rows an evaluation uses: a label, and a score that is a finite number."""
+    return M.clean_scores(df, score).where(F.col(label).isNotNull())
+
+
 def evaluate_binary(df: DataFrame, label: str, score: str, threshold: float = 0.5,
-                    prediction_table: str | None = None, rank_by: str | None = None) -> DataFrame:
-    """One row: accuracy, precision, recall, f1, auc, n. Optionally writes
-    ``(features..., label, prediction)`` to ``prediction_table`` first. ``rank_by`` names a
-    column in the same order as the score (e.g. the logit) to rank by for the AUC."""
-    scored = df.withColumn("prediction", M.predicted_class(score, threshold=threshold))
+                    prediction_table: str | None = None, rank_by: str | None = None, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """One row: accuracy, precision, recall, f1, total, auc, all over the same valid rows; fewer than ``least_rows`` of them
+    are an error. Optionally writes every column and ``prediction`` of those rows to ``prediction_table`` first and
+    evaluates what was written. ``rank_by`` names a column in the same order as the score (e.g. the logit) to rank by."""
+    scored = valid_rows(df, label, score).withColumn("prediction", M.predicted_class(score, threshold=threshold))
+    if rank_by:
+        scored = M.clean_scores(scored, rank_by)
     if prediction_table:
         scored.write.mode("overwrite").parquet(prediction_table)
         scored = df.sparkSession.read.parquet(prediction_table)
+    n = scored.limit(least_rows).count()
+    if n < least_rows:
+        raise ValueError(f"{n} rows have a label and a finite score; an evaluation needs {least_rows}")
     cls = M.classification_metrics(scored, label, "prediction")
     a = M.auc(scored, label, rank_by or score)
     return cls.select("accuracy", "precision", "recall", "f1", "total", a.select("auc").scalar().alias("auc"))
@@ -60,15 +74,14 @@ def evaluate(df: DataFrame, task: str, label: str, pred: str | None = None, scor
     binary: classes from ``score > 0.5`` (or ``pred``), AUC from ``score``; multiclass: ``pred``;
     regression: ``pred`` against ``label``.
     """
-    from pyspark.sql import functions as F
-
     task = ALIASES.get(task, task)
     if task == "binary":
         if score is None:
             raise ValueError("binary evaluation needs a score column")
+        rows = valid_rows(df, label, score)
         row = evaluate_binary(df, label, score) if pred is None else \
-            M.classification_metrics(df, label, pred).select(
-                "*", M.auc(df, label, score).select("auc").scalar().alias("auc"))
+            M.classification_metrics(rows, label, pred).select(
+                "*", M.auc(rows, label, score).select("auc").scalar().alias("auc"))
     elif task == "multiclass":
         row = M.classification_metrics(df, label, pred or "prediction", average)
     elif task == "regression":

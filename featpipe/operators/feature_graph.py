@@ -13,7 +13,6 @@ one array are computed in one aggregation.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
@@ -29,13 +28,50 @@ class PipelineError(ValueError):
     pass
 
 
+NAMESPACES = ("tensors", "vars", "states")
+
+
 def _ns(name: str) -> tuple[str, str]:
-    if "." not in name:
-        raise PipelineError(f"Output name '{name}' must be namespaced as '<ns>.<key>'")
-    ns, key = name.split(".", 1)
-    if ns not in ("tensors", "vars", "states"):
-        raise PipelineError(f"Unknown namespace '{ns}' in output name '{name}'")
-    return ns, key
+    """Namespace and key of a global name; the key may itself hold dots."""
+    space, dot, key = str(name).partition(".")
+    if not dot or not key or space not in NAMESPACES:
+        raise PipelineError(f"{name!r} is no global name: it must start with one of {', '.join(n + '.' for n in NAMESPACES)}")
+    return space, key
+
+
+def _as_ops(spec: dict) -> tuple[list[dict], list[str], list[str]]:
+    """The spec's operators in one shape, its output names and its target columns.
+
+    Two shapes are read: ``ops`` with one ``output`` each and a list of ``outputs``; or ``processors`` whose
+    ``outputs`` map global names to the operator's own result names, beside ``feature_columns`` and
+    ``target_columns``, which processors may name as inputs. All tensors are then outputs.
+    """
+    if spec.get("ops"):
+        return list(spec["ops"]), list(spec.get("outputs") or []), list(spec.get("target_columns") or [])
+    steps = spec.get("processors")
+    if not steps:
+        raise PipelineError("the feature spec has neither 'ops' nor 'processors'")
+    lists = {k: list(spec.get(k) or []) for k in ("feature_columns", "target_columns")}
+    ops, outputs = [], []
+    for i, step in enumerate(steps):
+        label = step.get("name") or step.get("op") or f"number {i + 1}"
+        if step.get("op") not in REGISTRY:
+            raise PipelineError(f"processor {label}: {step.get('op')!r} is no known operator")
+        made = step.get("outputs") or {}
+        if not made:
+            raise PipelineError(f"processor {label}: it has no outputs")
+        for name, source in made.items():
+            if source != RESULT[step["op"].split(".")[0]] :
+                raise PipelineError(f"processor {label}: {step['op']} has no result named {source!r}")
+            inputs = {k: lists[v] if isinstance(v, str) and v in lists else v for k, v in (step.get("inputs") or {}).items()}
+            ops.append({"op": step["op"], "inputs": inputs, "output": name, "train_only": bool(step.get("train_only"))})
+            if name.startswith("tensors.") and name not in outputs:
+                outputs.append(name)
+    return ops, outputs, lists["target_columns"]
+
+
+# fixed values: result names of the operators, by kind
+RESULT = {"transform": "output", "fit": "state", "inspect": "n_features"}
 
 
 class FeaturePipeline:
@@ -43,23 +79,27 @@ class FeaturePipeline:
 
     def __init__(self, spec: dict):
         self.spec = spec
-        self.ops = spec.get("ops") or []
+        self.ops, self.outputs, self.targets = _as_ops(spec)
         for op in self.ops:
             if op.get("op") not in REGISTRY:
-                raise PipelineError(f"Unsupported operator: {op.get('op')}")
+                raise PipelineError(f"{op.get('op')!r} is no known operator")
             _ns(op["output"])
 
     def run(self, df: DataFrame, training: bool = True, states: dict | None = None,
             keep: Sequence[str] = ()) -> tuple[DataFrame, dict, dict]:
+        """``df``'s kept and target columns with the output tensors, the states and the vars."""
         states = dict(states or {})
         vars_: dict = {}
         widths: dict[str, int] = {}
+        keep = [*keep, *(c for c in self.targets if c not in keep)]
         needed = set(keep)
         for op in self.ops:
             for v in (op.get("inputs") or {}).values():
                 for item in (v if isinstance(v, list) else [v]):
-                    if isinstance(item, str) and not item.startswith(("tensors.", "vars.", "states.")):
+                    if isinstance(item, str) and not item.startswith(("tensors.", "vars.", "states.")) and item in df.columns:
                         needed.add(item)
+            for item in _columns_read(op):
+                needed.add(item)
         missing = [c for c in needed if c not in df.columns]
         if missing:
             raise PipelineError(f"columns not found: {sorted(missing)}")
@@ -83,11 +123,22 @@ class FeaturePipeline:
                 states[key] = result
             else:
                 vars_[key] = result
-        outs = [_ns(o)[1] for o in self.spec.get("outputs") or []]
-        cols = list(keep) + [o for o in outs if o not in keep]
+        outs = [_ns(o)[1] for o in self.outputs]
+        cols = list(keep) + [o for o in outs if o not in keep and o in cur.columns]
         return cur.select(*cols), states, vars_
 
 
+def _columns_read(op: dict) -> list[str]:
+    """Raw columns an operator names as its data input."""
+    found = []
+    for k in ("x", "tensor", "columns"):
+        v = (op.get("inputs") or {}).get(k)
+        for item in v if isinstance(v, list) else [v]:
+            if isinstance(item, str) and not item.startswith(("tensors.", "vars.", "states.")):
+                found.append(item)
+    return found
+
+
 def _tensor(ref):
     if isinstance(ref, str) and ref.startswith("tensors."):
         return ref.split(".", 1)[1]
@@ -106,7 +157,7 @@ def _state(ref, ctx):
 def _assemble(df, inputs, out, ctx):
     cols = [_tensor(c) for c in inputs.get("columns") or []]
     if not cols:
-        raise PipelineError("transform.assemble_vector requires 'columns'")
+        raise PipelineError("assemble_vector: name at least one column")
     ctx["widths"][out] = len(cols)
     return df.withColumn(out, FE.assemble_vector(cols))
 
@@ -125,7 +176,7 @@ def _width(df, col, ctx) -> int:
 def _feature_stats(df, inputs, out, ctx):
     x = _tensor(inputs.get("tensor"))
     if not isinstance(df.schema[x].dataType, T.ArrayType):
-        raise PipelineError("inspect.feature_stats expects 2D tensor [N, F]")
+        raise PipelineError(f"feature_stats: {x} is no array column")
     return _width(df, x, ctx)
 
 
@@ -148,11 +199,16 @@ def _fit_standard(df, inputs, out, ctx):
 
 
 def _fit_standard_batch(df, ops, start, ctx) -> dict[int, dict]:
-    """All ``fit.standard_scaler`` ops from ``start`` on whose input already exists, fitted in
-    one aggregation (one pass for all fits of a level)."""
-    todo = [(i, _tensor((op.get("inputs") or {}).get("x"))) for i, op in enumerate(ops)
-            if i >= start and op["op"] == "fit.standard_scaler"]
-    todo = [(i, x) for i, x in todo if i == start or x in df.columns]
+    """All ``fit.standard_scaler`` ops from ``start`` on whose input already exists and is not written again before
+    them, fitted in one aggregation (one pass for all fits of a level)."""
+    todo, written = [], set()
+    for i, op in enumerate(ops[start:], start):
+        x = _tensor((op.get("inputs") or {}).get("x"))
+        if op["op"] == "fit.standard_scaler" and (i == start or (x in df.columns and x not in written)):
+            todo.append((i, x))
+        space, key = _ns(op["output"])
+        if space == "tensors":
+            written.add(key)
     aggs, layout = [], {}
     for i, x in todo:
         if isinstance(df.schema[x].dataType, T.ArrayType):
@@ -177,7 +233,7 @@ def _transform_standard(df, inputs, out, ctx):
     x = _tensor(inputs.get("x"))
     st = _state(inputs.get("state"), ctx)
     if "mean" not in st or "std" not in st:
-        raise PipelineError("transform.standard_scaler requires 'state' with 'mean' and 'std'")
+        raise PipelineError(f"standard_scaler: the state {inputs.get('state')!r} holds no means and deviations")
     if isinstance(df.schema[x].dataType, T.ArrayType):
         elems = [(F.col(x)[i].cast("double") - F.lit(float(m))) / F.lit(float(s))
                  for i, (m, s) in enumerate(zip(st["mean"], st["std"]))]
@@ -200,7 +256,7 @@ def _transform_label(df, inputs, out, ctx):
 def _hash_bucket(df, inputs, out, ctx):
     x = _tensor(inputs.get("x"))
     n = int(inputs.get("num_buckets", 1000))
-    return df.withColumn(out, hash_bucket(x, n, df.schema[x].dataType))
+    return df.withColumn(out, hash_bucket(x, n, df.schema[x].dataType, inputs.get("method", "xxhash64")))
 
 
 def _hash_pad(df, inputs, out, ctx):
@@ -209,7 +265,7 @@ def _hash_pad(df, inputs, out, ctx):
     numeric = isinstance(et, T.ArrayType) and isinstance(et.elementType, T.NumericType)
     return df.withColumn(out, FE.hash_and_pad(x, int(inputs.get("num_buckets", 1000)),
                                               int(inputs.get("max_length", 0)), int(inputs.get("fill_value", 0)),
-                                              numeric))
+                                              numeric, inputs.get("method", "xxhash64")))
 
 
 def _shift(df, inputs, out, ctx):
@@ -252,7 +308,7 @@ def fit_processors(df: DataFrame, steps: Sequence[tuple[str, Sequence[str], dict
             st = FE.fit_robust(cur, cols)
         elif k == "onehot":
             st = {"kind": "onehot", "columns": list(cols),
-                  "params": FE.fit_categories_many(cur, cols),
+                  "params": FE.fit_categories_many(cur, cols, params.get("max_categories", 1000), params.get("sparse", False)),
                   "handle_unknown": params.get("handle_unknown", "ignore")}
         else:
             raise PipelineError(f"unknown processor {kind}")
@@ -265,7 +321,9 @@ def apply_processor(df: DataFrame, st: dict) -> DataFrame:
     k = st["kind"]
     if k == "onehot":
         for c in st["columns"]:
-            df = FE.one_hot(df, c, st["params"][c], st.get("handle_unknown", "ignore"))
+            known = st["params"][c]
+            df = FE.one_hot_sparse(df, c, known) if isinstance(known, FE.Vocabulary) else FE.one_hot(
+                df, c, known, st.get("handle_unknown", "ignore"))
         return df
     fn = {"standard": FE.standard_scale, "minmax": FE.minmax_scale, "robust": FE.robust_scale}[k]
     return df.withColumns({c: fn(st, c) for c in st["columns"]})
@@ -279,16 +337,83 @@ def apply_processors(df: DataFrame, states: Sequence[dict]) -> DataFrame:
 
 # ---------------------------------------------------------------- state round trip (FEA19)
 
+_LEAF = "path array<string>, whole long, number double, text string, flag boolean"
+
+
+def _leaves(value, path=()):
+    """A nested state as typed rows: keys as ``k:name``, list places as ``i:number``; NULLs for what a leaf is not."""
+    if isinstance(value, dict):
+        if not value:
+            yield (list(path) + ["{}"], None, None, None, None)
+        for k, v in value.items():
+            yield from _leaves(v, (*path, f"k:{k}"))
+    elif isinstance(value, (list, tuple)):
+        if not value:
+            yield (list(path) + ["[]"], None, None, None, None)
+        for i, v in enumerate(value):
+            yield from _leaves(v, (*path, f"i:{i}"))
+    elif isinstance(value, bool):
+        yield (list(path), None, None, None, value)
+    elif isinstance(value, int):
+        yield (list(path), value, None, None, None)
+    elif value is None or isinstance(value, float):
+        yield (list(path), None, value, None, None)
+    else:
+        yield (list(path), None, None, str(value), None)
+
+
+def _nested(rows):
+    """The state that ``_leaves`` took apart."""
+    if len(rows) == 1 and not rows[0][0]:
+        return next((v for v in rows[0][1:] if v is not None), None)
+    if rows[0][0][0] in ("{}", "[]"):
+        return {} if rows[0][0][0] == "{}" else []
+    parts: dict[str, list] = {}
+    for r in rows:
+        parts.setdefault(r[0][0], []).append((r[0][1:], *r[1:]))
+    if rows[0][0][0].startswith("i:"):
+        return [_nested(parts[k]) for k in sorted(parts, key=lambda k: int(k[2:]))]
+    return {k[2:]: _nested(v) for k, v in parts.items()}
+
+
 def save_numeric_state(spark, state: dict, path: str) -> None:
-    """Numeric state as a typed one-row parquet table (kind, columns, params as JSON)."""
-    spark.createDataFrame([(state["kind"], json.dumps(state))], "kind string, body string") \
-        .write.mode("overwrite").parquet(path)
+    """A state of numbers and names as typed parquet rows, one per leaf."""
+    spark.createDataFrame([(state["kind"], *r) for r in _leaves(state)], f"kind string, {_LEAF}").coalesce(1).write.mode(
+        "overwrite").parquet(path)
 
 
 def load_numeric_state(spark, path: str, kind: str) -> dict:
-    row = spark.read.parquet(path).first()
-    if row is None:
+    rows = spark.read.parquet(path).collect()  # one row per fitted number
+    if not rows:
         raise PipelineError(f"no state at {path}")
-    if row["kind"] != kind:
-        raise PipelineError(f"state at {path} is '{row['kind']}', expected '{kind}'")
-    return json.loads(row["body"])
+    if rows[0]["kind"] != kind:
+        raise PipelineError(f"{path} holds a state of kind {rows[0]['kind']}, not {kind}")
+    return _nested([tuple(r)[1:] for r in rows])
+
+
+def save_states(spark, states: dict, path: str) -> None:
+    """Every state of a pipeline under one folder: ``index`` names them and their form, each has its own typed table."""
+    index = []
+    for i, (name, st) in enumerate(sorted(states.items())):
+        own = f"{path}/state_{i}"
+        if isinstance(st, FE.Vocabulary):
+            FE.save_vocabulary(st, own)
+            index.append((name, "vocabulary", f"state_{i}", st.column))
+        elif isinstance(st, FE.TargetEncoding):
+            FE.save_target_encoding(st, own)
+            index.append((name, "target_encoding", f"state_{i}", st.column))
+        else:
+            save_numeric_state(spark, {"kind": "", **st} if "kind" not in st else st, own)
+            index.append((name, "numbers", f"state_{i}", st.get("kind", "")))
+    spark.createDataFrame(index, "name string, form string, place string, detail string").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/index")
+
+
+def load_states(spark, path: str) -> dict:
+    """The states that ``save_states`` wrote, by name."""
+    out = {}
+    for r in spark.read.parquet(f"{path}/index").collect():
+        own = f"{path}/{r['place']}"
+        out[r["name"]] = FE.load_vocabulary(spark, own, r["detail"]) if r["form"] == "vocabulary" else FE.load_target_encoding(
+            spark, own) if r["form"] == "target_encoding" else load_numeric_state(spark, own, r["detail"])
+    return out

@@ -11,6 +11,7 @@ All fits that need plain aggregates share one ``agg`` pass (``fit_numeric_stats`
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -28,8 +29,18 @@ class FeatureError(ValueError):
     pass
 
 
-def _broadcast_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("featpipe.broadcast.maxRows", "1000000"))
+def _fits_broadcast(df: DataFrame, n_bytes: int) -> bool:
+    """Whether a fitted table of this measured size may be broadcast: the session's own threshold decides."""
+    limit = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower()
+    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", limit)
+    top = int(m.group(1)) * 1024 ** " kmgt".index(m.group(2) or " ") if m else 10 << 20
+    return 0 <= n_bytes <= top
+
+
+def _measured(frame: DataFrame, value: str, extra: int) -> tuple[int, int]:
+    """Rows and bytes of a fitted table: its value as text plus ``extra`` bytes a row."""
+    r = frame.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length(F.col(value).cast("string")), F.lit(0)).cast("long")).alias("b")).first()
+    return int(r["n"]), int(r["b"] or 0) + int(r["n"]) * extra
 
 
 def _bad(v) -> bool:
@@ -238,6 +249,7 @@ class Vocabulary:
     size: int
     version: int = 1
     meta: dict = field(default_factory=dict)
+    n_bytes: int | None = None
 
 
 def fit_label_encoder(df: DataFrame, col: str, include_null: bool = True, n_buckets: int | None = None,
@@ -251,8 +263,8 @@ def fit_label_encoder(df: DataFrame, col: str, include_null: bool = True, n_buck
     vocab = vocab.select(F.col(col).alias("value"), "idx")
     if cut_lineage:
         vocab = vocab.checkpoint(eager=True)
-    size = vocab.count()
-    return Vocabulary(col, vocab, size)
+    size, n_bytes = _measured(vocab, "value", 12)
+    return Vocabulary(col, vocab, size, n_bytes=n_bytes)
 
 
 def label_encode(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = None,
@@ -261,8 +273,8 @@ def label_encode(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = N
     an error that lists up to 10 known values (FEA8)."""
     out = out or f"{col}_idx"
     v = vocab.frame.select(F.col("value").alias("_fp_value"), F.col("idx").alias("_fp_idx"))
-    small = vocab.size <= _broadcast_limit(df)
-    right = F.broadcast(v) if small else v
+    n_bytes = _measured(vocab.frame, "value", 12)[1] if vocab.n_bytes is None else vocab.n_bytes
+    right = F.broadcast(v) if _fits_broadcast(df, n_bytes) else v
     cond = df[col].eqNullSafe(right["_fp_value"])
     if handle_unknown == "error":
         unseen = df.join(right, cond, "left_anti").select(col).limit(1).collect()
@@ -271,7 +283,7 @@ def label_encode(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = N
             shown = ", ".join(repr(k) for k in known)
             if vocab.size > 10:
                 shown += f", ... ({vocab.size} total)"
-            raise FeatureError(f"Unknown category {unseen[0][0]!r} not in vocabulary. Available categories: {shown}")
+            raise FeatureError(f"{col}: value {unseen[0][0]!r} was not seen in fitting; known values are {shown}")
     elif handle_unknown != "use_unknown_value":
         raise FeatureError("handle_unknown must be 'use_unknown_value' or 'error'")
     unk = vocab.size if unknown_value is None else unknown_value
@@ -279,35 +291,39 @@ def label_encode(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = N
     return j.select(*[df[c] for c in df.columns], F.coalesce(F.col("_fp_idx"), F.lit(unk)).cast("bigint").alias(out))
 
 
-def fit_categories(df: DataFrame, col: str, max_categories: int = 1000) -> list[str]:
-    """Sorted distinct non-NULL values as text (one-hot fit, FEA13). One-hot makes a column per
-    category, so the count is bounded; more than ``max_categories`` is an error."""
-    vals = df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct() \
-        .limit(max_categories + 1).collect()
-    if not vals:
-        raise FeatureError(f"No data found for column {col}")
-    if len(vals) > max_categories:
-        raise FeatureError(f"{col} has more than {max_categories} categories; use label encoding instead")
-    return sorted(r["v"] for r in vals)
+def fit_categories(df: DataFrame, col: str, max_categories: int | None = 1000) -> list[str]:
+    """Sorted distinct non-NULL values as text (one-hot fit, FEA13). One-hot makes a column per category; more than
+    ``max_categories`` is an error (``None``: no limit). See ``one_hot_sparse`` for large dictionaries."""
+    got = fit_categories_many(df, [col], max_categories)[col]
+    return got
 
 
-def fit_categories_many(df: DataFrame, columns: Sequence[str], max_categories: int = 1000) -> dict[str, list[str]]:
+def fit_categories_many(df: DataFrame, columns: Sequence[str], max_categories: int | None = 1000, sparse: bool = False
+                        ) -> dict[str, list[str] | Vocabulary]:
     """``fit_categories`` for several columns in two passes whatever their number: distinct
-    counts per column first (so nothing unbounded is collected), then the distinct
-    (column, value) pairs."""
+    counts per column first (so nothing above the limit is collected), then the distinct
+    (column, value) pairs. With ``sparse`` a column above the limit gets a distributed ``Vocabulary`` instead
+    of an error; it is encoded as a sparse vector."""
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_fp_col"), F.col(c).cast("string").alias("_fp_val")) for c in columns
     ])).alias("_fp_kv")).select("_fp_kv.*").where(F.col("_fp_val").isNotNull()).distinct()
     counts = {r["_fp_col"]: r["n"] for r in pairs.groupBy("_fp_col").agg(F.count("*").alias("n")).collect()}
+    out: dict[str, list[str] | Vocabulary] = {}
     for c in columns:
         if not counts.get(c):
-            raise FeatureError(f"No data found for column {c}")
-        if counts[c] > max_categories:
-            raise FeatureError(f"{c} has more than {max_categories} categories; use label encoding instead")
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    for r in pairs.collect():  # at most max_categories per column, checked above
-        out[r["_fp_col"]].append(r["_fp_val"])
-    return {c: sorted(v) for c, v in out.items()}
+            raise FeatureError(f"{c}: every value is NULL or there are no rows to fit on")
+        if max_categories is not None and counts[c] > max_categories:
+            if not sparse:
+                raise FeatureError(f"{c}: {counts[c]} categories exceed the limit of {max_categories}; raise "
+                                   "max_categories, or ask for the sparse form")
+            out[c] = fit_label_encoder(df.select(F.col(c).cast("string").alias(c)).where(F.col(c).isNotNull()), c, include_null=False)
+        else:
+            out[c] = []
+    dense = [c for c in columns if isinstance(out[c], list)]
+    if dense:
+        for r in pairs.where(F.col("_fp_col").isin(dense)).collect():  # within the limit the caller set
+            out[r["_fp_col"]].append(r["_fp_val"])
+    return {c: sorted(v) if isinstance(v, list) else v for c, v in out.items()}
 
 
 def one_hot(df: DataFrame, col: str, categories: Sequence[str], handle_unknown: str = "ignore",
@@ -317,7 +333,7 @@ def one_hot(df: DataFrame, col: str, categories: Sequence[str], handle_unknown:
     if handle_unknown == "error":
         bad = df.where(s.isNotNull() & ~s.isin(list(categories))).select(col).limit(1).collect()
         if bad:
-            raise FeatureError(f"Unknown category '{bad[0][0]}' for column '{col}'")
+            raise FeatureError(f"{col}: {bad[0][0]!r} is none of the fitted categories")
     cols = [F.when(s == F.lit(c), F.lit(1)).otherwise(F.lit(0)).alias(f"{col}_{c}") for c in categories]
     base = [c for c in df.columns if not (drop_input and c == col)]
     return df.select(*base, *cols)
@@ -336,20 +352,23 @@ def one_hot_sparse(df: DataFrame, col: str, vocab: Vocabulary, out: str | None =
     return model.transform(idx).drop("_fp_idx")
 
 
-def save_vocabulary(vocab: Vocabulary, path: str, mode: str = "overwrite") -> None:
-    """Persist as typed parquet ``(feature, value, idx, version)`` (FEA20)."""
-    vocab.frame.select(F.lit(vocab.column).alias("feature"), "value", "idx",
-                       F.lit(vocab.version).alias("version")).write.mode(mode).parquet(path)
+def save_vocabulary(vocab: Vocabulary, path: str) -> None:
+    """Persist as typed parquet ``(feature, value, idx, version)`` (FEA20). Every feature and version has its own
+    folder; saving replaces that folder only, so other versions stay readable."""
+    vocab.frame.select("value", "idx", F.lit(vocab.column).alias("feature"), F.lit(vocab.version).alias("version")).write.mode(
+        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature", "version").parquet(path)
 
 
 def load_vocabulary(spark, path: str, column: str, version: int | None = None) -> Vocabulary:
+    """The given version of a feature's dictionary (default: the latest); an absent one is an error."""
     df = spark.read.parquet(path).where(F.col("feature") == column)
-    if version is None:
-        version = df.agg(F.max("version")).first()[0]
-        if version is None:
-            raise FeatureError(f"no vocabulary for {column} at {path}")
+    known = [int(r["version"]) for r in df.select("version").distinct().collect()]
+    if not known or (version is not None and version not in known):
+        raise FeatureError(f"{path} holds no version {version or ''} of {column}'s dictionary (there are {sorted(known)})")
+    version = max(known) if version is None else int(version)
     frame = df.where(F.col("version") == version).select("value", "idx")
-    return Vocabulary(column, frame, frame.count(), int(version))
+    size, n_bytes = _measured(frame, "value", 12)
+    return Vocabulary(column, frame, size, version, n_bytes=n_bytes)
 
 
 # ---------------------------------------------------------------- target encoding (FEA17)
@@ -361,6 +380,7 @@ class TargetEncoding:
     global_mean: float
     smoothing: float
     size: int = 0
+    n_bytes: int | None = None
 
 
 def fit_target_encoder(df: DataFrame, col: str, target: str, smoothing: float = 1.0,
@@ -378,17 +398,33 @@ def fit_target_encoder(df: DataFrame, col: str, target: str, smoothing: float =
                                                       F.sum(F.col(target).cast("double")).alias("_fp_s"))
     if cut_lineage:
         frame = frame.checkpoint(eager=True)
-    tot = frame.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("_fp_s").alias("s")).first()
+    tot = frame.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("_fp_s").alias("s"), F.sum(F.coalesce(
+        F.octet_length(F.col("value").cast("string")), F.lit(0)).cast("long")).alias("b")).first()
     g = None if not tot["n"] else tot["s"] / tot["n"]
     frame = frame.select("value", "n", (F.col("_fp_s") / F.col("n")).alias("mean"))
-    return TargetEncoding(col, frame, g, float(smoothing), int(tot["k"]))
+    return TargetEncoding(col, frame, g, float(smoothing), int(tot["k"]), int(tot["b"] or 0) + 24 * int(tot["k"]))
+
+
+def save_target_encoding(enc: TargetEncoding, path: str) -> None:
+    """Persist the per-category table with the global mean and smoothing as typed columns (FEA17)."""
+    enc.frame.select(F.lit(enc.column).alias("feature"), "value", "n", "mean", F.lit(enc.global_mean).cast("double").alias("global_mean"),
+                     F.lit(enc.smoothing).alias("smoothing")).write.mode("overwrite").parquet(path)
+
+
+def load_target_encoding(spark, path: str) -> TargetEncoding:
+    t = spark.read.parquet(path)
+    head = t.select("feature", "global_mean", "smoothing").first()
+    if head is None:
+        raise FeatureError(f"{path} holds no target encoding")
+    size, n_bytes = _measured(t, "value", 24)
+    return TargetEncoding(head["feature"], t.select("value", "n", "mean"), head["global_mean"], head["smoothing"], size, n_bytes)
 
 
 def target_encode(df: DataFrame, enc: TargetEncoding, out: str | None = None) -> DataFrame:
     out = out or f"{enc.column}_te"
     s, g = F.lit(enc.smoothing), F.lit(enc.global_mean).cast("double")
     f = enc.frame.select(F.col("value").alias("_fp_value"), F.col("n").alias("_fp_n"), F.col("mean").alias("_fp_mean"))
-    if enc.size <= _broadcast_limit(df):
+    if _fits_broadcast(df, _measured(enc.frame, "value", 24)[1] if enc.n_bytes is None else enc.n_bytes):
         f = F.broadcast(f)
     j = df.join(f, df[enc.column].eqNullSafe(f["_fp_value"]), "left")
     val = F.when(F.col("_fp_n").isNull() | ((F.col("_fp_n") + s) == 0), g) \
@@ -422,13 +458,14 @@ def _elem_type_hint(v) -> str:
     return "double" if isinstance(v, float) else "bigint"
 
 
-def hash_and_pad(c, num_buckets: int = 1000, max_length: int = 1, fill: int = 0, numeric: bool = True) -> Column:
+def hash_and_pad(c, num_buckets: int = 1000, max_length: int = 1, fill: int = 0, numeric: bool = True,
+                 method: str = "xxhash64") -> Column:
     """Hash each item into [0, n), keep the first ``max_length``, right-pad with ``fill`` (FEA5)."""
     if max_length <= 0:
-        raise FeatureError("hash_and_pad requires positive 'max_length'")
+        raise FeatureError("hash_and_pad needs a max_length of 1 or more")
     from featpipe.functions.hashing import hash_array
 
-    hashed = hash_array(c, num_buckets, numeric)
+    hashed = hash_array(c, num_buckets, numeric, method)
     padded = F.concat(hashed, F.array_repeat(F.lit(fill).cast("bigint"), max_length))
     return F.slice(padded, 1, max_length)
 

@@ -31,16 +31,24 @@ def next_version(df: DataFrame, name: str, version: str) -> DataFrame:
 
 
 def list_filtered(df: DataFrame, filters: dict | None, order: str, limit: int | None = None,
-                  descending: bool = True) -> DataFrame:
-    """Optional equality filters, newest first, optional limit (TRK3)."""
+                  descending: bool = True, tie: str | None = None) -> DataFrame:
+    """Optional equality filters, newest first, optional limit (TRK3). ``tie`` (a unique column, ascending) decides among equal
+    times; a limit needs it, else the rows at the limit would be arbitrary."""
+    if limit and not tie:
+        raise ValueError("a limit needs a unique tie column")
     for k, v in (filters or {}).items():
         if v is not None:
             df = df.where(F.col(k) == F.lit(v))
     o = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
-    df = df.orderBy(o)
+    df = df.orderBy(o, *([F.col(tie)] if tie else []))
     return df.limit(limit) if limit else df
 
 
+def completed_in_order(df: DataFrame, plan: str, plan_id, at: str, tie: str, status: str = "status") -> DataFrame:
+    """All completed executions of one plan in order of completion (TRK11)."""
+    return df.where((F.col(plan) == F.lit(plan_id)) & (F.col(status) == "completed")).orderBy(F.col(at).asc_nulls_first(), tie)
+
+
 def metric_history(df: DataFrame, step: str, filters: dict | None = None, order_keys: Sequence[str] = ()
                    ) -> DataFrame:
     """Metric rows ordered by step, optional filters (TRK4)."""

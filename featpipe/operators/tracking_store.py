@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featpipe.operators import tracking as TR
+from featpipe.plans.published import Published
 
 # Table schemas and status domains of the tracked objects.
 SCHEMAS = {
@@ -48,6 +49,7 @@ class TrackingStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.published = Published(spark, self.root)
         self._schemas = {k: T.StructType.fromDDL(v) for k, v in SCHEMAS.items()}
 
     # -- storage
@@ -55,7 +57,7 @@ class TrackingStore:
     def path(self, table: str) -> str:
         if table not in SCHEMAS:
             raise KeyError(f"unknown tracking table {table}")
-        return f"{self.root}/{table}"
+        return self.published.folder(table) or f"{self.root}/{table}"
 
     def _fs(self, path):
         jvm = self.spark.sparkContext._jvm
@@ -77,15 +79,14 @@ class TrackingStore:
                 for f in schema.fields]
         rows.select(*cols).write.mode("append").parquet(self.path(name))
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        """Write ``df`` as the new content of a table (new folder, then swap)."""
-        tmp = f"{self.root}/_rewrite_{name}_{uuid.uuid4().hex[:8]}"
-        df.write.mode("overwrite").parquet(tmp)
-        fs, dst = self._fs(self.path(name))
-        _, src = self._fs(tmp)
-        if fs.exists(dst):
-            fs.delete(dst, True)
-        fs.rename(src, dst)
+    def _replace(self, tables: dict[str, DataFrame]) -> None:
+        """New content for the given tables: written to new folders, then made current together by one pointer."""
+        folders = {}
+        for name, df in tables.items():
+            self.path(name)  # checks the name
+            folders[name] = f"{self.root}/_versions/{uuid.uuid4().hex[:12]}/{name}"
+            df.write.parquet(folders[name])
+        self.published.publish(folders)
 
     # -- analytics
 
@@ -102,7 +103,7 @@ class TrackingStore:
                   ) -> DataFrame:
         """Training runs with optional filters, newest first (TRK3)."""
         return TR.list_filtered(self.table("training_runs"), {"status": status, "model_id": model_id}, "created_at",
-                                limit)
+                                limit, tie="run_id")
 
     def metric_history(self, run_id: str, metric_name: str | None = None, metric_type: str | None = None
                        ) -> DataFrame:
@@ -138,7 +139,7 @@ class TrackingStore:
         remove, keep = self.retention(days, as_of)
         n = remove.count()
         if n:
-            self._replace("jobs", keep)
+            self._replace({"jobs": keep})
         return n
 
     def latest_completed_steps(self) -> DataFrame:
@@ -146,14 +147,17 @@ class TrackingStore:
         e = self.table("plan_executions").where(F.col("status") == "completed")
         return TR.latest_per_key(e, ["plan_id", "step_type"], ["completed_at", "id"], ["id", "completed_at", "outputs"])
 
+    def completed_steps(self, plan_id: str) -> DataFrame:
+        """All completed executions of a plan, oldest first (TRK11)."""
+        return TR.completed_in_order(self.table("plan_executions"), "plan_id", plan_id, "completed_at", "id")
+
     def evaluation_metric_rows(self) -> DataFrame:
         """``metrics_result`` JSON of every evaluation run as (run, metric, value) rows (TRK8)."""
         return TR.metrics_json_rows(self.table("evaluation_runs"), ["run_id", "model_id"], "metrics_result")
 
     def delete_run(self, run_id: str) -> None:
-        """Remove a run and its dependent metric and checkpoint rows (JN7): each child table is
-        rewritten as a left anti join against the removed run."""
+        """Remove a run and its dependent metric and checkpoint rows (JN7): the three tables are
+        rewritten as left anti joins against the removed run and published together."""
         gone = self.spark.createDataFrame([(run_id,)], "run_id STRING")
-        for child in ("training_metrics", "training_checkpoints", "training_runs"):
-            kept = self.table(child).join(gone, "run_id", "left_anti")
-            self._replace(child, kept)  # written in full to a new folder before the old one goes
+        self._replace({t: self.table(t).join(gone, "run_id", "left_anti")
+                       for t in ("training_metrics", "training_checkpoints", "training_runs")})

@@ -48,10 +48,14 @@ def suggest_tables(spark: SparkSession, name: str, n: int = 3) -> list[str]:
 
 
 def query(spark: SparkSession, sql: str, read_only: bool = True) -> DataFrame:
-    """``spark.sql`` behind the gate; unknown tables get name suggestions."""
-    text = check_read_only(sql) if read_only else sql
+    """``spark.sql`` behind the gate; unknown tables get name suggestions. The DuckDB forms that step SQL may use
+    (table functions, ``"ident"``, casts to TEXT, ...) work here too."""
+    from featpipe.plans.steps import _quoted_identifiers, to_spark_sql
+
+    text = to_spark_sql(check_read_only(sql) if read_only else sql, spark)
     try:
-        return spark.sql(text)
+        with _quoted_identifiers(spark):
+            return spark.sql(text)
     except AnalysisException as e:
         m = re.search(r"TABLE_OR_VIEW_NOT_FOUND.*?`?([A-Za-z_][\w.]*)`? cannot be found", str(e), re.S)
         if m or "TABLE_OR_VIEW_NOT_FOUND" in str(e):

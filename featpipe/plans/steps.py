@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from featpipe.plans.published import Published
 from featpipe.session import checkpoint_root
 
 STEP_TYPES = ("table", "view", "execute")
@@ -301,8 +302,11 @@ class StepRunner:
         self.spark = spark
         self.table_root = (table_root or f"{checkpoint_root(spark)}/featpipe_tables").rstrip("/")
 
+        self.published = Published(spark, self.table_root)
+
     def table_path(self, name: str) -> str:
-        return f"{self.table_root}/{name}"
+        """Folder that holds the table's published rows (for a table never published: where none are)."""
+        return self.published.folder(name) or f"{self.table_root}/{name}"
 
     def _exists(self, path) -> bool:
         fs, p = _hadoop_fs(self.spark, path)
@@ -322,7 +326,7 @@ class StepRunner:
             return report, {}
         order = order_steps(spec)
         run_id = uuid.uuid4().hex[:12]
-        staging = f"{self.table_root}/_staging/{run_id}"
+        staging = f"{self.table_root}/_versions/{run_id}"
         replaced: dict[str, DataFrame | None] = {}
         staged: dict[str, str] = {}
         drops: list[str] = []
@@ -380,9 +384,9 @@ class StepRunner:
                     info["rows"] = df.count()
                 report.outputs[o] = info
             report.ok = True
-        except StepFailed as e:
+        except Exception as e:  # noqa: BLE001 - a failed step or a failed publication: nothing is published
             self._rollback(replaced, staged, staging)
-            report.error, report.failed_step = str(e), e.step
+            report.error, report.failed_step = str(e), getattr(e, "step", None)
             report.log.append((report.error, "error"))
             frames = {}
         report.sql_text = "\n\n".join(texts)
@@ -456,21 +460,9 @@ class StepRunner:
             fs.delete(p, True)
 
     def _publish(self, staged, drops, staging):
-        for name in drops:
-            if name not in staged:
-                fs, p = _hadoop_fs(self.spark, self.table_path(name))
-                fs.delete(p, True)
-        for name, path in staged.items():
-            fs, dst = _hadoop_fs(self.spark, self.table_path(name))
-            _, src = _hadoop_fs(self.spark, path)
-            if fs.exists(dst):
-                fs.delete(dst, True)
-            fs.mkdirs(dst.getParent())
-            if not fs.rename(src, dst):
-                raise RuntimeError(f"could not publish {name}")
-        if staged:
-            fs, p = _hadoop_fs(self.spark, staging)
-            fs.delete(p, True)
+        """All tables of the run at once: their folders become current when one pointer file is written."""
+        if staged or drops:
+            self.published.publish(dict(staged), [d for d in drops if d not in staged])
 
 
 def run_steps(spark: SparkSession, spec: StepSpec | dict, **kw) -> tuple[RunReport, dict]:

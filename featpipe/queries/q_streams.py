@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from featpipe.functions.columns import round_to
 from featpipe.operators import features as FE
 from featpipe.queries import query
+from featpipe.sources.files import scratch_path
 from featpipe.sources.tables import read_table
 from featpipe.streaming import streams
 
@@ -20,7 +21,6 @@ SELECT event_id, user_id, round((value - m) / sd, 9) AS value_z FROM events, s
 """)
 def str1_stream_scaled_events(spark, sf_dir):
     from featpipe.operators.feature_graph import load_numeric_state, save_numeric_state
-    from featpipe.sources.files import scratch_path
 
     src = os.path.join(sf_dir, "events.parquet")
     batch = read_table(spark, sf_dir, "events")
@@ -32,7 +32,9 @@ def str1_stream_scaled_events(spark, sf_dir):
     def fn(df):
         return df.select("event_id", "user_id", round_to(FE.standard_scale(state, "value"), 9).alias("value_z"))
 
-    return streams.transform_stream(spark, src, batch.schema, fn, "events_scaled")
+    base = scratch_path(spark, "events_scaled")
+    streams.transform_stream(spark, src, batch.schema, fn, base)
+    return streams.transform_stream(spark, src, batch.schema, fn, base)  # started again: resumes, nothing twice
 
 
 @query("str2_stream_daily_metrics", "STR2", oracle="""
@@ -42,8 +44,10 @@ FROM events GROUP BY 1, 2
 def str2_stream_daily_metrics(spark, sf_dir):
     src = os.path.join(sf_dir, "events.parquet")
     schema = read_table(spark, sf_dir, "events").schema
-    out = streams.windowed_metrics(spark, src, schema, "ts", ["event_type"],
-                                   [F.count("*").alias("n"), F.sum("value").alias("total")], "1 day", "1 day")
+    base = scratch_path(spark, "daily_metrics")
+    aggs = [F.count("*").alias("n"), F.sum("value").alias("total")]
+    streams.windowed_metrics(spark, src, schema, "ts", ["event_type"], aggs, base)
+    out, _ = streams.windowed_metrics(spark, src, schema, "ts", ["event_type"], aggs, base)  # started again
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n",
                       round_to("total", 2).alias("total"))
 
@@ -54,4 +58,6 @@ SELECT user_id, arg_max(event_type, event_id) AS event_type, MAX(event_id) AS ev
 def str3_stream_latest_status(spark, sf_dir):
     src = os.path.join(sf_dir, "events.parquet")
     schema = read_table(spark, sf_dir, "events").schema
-    return streams.latest_per_key_stream(spark, src, schema, "user_id", "event_id", "event_type", "latest_status")
+    base = scratch_path(spark, "latest_status")
+    streams.latest_per_key_stream(spark, src, schema, "user_id", "event_id", "event_type", base)
+    return streams.latest_per_key_stream(spark, src, schema, "user_id", "event_id", "event_type", base)  # started again

@@ -32,7 +32,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply required settings; make sure a checkpoint folder exists.
 
     The checkpoint folder is read from ``spark.checkpoint.dir``. Only when it is unset
-    (local tests) a private temporary folder is used.
+    and the master is local (tests) a private temporary folder is used; on a cluster that is an error, since every
+    executor would write to its own disk.
     """
     for k, v in _REQUIRED.items():
         spark.conf.set(k, v)
@@ -40,6 +41,8 @@ def configure(spark: SparkSession) -> SparkSession:
     if sc.getCheckpointDir() is None:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             d = tempfile.mkdtemp(prefix="featpipe-ckpt-")
         sc.setCheckpointDir(d)
     return spark

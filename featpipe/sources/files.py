@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from featpipe.session import checkpoint_root
 
 
-def sniff_delimiter(spark: SparkSession, path: str, candidates: str = ",\t|;") -> str:
+def sniff_delimiter(spark: SparkSession, path: str | list[str], candidates: str = ",\t|;") -> str:
     """Pick the delimiter from the first line of the input (a one-line read)."""
     first = spark.read.text(path).limit(1).collect()
     line = first[0][0] if first else ""
@@ -24,7 +24,7 @@ def sniff_delimiter(spark: SparkSession, path: str, candidates: str = ",\t|;") -
     return best if counts[best] > 0 else ","
 
 
-def read_csv_auto(spark: SparkSession, path: str, sep: str | None = None, header: bool = True) -> DataFrame:
+def read_csv_auto(spark: SparkSession, path: str | list[str], sep: str | None = None, header: bool = True) -> DataFrame:
     """Header + type inference; the delimiter is sniffed from the first line when not given.
 
     Inference reads the data an extra time; give ``columns`` to ``read_csv`` on big inputs.
@@ -33,7 +33,7 @@ def read_csv_auto(spark: SparkSession, path: str, sep: str | None = None, header
     return spark.read.option("header", header).option("inferSchema", True).option("sep", sep).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, columns: str | dict | None = None, delim: str = ",",
+def read_csv(spark: SparkSession, path: str | list[str], columns: str | dict | None = None, delim: str = ",",
              header: bool = False, skip: int = 0, quote: str = '"', escape: str | None = None,
              null_padding: bool = True, encoding: str = "UTF-8", ignore_errors: bool = False,
              null_value: str | None = None, names: list[str] | None = None) -> DataFrame:
@@ -83,9 +83,17 @@ def malformed_rows(spark: SparkSession, path: str, columns: str | dict, **option
     """The rows ``ignore_errors`` drops, as a report: ``(bad_rows, total_rows)`` (SRC3)."""
     if isinstance(columns, dict):
         columns = ", ".join(f"`{k}` {_sql_type(v)}" for k, v in columns.items())
-    r = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_fp_corrupt") \
-        .option("sep", options.get("delim", ",")).option("header", options.get("header", False))
-    df = r.schema(columns + ", _fp_corrupt STRING").csv(path)
+    encoding, skip = options.get("encoding", "UTF-8"), int(options.get("skip", 0))
+    header, quote, escape = options.get("header", False), options.get("quote", '"'), options.get("escape")
+    if skip:  # the reader that ignore_errors uses, rows kept
+        df = _skip_lines(spark, path, skip + (1 if header else 0), columns, options.get("delim", ","), quote, escape, encoding,
+                         True, options.get("null_value"))
+    else:
+        r = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_fp_corrupt").option(
+            "sep", options.get("delim", ",")).option("header", header).option("quote", quote).option("encoding", encoding)
+        for k, v in (("escape", escape), ("nullValue", options.get("null_value"))):
+            r = r if v is None else r.option(k, v)
+        df = r.schema(columns + ", _fp_corrupt STRING").csv(path)
     data_cols = [F.col(f"`{c}`") for c in df.columns if c != "_fp_corrupt"]
     whole_row = F.xxhash64(*data_cols) >= F.lit(-(2 ** 63))  # every column converted, see read_csv
     return df.where(whole_row).agg(F.count_if(F.col("_fp_corrupt").isNotNull()).alias("bad_rows"),
@@ -100,7 +108,12 @@ def _skip_lines(spark, path, n, columns, delim, quote, escape, encoding, ignore_
     lines to drop are the ``n`` smallest ids of that split. Only a per-file minimum is
     aggregated (one row per file), never a whole file in one task.
     """
-    raw = spark.read.option("encoding", encoding).text(path).select(
+    # the text reader knows UTF-8 only: other encodings come as one unsplit CSV field per line
+    if encoding.upper().replace("-", "") == "UTF8":
+        lines = spark.read.text(path)
+    else:
+        lines = spark.read.option("encoding", encoding).option("sep", "\x00").option("quote", "").schema("value STRING").csv(path)
+    raw = lines.select(
         "value", F.input_file_name().alias("_fp_file"), (F.input_file_block_start() == 0).alias("_fp_head"),
         F.monotonically_increasing_id().alias("_fp_id"))
     starts = raw.where("_fp_head").groupBy("_fp_file").agg(F.min("_fp_id").alias("_fp_first"))
@@ -136,10 +149,14 @@ def read_parquet(spark: SparkSession, path: str | list[str], base_path: str | No
     return r.parquet(*path) if isinstance(path, list) else r.parquet(path)
 
 
-def read_json_auto(spark: SparkSession, path: str, format: str = "auto", columns: str | dict | None = None
+def read_json_auto(spark: SparkSession, path: str | list[str], format: str = "auto", columns: str | dict | None = None
                    ) -> DataFrame:
-    """Newline-delimited JSON, or one JSON array per file (``format='array'``)."""
+    """Newline-delimited JSON, or one JSON array per file (``format='array'``). ``auto`` looks at the first line that is not
+    blank: one that opens an array makes it an array file."""
     r = spark.read
+    if format == "auto":
+        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        format = "array" if first and first[0][0].lstrip().startswith("[") else "newline_delimited"
     if format == "array":
         r = r.option("multiLine", True)
     if isinstance(columns, dict):

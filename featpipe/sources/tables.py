@@ -17,28 +17,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_READ_CACHE: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named table as a lazy DataFrame.
-
-    Within one session the DataFrame object (a plan, not data) is reused while the file's
-    modification time and size are unchanged, which saves the file listing and footer read
-    of every repeated use. Remote paths are always read afresh.
-    """
-    path = table_path(sf_dir, name)
-    try:
-        st = os.stat(path)
-    except OSError:
-        return spark.read.parquet(path)
-    key = (id(spark), path, st.st_mtime_ns, st.st_size)
-    hit = _READ_CACHE.get(key)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = spark.read.parquet(path)
-    _READ_CACHE[key] = (spark, df)
-    return df
+    """The named table as a lazy DataFrame; its files are listed anew every time."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:

@@ -5,21 +5,21 @@
   micro-batch so the final table holds the last value of every window);
 * STR3: latest value per key (e.g. job status) with ``max_by``, upserted per micro-batch.
 
-Sinks are parquet folders under the shared checkpoint folder; each query has its own
-checkpoint location there, so a restarted job resumes where it stopped. ``run_available``
-drains the available input (``availableNow``) and returns the written table as a batch frame.
+The caller names the job's folder (``base``, on shared storage): output in ``data``, Spark's checkpoint in ``_checkpoint``. A
+job started again with the same folder resumes where it stopped. ``run_available`` drains the available input
+(``availableNow``) and says how many late rows the watermark dropped.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from featpipe.sources.files import scratch_path
-
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
                 ) -> DataFrame:
@@ -37,8 +37,9 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
 
 
 def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
-                  batch_fn: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Process all available input, then stop (``trigger(availableNow=True)``)."""
+                  batch_fn: Callable[[DataFrame, int], None] | None = None) -> dict:
+    """Process all available input, then stop (``trigger(availableNow=True)``). Returns the number of batches, input
+    rows and rows that came too late for the watermark."""
     w = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
     if batch_fn is not None:
         q = w.foreachBatch(batch_fn).trigger(availableNow=True).start()
@@ -47,48 +48,78 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str =
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    seen = [dict(p) if isinstance(p, dict) else json.loads(p.json) for p in q.recentProgress]
+    return {"batches": len(seen), "rows": sum(p.get("numInputRows", 0) for p in seen),
+            "late_rows": sum(s.get("numRowsDroppedByWatermark", 0) for p in seen for s in p.get("stateOperators", []))}
 
 
 def transform_stream(spark: SparkSession, src: str, schema: StructType, fn: Callable[[DataFrame], DataFrame],
-                     name: str = "scored") -> DataFrame:
+                     base: str) -> DataFrame:
     """STR1: apply a stateless DataFrame function to a stream; returns the written rows."""
-    base = scratch_path(spark, name)
     run_available(fn(read_stream(spark, src, schema)), f"{base}/data", f"{base}/_checkpoint")
     return spark.read.schema(fn(spark.read.schema(schema).parquet(src)).schema).parquet(f"{base}/data")
 
 
-def _upsert_batches(path: str):
-    """Each micro-batch's changed rows go to their own ``_fp_batch=<id>`` folder, written in
-    overwrite mode: a batch replayed after a failure replaces its folder (exactly once)."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    done = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")]
+    return sorted(int(x.getName()[6:]) for x in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
+def _fold_batches(path: str, keys: list[str], keep: int = 2):
+    """Each micro-batch writes the whole table after it (``batch=<id>``): the rows of the newest earlier version whose keys the
+    batch does not change, and the batch's rows. A batch replayed after a failure replaces its version (exactly once);
+    versions older than the last ``keep`` are deleted."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/_fp_batch={batch_id}")
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        # written once and read back: used twice below, and a second evaluation would run the stateful plan again
+        delta = f"{path}/_delta={batch_id}"
+        batch.write.mode("overwrite").parquet(delta)
+        batch = new = spark.read.schema(batch.schema).parquet(delta)
+        if before:
+            old = spark.read.schema(batch.schema).parquet(f"{path}/batch={before[-1]}")
+            changed = batch.select(*[F.col(k).alias(f"_fp_{i}") for i, k in enumerate(keys)]).distinct()
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_fp_{i}")) for i, k in enumerate(keys)])
+            new = old.join(changed, same, "left_anti").unionByName(batch)
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        old = before[: -keep + 1] if keep > 1 else before
+        for folder in (delta, *(f"{path}/batch={v}" for v in old)):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     return write
 
 
+def _folded(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch={versions[-1]}")
+
+
 def windowed_metrics(spark: SparkSession, src: str, schema: StructType, ts: str, keys: list[str],
-                     aggs: list, window: str = "1 day", watermark: str = "1 day", name: str = "windowed",
-                     files_per_trigger: int | None = None) -> DataFrame:
-    """STR2: ``groupBy(window(ts), keys).agg(...)`` with a watermark; the result holds the
-    last emitted value of every (window, key)."""
-    base = scratch_path(spark, name)
+                     aggs: list, base: str, window: str = "1 day", watermark: str = "1 day",
+                     files_per_trigger: int | None = None) -> tuple[DataFrame, dict]:
+    """STR2: ``groupBy(window(ts), keys).agg(...)`` with a watermark. Returns the last value of every (window, key), and the
+    run's counts: rows later than the watermark are not in the result, and ``late_rows`` says how many there were."""
     s = read_stream(spark, src, schema, files_per_trigger).withColumn(ts, F.col(ts).cast("timestamp")) \
         .withWatermark(ts, watermark)
     agg = s.groupBy(F.window(ts, window).alias("w"), *keys).agg(*aggs)
-    run_available(agg, f"{base}/data", f"{base}/_checkpoint", mode="update", batch_fn=_upsert_batches(f"{base}/data"))
-    out = spark.read.parquet(f"{base}/data")
-    cols = [c for c in out.columns if c not in ("w", "_fp_batch", *keys)]
-    latest = out.groupBy("w", *keys).agg(F.max_by(F.struct(*cols), "_fp_batch").alias("_fp_v"))
-    return latest.select(F.col("w.start").alias("window_start"), *keys, "_fp_v.*")
+    agg = agg.select(F.col("w.start").alias("window_start"), *[c for c in agg.columns if c != "w"])
+    counts = run_available(agg, f"{base}/data", f"{base}/_checkpoint", mode="update",
+                           batch_fn=_fold_batches(f"{base}/data", ["window_start", *keys]))
+    return _folded(spark, f"{base}/data", agg.schema), counts
 
 
 def latest_per_key_stream(spark: SparkSession, src: str, schema: StructType, key: str, order: str, value: str,
-                          name: str = "latest", files_per_trigger: int | None = None) -> DataFrame:
-    """STR3: latest ``value`` per ``key`` by ``order`` (update mode, upserted per batch)."""
-    base = scratch_path(spark, name)
+                          base: str, files_per_trigger: int | None = None) -> DataFrame:
+    """STR3: latest ``value`` per ``key`` by ``order`` (update mode, folded per batch)."""
     s = read_stream(spark, src, schema, files_per_trigger)
     agg = s.groupBy(key).agg(F.max_by(F.col(value), F.col(order)).alias(value), F.max(order).alias(order))
-    run_available(agg, f"{base}/data", f"{base}/_checkpoint", mode="update", batch_fn=_upsert_batches(f"{base}/data"))
-    out = spark.read.parquet(f"{base}/data")
-    return out.groupBy(key).agg(F.max_by(F.struct(value, order), "_fp_batch").alias("_fp_v")).select(key, "_fp_v.*")
+    run_available(agg, f"{base}/data", f"{base}/_checkpoint", mode="update", batch_fn=_fold_batches(f"{base}/data", [key]))
+    return _folded(spark, f"{base}/data", agg.schema)

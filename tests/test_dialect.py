@@ -12,8 +12,11 @@ def test_text_forms():
     assert translate("SELECT EXTRACT(HOUR FROM ts) FROM t") == "SELECT EXTRACT(HOUR FROM ts) FROM t"
     assert translate('SELECT * FROM "events" USING SAMPLE 10%') == 'SELECT * FROM "events" TABLESAMPLE (10 PERCENT)'
     assert "_fp_src_check" in translate("SELECT * FROM read_parquet('a/*.parquet') WHERE x > 1")
-    with pytest.raises(DialectError, match="md5"):
-        translate("SELECT hash(id) % 10 FROM t")
+    assert translate("SELECT hash(id) % 10 FROM t") == "SELECT (shiftrightunsigned(xxhash64(id), 1)) % 10 FROM t"
+    assert translate("SELECT body AS text, 'x AS TEXT, hash(1)' AS s FROM t") == "SELECT body AS text, 'x AS TEXT, hash(1)' AS s FROM t"
+    assert translate("SELECT CAST(CAST(a AS INT) AS TEXT) AS text") == "SELECT CAST(CAST(a AS INT) AS STRING) AS text"
+    with pytest.raises(DialectError):
+        translate("SELECT * FROM read_csv('a', 5)")
     assert "xxhash64(id)" in translate("SELECT xxhash64(id) FROM t")
 
 
@@ -47,8 +50,36 @@ def test_pipeline_reads_files_through_table_functions(spark, tmp_path):
     assert [r.age for r in out["people"].orderBy("id").collect()] == [30, None, 41]
 
 
-def test_hash_step_fails_clearly(spark, tmp_path):
-    spec = StepSpec.from_dict({"name": "h", "steps": [{"name": "b", "type": "view", "sql": "SELECT hash(1) AS h"}],
-                               "outputs": ["b"]})
-    rep, _ = StepRunner(spark, table_root=str(tmp_path / "t")).run(spec)
-    assert not rep.ok and "md5" in rep.error and rep.failed_step == "b"
+def test_documented_hash_split_runs(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS user_id", "id % 50 AS movie_id").createOrReplaceTempView("dial_events")
+    spec = StepSpec.from_dict({"name": "h", "steps": [
+        {"name": "train", "type": "view", "sql": "SELECT * FROM dial_events WHERE hash(user_id) % 10 < 8"},
+        {"name": "test", "type": "view", "sql": "SELECT * FROM dial_events WHERE hash(user_id) % 10 >= 8"},
+        {"name": "pair", "type": "view", "sql": "SELECT * FROM dial_events WHERE hash(user_id || movie_id) % 10 = 3"}],
+        "outputs": ["train", "test", "pair"]})
+    rep, out = StepRunner(spark, table_root=str(tmp_path / "t")).run(spec)
+    assert rep.ok, rep.error
+    n = out["train"].count()
+    assert n + out["test"].count() == 2000 and 1500 < n < 1700
+    assert out["train"].join(out["test"], "user_id").count() == 0 and 120 < out["pair"].count() < 280
+
+
+def test_file_lists_and_sniffing(spark, tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text("id\tv\n1\tx\n")
+    b.write_text("id\tv\n2\ty\n")
+    ja, jb = tmp_path / "a.json", tmp_path / "b.json"
+    ja.write_text('{"id": 1}\n')
+    jb.write_text('{"id": 2}\n')
+    arr = tmp_path / "arr.json"
+    arr.write_text('[\n {"id": 7},\n {"id": 8}]\n')
+    from featpipe.plans.gate import query
+
+    got = query(spark, f"SELECT id, v FROM read_csv_auto(['{a}', '{b}'], header=true) ORDER BY id")
+    assert [tuple(r) for r in got.collect()] == [(1, "x"), (2, "y")]
+    got = query(spark, f"SELECT id FROM read_csv(['{a}', '{b}'], delim='\t', header=true, columns={{'id': 'INTEGER', 'v': 'TEXT'}})")
+    assert sorted(r.id for r in got.collect()) == [1, 2]
+    assert query(spark, f"SELECT * FROM read_json(['{ja}', '{jb}'])").count() == 2
+    assert query(spark, f"SELECT * FROM read_json_auto('{arr}')").count() == 2
+    assert [r.col_name for r in query(spark, f"DESCRIBE SELECT * FROM read_csv_auto('{a}')").collect()] == ["id", "v"]
+    assert query(spark, f'SELECT "id" FROM read_csv_auto(\'{a}\')').first()[0] == 1

@@ -16,7 +16,7 @@ def test_sequence_shift_left_right(spark):
 
 def test_hash_and_pad_strings(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["x"],), ([],)], "a array<string>")
-    rows = [list(r[0]) for r in df.select(FE.hash_and_pad("a", 10, 4, 0, numeric=False)).collect()]
+    rows = [list(r[0]) for r in df.select(FE.hash_and_pad("a", 10, 4, 0, numeric=False, method="blake2b")).collect()]
     assert all(len(r) == 4 for r in rows)
     assert rows[1][1:] == [0, 0, 0] and rows[2] == [0, 0, 0, 0]
     assert all(0 <= v < 10 for r in rows for v in r)
@@ -49,7 +49,7 @@ def test_label_encoder_cases(spark):
     assert enc == [1, 3, 3]
     enc0 = FE.label_encode(new, "x", vocab, unknown_value=0).where("x = 'fish'").first()["x_idx"]
     assert enc0 == 0
-    with pytest.raises(FE.FeatureError, match="Unknown category 'fish'"):
+    with pytest.raises(FE.FeatureError, match="'fish' was not seen"):
         FE.label_encode(new.where("x is not null"), "x", vocab, handle_unknown="error")
     # empty input
     empty = spark.createDataFrame([], "x string")
@@ -184,7 +184,7 @@ def test_column_quantiles_many_columns_one_pass(spark):
 def test_fit_categories_many(spark):
     df = spark.createDataFrame([("red", "S"), ("blue", "M"), ("red", None), ("green", "S")], "colour string, size string")
     assert FE.fit_categories_many(df, ["colour", "size"]) == {"colour": ["blue", "green", "red"], "size": ["M", "S"]}
-    with pytest.raises(FE.FeatureError, match="more than 2"):
+    with pytest.raises(FE.FeatureError, match="limit of 2"):
         FE.fit_categories_many(df, ["colour"], max_categories=2)
 
 

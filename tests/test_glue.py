@@ -140,7 +140,11 @@ def test_training_by_loss(spark):
 def test_evaluate_by_task(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(0.1, 0), (0.9, 1), (0.2, 0), (0.8, 1)], "score double, label int")
+    rows = [(0.1, 0), (0.9, 1), (0.2, 0), (0.8, 1)]
+    with pytest.raises(ValueError, match="needs 10"):
+        evaluation.evaluate(spark.createDataFrame(rows, "score double, label int"), "binary", "label", score="score")
+    bad = [(None, 1), (float("nan"), 0), (float("inf"), 1), (0.7, None)]  # none of these four counts anywhere
+    df = spark.createDataFrame(rows * 3 + bad, "score double, label int")
     got = {r["name"]: r["value"] for r in evaluation.evaluate(df, "binary", "label", score="score").collect()}
     assert got["accuracy"] == 1.0 and got["auc"] == 1.0 and set(got) == set(evaluation.TASK_METRICS["binary"])
     reg = spark.createDataFrame([(1.0, 1.5), (2.0, 2.5)], "y double, p double")
@@ -175,16 +179,12 @@ def test_early_stopping_matches_training_loop(spark):
         assert got == expected
 
 
-def test_read_table_reuse_and_refresh(spark, tmp_path):
-    import time
-
+def test_read_table_lists_files_anew(spark, tmp_path):
     from featpipe.sources.tables import read_table
 
     d = str(tmp_path)
-    spark.range(3).write.parquet(f"{d}/t.parquet")
-    a = read_table(spark, d, "t")
-    assert read_table(spark, d, "t") is a  # same session, unchanged folder: same lazy frame
-    time.sleep(0.01)
-    spark.range(5).write.mode("overwrite").parquet(f"{d}/t.parquet")
-    b = read_table(spark, d, "t")
-    assert b is not a and b.count() == 5
+    spark.range(3).withColumn("p", F.lit(1)).write.partitionBy("p").parquet(f"{d}/t.parquet")
+    assert read_table(spark, d, "t").count() == 3
+    # a file put into a partition folder leaves the top folder as it was
+    spark.range(5).coalesce(1).write.mode("append").parquet(f"{d}/t.parquet/p=1")
+    assert read_table(spark, d, "t").count() == 8

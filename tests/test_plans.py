@@ -37,7 +37,6 @@ def test_small_dictionary_is_broadcast(spark):
 
 
 def test_large_dictionary_is_not_broadcast(spark):
-    spark.conf.set("featpipe.broadcast.maxRows", "3")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         p = spark.read.parquet(f"{SF}/part.parquet")
@@ -45,7 +44,6 @@ def test_large_dictionary_is_not_broadcast(spark):
         plan = _plan(FE.label_encode(p, "p_brand", vocab))
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     finally:
-        spark.conf.unset("featpipe.broadcast.maxRows")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
