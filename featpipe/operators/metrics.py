@@ -225,6 +225,16 @@ def histogram(df: DataFrame, value: Column | str, bins: int = 20, name: str = "v
                     (mn + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
+def regression_histograms(df: DataFrame, label: str, pred: str, bins: int = 20) -> DataFrame:
+    """Histograms of residual, prediction and target with the MAE and MSE of all rows beside them (MET13)."""
+    y, p = F.col(label).cast("double"), F.col(pred).cast("double")
+    rows = df.select(y.alias("y"), p.alias("p")).where(F.col("y").isNotNull() & F.col("p").isNotNull())
+    errors = rows.agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("mse"))
+    out = histogram(rows, F.col("p") - F.col("y"), bins, "residual").unionByName(histogram(rows, "p", bins, "prediction")).unionByName(
+        histogram(rows, "y", bins, "target"))
+    return out.select("*", errors.select("mae").scalar().alias("mae"), errors.select("mse").scalar().alias("mse"))
+
+
 def score_hygiene(df: DataFrame, label: str, score: str) -> DataFrame:
     """NaN / Inf counts, rows left, out-of-[0,1] count, positive rate (MET14)."""
     s = F.col(score).cast("double")

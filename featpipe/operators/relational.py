@@ -61,6 +61,26 @@ def page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int) -> Dat
     return df.orderBy(*order_by).offset(int(offset)).limit(int(limit))
 
 
+def page_after(df: DataFrame, order_by: Sequence[str], after: Sequence | None, limit: int) -> DataFrame:
+    """The next page in key order after the row whose keys are ``after`` (``None``: the first page). The filter reaches
+    the scan and a page costs the same however far it lies; keys must be unique together and not NULL."""
+    if after is not None:
+        later, same = F.lit(False), F.lit(True)
+        for k, v in zip(order_by, after, strict=True):
+            later = later | (same & (F.col(k) > F.lit(v)))
+            same = same & (F.col(k) == F.lit(v))
+        df = df.where(later)
+    return df.orderBy(*order_by).limit(int(limit))
+
+
+def hash_sample(df: DataFrame, keys: Sequence[str], percent: float) -> DataFrame:
+    """A repeatable sample (SRT4): rows whose key hash falls into the first ``percent`` of 10,000 buckets. The same keys
+    are picked in every run, every partitioning and every engine with md5."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    bucket = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(10_000))
+    return df.where(bucket < F.lit(round(percent * 100)))
+
+
 def distinct_counts(df: DataFrame, group_by: Sequence[str], columns: Sequence[str], approx: bool = False,
                     rsd: float = 0.05) -> DataFrame:
     """``COUNT(DISTINCT c)`` per group; ``approx`` switches to HyperLogLog++ (fixed memory,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -99,6 +100,18 @@ def score_columns(df: DataFrame, outputs: dict[str, Column], prefix: str = "pred
     return df.select("*", *[c.cast("double").alias(f"{prefix}{name}") for name, c in outputs.items()])
 
 
+def score_frame(df: DataFrame, weights: dict[str, float], bias: float = 0.0, link: str = "identity",
+                output: str = "score") -> DataFrame:
+    """Score a frame with a column check (SCR3): all inputs must be numeric columns of it, and the output must be new."""
+    missing = [c for c in weights if c not in df.columns]
+    text = [c for c in weights if c in df.columns and not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
+    if missing or text:
+        raise ScoringError(f"the model needs numeric columns: missing {missing}, not numeric {text}")
+    if f"pred_{output}" in df.columns:
+        raise ScoringError(f"pred_{output} is already a column")
+    return score_columns(df, {output: linear_score(weights, bias, link)})
+
+
 def choose_output(outputs: Sequence[str], name: str | None = None) -> str:
     """Named output, else the first of probabilities/probs/probability/prob, else the first (SCR4)."""
     if name:
@@ -186,6 +199,12 @@ def embedding_lookup(df: DataFrame, idx_col: str, table: DataFrame, table_idx: s
     return j.select(*[df[c] for c in df.columns], F.coalesce("_fp_vec", zero).alias(out))
 
 
+def with_numbers(vector: Column | str, columns: Sequence[str]) -> Column:
+    """An embedding row followed by numeric features, as one array (SCR7)."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    return F.concat(v.cast("array<double>"), F.array(*[F.col(c).cast("double") for c in columns]))
+
+
 # ---------------------------------------------------------------- training (TRN1, TRN3)
 
 def loss_to_estimator(loss: str, hidden: Sequence[int] | None = None):
@@ -213,14 +232,25 @@ def loss_to_estimator(loss: str, hidden: Sequence[int] | None = None):
 
 
 def train(df: DataFrame, features: Sequence[str], label: str, loss: str = "bce",
-          hidden: Sequence[int] | None = None, **params):
+          hidden: Sequence[int] | None = None, invalid: str = "error", **params):
     """Fit an MLlib model for the task the loss names; returns (model, assembler).
 
-    Training is distributed by MLlib (tree aggregation of gradients), not a driver loop."""
+    Training is distributed by MLlib (tree aggregation of gradients), not a driver loop. Rows with a NULL, NaN or infinite
+    feature or label never reach the optimiser: they are an error that names the columns, or left out (``invalid="skip"``)."""
     from pyspark.ml.feature import VectorAssembler
 
-    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    data = vec.transform(df.select(*features, F.col(label).cast("double").alias("label")))
+    if invalid not in ("error", "skip"):
+        raise ScoringError("invalid must be 'error' or 'skip'")
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("label"))
+    good = {c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != F.lit(float("inf"))) for c in [*features, "label"]}
+    if invalid == "error":
+        bad = rows.agg(*[F.count_if(~F.coalesce(g, F.lit(False))).alias(c) for c, g in good.items()]).first().asDict()
+        if any(bad.values()):
+            raise ScoringError(f"rows that cannot train, by column: { {c: n for c, n in bad.items() if n} }")
+    else:
+        rows = rows.where(reduce(lambda a, b: a & b, good.values()))
+    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    data = vec.transform(rows)
     if hidden:
         n_classes = int(data.agg(F.max("label")).first()[0]) + 1
         params["layers"] = [len(features), *hidden, n_classes]

@@ -30,7 +30,7 @@ def stratified_split(df: DataFrame, target: str, order_by: str, train_tenths: in
     return ranked.withColumn(out, split).drop("_fp_rn")
 
 
-def hash_split(df: DataFrame, key: str, weights: Sequence[int] = (8, 2), names: Sequence[str] | None = None,
+def hash_split(df: DataFrame, key: str | Sequence[str], weights: Sequence[int] = (8, 2), names: Sequence[str] | None = None,
                out: str = "split", method: str = "md5") -> DataFrame:
     """Deterministic split by a hash of ``key`` mod 10: the same entity always lands on one side.
 
@@ -38,13 +38,18 @@ def hash_split(df: DataFrame, key: str, weights: Sequence[int] = (8, 2), names:
     training/validation/test. ``method="md5"`` gives the same buckets as SQL engines
     (``conv(substr(md5(key), 1, 8), 16, 10)``); ``"xxhash64"`` is the cheaper JVM hash.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    if len(keys) > 1:  # the keys' texts together; the separator keeps (1, 23) and (12, 3) apart
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    else:
+        key = F.col(keys[0])
     if sum(weights) != 10:
         raise ValueError("weights are tenths and must sum to 10")
     names = list(names or [TRAIN, VALID, TEST][: len(weights)])
     if method == "md5":
         b = md5_bucket(key, 10)
     elif method == "xxhash64":
-        b = F.pmod(F.xxhash64(F.col(key)), F.lit(10))
+        b = F.pmod(F.xxhash64(key), F.lit(10))
     else:
         raise ValueError("method must be 'md5' or 'xxhash64'")
     # bucket < w0 -> names[0], < w0+w1 -> names[1], ..., else the last name

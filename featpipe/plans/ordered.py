@@ -346,6 +346,26 @@ def lag(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Col
                     F.when(F.col("_fp_first"), F.col("_fp_prev")).otherwise(F.col("_fp_lag")).alias(out))
 
 
+def lead(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column], col: str, out: str,
+         n_buckets: int | None = None, split: Split | None = None) -> DataFrame:
+    """Exact LEAD(col) OVER (PARTITION BY .. ORDER BY ..), cut like ``lag``."""
+    partition_by = list(partition_by)
+    first = order_by[0]
+    order = _order_cols(order_by)
+    split = split or plan_split(df, partition_by, first, n_buckets)
+    if split.heavy == []:
+        return df.select("*", F.lead(F.col(col)).over(Window.partitionBy(*partition_by).orderBy(*order)).alias(out))
+    x, pkeys = _key_surrogates(_cut(df, split, first), partition_by)
+    keys = pkeys + [_B]
+    wl = Window.partitionBy(*keys).orderBy(*order)
+    local = x.select("*", F.lead(F.col(col)).over(wl).alias("_fp_lead"), F.lead(F.lit(1)).over(wl).isNull().alias("_fp_last"))
+    heads = x.where(_H).groupBy(*keys).agg(F.min_by(F.col(col), F.struct(*order)).alias("_fp_head"))
+    after = heads.select(*keys, F.lead("_fp_head").over(Window.partitionBy(*pkeys).orderBy(_B)).alias("_fp_next"))
+    j = local.join(after, on=keys, how="left")
+    return j.select(*[F.col(c) for c in df.columns],
+                    F.when(F.col("_fp_last"), F.col("_fp_next")).otherwise(F.col("_fp_lead")).alias(out))
+
+
 def collapsed(raw: DataFrame, groups: Sequence[str], value: str, sums: dict[str, Column], n_buckets: int | None = None,
               descending: bool = False) -> DataFrame:
     """``(groups, value, sums)`` with one row per distinct value, cut into ranges of ``value`` and ready for ``running``.

@@ -38,6 +38,7 @@ def query(name: str, ids: str, oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     # importing the modules fills REGISTRY
     from featpipe.queries import (  # noqa: F401
+        q_contracts,
         q_features,
         q_metrics,
         q_relational,

@@ -10,6 +10,7 @@ from featpipe.functions.hashing import hash_bucket
 from featpipe.operators import features as FE
 from featpipe.operators import splits
 from featpipe.operators.feature_graph import FeaturePipeline, apply_processors, fit_processors
+from featpipe.plans import ordered
 from featpipe.queries import query
 from featpipe.sources.tables import read_table
 
@@ -134,50 +135,61 @@ def fea4_hash_bucket_numeric(spark, sf_dir):
 @query("fea4_hash_bucket_string_blake2b", "FEA4")
 def fea4_hash_bucket_string_blake2b(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer")
-    return c.select("c_custkey", hash_bucket("c_name", 1000).alias("name_bucket"),
-                    hash_bucket("c_mktsegment", 16).alias("segment_bucket"))
+    return c.select("c_custkey", hash_bucket("c_name", 1000, method="blake2b").alias("name_bucket"),
+                    hash_bucket("c_mktsegment", 16, method="blake2b").alias("segment_bucket"))
 
 
-SEQ_CTE = """seq AS (SELECT user_id, list_slice(list(event_id ORDER BY ts, event_id), 1, 8) AS ids
-                     FROM events GROUP BY user_id)"""
-
-
-def first_events(spark, sf_dir, n=8):
-    """First ``n`` event ids per user in (ts, event_id) order.
+def event_sequences(spark, sf_dir, n=None):
+    """Event ids per user in (ts, event_id) order: all of them, or the operator's first ``n``.
 
     ``row_number() <= n`` lets Spark cut every task to n rows per user before the shuffle
     (a window group limit), so a user with a billion events ships n rows."""
-    e = read_table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    top = e.select("user_id", "ts", "event_id", F.row_number().over(w).alias("rn")).where(F.col("rn") <= n)
-    seq = top.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rn", "event_id"))).alias("s"))
+    e = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    if n is not None:
+        w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        e = e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
+    seq = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s"))
     return seq.select("user_id", F.transform("s", lambda x: x["event_id"]).alias("ids"))
 
 
-@query("fea5_hash_and_pad_sequences", "FEA5", oracle=f"""
-WITH {SEQ_CTE}
+@query("fea5_hash_and_pad_sequences", "FEA5", oracle="""
+WITH seq AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY user_id)
 SELECT user_id, list_slice(list_concat(list_transform(ids, lambda x: ((x % 100) + 100) % 100),
                                        [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]), 1, 12) AS hashed
 FROM seq
 """)
 def fea5_hash_and_pad_sequences(spark, sf_dir):
-    s = first_events(spark, sf_dir)
+    s = event_sequences(spark, sf_dir, n=12)  # the operator's max_length: later items never enter its result
     return s.select("user_id", FE.hash_and_pad("ids", 100, 12, 0, numeric=True).alias("hashed"))
 
 
-@query("fea6_sequence_shift", "FEA6", oracle=f"""
-WITH {SEQ_CTE}
+@query("fea6_sequence_shift", "FEA6", oracle="""
+WITH seq AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY user_id)
 SELECT user_id,
        CASE WHEN len(ids) = 0 THEN ids ELSE list_concat(list_slice(ids, 2, len(ids)), [0]) END AS shifted_left,
        CASE WHEN len(ids) = 0 THEN ids ELSE list_concat([9], list_slice(ids, 1, len(ids) - 1)) END AS shifted_right
 FROM seq
 """)
 def fea6_sequence_shift(spark, sf_dir):
-    s = first_events(spark, sf_dir)
+    s = event_sequences(spark, sf_dir)
     return s.select("user_id", FE.sequence_shift("ids", "left", 0).alias("shifted_left"),
                     FE.sequence_shift("ids", "right", 9).alias("shifted_right"))
 
 
+@query("fea6_sequence_shift_by_rows", "FEA6 WIN3", oracle="""
+SELECT user_id, event_id, COALESCE(LEAD(event_id) OVER w, 0) AS next_id, COALESCE(LAG(event_id) OVER w, 9) AS previous_id
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def fea6_sequence_shift_by_rows(spark, sf_dir):
+    """The shift without arrays: a user's sequence may be longer than a row can hold."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    split = ordered.plan_split(e, ["user_id"], "ts")
+    x = ordered.lead(e, ["user_id"], ["ts", "event_id"], "event_id", "next_id", split=split)
+    x = ordered.lag(x, ["user_id"], ["ts", "event_id"], "event_id", "previous_id", split=split)
+    return x.select("user_id", "event_id", F.coalesce("next_id", F.lit(0)).alias("next_id"),
+                    F.coalesce("previous_id", F.lit(9)).alias("previous_id"))
+
+
 @query("fea8_label_encode_unseen_names", "FEA7 FEA8 FEA20 WIN2", oracle=f"""
 WITH train AS (SELECT DISTINCT c_name FROM customer WHERE {_TRAIN_MD5.format(k='c_custkey')}),
 vocab AS (SELECT c_name, ROW_NUMBER() OVER (ORDER BY c_name NULLS LAST) - 1 AS idx FROM train)

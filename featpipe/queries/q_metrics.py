@@ -36,14 +36,23 @@ def scored_orders(spark, sf_dir):
         "score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z")))).withColumn("pred", M.predicted_class("score"))
 
 
-# multi-class: embeddings label vs the largest of the first 10 components
-MULTI_CTE = """multi AS (SELECT vec_id, label,
-    list_position(list_slice(embedding, 1, 10), list_max(list_slice(embedding, 1, 10))) - 1 AS pred FROM embeddings)"""
+# multi-class: ten class scores from all 64 components (class k sums the components i with i % 10 = k)
+CLASS_SCORES_SQL = ("list_transform(range(0, 10), lambda k: list_sum(list_transform(list_filter(range(1, len(embedding) + 1), "
+                    "lambda i: (i - 1) % 10 = k), lambda i: CAST(embedding[i] AS DOUBLE))))")
+MULTI_CTE = f"""zs AS (SELECT vec_id, label, {CLASS_SCORES_SQL} AS z FROM embeddings),
+multi AS (SELECT vec_id, label, list_position(z, list_max(z)) - 1 AS pred FROM zs)"""
+
+
+def class_scores(c="embedding"):
+    def total(k):
+        return F.aggregate(F.filter(c, lambda x, i: i % 10 == k), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    return F.array(*[total(k) for k in range(10)])
 
 
 def multi_preds(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", M.predicted_class(probs=F.slice("embedding", 1, 10)).alias("pred"))
+    return e.select("vec_id", "label", M.predicted_class(probs=class_scores()).alias("pred"))
 
 
 # regression: extended price predicted as quantity * retail price
@@ -260,19 +269,32 @@ def met15_losses(spark, sf_dir):
     return _r(m)
 
 
-@query("met15_cross_entropy_multiclass", "MET15", oracle="""
-WITH t AS (SELECT label, list_transform(list_slice(embedding, 1, 10), lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+@query("met15_cross_entropy_multiclass", "MET15", oracle=f"""
+WITH t AS (SELECT label, {CLASS_SCORES_SQL} AS z FROM embeddings),
 l AS (SELECT label, z, list_max(z) AS m FROM t)
-SELECT round(AVG(m + ln(list_sum(list_transform(z, lambda v: exp(v - m)))) - z[label + 1]), 9) AS cross_entropy
+SELECT round(AVG(m + ln(list_sum(list_transform(z, lambda v: exp(v - m)))) - z[label + 1]), 8) AS cross_entropy
 FROM l
 """)
 def met15_cross_entropy_multiclass(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    z = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
-    return _r(e.select(z.alias("z"), "label").agg(F.avg(M.cross_entropy("z", "label")).alias("cross_entropy")))
+    return _r(e.select(class_scores().alias("z"), "label").agg(F.avg(M.cross_entropy("z", "label")).alias("cross_entropy")), 8)
+
+
+@query("met15_nll_multiclass", "MET15", oracle=f"""
+WITH t AS (SELECT label, {CLASS_SCORES_SQL} AS z FROM embeddings),
+l AS (SELECT label, z, list_max(z) AS m FROM t),
+p AS (SELECT label, list_transform(z, lambda v: v - m - ln(list_sum(list_transform(z, lambda u: exp(u - m))))) AS lp FROM l)
+SELECT label, round(AVG(-lp[label + 1]), 8) AS nll, COUNT(*) AS n FROM p GROUP BY label
+""")
+def met15_nll_multiclass(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings").select("label", class_scores().alias("z"))
+    m = F.array_max("z")
+    norm = m + F.log(F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
+    e = e.select("label", F.transform("z", lambda v: v - norm).alias("lp"))
+    return _r(e.groupBy("label").agg(F.avg(M.nll("lp", "label")).alias("nll"), F.count("*").alias("n")), 8)
 
 
-@query("met16_evaluate_end_to_end", "MET16 SNK5 MET8", oracle=f"""
+@query("met16_evaluate_end_to_end", "MET16 MET8", oracle=f"""
 WITH {SCORED_CTE},
 c AS (SELECT SUM(CASE WHEN label = pred THEN 1 ELSE 0 END)::DOUBLE AS correct, COUNT(*)::DOUBLE AS total,
              SUM(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp,
@@ -304,7 +326,7 @@ def trn2_loss_per_split(spark, sf_dir):
     return _r(s.groupBy("split").agg(F.avg(M.bce_with_logits("z", "label")).alias("loss"), F.count("*").alias("n")))
 
 
-@query("trn3_pretraining_checks", "TRN3 INP2 INP3", oracle="""
+@query("trn3_pretraining_checks", "TRN3 INP3", oracle="""
 SELECT COUNT(*) AS rows, COUNT(DISTINCT o_orderstatus) AS target_distinct,
        COUNT(*) FILTER (WHERE o_orderstatus IS NULL) AS target_nulls,
        COUNT(*) FILTER (WHERE o_totalprice IS NULL) AS o_totalprice_nulls,
@@ -335,7 +357,7 @@ def trn1_fit_logistic_orders(spark, sf_dir):
                                        vector_to_array("probability")[1].alias("probability"))
 
 
-@query("scr1_dense_mlp_embeddings", "SCR1 SCR2 INP1")
+@query("scr1_dense_mlp_embeddings", "SCR1 SCR2")
 def scr1_dense_mlp_embeddings(spark, sf_dir):
     rng = np.random.RandomState(0)
     model = scoring.Dense([("linear", rng.normal(0, 0.1, (64, 16)), np.zeros(16)), ("relu",),
@@ -354,17 +376,18 @@ def scr5_argmax_class_embeddings(spark, sf_dir):
 
 
 @query("scr7_embedding_lookup", "SCR7", oracle="""
-SELECT l.doc_id, l.quality,
-       COALESCE(list_transform(list_slice(e.embedding, 1, 4), lambda x: round(CAST(x AS DOUBLE), 6)),
-                [0.0, 0.0, 0.0, 0.0]) AS emb4
-FROM labels l LEFT JOIN embeddings e ON l.doc_id = e.vec_id
+WITH j AS (SELECT l.doc_id, l.quality, l.toxic,
+       COALESCE(list_transform(e.embedding, lambda x: round(CAST(x AS DOUBLE), 6)),
+                list_transform(range(64), lambda x: CAST(0.0 AS DOUBLE))) AS emb
+FROM labels l LEFT JOIN embeddings e ON l.doc_id = e.vec_id)
+SELECT doc_id, emb, list_concat(emb, [CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE)]) AS features FROM j
 """)
 def scr7_embedding_lookup(spark, sf_dir):
     lab, emb = read_table(spark, sf_dir, "labels"), read_table(spark, sf_dir, "embeddings")
-    table = emb.select("vec_id", F.slice("embedding", 1, 4).alias("vec"))
-    j = scoring.embedding_lookup(lab.select("doc_id", "quality"), "doc_id", table, "vec_id", "vec", "emb", 4)
-    return j.select("doc_id", "quality",
-                    F.transform("emb", lambda x: round_to(x.cast("double"), 6)).alias("emb4"))
+    table = emb.select("vec_id", F.col("embedding").alias("vec"))
+    j = scoring.embedding_lookup(lab.select("doc_id", "quality", "toxic"), "doc_id", table, "vec_id", "vec", "emb", 64)
+    j = j.withColumn("emb", F.transform("emb", lambda x: round_to(x.cast("double"), 6)))
+    return j.select("doc_id", "emb", scoring.with_numbers("emb", ["quality", "toxic"]).alias("features"))
 
 
 @query("inp4_shape_check_embeddings", "INP4 FEA2", oracle="""

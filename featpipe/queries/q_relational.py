@@ -214,7 +214,7 @@ def jn7_dependent_row_removal(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("src13_parquet_join_csv", "SRC13 SRC1 SRC2", oracle="""
+@query("src13_parquet_join_csv", "SRC13 SRC2", oracle="""
 SELECT c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 """)
 def src13_parquet_join_csv(spark, sf_dir):
@@ -404,7 +404,7 @@ def srt3_union_all_names_sorted(spark, sf_dir):
         r.select(F.col("r_name").alias("name"), F.lit("region").alias("kind"))).orderBy("kind", "name")
 
 
-@query("srt4_percentage_sample", "SRT4 INP2")
+@query("srt4_percentage_sample", "SRT4")
 def srt4_percentage_sample(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
     return li.sample(withReplacement=False, fraction=0.1, seed=7).select("l_orderkey", "l_quantity")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featpipe.functions.columns import round_to
 from featpipe.operators import profile
 from featpipe.queries import query
 from featpipe.sources import files
-from featpipe.sources.tables import read_table
+from featpipe.sources.tables import TABLES, read_table
 
 
 def _r(df, digits=9):
@@ -51,17 +53,11 @@ def prf2_target_analysis_text(spark, sf_dir):
     return profile.target_analysis(read_table(spark, sf_dir, "documents"), "lang")
 
 
-@query("prf7_row_counts", "PRF7", oracle="""
-SELECT 'orders' AS table_name, COUNT(*) AS row_count FROM orders
-UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem UNION ALL SELECT 'events', COUNT(*) FROM events
-UNION ALL SELECT 'documents', COUNT(*) FROM documents
-""")
+@query("prf7_row_counts", "PRF7", oracle="\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in TABLES))
 def prf7_row_counts(spark, sf_dir):
-    out = None
-    for t in ("orders", "lineitem", "events", "documents"):
-        c = profile.row_count(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "row_count")
-        out = c if out is None else out.unionByName(c)
-    return out
+    counts = [profile.row_count(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "row_count") for t in TABLES]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("src5_parquet_glob_read", "SRC5", oracle="""

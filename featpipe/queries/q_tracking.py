@@ -17,7 +17,7 @@ def _events(spark, sf_dir):
     return read_table(spark, sf_dir, "events")
 
 
-@query("trk1_latest_version_per_name", "TRK1 TRK11", oracle="""
+@query("trk1_latest_version_per_name", "TRK1", oracle="""
 SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus,
        arg_max(o_orderdate, o_orderkey) AS o_orderdate
 FROM orders GROUP BY o_custkey
@@ -39,11 +39,11 @@ def trk2_next_version(spark, sf_dir):
 
 
 @query("trk3_list_filtered_newest_first", "TRK3 SRT1", oracle="""
-SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC LIMIT 20
+SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 20
 """)
 def trk3_list_filtered_newest_first(spark, sf_dir):
     e = _events(spark, sf_dir)
-    return TR.list_filtered(e, {"event_type": "error"}, "ts", 20).select("event_id", "user_id", "ts")
+    return TR.list_filtered(e, {"event_type": "error"}, "ts", 20, tie="event_id").select("event_id", "user_id", "ts")
 
 
 @query("trk4_metric_history_by_step", "TRK4", oracle="""

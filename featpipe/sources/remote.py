@@ -37,12 +37,9 @@ def read_iceberg(spark: SparkSession, table_or_path: str) -> DataFrame:
 def read_jdbc(spark: SparkSession, url: str, query: str | None = None, table: str | None = None,
               properties: dict | None = None, partition_column: str | None = None,
               lower: int | None = None, upper: int | None = None, num_partitions: int | None = None) -> DataFrame:
-    """A warehouse table or query over JDBC; a partition column splits the read."""
-    r = spark.read.format("jdbc").option("url", url)
-    if query:
-        r = r.option("query", query)
-    else:
-        r = r.option("dbtable", table)
+    """A warehouse table or query over JDBC; a partition column splits the read (a query then enters as a derived
+    table, for Spark refuses its ``query`` option together with a partition column)."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) fp_q" if query else table)
     for k, v in (properties or {}).items():
         r = r.option(k, v)
     if partition_column:
