@@ -57,6 +57,16 @@ def _pattern() -> str:
 PATTERN = _pattern()
 
 
+# every entity holds one of these characters or strings: texts without any are not searched
+_SIGN = "[0-9@=:]"
+_SIGNS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", *sorted(t for t in MALE + FEMALE if not any(o != t and o in t for o in MALE + FEMALE))]
+
+
+def may_hold(text: Column) -> Column:
+    """False only for texts that hold no entity."""
+    return reduce(lambda out, sign: out | text.contains(sign), _SIGNS, text.rlike(_SIGN))
+
+
 def _kind(m: Column) -> Column:
     out = F.lit("person")
     for k, p in reversed([x for x in KINDS.items() if x[0] != "person"]):
@@ -85,7 +95,8 @@ def entities(text: Column) -> Column:
             x["kind"].alias("kind"), x["lead"].alias("lead"), F.substr(m, F.length(x["lead"]) + 1).alias("value"),
             _canonical(x["kind"], F.substr(m, F.length(x["lead"]) + 1)).alias("canonical")))[0]
 
-    return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), parts)
+    found = F.when(may_hold(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return F.transform(F.coalesce(found, F.array().cast("array<string>")), parts)
 
 
 def _byte(digest: Column, i) -> Column:
@@ -193,7 +204,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", rounds: int
             again, ["kind", "canonical"], "left").groupBy("__p_r").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("attempt", F.lit(0)).alias("a")))), lambda x: x["a"]).alias("__p_a"))
         rows = rows.join(drawn, "__p_r", "left")
-    rows = bound(rows, __p_n=F.size("__p_e"), __p_g=F.split(F.coalesce("__p_t", F.lit("")), PATTERN, -1))
+    rows = bound(rows, __p_n=F.size("__p_e"), __p_g=F.when(F.size("__p_e") > 0, F.split("__p_t", PATTERN, -1)))
     new = F.zip_with("__p_e", "__p_a", lambda e, a: F.concat(e["lead"], surrogate(e, key, a)))
     whole = F.array_join(F.zip_with("__p_g", F.concat(new, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
     out = F.when(F.col("__p_n") > 0, whole).otherwise(F.col("__p_t"))
