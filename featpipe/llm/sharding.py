@@ -3,8 +3,9 @@
 The unit that is placed is a group of equal texts. Each group goes to the shard where the dot product of
 its (bytes, tokens, rows) vector with the shard's residual capacity is highest, large groups first.
 
-* A group above ``max_share`` of a shard's capacity in any dimension is split into pieces by a hash of the row key
-  (otherwise no balance exists when one text makes up a third of all rows). At most 3 * shards / max_share groups are that large.
+* A group above ``max_share`` of a shard's capacity in any dimension is split by a hash of the row key into pieces of about
+  1/``PIECES`` of a capacity (otherwise no balance exists when one text makes up a third of all rows). At most
+  3 * shards / max_share groups are that large.
 * Groups above 1/``HEAVY`` of a capacity are packed first, on the driver: at most 3 * HEAVY * shards of them can exist.
 * All other groups are dealt by hash into blocks of about ``block_groups``; each block is packed in its own task against
   its part of the capacity the heavy groups left. Blocks rotate the order of shards, so that what one block leaves
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from featpipe.llm.common import WORD, stored
 
 HEAVY = 64
+PIECES = 16
 ROW_BYTES = 16  # what a row costs besides its text
 DIMS = ["bytes", "tokens", "rows"]
 WEIGHTS = np.array([3.0, 1.0, 1.0])  # of the dimensions in the dot product: sizes matter most
@@ -66,7 +68,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", text:
         return df.groupBy(*by).agg(F.sum("size").alias("bytes"), F.sum("n_tok").alias("tokens"), F.count("*").alias("rows"))
 
     # at most 3 * shards / max_share groups, so a broadcast is safe
-    split = sums(rows, "k").where(share > max_share).select("k", F.ceil(share / max_share).cast("int").alias("pieces"))
+    split = sums(rows, "k").where(share > max_share).select("k", F.ceil(share * PIECES).cast("int").alias("pieces"))
     rows = rows.join(F.broadcast(split), "k", "left").withColumn(
         "piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("pieces"))).cast("int"))
     groups = stored(sums(rows, "k", "piece"), "shard-groups")
