@@ -179,11 +179,21 @@ def fit(rows: DataFrame, flagged: list[str], bad: str = "bad", bins: int = 32, m
         p, n = held[f"p{k}"], held[f"n{k}"]
         if p < max(1.0, least * total / 3) or p < precision * (p + n):
             break
-        rules.append(rule[: k + 1])
+        rules.append(_strictest(rule[: k + 1]))
         seen = seen | _all(rules[-1])
     return DecisionList(rules, flagged)
 
 
+def _strictest(rule: list[Literal]) -> list[Literal]:
+    """Of several bounds on the same side of a feature only the strictest says anything."""
+    out: dict[tuple[str, bool], Literal] = {}
+    for x in rule:
+        old = out.get((x.feature, x.above))
+        if old is None or (x.threshold > old.threshold) == x.above:
+            out[x.feature, x.above] = x
+    return list(out.values())
+
+
 def _best_literal(counts, grid) -> tuple[Literal, int] | None:
     """The condition of the highest information gain, and the clean rows it still covers."""
     by: dict[int, dict[int, tuple[int, int]]] = {}

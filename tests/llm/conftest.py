@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-WORDS = [f"{a}{b}" for a in "ba de fi go hu ka le mi no pu ra se ti vo xu".split() for b in "ban del fin gor hum kas lem min nor pus".split()]
+_A, _B = "ba de fi go hu ka le mi no pu ra se ti vo xu".split(), "ban del fin gor hum kas lem min nor pus".split()
+WORDS = [f"{a}{b}" for a in _A for b in _B] + [f"{b}{a}{b[1:]}" for a in _A[:8] for b in _B] + [a + c for a in _A for c in "nrs"]
 
 
 @pytest.fixture(scope="session")
