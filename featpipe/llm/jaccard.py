@@ -185,8 +185,10 @@ def _chains(percent: int, parts: int):
                 name = names[who]
                 starts = np.append(True, ~meets)
                 ends = np.append(~meets, True)
-                rows = [(-1, name[:-1][meets].tobytes(), name[1:][meets].tobytes(), b"", b"")]
                 t, low, high, rep = tok[starts], size[starts], size[ends], name[starts]
+                # a run of fitting sizes is one group: all its sets join the first one, so that paths stay short
+                inner = ~starts
+                rows = [(-1, name[inner].tobytes(), rep[np.cumsum(starts) - 1][inner].tobytes(), b"", b"")]
                 rows += [(b, t[i].tobytes(), low[i].tobytes(), high[i].tobytes(), rep[i].tobytes()) for b, i in _dealt(t, parts)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(5)],
@@ -206,7 +208,8 @@ def _meet(percent: int):
         group = np.cumsum(np.append(0, ~same)).astype(np.int64)
         reach = np.maximum.accumulate(group * (1 << 40) + high) - group * (1 << 40)
         on = same & _fits(reach[:-1], low[1:], percent)
-        edges = np.stack([rep[:-1][on], rep[1:][on]], 1)
+        starts = np.append(True, ~on)
+        edges = np.stack([rep, rep[starts][np.cumsum(starts) - 1]], 1)
         edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
         return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
