@@ -20,6 +20,7 @@ How it is spread out:
 
 from __future__ import annotations
 
+import math
 import pickle
 from functools import reduce
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from featpipe.llm.common import buckets, mix, word_hashes
 
-CHUNK = 24 << 20  # characters of a chunk
-SLICE = 3 << 20  # characters tokenised at once
+CHUNK = 12 << 20  # characters of a chunk
+SLICE = 1 << 20  # characters tokenised at once
 END, START = np.uint64(0x1D0C5E4D), np.uint64(0x57A27)  # fixed values: the text end as a word, the text start as a context
 STRENGTH = 1.0  # concentration of all restaurants
 EXACT = 64  # customers of one word in one restaurant that are seated singly; beyond, sixteenths of them together
@@ -68,29 +69,42 @@ def _chunks(grid: int):
 
     def pack(number, ids, held, hashes, counts):
         n_docs = len(ids)
-        doc = np.repeat(np.arange(n_docs), np.array(counts) + 1)
-        word = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        ends = np.cumsum(np.array(counts) + 1) - 1
-        token = np.empty(len(doc), np.uint64)
-        inner = np.ones(len(doc), bool)
+        lengths = np.array(counts, np.int64) + 1
+        ends = np.cumsum(lengths) - 1
+        token = np.full(int(lengths.sum()), END, np.uint64)
+        inner = np.ones(len(token), bool)
         inner[ends] = False
-        token[inner], token[ends] = word, END
-        context = np.empty(len(doc), np.uint64)
+        at = np.flatnonzero(inner)
+        del inner
+        done = 0
+        while hashes:  # each slice is freed as it is put in its place
+            h = hashes.pop(0)
+            token[at[done : done + len(h)]] = h
+            done += len(h)
+        del at
+        context = np.empty_like(token)
         context[1:], context[0] = token[:-1], START
         context[ends[:-1] + 1] = START
-        cell = (mix(context) % np.uint64(grid)).astype(np.int32) * grid + (mix(token) % np.uint64(grid)).astype(np.int32)
-        order = np.argsort(cell, kind="stable")
-        spans = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)
+        cell = (mix(context) % np.uint64(grid)).astype(np.int32)
+        cell *= grid
+        cell += (mix(token) % np.uint64(grid)).astype(np.int32)
+        order = np.argsort(cell, kind="stable").astype(np.int32)
+        cell = cell[order]
+        token, context = token[order], context[order]
+        doc = np.repeat(np.arange(n_docs, dtype=np.int32), lengths)[order]
+        del order
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
         meta = (ids, np.array(held, bool), np.array(counts, np.int64) + 1)
-        for k, i in enumerate(spans):
-            us, u = np.unique(context[i], return_inverse=True)
-            ws, w = np.unique(token[i], return_inverse=True)
-            by = np.argsort(w.astype(np.int64) * len(us) + u, kind="stable")
-            pair = (w.astype(np.int64) * len(us) + u)[by]
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            us, u = np.unique(context[i:j], return_inverse=True)
+            ws, w = np.unique(token[i:j], return_inverse=True)
+            pair = w.astype(np.int64) * len(us) + u
+            by = np.argsort(pair, kind="stable")
+            pair = pair[by]
             starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             kept = pair[starts]
-            yield int(cell[i[0]]), (number, n_docs, meta if k == 0 else None, np.packbits(held).tobytes(), squeeze(
-                us, ws, np.bincount(kept // len(us), minlength=len(ws)), kept % len(us), np.diff(np.append(starts, len(pair))), doc[i][by]))
+            yield int(cell[i]), (number, n_docs, meta if k == 0 else None, np.packbits(held).tobytes(), squeeze(
+                us, ws, np.bincount(kept // len(us), minlength=len(ws)), kept % len(us), np.diff(np.append(starts, len(pair))), doc[i:j][by]))
 
     def run(rows):
         part = TaskContext.get().partitionId()
@@ -131,15 +145,18 @@ class Cell:
         self.us, self.ws = (np.unique(np.concatenate([p[k] for p in parts])) for k in (0, 1))
         pairs, counts, self.runs = [], [], []
         for blob, (us, ws, per_word, u, run, doc) in zip(self.blobs, parts, strict=True):
-            w = np.repeat(np.arange(len(ws)), per_word)
-            pairs.append(np.searchsorted(self.ws, ws)[w] * len(self.us) + np.searchsorted(self.us, us)[u])
+            w = np.repeat(np.searchsorted(self.ws, ws), per_word)
+            pairs.append(w * len(self.us) + np.searchsorted(self.us, us)[u])
             out = np.unpackbits(np.frombuffer(blob[3], np.uint8))[: blob[1]].astype(bool)
-            counts.append(np.add.reduceat((~out[doc]).astype(np.int64), np.append(0, np.cumsum(run)[:-1])))
-            self.runs.append((run, doc))
-        every, self.code = np.unique(np.concatenate(pairs), return_inverse=True)
+            counts.append(np.add.reduceat((~out[doc]).astype(np.int32), np.append(0, np.cumsum(run)[:-1])))
+            self.runs.append((run.astype(np.int32), doc.astype(np.int32)))
+        del parts
         self.cuts = np.cumsum([len(p) for p in pairs])[:-1]
-        self.u, self.w = every % len(self.us), every // len(self.us)
+        every, code = np.unique(np.concatenate(pairs), return_inverse=True)
+        del pairs
+        self.code = code.astype(np.int32)
         self.c = np.bincount(self.code, np.concatenate(counts), len(every)).astype(np.int64)
+        self.u, self.w = every % len(self.us), every // len(self.us)
         self.several = np.flatnonzero(self.c > 1)
 
     def sums(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +375,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_o
     """
     spark = docs.sparkSession
     parts = buckets(spark)
-    grid = max(1, int(parts**0.5))
+    grid = math.ceil((2 * parts) ** 0.5)
     cells, owners = grid * grid, parts
     rows = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").cast("string").alias("text")).select(
         key, F.coalesce(F.expr(held_out.format(key=f"`{key}`")), F.lit(False)).alias("held"), "text")
