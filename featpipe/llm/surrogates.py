@@ -108,20 +108,23 @@ def _choose(items: list[str], byte: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in items]), F.pmod(byte, F.lit(len(items))))
 
 
-def _respell(value: Column, digest: Column, digits: str = "[0-9]", keep: str | None = None) -> Column:
-    """The value with the i-th of its letters and digits replaced by the digest's i-th of the same class."""
-    alphabets = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-                 ("[а-яё]", "абвгдежзиклмнопрстуфхцчшэюя"), ("[А-ЯЁ]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
-                 ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")]
+# fixed values: what a letter or digit may become
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя",
+             "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρςστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+
+
+def _respell(value: Column, digest: Column) -> Column:
+    """The value with the i-th of its letters and digits replaced by the digest's i-th of the same alphabet; others stay."""
     hexadecimal = value.rlike("^(?=.*[a-f])[0-9a-f]{16,}$")
 
     def step(acc, c):
-        b = _byte(digest, acc["i"])
-        out = c
-        for pattern, letters in reversed(alphabets):
-            out = F.when(c.rlike(pattern), F.substr(F.lit(letters), F.pmod(b, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
-        out = F.when(hexadecimal, F.substr(F.lit("0123456789abcdef"), F.pmod(b, F.lit(16)) + 1, F.lit(1))).otherwise(out)
-        return F.struct(F.concat(acc["s"], out).alias("s"), (acc["i"] + c.rlike(r"[\p{L}\p{N}]").cast("int")).alias("i"))
+        def pick(letters):
+            return F.substr(letters, F.pmod(_byte(digest, acc["i"]), F.length(letters)) + 1, F.lit(1))
+
+        alphabet = F.when(hexadecimal, F.lit("0123456789abcdef")).otherwise(
+            F.get(F.filter(F.array(*[F.lit(x) for x in ALPHABETS]), lambda x: F.contains(x, c)), F.lit(0)))
+        return F.struct(F.concat(acc["s"], F.coalesce(pick(alphabet), c)).alias("s"),
+                        (acc["i"] + c.rlike(r"[\p{L}\p{N}]").cast("int")).alias("i"))
 
     return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), step, lambda a: a["s"])
 
@@ -143,19 +146,21 @@ def surrogate(e: Column, key: str, attempt: Column) -> Column:
     seed = F.concat_ws("\x1f", F.lit(key), e["kind"], e["canonical"], attempt.cast("string"))
 
     def make(digest):
-        spelled = _respell(e["value"], digest)
-        # quads of 1 to 254, the top level of a mail domain kept, check digits kept valid, area codes from 2 on
-        quad = F.concat_ws(".", *[(F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string") for i in range(4)])
-        mail = F.concat(_respell(F.regexp_extract(F.lower(e["value"]), r"^(.*)\.[^.]*$", 1), digest),
-                        F.regexp_extract(e["value"], r"\.[^.]*$", 0))
-        body = F.substr(spelled, F.lit(1), F.length(spelled) - 1)
-        checked = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))),
-                           lambda s: F.call_function("luhn_check", F.regexp_replace(s, "[ -]", ""))), F.lit(0))
-        card = F.when(F.call_function("luhn_check", F.regexp_replace(e["value"], "[ -]", "")), checked).otherwise(spelled)
-        area = F.regexp_replace(spelled, r"(?<=^\(?)[01]", "2")
-        return F.when(e["kind"] == "address", quad).when(e["kind"] == "email", mail).when(e["kind"] == "card", card).when(
-            e["kind"] == "phone", area).when(
-            e["kind"] == "person", _person(e["lead"], e["value"], digest)).otherwise(spelled)
+        def of(spelled):  # bound once: every kind below starts from it
+            # quads of 1 to 254, the top level of a mail domain kept, check digits kept valid, area codes from 2 on
+            quad = F.concat_ws(".", *[(F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string") for i in range(4)])
+            mail = F.concat(F.lower(F.regexp_extract(spelled, r"^(.*)\.[^.]*$", 1)), F.regexp_extract(e["value"], r"\.[^.]*$", 0))
+            body = F.substr(spelled, F.lit(1), F.length(spelled) - 1)
+            checked = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))),
+                                     lambda s: F.call_function("luhn_check", F.regexp_replace(s, "[ -]", ""))), F.lit(0))
+            card = F.when(F.call_function("luhn_check", F.regexp_replace(e["value"], "[ -]", "")), checked).otherwise(spelled)
+            area = F.regexp_replace(spelled, r"(?<=^\(?)[01]", "2")
+            return F.when(e["kind"] == "address", quad).when(e["kind"] == "email", mail).when(e["kind"] == "card", card).when(
+                e["kind"] == "phone", area).when(e["kind"] == "person", _person(e["lead"], e["value"], digest)).otherwise(spelled)
+
+        # mail addresses differ in case without being different
+        own = F.when(e["kind"] == "email", F.lower(e["value"])).otherwise(e["value"])
+        return F.transform(F.array(_respell(own, digest)), of)[0]
 
     return F.transform(F.array(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\x1f+")), 256))), make)[0]
 
