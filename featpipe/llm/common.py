@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,12 +66,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             w = t.encode("utf-8", "surrogatepass").lower().split()
             counts[i] = len(w)
             words += w
-    if not words:
-        return np.empty(0, np.uint64), counts
-    arr = np.empty(len(words), object)
-    arr[:] = words
-    codes, uniq = pd.factorize(arr)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(u) for u in uniq), np.uint64, len(uniq))
+    known: dict[bytes, int] = {}
+    put = known.setdefault
+    codes = np.fromiter((put(w, len(known)) for w in words), np.int32, len(words))
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
     return h[codes], counts
 
 
@@ -92,19 +89,6 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def slices(pdf: pd.DataFrame, column: str, limit: int):
-    """Parts of a batch of at most ``limit`` characters in ``column`` (one longer text stands alone)."""
-    size = pdf[column].str.len().fillna(0).to_numpy()
-    start, total = 0, 0
-    for i, s in enumerate(size):
-        if total and total + s > limit:
-            yield pdf.iloc[start:i]
-            start, total = i, 0
-        total += s
-    if start < len(pdf):
-        yield pdf.iloc[start:]
-
-
 def buckets(spark: SparkSession) -> int:
     """How many parts packed rows are dealt into: as many as the session's shuffles have."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import pickle
-from functools import reduce
 
 import numpy as np
 import zstandard
@@ -269,39 +268,53 @@ class Owner:
 
 
 def _changes(owners: int, model: dict, totals: list):
-    """A sweep's additions to the first report, to the owners."""
+    """All sweeps' additions to the first report, to the owners."""
 
     def run(number, blobs, answers):
         cell = Cell(blobs)
-        t = _sweeps(cell, number, _read(cell, answers, owners), totals, model)[-1]
-        tables, customers = cell.sums(t - np.minimum(cell.c, 1))
-        rows = {}
-        for k, (names, add) in enumerate(((cell.us, tables), (cell.ws, customers))):
-            for o, i in _by_owner(names, owners):
-                on = np.flatnonzero(add[i])
-                rows.setdefault(o, [np.empty(0, np.int64)] * 4)[2 * k : 2 * k + 2] = [on, add[i][on]]
-        for o, x in rows.items():
-            yield o, (number, squeeze(*x))
+        first = np.minimum(cell.c, 1)
+        for sweep, t in enumerate(_sweeps(cell, number, _read(cell, answers, owners), totals, model)[1:], 1):
+            rows = {}
+            for k, (names, add) in enumerate(zip((cell.us, cell.ws), cell.sums(t - first), strict=True)):
+                for o, i in _by_owner(names, owners):
+                    on = np.flatnonzero(add[i])
+                    rows.setdefault(o, [np.empty(0, np.int64)] * 4)[2 * k : 2 * k + 2] = [on, add[i][on]]
+            for o, x in rows.items():
+                yield o, (number, sweep, squeeze(*x))
 
     return run
 
 
-def _answer(owner: Owner, number: int, sweep: int, changes: list, model: dict, totals: dict | None):
-    """Per cell: the totals of its words (contexts: tokens seen, tables; words: count, customers and tables at the root)."""
-    tables, customers = owner.after(changes)
-    root = owner.seated(number, sweep, customers, model, totals)
-    for r in owner.reports:
-        n = r[0]
-        u, w = owner.at[0].get(n, np.empty(0, np.int64)), owner.at[1].get(n, np.empty(0, np.int64))
-        first = [owner.seen[u], owner.uni[w]] if sweep == 0 else []
-        yield n, (sweep, number, squeeze(tables[u], customers[w], root[w], *first))
+def _seatings(owner: Owner, number: int, changes: list, model: dict, totals: list):
+    """(tables of contexts, customers of words, the root's tables) at first and after each sweep; ``totals`` are those
+    known: of every sweep but possibly the last."""
+    by: dict = {}
+    for n, sweep, data in changes:
+        by.setdefault(sweep, []).append((n, data))
+    for sweep in range(max([0, *by]) + 1):
+        tables, customers = owner.after(by.get(sweep, []))
+        yield tables, customers, owner.seated(number, sweep, customers, model, totals[sweep - 1] if sweep else None)
+
 
+def _answer(owner: Owner, number: int, changes: list, model: dict, totals: list):
+    """Per cell: for every sweep so far the totals of its words (contexts: tables and, once, tokens seen; words: customers
+    and tables at the root and, once, the count)."""
+    for sweep, (tables, customers, root) in enumerate(_seatings(owner, number, changes, model, totals)):
+        for r in owner.reports:
+            n = r[0]
+            u, w = owner.at[0].get(n, np.empty(0, np.int64)), owner.at[1].get(n, np.empty(0, np.int64))
+            first = [owner.seen[u], owner.uni[w]] if sweep == 0 else []
+            yield n, (sweep, number, squeeze(tables[u], customers[w], root[w], *first))
 
-def _read(cell: Cell, answers: list[list], owners: int) -> list[dict]:
+
+def _read(cell: Cell, answers: list, owners: int) -> list[dict]:
     """Answers of each sweep, put back into the cell's order of words."""
     u_at, w_at = dict(_by_owner(cell.us, owners)), dict(_by_owner(cell.ws, owners))
-    out = []
-    for one in answers:
+    out, by = [], {}
+    for a in answers:
+        by.setdefault(a[0], []).append(a)
+    for sweep in sorted(by):
+        one = by[sweep]
         a = {"context_tables": np.zeros(len(cell.us), np.int64), "customers": np.zeros(len(cell.ws), np.int64),
              "tables": np.zeros(len(cell.ws), np.int64), "seen": np.zeros(len(cell.us), np.int64), "uni": np.zeros(len(cell.ws), np.int64)}
         for _, o, data in one:
@@ -367,7 +380,7 @@ def _keyed(rows: list) -> dict:
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "crc32(cast({key} as string)) % 10 = 0",
-                sweeps: int = 3, burn_in: int = 1) -> DataFrame:
+                sweeps: int = 2, burn_in: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     Texts for which ``held_out`` is true are scored but teach nothing. NULL and empty texts consist of one end; a NULL key
@@ -381,20 +394,17 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_o
         key, F.coalesce(F.expr(held_out.format(key=f"`{key}`")), F.lit(False)).alias("held"), "text")
     dealt = _one(rows.rdd.map(tuple).mapPartitions(_chunks(grid)).partitionBy(cells))
 
-    def at_cells(fn, *answers):
-        """``fn`` on every cell with its packed pairs and, for each sweep so far, its answers."""
-        n = len(answers)
+    def at_cells(fn, answers=None):
+        """``fn`` on every cell with its packed pairs and its answers so far."""
+        alone = answers is None
 
         def run(item):
-            lists = []
-            for _ in range(n):  # the zips nest: ((dealt, first), second) ...
-                item, last = item
-                lists.append(last)
-            held = [_keyed(x) for x in (item, *reversed(lists))]
-            for number, blobs in sorted(held[0].items()):
-                yield from fn(number, blobs, *([[h.get(number, []) for h in held[1:]]] if n else []))
+            blobs, got = (item, []) if alone else item
+            got = _keyed(got)
+            for number, own in sorted(_keyed(blobs).items()):
+                yield from fn(number, own, *([] if alone else [got.get(number, [])]))
 
-        return reduce(lambda a, b: a.zip(b), answers, dealt).flatMap(run)
+        return (dealt if alone else dealt.zip(answers)).flatMap(run)
 
     reports = _one(at_cells(_first_report(owners)).partitionBy(owners))
 
@@ -417,19 +427,20 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_o
     # discounts from the numbers of pairs (words) seen once and twice
     model = {"V": v, "N": n, "d1": _discount(n1, n2), "d0": _discount(m1, m2)}
     totals = [{"customers": customers, "tables": v}]
-    answers = [_one(at_owners(lambda o, k, c, _: _answer(o, k, 0, c, model, None)).partitionBy(cells))]
-    for s in range(1, sweeps + 1):
-        before = totals[-1]
-        changes = _one(at_cells(_changes(owners, model, list(totals)), *answers).partitionBy(owners))
+    # messages are cumulative: a zip of two data sets is all that any job holds, however many sweeps there were
+    answers = _one(at_owners(lambda o, k, c, _: _answer(o, k, c, model, [])).partitionBy(cells))
+    for _ in range(sweeps):
+        known = list(totals)
+        changes = _one(at_cells(_changes(owners, model, known), answers).partitionBy(owners))
 
-        def count(owner, number, more, _, s=s, before=before):
-            c = owner.after(more)[1]
-            yield np.array([c.sum(), owner.seated(number, s, c, model, before).sum()], np.float64)
+        def count(owner, number, more, _, known=known):
+            *_, (tables, customers, root) = _seatings(owner, number, more, model, known)
+            yield np.array([customers.sum(), root.sum()], np.float64)
 
         c, t = at_owners(count, changes).fold(np.zeros(2), lambda a, b: a + b)
         totals.append({"customers": c, "tables": t})
-        answers.append(_one(at_owners(lambda o, k, m, _, s=s, before=before: _answer(o, k, s, m, model, before), changes).partitionBy(cells)))
-    scored = at_cells(_score(owners, model, totals, burn_in), *answers).partitionBy(parts).mapPartitions(_total)
+        answers = _one(at_owners(lambda o, k, m, _, known=known: _answer(o, k, m, model, known), changes).partitionBy(cells))
+    scored = at_cells(_score(owners, model, totals, burn_in), answers).partitionBy(parts).mapPartitions(_total)
     out = spark.createDataFrame(scored, f"`{key}` long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(key, "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 

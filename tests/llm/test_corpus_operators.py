@@ -53,13 +53,13 @@ def test_probabilities_of_all_words_sum_to_one(monkeypatch, prose):
     reports = [r for _, r in pitman_yor._first_report(1)(0, blobs)]
     owner, cell = pitman_yor.Owner(reports), pitman_yor.Cell(blobs)
     model = {"V": float((owner.uni > 0).sum()), "N": float(owner.uni.sum()), "d1": 0.6, "d0": 0.4}
-    totals, answers, changes = [{"customers": owner.customers.sum(), "tables": model["V"]}], [], []
-    answers.append([x for _, x in pitman_yor._answer(owner, 0, 0, [], model, None)])
-    for s in (1, 2):
+    totals = [{"customers": owner.customers.sum(), "tables": model["V"]}]
+    answers = [x for _, x in pitman_yor._answer(owner, 0, [], model, [])]
+    for _ in (1, 2):
         changes = [c for _, c in pitman_yor._changes(1, model, list(totals))(0, blobs, answers)]
-        c = owner.after(changes)[1]
-        totals.append({"customers": c.sum(), "tables": owner.seated(0, s, c, model, totals[-1]).sum()})
-        answers.append([x for _, x in pitman_yor._answer(owner, 0, s, changes, model, totals[-2])])
+        *_, (_, c, root) = pitman_yor._seatings(owner, 0, changes, model, list(totals))
+        answers = [x for _, x in pitman_yor._answer(owner, 0, changes, model, list(totals))]
+        totals.append({"customers": c.sum(), "tables": root.sum()})
     got = pitman_yor._read(cell, answers, 1)
     tables = pitman_yor._sweeps(cell, 0, got[:-1], totals[:-1], model)
     for s in (0, 1, 2):
