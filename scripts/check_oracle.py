@@ -74,8 +74,6 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pats = sys.argv[2:]
     extra = {}
-    if os.environ.get("FEATPIPE_FORCE_SPLIT"):
-        extra = {"featpipe.ordered.minRowsToSplit": "0"}
     spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     con = duckdb.connect()
     for t in TABLES:

@@ -25,7 +25,7 @@ CODE = {
     "SRC11": "sources/tables.table_columns",
     "SRC12": "sources/remote.register_python_source",
     "SRC13": "DataFrame join over two readers",
-    "SNK1": "plans/steps.StepRunner (table steps: staged, published on success)",
+    "SNK1": "plans/steps.StepRunner (table steps: staged, published together by plans/published)",
     "SNK2": "plans/steps.StepRunner (view steps)",
     "SNK3": "plans/steps.StepRunner._execute (DROP kind checks, other DDL/DML as is)",
     "SNK4": "operators/sinks.write_predictions",
@@ -40,7 +40,7 @@ CODE = {
     "PIP7": "plans/steps.StepRunner.dry_run(sample=...)",
     "PIP8": "plans/steps.RunReport (schema, rows, sql_text)",
     "PIP9": "plans/steps.RunReport.log / executed",
-    "PIP10": "plans/dialect.translate; double-quoted identifiers during a run",
+    "PIP10": "plans/dialect.translate; double-quoted identifiers during a run and in interactive SQL",
     "PIP11": "plans/gate.check_read_only, query",
     "PIP12": "plans/gate.preview",
     "PIP13": "one agg pass (queries pip13, agg4)",
