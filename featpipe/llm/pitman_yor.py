@@ -33,6 +33,7 @@ from featpipe.llm.common import buckets, mix, word_hashes
 
 CHUNK = 12 << 20  # characters of a chunk
 SLICE = 1 << 20  # characters tokenised at once
+CELL_CHARS = 6_000_000  # characters of text for every cell
 END, START = np.uint64(0x1D0C5E4D), np.uint64(0x57A27)  # fixed values: the text end as a word, the text start as a context
 STRENGTH = 1.0  # concentration of all restaurants
 EXACT = 64  # customers of one word in one restaurant that are seated singly; beyond, sixteenths of them together
@@ -388,10 +389,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_o
     """
     spark = docs.sparkSession
     parts = buckets(spark)
-    grid = math.ceil((2 * parts) ** 0.5)
-    cells, owners = grid * grid, parts
     rows = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").cast("string").alias("text")).select(
         key, F.coalesce(F.expr(held_out.format(key=f"`{key}`")), F.lit(False)).alias("held"), "text")
+    # as many cells and owners as the corpus needs: what a task holds does not grow with it
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    grid = max(1, math.ceil((chars / CELL_CHARS) ** 0.5))
+    cells = owners = grid * grid
     dealt = _one(rows.rdd.map(tuple).mapPartitions(_chunks(grid)).partitionBy(cells))
 
     def at_cells(fn, answers=None):
