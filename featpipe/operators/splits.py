@@ -65,14 +65,20 @@ def hash_split(df: DataFrame, key: str | Sequence[str], weights: Sequence[int] =
 
 
 def random_split_exact(df: DataFrame, key: str, val_ratio: float = 0.2, seed: int = 42, out: str = "split",
-                       n_buckets: int | None = None) -> DataFrame:
+                       n_buckets: int | None = None, method: str = "xxhash64") -> DataFrame:
     """Exactly ``int(n * val_ratio)`` validation rows, chosen by a seeded hash permutation.
 
     The permutation is the order of ``xxhash64(key, seed)`` (ties broken by key), ranked
     with the range-split row number, so the sizes are exact without a single-task sort.
-    ``n`` is a scalar subquery; nothing row-level reaches the driver.
+    ``n`` is a scalar subquery; nothing row-level reaches the driver. ``method="md5"`` orders by the md5 of
+    ``key|seed`` instead: the same rows in any engine.
     """
-    h = df.withColumn("_fp_h", F.xxhash64(F.col(key), F.lit(seed)))
+    if method == "md5":
+        h = df.withColumn("_fp_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
+    elif method == "xxhash64":
+        h = df.withColumn("_fp_h", F.xxhash64(F.col(key), F.lit(seed)))
+    else:
+        raise ValueError("method must be 'xxhash64' or 'md5'")
     ranked = ordered.row_number(h, [], ["_fp_h", key], "_fp_rn", n_buckets)
     n_val = F.floor(df.agg(F.count("*")).scalar() * F.lit(float(val_ratio)))
     return ranked.withColumn(out, F.when(F.col("_fp_rn") <= n_val, F.lit(VALID)).otherwise(F.lit(TRAIN))) \

@@ -125,8 +125,32 @@ def spl2_multi_key_hash_split(spark, sf_dir):
     return s.groupBy("split").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
+@query("spl3_exact_split_members", "SPL3 WIN1", oracle="""
+SELECT l_orderkey, CASE WHEN ROW_NUMBER() OVER (ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '|42'), l_orderkey)
+                             <= floor(COUNT(*) OVER () * 0.2) THEN 'validation' ELSE 'training' END AS split
+FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+""")
+def spl3_exact_split_members(spark, sf_dir):
+    keys = read_table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    return splits.random_split_exact(keys, "l_orderkey", 0.2, 42, method="md5")
+
+
 # ---------------------------------------------------------------- features
 
+@query("fea13_one_hot_unseen_category", "FEA13 FEA14", oracle="""
+SELECT c_custkey, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 ELSE 0 END AS c_mktsegment_AUTOMOBILE,
+       CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END AS c_mktsegment_FURNITURE,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS c_mktsegment_HOUSEHOLD,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS c_mktsegment_MACHINERY
+FROM customer
+""")
+def fea13_one_hot_unseen_category(spark, sf_dir):
+    """Fitted without one segment: that segment gets no column, and its rows are all zeros."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    known = FE.fit_categories(c.where("c_mktsegment <> 'BUILDING'"), "c_mktsegment")
+    return FE.one_hot(c, "c_mktsegment", known, drop_input=True)
+
+
 PROCESSORS = {
     "feature_columns": ["o_totalprice", "o_custkey"],
     "target_columns": ["o_orderkey"],
