@@ -54,6 +54,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the A-Z-lowered words of all texts in a row, and each text's word count.
 
@@ -66,9 +74,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             w = t.encode("utf-8", "surrogatepass").lower().split()
             counts[i] = len(w)
             words += w
-    known: dict[bytes, int] = {}
-    put = known.setdefault
-    codes = np.fromiter((put(w, len(known)) for w in words), np.int32, len(words))
+    known = Numbered()
+    codes = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
     return h[codes], counts
 

@@ -24,16 +24,16 @@ import math
 import pickle
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featpipe.llm.common import buckets, mix, word_hashes
+from featpipe.llm.common import Numbered, buckets, mix
 
 CHUNK = 12 << 20  # characters of a chunk
-SLICE = 1 << 20  # characters tokenised at once
-CELL_CHARS = 6_000_000  # characters of text for every cell
+CELL_CHARS = 9_000_000  # characters of text for every cell
 END, START = np.uint64(0x1D0C5E4D), np.uint64(0x57A27)  # fixed values: the text end as a word, the text start as a context
 STRENGTH = 1.0  # concentration of all restaurants
 EXACT = 64  # customers of one word in one restaurant that are seated singly; beyond, sixteenths of them together
@@ -64,74 +64,83 @@ def expand(data: bytes) -> list[np.ndarray]:
     return out
 
 
+class Words:
+    """The words of one chunk, numbered as they come; each is hashed once."""
+
+    def __init__(self):
+        self.known = Numbered()
+        self.codes: list[np.ndarray] = []
+        self.counts: list[int] = []
+
+    def add(self, text: str | None) -> None:
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
+        self.codes.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
+        self.counts.append(len(words))
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending hashes of all words (START and END among them), and the tokens' places among these: every text's
+        words, then its end."""
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.known), np.uint64, len(self.known))
+        self.known = Numbered()
+        names, place = np.unique(np.append(h, [START, END]), return_inverse=True)
+        place = place.astype(np.int32)
+        lengths = np.array(self.counts, np.int64) + 1
+        token = np.full(int(lengths.sum()), place[-1], np.int32)
+        at = 0
+        for c in self.codes:
+            token[at : at + len(c)] = place[c]
+            at += len(c) + 1
+        self.codes = []
+        return names, token
+
+
 def _chunks(grid: int):
     """Rows (id, held, text) of a partition -> (cell, packed pairs of one chunk)."""
 
-    def pack(number, ids, held, hashes, counts):
+    def pack(number, ids, held, words):
         n_docs = len(ids)
-        lengths = np.array(counts, np.int64) + 1
+        lengths = np.array(words.counts, np.int64) + 1
+        names, token = words.tokens()
         ends = np.cumsum(lengths) - 1
-        token = np.full(int(lengths.sum()), END, np.uint64)
-        inner = np.ones(len(token), bool)
-        inner[ends] = False
-        at = np.flatnonzero(inner)
-        del inner
-        done = 0
-        while hashes:  # each slice is freed as it is put in its place
-            h = hashes.pop(0)
-            token[at[done : done + len(h)]] = h
-            done += len(h)
-        del at
+        start = int(np.searchsorted(names, START))
         context = np.empty_like(token)
-        context[1:], context[0] = token[:-1], START
-        context[ends[:-1] + 1] = START
-        cell = (mix(context) % np.uint64(grid)).astype(np.int32)
-        cell *= grid
-        cell += (mix(token) % np.uint64(grid)).astype(np.int32)
-        order = np.argsort(cell, kind="stable").astype(np.int32)
-        cell = cell[order]
-        token, context = token[order], context[order]
+        context[1:], context[0] = token[:-1], start
+        context[ends[:-1] + 1] = start
+        part = (mix(names) % np.uint64(grid)).astype(np.int64)
+        # one sort puts the pairs in order of cell, word and context
+        n = len(names)
+        pair = ((part[context] * grid + part[token]) * n + token) * n + context
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
         doc = np.repeat(np.arange(n_docs, dtype=np.int32), lengths)[order]
-        del order
+        del order, token, context
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        runs = np.diff(np.append(starts, len(pair)))
+        pair = pair[starts]
+        u, pair = pair % n, pair // n
+        w, cell = pair % n, pair // n
         cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
-        meta = (ids, np.array(held, bool), np.array(counts, np.int64) + 1)
+        ends = np.append(starts, len(doc))
+        meta = (ids, np.array(held, bool), lengths)
         for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            us, u = np.unique(context[i:j], return_inverse=True)
-            ws, w = np.unique(token[i:j], return_inverse=True)
-            pair = w.astype(np.int64) * len(us) + u
-            by = np.argsort(pair, kind="stable")
-            pair = pair[by]
-            starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            kept = pair[starts]
+            us, own = np.unique(u[i:j], return_inverse=True)
+            fresh = np.flatnonzero(np.append(True, w[i + 1 : j] != w[i : j - 1]))
             yield int(cell[i]), (number, n_docs, meta if k == 0 else None, np.packbits(held).tobytes(), squeeze(
-                us, ws, np.bincount(kept // len(us), minlength=len(ws)), kept % len(us), np.diff(np.append(starts, len(pair))), doc[i:j][by]))
+                names[us], names[w[i:j][fresh]], np.diff(np.append(fresh, j - i)), own, runs[i:j], doc[ends[i] : ends[j]]))
 
     def run(rows):
         part = TaskContext.get().partitionId()
-        number, ids, held, hashes, counts, size, texts, small = part << 24, [], [], [], [], 0, [], 0
-
-        def flush():
-            nonlocal texts, small
-            h, c = word_hashes(texts)
-            hashes.append(h)
-            counts.extend(c.tolist())
-            texts, small = [], 0
-
+        number, ids, held, words, size = part << 24, [], [], Words(), 0
         for key, out, text in rows:
             ids.append(key)
             held.append(out)
-            texts.append(text)
-            small += len(text or "")
+            words.add(text)
             size += len(text or "")
-            if small >= SLICE:
-                flush()
             if size >= CHUNK:
-                flush()
-                yield from pack(number, ids, held, hashes, counts)
-                number, ids, held, hashes, counts, size = number + 1, [], [], [], [], 0
+                yield from pack(number, ids, held, words)
+                number, ids, held, words, size = number + 1, [], [], Words(), 0
         if ids:
-            flush()
-            yield from pack(number, ids, held, hashes, counts)
+            yield from pack(number, ids, held, words)
 
     return run
 
@@ -152,9 +161,15 @@ class Cell:
             self.runs.append((run.astype(np.int32), doc.astype(np.int32)))
         del parts
         self.cuts = np.cumsum([len(p) for p in pairs])[:-1]
-        every, code = np.unique(np.concatenate(pairs), return_inverse=True)
+        whole = np.concatenate(pairs)
         del pairs
-        self.code = code.astype(np.int32)
+        order = np.argsort(whole, kind="stable")  # merges the chunks' runs, which are in order already
+        whole = whole[order]
+        fresh = np.append(True, whole[1:] != whole[:-1])
+        every = whole[fresh]
+        self.code = np.empty(len(whole), np.int32)
+        self.code[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del whole, order
         self.c = np.bincount(self.code, np.concatenate(counts), len(every)).astype(np.int64)
         self.u, self.w = every % len(self.us), every // len(self.us)
         self.several = np.flatnonzero(self.c > 1)
@@ -394,7 +409,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_o
     # as many cells and owners as the corpus needs: what a task holds does not grow with it
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     grid = max(1, math.ceil((chars / CELL_CHARS) ** 0.5))
-    cells = owners = grid * grid
+    cells = grid * grid
+    owners = -(-cells // 4)  # an owner's words are a fraction of a cell's pairs
     dealt = _one(rows.rdd.map(tuple).mapPartitions(_chunks(grid)).partitionBy(cells))
 
     def at_cells(fn, answers=None):
