@@ -165,6 +165,42 @@ def test_a_passage_of_many_documents_gives_a_star(spark, prose):
     assert len(got) < 700  # not the 44,850 pairs
 
 
+def test_earlier_holders_of_parts_do_not_hide_a_passage(spark, prose):
+    rows, pairs = [], []
+    for n in range(12):  # the passage of the last two lies in earlier documents as well, in two parts
+        one, two, tail = prose(25, 3000 + n), prose(25, 3100 + n), prose(8, 3200 + n)
+        rows += [(10 * n + 1, f"{one} {prose(30, 3300 + n)}"), (10 * n + 2, f"{prose(20, 3400 + n)} {two}"),
+                 (10 * n + 3, f"{prose(40, 3500 + n)} {one} {two} {tail}"), (10 * n + 4, f"{one} {two} {tail} {prose(9, 3600 + n)}")]
+        pairs.append((10 * n + 4, 10 * n + 3, 0, 58, 40, 98, 58))
+    for parts in (1, 5):
+        got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(map(tuple, got)) == sorted(pairs)
+
+
+def test_repeated_words_meet_along_one_line():
+    def paired(*counts):
+        at = np.concatenate([np.arange(c) for c in counts])
+        doc = np.repeat(np.arange(len(counts)), counts)
+        h, doc, at, _, first = chains._first_of_runs(np.zeros(len(at), np.uint64), doc, at)
+        return chains._paired(h, doc, at, first, 50)
+
+    same = paired(300, 300)
+    assert same.shape[1] == 300 and (same[1] == same[3]).all()
+    longer = paired(100, 400)
+    assert longer.shape[1] < 130 and set(range(449)) == {w for x in longer[1].tolist() for w in range(x, x + 50)}
+
+
+def test_runs_are_equal_where_their_words_are(prose):
+    words = np.random.default_rng(3).integers(0, 3, 4000).astype(np.uint64)
+    h, low = chains.whole_runs(words, 6, 3)
+    assert len(h) == len(low) == 3995
+    named = defaultdict(set)
+    for i in range(len(h)):
+        named[tuple(words[i : i + 6].tolist())].add((int(h[i]), int(low[i])))
+    assert all(len(v) == 1 for v in named.values()) and len({v for s in named.values() for v, _ in s}) == len(named)
+    assert [len(x) for x in chains.whole_runs(words[:5], 6, 3)] == [0, 0]
+
+
 def test_fenwick_chains_equal_quadratic_ones():
     r = random.Random(8)
     for _ in range(40):
