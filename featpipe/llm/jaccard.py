@@ -64,13 +64,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
         yield held
 
 
-CHUNK = ("chunk long, docs array<long>, sizes array<int>, names array<long>, set_names binary, set_sizes binary, "
+CHUNK = ("chunk long, docs array<long>, marks array<long>, sizes array<int>, names array<long>, set_names binary, set_sizes binary, "
          "front_lengths binary, front binary, back_lengths binary, back binary")
 
 
 def _chunk(n: int, percent: int, part: int):
     def run(batches):
-        for ids, texts in _pieces(batches, ["id", "text"]):
+        for ids, marks, texts in _pieces(batches, ["id", "mark", "text"]):
             sets = shingle_sets(texts, n)
             names = [set_name(s) if len(s) else 0 for s in sets]
             own = {name: s for name, s in zip(names, sets, strict=True) if len(s)}
@@ -84,7 +84,7 @@ def _chunk(n: int, percent: int, part: int):
             joined = lambda xs: (np.concatenate(xs) if xs else np.empty(0, np.uint64)).tobytes()
             key = int(as_long(mix(as_long(np.array(names, np.int64)).view(np.uint64) + np.arange(len(ids), dtype=np.uint64))).sum())
             yield pa.RecordBatch.from_pylist([{
-                "chunk": key, "docs": ids, "sizes": [len(s) for s in sets], "names": names,
+                "chunk": key, "docs": ids, "marks": marks, "sizes": [len(s) for s in sets], "names": names,
                 "set_names": np.array(list(own), np.int64).tobytes(), "set_sizes": lengths(own.values()),
                 "front_lengths": lengths(front), "front": joined(front), "back_lengths": lengths(back), "back": joined(back)}],
                 schema=ARROW_CHUNK)
@@ -93,7 +93,7 @@ def _chunk(n: int, percent: int, part: int):
 
 
 ARROW_CHUNK = pa.schema([
-    ("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("names", pa.list_(pa.int64())),
+    ("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("names", pa.list_(pa.int64())),
     ("set_names", pa.binary()), ("set_sizes", pa.binary()), ("front_lengths", pa.binary()), ("front", pa.binary()),
     ("back_lengths", pa.binary()), ("back", pa.binary())])
 
@@ -397,14 +397,26 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "d
     none, link with nothing and are their own component. Rows with a NULL key take part; they get the smallest key of
     their group, if it has one. Repeated rows are rows. An empty table gives an empty table.
     """
+    return _groups(docs, n, percent, key, text, part, tile).select(
+        F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"),
+        F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _mark(text: str):
+    """Tells apart rows that share a key: a hash of the text."""
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
+
+
+def _groups(docs: DataFrame, n: int, percent: int, key: str, text: str, part: int, tile: int) -> DataFrame:
+    """id, mark, size and label of every row, and the smallest key of its label."""
     spark = docs.sparkSession
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), _mark(text).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
     parts = buckets(spark)
     chunks = stored(own.mapInArrow(_chunk(n, percent, part), CHUNK), "jaccard-chunks")
     asked = chunks.select("chunk", "front").mapInArrow(_ask(parts), "bucket int, chunk long, tokens binary, counts binary")
     told = asked.groupBy("bucket").applyInPandas(_answer, "chunk long, tokens binary, counts binary")
     told = told.groupBy("chunk").agg(F.collect_list(F.struct("tokens", "counts")).alias("answers"))
-    chains = stored(chunks.drop("docs", "sizes", "names").join(told, "chunk", "left").drop("chunk").mapInArrow(
+    chains = stored(chunks.drop("docs", "marks", "sizes", "names").join(told, "chunk", "left").drop("chunk").mapInArrow(
         _chains(percent, parts), "bucket int, x binary, y binary, high binary, rep binary"), "jaccard-chains")
 
     def unpack(batches):
@@ -415,24 +427,38 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "d
     edges = chains.where("bucket < 0").select("x", "y").mapInArrow(unpack, "a long, b long").unionByName(
         chains.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet(percent), "a long, b long"))
     blocks = stored(components(edges), "jaccard-blocks")
-    rows = chunks.select(F.explode(F.arrays_zip("docs", "sizes", "names")).alias("r")).select(
-        F.col("r.docs").alias("id"), F.col("r.sizes").alias("size"), F.col("r.names").alias("name"))
-    holders = rows.where("size > 0").groupBy("name").agg(F.min("id").alias("id")).join(
-        blocks.select(F.col("node").alias("name"), F.col("label").alias("block")), "name")
-    sets = own.withColumnRenamed("id", "own_id").join(holders, F.col("own_id").eqNullSafe(F.col("id"))).select(
+    rows = chunks.select(F.explode(F.arrays_zip("docs", "marks", "sizes", "names")).alias("r")).select(
+        F.col("r.docs").alias("id"), F.col("r.marks").alias("mark"), F.col("r.sizes").alias("size"), F.col("r.names").alias("name"))
+    # a key alone may be that of many rows (NULL above all)
+    holders = rows.where("size > 0").groupBy("name").agg(F.min(F.struct("id", "mark")).alias("r")).join(
+        blocks.select(F.col("node").alias("name"), F.col("label").alias("block")), "name").select("name", "block", "r.*")
+    sets = own.withColumnsRenamed({"id": "own_id", "mark": "own_mark"}).join(
+        holders, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark"))).select(
         "name", "block", "text").mapInArrow(_fetch(n), "block long, name long, size int, tokens binary")
     labels = stored(components(_link_blocks(stored(sets, "jaccard-sets"), percent, tile)), "jaccard-groups")
     tagged = rows.join(labels, rows["name"] == labels["node"], "left").withColumn("label", F.coalesce("label", "name"))
     least = tagged.where("size > 0").groupBy("label").agg(F.min("id").alias("least"))
-    return tagged.join(least, "label", "left").select(
-        F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return tagged.join(least, "label", "left").select("id", "mark", "size", "label", "least")
 
 
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
-    """The document with the smallest key of each group (one row of it), and all documents without shingles."""
-    groups = similar_groups(docs, key=key, **kw)
-    gone = groups.where((F.col("n_shingles") > 0) & ~F.col(key).eqNullSafe(F.col("component_id"))).select(
-        F.col(key).alias("__j_key")).distinct()
-    left = docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("__j_key")), "left_anti")
-    return left
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, part: int = 3,
+                      tile: int = TILE) -> DataFrame:
+    """One document of each group, and all documents without shingles.
+
+    It is the one with the smallest key; of several texts under that key, the one of the smallest hash. Rows of one key and one
+    text are that document's repeated rows and stay or go together. Rows with a NULL key are documents of their own: they
+    go where their group has a key, and a group without any keeps one row.
+    """
+    rows = stored(_groups(docs, n, percent, key, text, part, tile).where("size > 0"), "jaccard-rows")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("f"))
+    gone = rows.join(first, "label").where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("mark") == F.col("f.mark")))).select(
+        F.col("id").alias("__j_key"), F.col("mark").alias("__j_mark")).distinct()
+    left = docs.join(gone, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__j_key")) & (_mark(text) == F.col("__j_mark")), "left_anti")
+    many = rows.where("id IS NULL").groupBy(F.col("mark").alias("__j_mark")).count().where("count > 1").select("__j_mark")
+    if many.isEmpty():
+        return left
+    # equal texts without a key: one row of each
+    null, again = F.col(f"`{key}`").isNull(), _mark(text) == F.col("__j_mark")
+    copies = left.where(null).join(many, again).groupBy("__j_mark").agg(
+        F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__j_row")).select("__j_row.*")
+    return left.where(~null).unionByName(left.where(null).join(many, again, "left_anti")).unionByName(copies)

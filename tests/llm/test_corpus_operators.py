@@ -430,3 +430,19 @@ def test_groups_of_odd_tables(odd_docs, empty_docs):
     kept = jaccard.one_of_each_group(odd_docs())
     assert kept.columns == odd_docs().columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 6]
     assert jaccard.similar_groups(empty_docs).count() == 0
+
+
+def test_rows_go_one_by_one_not_by_key(spark, prose):
+    a, b, c, d, e, f = (prose(60, 9100 + i) for i in range(6))
+    near = lambda t: t + " more"
+    rows = [(1, a), (None, near(a)), (None, b), (None, None), (None, " "), (2, c), (2, a), (3, d), (3, near(d)), (None, e), (None, e),
+            (None, near(e)), (None, near(e)), (None, f), (None, near(f))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = Counter(map(tuple, jaccard.one_of_each_group(df).collect()))
+    # rows that nothing is like stay, also those that share a key (or have none) with a copy
+    for row in [(1, a), (None, b), (None, None), (None, " "), (2, c)]:
+        assert kept.pop(row) == 1
+    # one row of each group of rows under one key or without any
+    assert sum(kept.values()) == 3
+    for t in (d, e, f):
+        assert sum(n for (_, x), n in kept.items() if x in (t, near(t))) == 1
