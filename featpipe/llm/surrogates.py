@@ -7,7 +7,8 @@ same case and script, separators stay; dotted quads stay valid addresses, card n
 surrogate keeps title, gender and script.
 
 Distinctness is checked over the whole corpus: entities whose surrogate another entity has, or which is itself an
-entity of the corpus, draw again (the next attempt) until none collide. Rows with redrawn entities get them by a join.
+entity of the corpus, draw again (the next attempt) until none collide. Every attempt lengthens names, mail addresses and
+secrets by a syllable or letter, so there are always enough of them; formats of fixed length cannot grow. Rows with redrawn entities get them by a join.
 """
 
 from __future__ import annotations
@@ -129,13 +130,24 @@ def _respell(value: Column, digest: Column) -> Column:
     return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), step, lambda a: a["s"])
 
 
-def _person(lead: Column, value: Column, digest: Column) -> Column:
+def _female(lead: Column) -> Column:
+    return F.regexp_replace(lead, r"[. ]", "").isin(*FEMALE)
+
+
+def _longer(digest: Column, attempt: Column, start: int, items: list[str]) -> Column:
+    """One more syllable or letter for each attempt after the first, by the digest's bytes from ``start`` on."""
+    return F.when(attempt > 0, F.array_join(F.transform(
+        F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: _choose(items, _byte(digest, i + start - 1))), "")).otherwise("")
+
+
+def _person(lead: Column, value: Column, digest: Column, attempt: Column) -> Column:
     def name(script, gender):
-        family = F.concat(*[_choose(SYLLABLES[script], _byte(digest, i)) for i in range(1, 5)], F.lit(ENDING[script, gender]))
+        family = F.concat(*[_choose(SYLLABLES[script], _byte(digest, i)) for i in range(1, 5)],
+                          _longer(digest, attempt, 5, SYLLABLES[script]), F.lit(ENDING[script, gender]))
         first = _choose(FIRST[script, gender], _byte(digest, 0))
         return F.when(value.rlike("[ -]"), F.concat(first, F.regexp_extract(value, "[ -]", 0), F.initcap(family))).otherwise(F.initcap(family))
 
-    female = F.regexp_replace(lead, r"[. ]", "").isin(*FEMALE)
+    female = _female(lead)
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     return F.when(cyrillic & female, name("cyrillic", "f")).when(cyrillic, name("cyrillic", "m")).when(
         female, name("latin", "f")).otherwise(name("latin", "m"))
@@ -149,14 +161,15 @@ def surrogate(e: Column, key: str, attempt: Column) -> Column:
         def of(spelled):  # bound once: every kind below starts from it
             # quads of 1 to 254, the top level of a mail domain kept, check digits kept valid, area codes from 2 on
             quad = F.concat_ws(".", *[(F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string") for i in range(4)])
-            mail = F.concat(F.lower(F.regexp_extract(spelled, r"^(.*)\.[^.]*$", 1)), F.regexp_extract(e["value"], r"\.[^.]*$", 0))
+            more = _longer(digest, attempt, 32, list(ALPHABETS[1]))
+            mail = F.concat(more, F.lower(F.regexp_extract(spelled, r"^(.*)\.[^.]*$", 1)), F.regexp_extract(e["value"], r"\.[^.]*$", 0))
             body = F.substr(spelled, F.lit(1), F.length(spelled) - 1)
             checked = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))),
                                      lambda s: F.call_function("luhn_check", F.regexp_replace(s, "[ -]", ""))), F.lit(0))
             card = F.when(F.call_function("luhn_check", F.regexp_replace(e["value"], "[ -]", "")), checked).otherwise(spelled)
             area = F.regexp_replace(spelled, r"(?<=^\(?)[01]", "2")
             return F.when(e["kind"] == "address", quad).when(e["kind"] == "email", mail).when(e["kind"] == "card", card).when(
-                e["kind"] == "phone", area).when(e["kind"] == "person", _person(e["lead"], e["value"], digest)).otherwise(spelled)
+                e["kind"] == "phone", area).when(e["kind"] == "person", _person(e["lead"], e["value"], digest, attempt)).when(e["kind"] == "secret", F.concat(spelled, more)).otherwise(spelled)
 
         # mail addresses differ in case without being different
         own = F.when(e["kind"] == "email", F.lower(e["value"])).otherwise(e["value"])
@@ -168,27 +181,34 @@ def surrogate(e: Column, key: str, attempt: Column) -> Column:
 def _collisions(found: DataFrame, key: str, rounds: int) -> DataFrame | None:
     """(kind, canonical, attempt) of the entities that must draw again, or None."""
     e = F.struct("kind", "lead", "value", "canonical")
-    # one spelling stands for each entity; its surrogate's canonical form stands for all spellings' surrogates
-    known = stored(found.groupBy("kind", "canonical").agg(F.min("lead").alias("lead"), F.min("value").alias("value")), "pii-entities")
+    # one spelling stands for each entity (a name's surrogate also depends on the title's gender); its surrogate's
+    # canonical form stands for all spellings' surrogates
+    female = F.when(F.col("kind") == "person", _female(F.col("lead"))).otherwise(False)
+    known = stored(found.groupBy("kind", "canonical", female.alias("female")).agg(
+        F.min("lead").alias("lead"), F.min("value").alias("value")), "pii-entities")
     now = known.withColumn("attempt", F.lit(0))
-    redrawn = False
-    for _ in range(rounds):
+    redrawn, least, since = False, None, 0
+    while True:
         drawn = now.withColumn("made", _canonical(F.col("kind"), surrogate(e, key, F.col("attempt"))))
         drawn = drawn.where("kind <> 'person' or length(value) > 0")
         taken = known.select("kind", F.col("canonical").alias("made")).distinct()
-        twice = drawn.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canonical")).alias("holder")).where("n > 1")
+        twice = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical")).alias("holder"), F.min("canonical").alias("low"),
+                                                  F.max("canonical").alias("high")).where("low <> high").drop("low", "high")
         bad = drawn.join(twice, ["kind", "made"]).where(
             F.struct("attempt", "canonical") != F.col("holder")).select("kind", "canonical").unionByName(
             drawn.join(taken, ["kind", "made"], "left_semi").select("kind", "canonical")).distinct()
         bad = stored(bad, "pii-collisions")
-        if bad.isEmpty():
+        n = bad.count()
+        if not n:
             break
+        # only formats of fixed length can run out of surrogates: then their collisions stop becoming fewer
+        least, since = (n, 0) if least is None or n < least else (least, since + 1)
+        if since >= rounds:
+            raise ValueError(f"{n} surrogates still collide: their formats hold too few values for the entities found")
         redrawn = True
         now = stored(now.join(bad.withColumn("again", F.lit(1)), ["kind", "canonical"], "left").withColumn(
             "attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again"), "pii-drawn")
-    else:
-        raise ValueError(f"surrogates still collide after {rounds} draws")
-    return now.where("attempt > 0").select("kind", "canonical", "attempt") if redrawn else None
+    return now.where("attempt > 0").select("kind", "canonical", "attempt").distinct() if redrawn else None
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text", rounds: int = 30) -> DataFrame:

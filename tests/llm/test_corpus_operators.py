@@ -278,6 +278,21 @@ def test_collisions_are_drawn_again_until_all_differ(spark, monkeypatch):
     assert len({a for a, _ in made}) == 60 and not {a for a, _ in made} & set(numbers)
 
 
+def test_draws_grow_where_short_ones_run_out(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    byte = surrogates._byte
+    monkeypatch.setattr(surrogates, "_byte", lambda d, i: F.pmod(byte(d, i), F.lit(2)))  # 16 single names, 4 short addresses
+    people = [f"X{a}{b}o" for a in "bcdfg" for b in "aeiou"]
+    mails = [f"{a}@{a}.co" for a in "mnopqrst"]
+    out = _replaced(spark, [f"{t} {p}, seen." for p in people for t in ("Mr", "Mrs")] + [f"to {m} now" for m in mails])
+    names = [re.fullmatch(r"(?:Mr|Mrs) (\w+), seen\.", t)[1] for t in out[: 2 * len(people)]]
+    made = [re.fullmatch(r"to (\w+@\w+\.co) now", t)[1] for t in out[2 * len(people) :]]
+    assert all(a == b for a, b in zip(names[::2], names[1::2], strict=True))  # the same name under both titles
+    assert len(set(names)) == len(people) and not set(names) & set(people)
+    assert len(set(made)) == len(mails) and not set(made) & set(mails)
+
+
 def test_texts_without_a_sign_hold_no_entity(spark):
     rows = [(m,) for m in ("x@y.org", "pwd: abcdefgh", "AKIA" + "Q" * 16, "ghp_" + "a" * 36, "sk-" + "a" * 24, "1.2.3.4",
                            *(f"{t} Xavier" for t in surrogates.MALE + surrogates.FEMALE))]
