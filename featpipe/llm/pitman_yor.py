@@ -396,11 +396,12 @@ def _keyed(rows: list) -> dict:
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "crc32(cast({key} as string)) % 10 = 0",
-                sweeps: int = 2, burn_in: int = 1) -> DataFrame:
+                sweeps: int = 4, burn_in: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     Texts for which ``held_out`` is true are scored but teach nothing. NULL and empty texts consist of one end; a NULL key
-    teaches. Repeated rows are rows. An empty table gives an empty table; other columns are not read.
+    teaches. Repeated rows are rows. An empty table gives an empty table; other columns are not read. ``burn_in`` seatings are
+    left out of the average: the artificial start (one table per pair) and the sampled sweeps after it, up to sweep burn_in - 1.
     """
     spark = docs.sparkSession
     parts = buckets(spark)

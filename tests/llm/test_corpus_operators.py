@@ -46,6 +46,22 @@ def test_model_beats_the_base_on_held_out_texts(scored):
     assert all(r.score < 0 for r in scored[1])
 
 
+def test_sampled_sweeps_are_burnt_in_and_held_out_scores_have_settled(spark, scored, monkeypatch):
+    used = {}
+    score = pitman_yor._score
+
+    def seen(owners, model, totals, burn_in):
+        used.update(burnt=burn_in, averaged=len(totals) - burn_in)
+        return score(owners, model, totals, burn_in)
+
+    monkeypatch.setattr(pitman_yor, "_score", seen)
+    docs = spark.createDataFrame(scored[0], "doc_id long, text string")
+    held = lambda rows: sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
+    short = held(pitman_yor.score_texts(docs).collect())
+    assert used["burnt"] >= 2 and used["averaged"] >= 3  # the start and a sampled sweep at least are left out
+    assert abs(short - held(pitman_yor.score_texts(docs, sweeps=10, burn_in=5).collect())) < 0.01
+
+
 def test_probabilities_of_all_words_sum_to_one(monkeypatch, prose):
     monkeypatch.setattr(pitman_yor, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda s: 0})())}))
     rows = [(i, i == 3, " ".join([prose(30, i % 4), prose(5, i)])) for i in range(12)]
