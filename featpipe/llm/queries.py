@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featpipe.llm import chains, chat, decontaminate, jaccard, pieces, pitman_yor, quality, sharding, surrogates, tokencount
+from featpipe.llm import (chains, chat, decontaminate, hard_negatives, jaccard, pieces, pitman_yor, quality, sharding, simhash, surrogates,
+                          tokencount, vector_codes)
 from featpipe.llm.common import read
 
 # SQL text of the folding of A-Z and of the white space set
@@ -133,6 +134,65 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, q.c AS componen
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) q USING (doc_id)
 """
 
+
+def op11_vector_codes(spark, sf_dir):
+    codes, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(codes).select(
+        F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+# rows taking part, as integers (64-bit; all products and sums below fit)
+_VECTORS = """SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _op11_sql() -> str:
+    steps = [f"""WITH r AS ({_VECTORS}),
+p AS (SELECT vec_id, label, k, list_slice(v, k * (len(v) // 16) + 1, (k + 1) * (len(v) // 16)) AS x
+      FROM (SELECT *, unnest(range(16)) AS k FROM r)),
+b0 AS (SELECT k, e, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM r ORDER BY vec_id LIMIT 64) USING (vec_id))"""]
+    for i in range(3):
+        steps.append(f"""a{i} AS (SELECT vec_id, label, k, x, min(struct_pack(d := d, e := e)) AS m
+      FROM (SELECT p.vec_id, p.label, p.k, p.x, e, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) AS d
+            FROM p JOIN b{i} b USING (k)) GROUP BY ALL)""")
+        if i < 2:
+            steps.append(f"""s{i} AS (SELECT k, e, list(s ORDER BY i) AS y FROM
+      (SELECT k, m.e AS e, i, CAST(floor(sum(c) / count(*)) AS BIGINT) AS s
+       FROM (SELECT k, m, unnest(x) AS c, unnest(range(len(x))) AS i FROM a{i}) GROUP BY ALL) GROUP BY ALL),
+b{i + 1} AS (SELECT k, e, coalesce(y, x) AS x FROM b{i} LEFT JOIN s{i} USING (k, e))""")
+    steps.append("""h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, e)) AS h FROM b2),
+t AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY k) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM t, h""")
+    return ",\n".join(steps)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
+OP12_SQL = f"""
+WITH k AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_VECTORS}) WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+             CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM k a JOIN k r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_digits(F.col("print")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_sharding": op2_sharding,
@@ -144,5 +204,9 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_simhash": op13_simhash,
 }
-ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL,
+           "op11_vector_codes": _op11_sql(), "op12_hard_negatives": OP12_SQL}
