@@ -173,3 +173,43 @@ def prf1_numeric_profile_every_table(spark, sf_dir):
             round_to("mean", 6).alias("mean"), round_to("std", 6).alias("std"))
         out = p if out is None else out.unionByName(p)
     return out
+
+
+@query("src2_csv_records_over_lines", "SRC2 SRC3", oracle="""
+SELECT doc_id, source, length(text) AS chars, md5(text) AS text_md5, CAST(0 AS BIGINT) AS bad_rows FROM documents WHERE text <> ''
+""")
+def src2_csv_records_over_lines(spark, sf_dir):
+    """Whole texts with their line breaks, quotes and delimiters, written as CSV and read as records that run over lines."""
+    docs = read_table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "source", "text")
+    path = files.scratch_path(spark, "documents_csv")
+    docs.write.options(escape='"', quoteAll="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    columns = "doc_id BIGINT, source STRING, text STRING"
+    back = files.read_csv(spark, path, columns=columns)
+    bad = files.malformed_rows(spark, path, columns).select("bad_rows")
+    return back.select("doc_id", "source", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"), bad.scalar().alias("bad_rows"))
+
+
+@query("src1_csv_types_of_all_files", "SRC1", oracle="""
+SELECT 'user_id' AS name, 'bigint' AS type, COUNT(user_id) AS filled, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS kinds FROM events
+UNION ALL SELECT 'late_value', 'double', COUNT(*) FILTER (event_id % 2 = 1 AND value IS NOT NULL),
+       COUNT(DISTINCT round(value, 6)) FILTER (event_id % 2 = 1) FROM events
+UNION ALL SELECT 'day', 'date', COUNT(ts), COUNT(DISTINCT CAST(ts AS DATE)) FROM events
+UNION ALL SELECT 'said', 'string', COUNT(event_type), COUNT(DISTINCT event_type) FROM events
+""")
+def src1_csv_types_of_all_files(spark, sf_dir):
+    """A folder of two exports under one sniffed dialect; the first has no value in one column and narrower numbers in another."""
+    e = read_table(spark, sf_dir, "events")
+    path = files.scratch_path(spark, "events_csv")
+    # the later file's users lie beyond 32 bits
+    rows = e.select((F.col("user_id") + F.when(F.col("event_id") % 2 == 1, 1 << 33).otherwise(0)).alias("user_id"),
+                    F.when(F.col("event_id") % 2 == 1, F.round("value", 6)).alias("late_value"),
+                    F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat("event_type", F.lit(", or\nso")).alias("said"), "event_id")
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).drop("event_id").write.options(sep="|", escape='"', quoteAll="true", header=True).csv(f"{path}/{half}")
+    back = files.read_csv_auto(spark, [f"{path}/0", f"{path}/1"])
+    types = dict(back.dtypes)
+    user, said = F.pmod("user_id", F.lit(1 << 33)), F.split_part("said", F.lit(", or\n"), F.lit(1))
+    ones = {"user_id": user, "late_value": F.col("late_value"), "day": F.col("day"), "said": said}
+    one = back.agg(*[f(c).alias(f"{n}_{k}") for n, c in ones.items() for k, f in (("filled", F.count), ("kinds", F.count_distinct))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(types[n]).alias("type"), F.col(f"{n}_filled").alias("filled"),
+                                                  F.col(f"{n}_kinds").alias("kinds")) for n in ones])))
