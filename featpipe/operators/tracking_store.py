@@ -73,7 +73,8 @@ class TrackingStore:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """``INSERT INTO`` (SNK6): rows are conformed to the table schema (missing columns are
-        NULL, types cast), then appended as new files."""
+        NULL, types cast), then appended as new files to the table's current folder. An append that runs while ``delete_run`` or a
+        retention rewrite is under way may go to the folder that the rewrite supersedes: do not append during a rewrite."""
         schema = self._schemas[name]
         cols = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in schema.fields]
@@ -81,12 +82,12 @@ class TrackingStore:
 
     def _replace(self, tables: dict[str, DataFrame]) -> None:
         """New content for the given tables: written to new folders, then made current together by one pointer."""
-        folders = {}
+        folders, base = {}, self.published.version()
         for name, df in tables.items():
             self.path(name)  # checks the name
             folders[name] = f"{self.root}/_versions/{uuid.uuid4().hex[:12]}/{name}"
             df.write.parquet(folders[name])
-        self.published.publish(folders)
+        self.published.publish(folders, [], base)
 
     # -- analytics
 

@@ -2,10 +2,10 @@
 
 A spec is run in dependency order on one Spark session (PIP1). Views stay lazy, so Catalyst
 plans across steps; ``table`` steps are written as parquet into a staging folder under the
-shared checkpoint folder and published (renamed into place) only after every step has
-succeeded. On failure staged output is removed, temp views created by the run are dropped
-and replaced ones restored — the closest Spark gets to the one-transaction run of a
-single-file database. ``execute`` steps that change external state cannot be undone.
+shared checkpoint folder, outputs are counted, and then one commit makes the staged folders current
+(``plans/published.py``). A failure before the commit removes staged output, drops temp views created by the run
+and restores replaced ones; after the commit nothing is computed, and nothing is deleted. That is the closest Spark gets to the
+one-transaction run of a single-file database. ``execute`` steps that change external state cannot be undone.
 
 Besides SQL, a step may name a DataFrame operator (``op``) from ``OPERATORS``: the same
 stratified split, for example, runs range-split instead of as a single-task window.
@@ -20,7 +20,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from featpipe.plans.published import Published
 from featpipe.session import checkpoint_root
@@ -331,8 +332,10 @@ class StepRunner:
         staged: dict[str, str] = {}
         drops: list[str] = []
         frames: dict[str, DataFrame] = {}
+        written: dict[str, Observation] = {}
         texts = []
         try:
+            base = self.published.version()
             with _quoted_identifiers(self.spark):
                 for s in order:
                     report.log.append((f"step {s.name} ({s.type})", "info"))
@@ -349,8 +352,9 @@ class StepRunner:
                             df = OPERATORS[s.op](self.spark, s.args) if s.op else self.spark.sql(text)
                             if s.type == "table" and not dry_run:
                                 path = f"{staging}/{s.name}"
-                                df.write.mode("overwrite").parquet(path)
+                                written[s.name] = Observation()  # the write itself counts its rows
                                 staged[s.name] = path
+                                df.observe(written[s.name], F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
                                 df = self.spark.read.parquet(path)
                             self._register(s.name, df, replaced)
                             frames[s.name] = df
@@ -358,37 +362,27 @@ class StepRunner:
                         raise StepFailed(s.name, e) from e
                     report.executed.append(s.name)
             self._last_replaced = replaced
+            # all that can fail comes before the commit: a view's rows are computed here for the first time
+            for o in spec.outputs:
+                step = next(s for s in spec.steps if s.name == o)
+                info = {"type": step.type, "schema": [(f.name, f.dataType.simpleString()) for f in frames[o].schema.fields]}
+                if count_outputs and not dry_run:
+                    try:
+                        info["rows"] = written[o].get["rows"] if o in written else frames[o].count()
+                    except Exception as e:  # noqa: BLE001
+                        raise StepFailed(o, e) from e
+                report.outputs[o] = info
             if dry_run:
                 if not keep_views:
                     self._rollback(replaced, staged, staging)
             else:
-                self._publish(staged, drops, staging)
-                if staged:
-                    # views read the staged files; re-plan them on the published tables
-                    with _quoted_identifiers(self.spark):
-                        for s in order:
-                            if s.type == "table":
-                                df = self.spark.read.parquet(self.table_path(s.name))
-                            elif s.type == "view":
-                                df = OPERATORS[s.op](self.spark, s.args) if s.op else self.spark.sql(
-                                    to_spark_sql(substitute(s.sql, spec.vars), self.spark))
-                            else:
-                                continue
-                            df.createOrReplaceTempView(s.name)
-                            frames[s.name] = df
-            for o in spec.outputs:
-                df = frames[o]
-                info = {"type": next(s.type for s in spec.steps if s.name == o),
-                        "schema": [(f.name, f.dataType.simpleString()) for f in df.schema.fields]}
-                if count_outputs and not dry_run:
-                    info["rows"] = df.count()  # a table's count comes from its files' footers
-                report.outputs[o] = info
+                self._publish(staged, drops, base)  # the staged folders become the tables: frames and views read them already
             report.ok = True
-        except Exception as e:  # noqa: BLE001 - a failed step or a failed publication: nothing is published
+        except Exception as e:  # noqa: BLE001 - a failed step, count or commit: nothing was published
             self._rollback(replaced, staged, staging)
             report.error, report.failed_step = str(e), getattr(e, "step", None)
             report.log.append((report.error, "error"))
-            frames = {}
+            report.outputs, frames = {}, {}
         report.sql_text = "\n\n".join(texts)
         report.seconds = time.time() - t0
         return report, {o: frames[o] for o in spec.outputs if o in frames}
@@ -459,10 +453,11 @@ class StepRunner:
             fs, p = _hadoop_fs(self.spark, staging)
             fs.delete(p, True)
 
-    def _publish(self, staged, drops, staging):
-        """All tables of the run at once: their folders become current when one pointer file is written."""
+    def _publish(self, staged, drops, base):
+        """All tables of the run at once: their folders become current when one pointer file is created. ``base``: the version
+        that was current when the run began; a run whose tables were published by another one since then is refused."""
         if staged or drops:
-            self.published.publish(dict(staged), [d for d in drops if d not in staged])
+            self.published.publish(dict(staged), [d for d in drops if d not in staged], base)
 
 
 def run_steps(spark: SparkSession, spec: StepSpec | dict, **kw) -> tuple[RunReport, dict]:

@@ -1,5 +1,7 @@
 """Publishing is all or nothing; versions and states survive a round trip."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from featpipe.operators import features as FE
 from featpipe.operators import scoring
 from featpipe.operators.feature_graph import FeaturePipeline, PipelineError, load_states, save_states
 from featpipe.operators.tracking_store import TrackingStore
-from featpipe.plans.published import Published
+from featpipe.plans.published import Published, PublishConflict
 from featpipe.plans.steps import StepRunner, StepSpec
 
 
@@ -110,3 +112,93 @@ def test_text_ranges_beyond_one_search_tree(spark):
     import bisect
 
     assert all(got[v] == bisect.bisect_right(bounds, v) for v in values)
+
+
+def test_a_failing_output_leaves_the_old_tables(spark, tmp_path):
+    """A view output is computed before the commit: its failing cast publishes and deletes nothing."""
+    runner = StepRunner(spark, table_root=str(tmp_path))
+
+    def spec(value):
+        return StepSpec.from_dict({"name": "p", "steps": [
+            {"name": "kept", "type": "table", "sql": f"SELECT '{value}' AS x"},
+            {"name": "seen", "type": "view", "depends_on": ["kept"], "sql": "SELECT CAST(x AS INT) AS n FROM kept WHERE CAST(x AS INT) > 0"}],
+            "outputs": ["kept", "seen"]})
+
+    first, _ = runner.run(spec("7"))
+    assert first.ok and {k: v["rows"] for k, v in first.outputs.items()} == {"kept": 1, "seen": 1}
+    before = runner.table_path("kept")
+    rep, out = runner.run(spec("seven"))
+    assert not rep.ok and rep.failed_step == "seen" and not rep.outputs and not out
+    assert runner.table_path("kept") == before and spark.read.parquet(before).first().x == "7"
+    assert len(list((tmp_path / "_versions").glob("*/kept"))) == 1  # what was staged is gone
+    # a view that is no output and is not computed does not hold the tables back
+    lazy = spec("seven")
+    lazy.outputs = ["kept"]
+    assert runner.run(lazy)[0].ok and spark.read.parquet(runner.table_path("kept")).first().x == "seven"
+
+
+def test_nothing_is_computed_or_deleted_after_the_commit(spark, tmp_path, monkeypatch):
+    runner = StepRunner(spark, table_root=str(tmp_path))
+    publish, done = runner.published.publish, []
+    monkeypatch.setattr(runner.published, "publish", lambda *a: done.append(publish(*a)))
+    monkeypatch.setattr(runner, "_rollback", lambda *a: pytest.fail("rolled back"))
+    jobs = spark.sparkContext.statusTracker()
+    seen = {}
+    report = runner.run(_spec(3))
+    seen["after"] = jobs.getActiveJobsIds()
+    assert report[0].ok and done == [1] and not seen["after"] and report[0].outputs["b"]["rows"] == 3
+
+
+def test_two_publishers_of_different_tables_both_commit(spark, tmp_path):
+    a, b = Published(spark, str(tmp_path)), Published(spark, str(tmp_path))
+    base = a.version()
+    assert a.publish({"x": "fx"}, [], base) == 1
+    assert b.publish({"y": "fy"}, [], base) == 2  # built upon a's commit, which did not touch y
+    assert a.current() == {"x": "fx", "y": "fy"}
+    with pytest.raises(PublishConflict, match="x of .* changed in commit 1"):
+        b.publish({"x": "other", "z": "fz"}, [], base)
+    with pytest.raises(PublishConflict):
+        b.publish({}, ["y"], base)
+    assert a.current() == {"x": "fx", "y": "fy"} and b.publish({"x": "later"}) == 3
+
+
+def test_runs_at_the_same_time_never_lose_a_table(spark, tmp_path):
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda k: Published(spark, str(tmp_path)).publish({f"t{k}": f"f{k}"}, [], 0), range(24)))
+    assert sorted(numbers) == list(range(1, 25))
+    assert Published(spark, str(tmp_path)).current() == {f"t{k}": f"f{k}" for k in range(24)}
+    assert not list((tmp_path / "_pointers").glob("*.tmp"))
+    # the same table: one wins, the others are told so and publish nothing
+    def one(k):
+        try:
+            return Published(spark, str(tmp_path)).publish({"same": f"s{k}"}, [], 24)
+        except PublishConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [n for n in pool.map(one, range(8)) if n]
+    assert won == [25] and len(Published(spark, str(tmp_path)).current()) == 25
+
+
+def test_a_run_that_lost_its_table_keeps_the_winner(spark, tmp_path, monkeypatch):
+    slow, quick = StepRunner(spark, table_root=str(tmp_path)), StepRunner(spark, table_root=str(tmp_path))
+    publish = slow._publish
+
+    def late(*a):
+        assert quick.run(_spec(4))[0].ok
+        publish(*a)
+
+    monkeypatch.setattr(slow, "_publish", late)
+    rep, _ = slow.run(_spec(9))
+    assert not rep.ok and "changed in commit 1" in rep.error
+    assert spark.read.parquet(slow.table_path("a")).count() == 4
+    monkeypatch.undo()
+    assert slow.run(_spec(9))[0].ok and spark.read.parquet(quick.table_path("a")).count() == 9
+
+
+def test_pointers_of_the_first_format_are_read(spark, tmp_path):
+    (tmp_path / "_pointers").mkdir()
+    (tmp_path / "_pointers" / "000000000001.json").write_text('{"tables": "f0", "a": "f1"}')
+    p = Published(spark, str(tmp_path))
+    assert p.current() == {"tables": "f0", "a": "f1"} and p.publish({"b": "f2"}) == 2
+    assert p.current() == {"tables": "f0", "a": "f1", "b": "f2"}
