@@ -60,6 +60,23 @@ def evaluate_binary(df: DataFrame, label: str, score: str, threshold: float = 0.
     return cls.select("accuracy", "precision", "recall", "f1", "total", a.select("auc").scalar().alias("auc"))
 
 
+def evaluate_predictions(df: DataFrame, task: str, label: str, pred: str, average: str = "macro", prediction_table: str | None = None,
+                         least_rows: int = 1) -> DataFrame:
+    """The metrics row of a regression or multiclass task, all over the same valid rows: a label and a prediction that are finite numbers.
+
+    Fewer than ``least_rows`` of them are an error. ``prediction_table`` takes every column and ``prediction`` of those rows first; what was
+    written is evaluated."""
+    rows = df.where(M.finite(F.col(label).cast("double")) & M.finite(F.col(pred).cast("double")))
+    if prediction_table:
+        rows = rows if pred == "prediction" else rows.withColumn("prediction", F.col(pred))
+        rows.write.mode("overwrite").parquet(prediction_table)
+        rows = df.sparkSession.read.parquet(prediction_table)
+    n = rows.limit(least_rows).count()
+    if n < least_rows:
+        raise ValueError(f"{n} rows have a label and a prediction; an evaluation needs {least_rows}")
+    return M.regression_metrics(rows, label, pred) if task == "regression" else M.classification_metrics(rows, label, pred, average)
+
+
 def metrics_long(row_df: DataFrame, task: str) -> DataFrame:
     """Wide metrics row -> ``(name, value, higher_is_better)`` rows for the task's metric set."""
     names = [m for m in TASK_METRICS[task] if m in row_df.columns]
@@ -68,24 +85,23 @@ def metrics_long(row_df: DataFrame, task: str) -> DataFrame:
 
 
 def evaluate(df: DataFrame, task: str, label: str, pred: str | None = None, score: str | None = None,
-             average: str = "macro") -> DataFrame:
+             average: str = "macro", prediction_table: str | None = None) -> DataFrame:
     """The task's metric set as ``(name, value, higher_is_better)`` rows (MET8, MET16).
 
     binary: classes from ``score > 0.5`` (or ``pred``), AUC from ``score``; multiclass: ``pred``;
-    regression: ``pred`` against ``label``.
+    regression: ``pred`` against ``label``. Rows without a valid label and score (or prediction) are left out of every metric; no valid row
+    (binary: fewer than ``LEAST_ROWS``) is an error. ``prediction_table``: see ``evaluate_predictions`` and ``evaluate_binary``.
     """
     task = ALIASES.get(task, task)
     if task == "binary":
         if score is None:
             raise ValueError("binary evaluation needs a score column")
         rows = valid_rows(df, label, score)
-        row = evaluate_binary(df, label, score) if pred is None else \
+        row = evaluate_binary(df, label, score, prediction_table=prediction_table) if pred is None else \
             M.classification_metrics(rows, label, pred).select(
                 "*", M.auc(rows, label, score).select("auc").scalar().alias("auc"))
-    elif task == "multiclass":
-        row = M.classification_metrics(df, label, pred or "prediction", average)
-    elif task == "regression":
-        row = M.regression_metrics(df, label, pred or "prediction")
+    elif task in ("multiclass", "regression"):
+        row = evaluate_predictions(df, task, label, pred or "prediction", average, prediction_table)
     else:
         raise ValueError(f"unknown task {task}")
     return metrics_long(row, task).withColumn("value", F.col("value").cast("double"))

@@ -126,10 +126,17 @@ def confusion_matrix(df: DataFrame, label: str, pred: str, normalize: bool = Fal
     return c.join(row_tot, "label").select("label", "pred", "n", (F.col("n") / F.col("_fp_rt")).alias("share"))
 
 
+def finite(x: Column) -> Column:
+    """True for numbers: not NULL, NaN or infinite."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+
+
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """mse, mae, rmse, r2 = 1 - SSres / (SStot + 1e-8), one pass (MET5/MET6)."""
+    """mse, mae, rmse, r2 = 1 - SSres / (SStot + 1e-8), one pass (MET5/MET6).
+
+    All of them, and ``n``, over the same rows: those whose label and prediction are finite numbers."""
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
-    a = df.agg(F.avg((p - y) * (p - y)).alias("mse"), F.avg(F.abs(p - y)).alias("mae"),
+    a = df.where(finite(y) & finite(p)).agg(F.avg((p - y) * (p - y)).alias("mse"), F.avg(F.abs(p - y)).alias("mae"),
                F.sum((y - p) * (y - p)).alias("ss_res"), (F.var_pop(y) * F.count(y)).alias("ss_tot"),
                F.count("*").alias("n"))
     return a.select("mse", "mae", F.sqrt("mse").alias("rmse"),

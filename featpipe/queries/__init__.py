@@ -47,6 +47,7 @@ def load_all() -> dict[str, Query]:
         q_steps,
         q_streams,
         q_tracking,
+        q_training,
     )
 
     return REGISTRY
