@@ -15,11 +15,11 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featpipe.plans import ordered
+from featpipe.plans import ordered, selection
 
 # Fixed value: ranges / deviations at or below this count as zero.
 EPS = 1e-8
@@ -137,46 +137,46 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
                     names: Sequence[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (``quantile_cont`` / pandas default).
 
-    Values are reduced to ``(group, value, count)`` inside ranges (``ordered.collapsed``: one exchange, hot values summed
-    before it). A running count over them gives each value its rank interval; the values at ranks
-    ``floor(p(n-1))`` and ``ceil(p(n-1))`` are then picked with one grouped aggregate.
-    Returns one row per group with one column per probability.
+    The values at ranks ``floor(p(n-1))`` and ``ceil(p(n-1))`` are selected without moving the column (``plans/selection.py``), for the whole
+    table or for the groups that hold many rows each (at most twice the shuffle partitions). Where there are more groups than
+    that, the others are small: each is sorted by a plain window. Returns one row per group with one column per probability (none for an empty
+    table); NULL is a group, NULL values are left out, NaN counts as the largest. ``n_buckets`` is no longer used.
     """
     g = list(group_cols)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    v = F.col(value_col).cast("double")
-    raw = df.where(F.col(value_col).isNotNull()).select(*g, v.alias("_fp_v"))
-    vc = ordered.collapsed(raw, g, "_fp_v", {"_fp_c": F.lit(1).cast("long")}, n_buckets)
-    cum = ordered.running(vc, g, ["_fp_v"], [("_fp_before", "sum", "_fp_c", False)])
-    cum = cum.withColumn("_fp_before", F.coalesce("_fp_before", F.lit(0)))
+    keys = [f"_fp_k{i}" for i in range(len(g))]
+    raw = df.where(F.col(value_col).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(g, keys, strict=True)],
+                                                        F.col(value_col).cast("double").alias("v"))
+    few = 2 * ordered.partitions(df)
+    chosen = light = None
     if g:
-        # one row per group (small: broadcast by AQE); NULL is a group, as in GROUP BY
-        n_tbl = vc.groupBy(*g).agg(F.sum("_fp_c").alias("_fp_n")).select(
-            *[F.col(k).alias(f"_fp_g{i}") for i, k in enumerate(g)], "_fp_n")
-        cum = cum.join(n_tbl, [cum[k].eqNullSafe(n_tbl[f"_fp_g{i}"]) for i, k in enumerate(g)], "inner")
-        n = F.col("_fp_n")
+        counts = raw.groupBy(*keys).agg(F.count("*").alias("n"))
+        if len(counts.select("n").limit(few + 1).collect()) > few:
+            heavy = ordered.heavy_keys(raw, keys)
+            is_heavy = ordered._is_heavy(keys, heavy) if heavy else F.lit(False)
+            light, chosen = raw.where(~is_heavy), (raw.where(is_heavy) if heavy else None)
+        else:
+            chosen = raw
     else:
-        n = vc.agg(F.sum("_fp_c")).scalar()
-    aggs = []
-    for p, name in zip(probs, names):
-        pos = F.lit(float(p)) * (n - F.lit(1)).cast("double")
-        lo, hi = F.floor(pos), F.ceil(pos)
-        in_lo = (F.col("_fp_before") <= lo) & (lo < F.col("_fp_before") + F.col("_fp_c"))
-        in_hi = (F.col("_fp_before") <= hi) & (hi < F.col("_fp_before") + F.col("_fp_c"))
-        cum = cum.withColumn(f"_fp_lo_{name}", F.when(in_lo, F.col("_fp_v"))) \
-                 .withColumn(f"_fp_hi_{name}", F.when(in_hi, F.col("_fp_v"))) \
-                 .withColumn(f"_fp_fr_{name}", pos - lo)
-        aggs += [F.max(f"_fp_lo_{name}").alias(f"_fp_lo_{name}"), F.max(f"_fp_hi_{name}").alias(f"_fp_hi_{name}"),
-                 F.max(f"_fp_fr_{name}").alias(f"_fp_fr_{name}")]
-    keep = [F.col(f"_fp_lo_{nm}").isNotNull() | F.col(f"_fp_hi_{nm}").isNotNull() for nm in names]
-    cond = keep[0]
-    for k in keep[1:]:
-        cond = cond | k
-    picked = cum.where(cond).groupBy(*g).agg(*aggs)
-    return picked.select(*g, *[
-        (F.col(f"_fp_lo_{nm}") + F.col(f"_fp_fr_{nm}") * (F.col(f"_fp_hi_{nm}") - F.col(f"_fp_lo_{nm}"))).alias(nm)
-        for nm in names
-    ])
+        chosen = raw
+    schema = T.StructType([T.StructField(k, raw.schema[k].dataType) for k in keys])
+    for i in range(len(names)):
+        schema = schema.add(f"_fp_q{i}", T.DoubleType())
+    rows = []
+    for group, n, at in selection.order_statistics(chosen, keys, sorted(set(probs))) if chosen is not None else []:
+        part = {p: p * (n - 1) - math.floor(p * (n - 1)) for p in probs}
+        rows.append((*group, *[at[p][0] if not part[p] else at[p][0] + part[p] * (at[p][1] - at[p][0]) for p in probs]))
+    out = df.sparkSession.createDataFrame(rows, schema)
+    if light is not None:
+        w = Window.partitionBy(*keys)
+        ranked = light.withColumn("r", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count("*").over(w) - 1)
+        pos = [F.lit(float(p)) * F.col("n") for p in probs]
+        lo = [F.max(F.when(F.col("r") == F.floor(x), F.col("v"))) for x in pos]
+        hi = [F.max(F.when(F.col("r") == F.ceil(x), F.col("v"))) for x in pos]
+        part = [F.max(x - F.floor(x)) for x in pos]
+        out = out.unionByName(ranked.groupBy(*keys).agg(*[
+            F.when(f == 0, a).otherwise(a + f * (b - a)).alias(f"_fp_q{i}") for i, (a, b, f) in enumerate(zip(lo, hi, part, strict=True))]))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(g, keys, strict=True)], *[F.col(f"_fp_q{i}").alias(nm) for i, nm in enumerate(names)])
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,6 +134,10 @@ class Graph:
         return sum(v.nbytes for n in self.nodes.values() for v in n.weights.values() if isinstance(v, np.ndarray))
 
 
+def _filled(x: Column, lost: float) -> Column:
+    return F.transform(x, lambda v: F.coalesce(v, F.lit(lost)))
+
+
 def score_graph(df: DataFrame, graph: Graph, inputs: dict[str, str | list[str]], keep: Sequence[str], outputs: Sequence[str] | str | None = None,
                 prefix: str = "pred_") -> DataFrame:
     """``keep`` and one ``pred_<output>`` column per output: a double where it has one value, else an array.
@@ -164,7 +168,7 @@ def score_graph(df: DataFrame, graph: Graph, inputs: dict[str, str | list[str]],
         if missing:
             raise ScoringError(f"input '{name}': columns not found: {missing}")
         x = F.col(f"`{of}`").cast("array<double>") if isinstance(of, str) else F.array(*[F.col(f"`{c}`").cast("double") for c in of])
-        bound.append(F.transform(x, lambda v, lost=lost: F.coalesce(v, F.lit(lost))).alias(f"_fp_in{k}"))
+        bound.append(_filled(x, lost).alias(f"_fp_in{k}"))
     widths = {o: v.shape[1] for o, v in graph.apply({k: np.zeros((1, graph.inputs[k])) for k in used}, wanted).items()}
     schema = df.select(*[F.col(f"`{c}`") for c in keep]).schema
     for o in wanted:

@@ -164,14 +164,19 @@ class Split:
     bounds: list = field(default_factory=list)
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str]) -> list[tuple]:
+    """Keys with more rows than ``N / (2 * partitions)``: at most ``2 * partitions`` of them."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_fp_n"))
+    limit = counts.agg(F.sum("_fp_n") / F.lit(2.0 * partitions(df))).scalar()
+    return [tuple(r) for r in counts.where(F.col("_fp_n") > limit).select(*keys).collect()]
+
+
 def plan_split(df: DataFrame, partition_by: Sequence[str], order_col: str, n_buckets: int | None = None) -> Split:
     """Find the heavy keys (one count per key, combined map-side) and, if there are any, the ranges of their rows."""
     keys = list(partition_by)
     if not keys or n_buckets is not None:
         return Split(keys, None, range_bounds(df, order_col, n_buckets))
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_fp_n"))
-    limit = counts.agg(F.sum("_fp_n") / F.lit(2.0 * partitions(df))).scalar()
-    heavy = [tuple(r) for r in counts.where(F.col("_fp_n") > limit).select(*keys).collect()]  # at most 2 * partitions
+    heavy = heavy_keys(df, keys)
     if not heavy:
         return Split(keys, [])
     own = df.where(_is_heavy(keys, heavy)) if len(heavy) < 4 * partitions(df) else df
