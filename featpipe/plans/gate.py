@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from featpipe.plans.tokens import Token, TokenError, following, statement, text
+
 # Statements allowed in read-only mode.
 READ_ONLY_START = ("SELECT", "WITH", "DESCRIBE", "DESC", "SHOW", "EXPLAIN")
 
@@ -22,24 +24,20 @@ class QueryRejected(ValueError):
     pass
 
 
-def _strip_comments(sql: str) -> str:
-    sql = re.sub(r"/\*.*?\*/", " ", sql, flags=re.S)
-    return re.sub(r"--[^\n]*", " ", sql)
-
-
 def check_read_only(sql: str) -> str:
-    """One statement whose first word is SELECT / WITH / DESCRIBE / SHOW / EXPLAIN."""
-    text = _strip_comments(sql).strip()
-    while text.endswith(";"):
-        text = text[:-1].rstrip()
-    if not text:
+    """One statement whose first word is SELECT / WITH / DESCRIBE / SHOW / EXPLAIN; comments and trailing semicolons are taken off."""
+    try:
+        said = [Token("space", " ") if t.kind == "comment" else t for t in statement(sql)]
+    except TokenError as e:
+        raise QueryRejected(str(e)) from e
+    first = following(said, 0)
+    if first == len(said):
         raise QueryRejected("empty query")
-    if ";" in re.sub(r"'[^']*'", "''", text):
+    if any(t.kind == "sign" and t.text == ";" for t in said):
         raise QueryRejected("only one statement is allowed")
-    first = text.split(None, 1)[0].upper()
-    if first not in READ_ONLY_START:
-        raise QueryRejected(f"{first} is not allowed in read-only mode")
-    return text
+    if said[first].word not in READ_ONLY_START:
+        raise QueryRejected(f"{said[first].text.upper()} is not allowed in read-only mode")
+    return text(said).strip()
 
 
 def suggest_tables(spark: SparkSession, name: str, n: int = 3) -> list[str]:

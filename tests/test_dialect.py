@@ -83,3 +83,43 @@ def test_file_lists_and_sniffing(spark, tmp_path):
     assert query(spark, f"SELECT * FROM read_json_auto('{arr}')").count() == 2
     assert [r.col_name for r in query(spark, f"DESCRIBE SELECT * FROM read_csv_auto('{a}')").collect()] == ["id", "v"]
     assert query(spark, f'SELECT "id" FROM read_csv_auto(\'{a}\')').first()[0] == 1
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT 'FROM t USING SAMPLE 10%' AS s", "SELECT 'see read_csv(x) there' AS s", "SELECT \"read_csv(x)\" FROM t", "SELECT `hash(a)` FROM t",
+    "SELECT 'it''s; CAST(a AS TEXT)' AS s", "SELECT 1 -- hash(a), don't\nFROM t", "SELECT 1 /* 'EXTRACT(DOW FROM a) /* hash(b) */ */ FROM t",
+    "SELECT $$read_csv('a') isn't$$ AS s", "SELECT x.hash(1), text, a AS text FROM t", "SELECT hash FROM t", "SELECT 1 FROM a JOIN b USING (sample)"])
+def test_quoted_text_and_comments_are_left_alone(sql):
+    assert translate(sql) == sql
+
+
+def test_rewrites_beside_comments_and_quotes():
+    assert translate("SELECT CAST(a AS TEXT) -- don't\nFROM t") == "SELECT CAST(a AS STRING) -- don't\nFROM t"
+    assert translate("SELECT 'a;' ; -- last;\n;") == "SELECT 'a;'"
+    assert translate("SELECT CAST('x AS TEXT' AS /* to */ TEXT)") == "SELECT CAST('x AS TEXT' AS /* to */ STRING)"
+    assert translate("SELECT a::TEXT, text::INT FROM t") == "SELECT a::STRING, text::INT FROM t"
+    assert translate("SELECT hash(hash(a), CAST(b AS TEXT)) FROM t") == (
+        "SELECT (shiftrightunsigned(xxhash64((shiftrightunsigned(xxhash64(a), 1)), CAST(b AS STRING)), 1)) FROM t")
+    assert translate("SELECT EXTRACT(dow FROM CAST(a AS TEXT)) FROM t") == "SELECT (EXTRACT(dow FROM CAST(a AS STRING)) - 1) FROM t"
+    assert "_fp_src_check" in translate("SELECT * FROM read_csv('it''s).csv', delim=',', columns={'a': 'DECIMAL(10, 2)', b: 'TEXT'})")
+    for bad in ("SELECT 'open", "SELECT /* open", "SELECT hash((a", 'SELECT "open'):
+        with pytest.raises(DialectError):
+            translate(bad)
+
+
+def test_tokens_are_the_whole_text():
+    from featpipe.plans.tokens import text, tokenise
+
+    sql = "SELECT a.b, 1.5e-3, .5, 'x''y', \"q\"\"\", `z` /* a /* b */ */ -- c\nFROM t WHERE é >= $1 AND c = $t$ ' $t$;"
+    assert text(tokenise(sql)) == sql
+    assert [t.text for t in tokenise(sql) if t.kind == "string"] == ["'x''y'", "$t$ ' $t$"]
+
+
+def test_gate_reads_tokens(spark):
+    from featpipe.plans.gate import QueryRejected, check_read_only
+
+    assert check_read_only("-- it's\nSELECT ';' AS a /* ; */;;") == "SELECT ';' AS a"
+    assert check_read_only("SELECT '--' || \"a;b\" FROM t") == "SELECT '--' || \"a;b\" FROM t"
+    for bad in ("SELECT 1; DROP TABLE t", "/* SELECT */ DELETE FROM t", " ; ", "SELECT 'open", "'SELECT' 1"):
+        with pytest.raises(QueryRejected):
+            check_read_only(bad)
