@@ -189,8 +189,9 @@ def _collisions(found: DataFrame, key: str, rounds: int) -> DataFrame | None:
     now = known.withColumn("attempt", F.lit(0))
     redrawn, least, since = False, None, 0
     while True:
-        drawn = now.withColumn("made", _canonical(F.col("kind"), surrogate(e, key, F.col("attempt"))))
-        drawn = drawn.where("kind <> 'person' or length(value) > 0")
+        # drawn once: what follows reads the written table
+        drawn = stored(bound(now.where("kind <> 'person' or length(value) > 0"), spelled=surrogate(e, key, F.col("attempt"))).select(
+            "kind", "canonical", "attempt", _canonical(F.col("kind"), F.col("spelled")).alias("made")), "pii-surrogates")
         taken = known.select("kind", F.col("canonical").alias("made")).distinct()
         twice = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical")).alias("holder"), F.min("canonical").alias("low"),
                                                   F.max("canonical").alias("high")).where("low <> high").drop("low", "high")
