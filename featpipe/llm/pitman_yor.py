@@ -121,12 +121,15 @@ def _chunks(grid: int):
         w, cell = pair % n, pair // n
         cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
         ends = np.append(starts, len(doc))
-        meta = (ids, np.array(held, bool), lengths)
+        out = np.array(held, bool)
+        taught = np.add.reduceat((~out[doc]).astype(np.int32), starts)  # training tokens of each pair
+        meta = (ids, out, lengths)
         for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             us, own = np.unique(u[i:j], return_inverse=True)
             fresh = np.flatnonzero(np.append(True, w[i + 1 : j] != w[i : j - 1]))
-            yield int(cell[i]), (number, n_docs, meta if k == 0 else None, np.packbits(held).tobytes(), squeeze(
-                names[us], names[w[i:j][fresh]], np.diff(np.append(fresh, j - i)), own, runs[i:j], doc[ends[i] : ends[j]]))
+            # the pairs apart from the texts they occur in, which only the scoring needs
+            yield int(cell[i]), (number, n_docs, meta if k == 0 else None, squeeze(
+                names[us], names[w[i:j][fresh]], np.diff(np.append(fresh, j - i)), own, taught[i:j]), squeeze(runs[i:j], doc[ends[i] : ends[j]]))
 
     def run(rows):
         part = TaskContext.get().partitionId()
@@ -146,19 +149,17 @@ def _chunks(grid: int):
 
 
 class Cell:
-    """The pairs of one cell, merged over all chunks."""
+    """The pairs of one cell, merged over all chunks; with ``lists``, also the texts in which they occur."""
 
-    def __init__(self, blobs: list):
+    def __init__(self, blobs: list, lists: bool = False):
         self.blobs = sorted(blobs, key=lambda b: b[0])
-        parts = [expand(b[4]) for b in self.blobs]
+        parts = [expand(b[3]) for b in self.blobs]
         self.us, self.ws = (np.unique(np.concatenate([p[k] for p in parts])) for k in (0, 1))
-        pairs, counts, self.runs = [], [], []
-        for blob, (us, ws, per_word, u, run, doc) in zip(self.blobs, parts, strict=True):
+        pairs = []
+        for us, ws, per_word, u, _ in parts:
             w = np.repeat(np.searchsorted(self.ws, ws), per_word)
             pairs.append(w * len(self.us) + np.searchsorted(self.us, us)[u])
-            out = np.unpackbits(np.frombuffer(blob[3], np.uint8))[: blob[1]].astype(bool)
-            counts.append(np.add.reduceat((~out[doc]).astype(np.int32), np.append(0, np.cumsum(run)[:-1])))
-            self.runs.append((run.astype(np.int32), doc.astype(np.int32)))
+        counts = np.concatenate([p[4] for p in parts])
         del parts
         self.cuts = np.cumsum([len(p) for p in pairs])[:-1]
         whole = np.concatenate(pairs)
@@ -167,10 +168,13 @@ class Cell:
         whole = whole[order]
         fresh = np.append(True, whole[1:] != whole[:-1])
         every = whole[fresh]
-        self.code = np.empty(len(whole), np.int32)
-        self.code[order] = np.cumsum(fresh, dtype=np.int32) - 1
-        del whole, order
-        self.c = np.bincount(self.code, np.concatenate(counts), len(every)).astype(np.int64)
+        del whole
+        self.c = np.add.reduceat(counts[order], np.flatnonzero(fresh)).astype(np.int64)
+        if lists:
+            self.code = np.empty(len(order), np.int32)
+            self.code[order] = np.cumsum(fresh, dtype=np.int32) - 1
+            self.runs = [[x.astype(np.int32) for x in expand(b[4])] for b in self.blobs]
+        del order
         self.u, self.w = every % len(self.us), every // len(self.us)
         self.several = np.flatnonzero(self.c > 1)
 
@@ -347,7 +351,7 @@ def _score(owners: int, model: dict, totals: list, burn_in: int):
     """Per chunk: each text's part of the score, of the base score and of the known tokens."""
 
     def run(number, blobs, answers):
-        cell = Cell(blobs)
+        cell = Cell(blobs, lists=True)
         got = _read(cell, answers, owners)
         # the last answer's seating is the last sweep's own; sweep s drew from answer s - 1
         tables = _sweeps(cell, number, got[:-1], totals[:-1], model)
