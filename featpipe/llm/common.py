@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -101,6 +102,14 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and what one task needed at its peak should not stay with them."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to do
+        pass
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node that edges (a, b) touch; the label is the smallest node of its component.
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featpipe.llm.common import Numbered, buckets, mix
+from featpipe.llm.common import Numbered, buckets, give_back, mix
 
 CHUNK = 12 << 20  # characters of a chunk
 CELL_CHARS = 9_000_000  # characters of text for every cell
@@ -141,9 +141,12 @@ def _chunks(grid: int):
             size += len(text or "")
             if size >= CHUNK:
                 yield from pack(number, ids, held, words)
+                give_back()
                 number, ids, held, words, size = number + 1, [], [], Words(), 0
         if ids:
             yield from pack(number, ids, held, words)
+        del ids, held, words
+        give_back()
 
     return run
 
@@ -427,6 +430,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_o
             got = _keyed(got)
             for number, own in sorted(_keyed(blobs).items()):
                 yield from fn(number, own, *([] if alone else [got.get(number, [])]))
+                give_back()
 
         return (dealt if alone else dealt.zip(answers)).flatMap(run)
 
@@ -440,6 +444,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held_o
             more = _keyed(more)
             for number, rs in sorted(_keyed(first).items()):
                 yield from fn(Owner(rs), number, more.get(number, []), rs)
+                give_back()
 
         return (reports if alone else reports.zip(changes)).flatMap(run)
 
