@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ FEATURES = ["n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+SHORT = 1 << 20  # words of a text whose windows' places fit 20 bits
+NEAR = 3
+
+
 def vocabulary(text: Column) -> Column:
     """The text's words as runs of letters, A-Z folded."""
     return F.split(F.translate(text, UPPER, LOWER), r"[^\p{L}]+")
@@ -40,24 +45,29 @@ def measure(docs: DataFrame, text: str = "text", flagged: list[str] | None = Non
                __q_w=F.regexp_extract_all("__q_t", F.lit(WORD), F.lit(0)),
                __q_l=F.filter(F.split("__q_t", "\n", -1), lambda s: s.rlike(WORD)))
     n = F.size("__q_w")
-    # a window's hash and its place share one long: sorting brings equal windows side by side
-    bits = F.when(n <= 1 << 20, 20).otherwise(28)
-    x = bound(x, __q_bits=bits)
-    packed = F.when(n >= 4, F.sort_array(F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.call_function("shiftleft", F.xxhash64(*[F.get(F.col("__q_w"), i + k) for k in range(3)]),
-                                  F.col("__q_bits")) + i))).otherwise(F.array().cast("array<bigint>"))
-    x = bound(x, __q_p=packed)
-    key = lambda v: F.call_function("shiftright", v, F.col("__q_bits"))
-    place = lambda v: (v - F.call_function("shiftleft", key(v), F.col("__q_bits"))).cast("int")
+    # Sorting by hash and place brings equal windows side by side; the words themselves decide. Up to SHORT words a window's 44 hash bits
+    # and its place share one long, beyond they are a struct with all 64 bits. A window is compared with the NEAR next ones of its
+    # hash on either side, so that one of another text with the same hash bits between two equal ones hides neither.
     window = lambda i: F.struct(*[F.get(F.col("__q_w"), i + k) for k in range(3)])
-
-    def same(v, other):  # equal hash bits first; the words themselves decide
-        return F.coalesce((key(v) == key(other)) & (window(place(v)) == window(place(other))), F.lit(False))
-
-    again = F.filter("__q_p", lambda v, j: F.coalesce(
-        same(v, F.get(F.col("__q_p"), j - 1)) | same(v, F.get(F.col("__q_p"), j + 1)), F.lit(False)))
-    x = bound(x, __q_d=F.array_sort(F.transform(again, place)))
+    hashed = lambda i: F.xxhash64(*[F.get(F.col("__q_w"), i + k) for k in range(3)])
+    short, places = n <= SHORT, F.sequence(F.lit(0), n - 3)
+    x = bound(x, __q_p=F.when((n >= 4) & short, F.sort_array(F.transform(
+        places, lambda i: F.call_function("shiftleft", hashed(i), F.lit(20)) + i))).otherwise(F.array().cast("array<bigint>")),
+        __q_s=F.when(~short, F.sort_array(F.transform(places, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))).otherwise(
+            F.array().cast("array<struct<h: bigint, i: int>>")))
+
+    def equal_ones(rows, key, place):
+        def same(v, other):
+            return F.coalesce((key(v) == key(other)) & (window(place(v)) == window(place(other))), F.lit(False))
+
+        found = F.filter(rows, lambda v, j: reduce(lambda a, b: a | b, [
+            same(v, F.get(F.col(rows), j + side * k)) for k in range(1, NEAR + 1) for side in (-1, 1)]))
+        return F.transform(found, place)
+
+    high = lambda v: F.call_function("shiftright", v, F.lit(20))
+    packed = equal_ones("__q_p", high, lambda v: (v - F.call_function("shiftleft", high(v), F.lit(20))).cast("int"))
+    long_ones = equal_ones("__q_s", lambda v: v["h"], lambda v: v["i"])
+    x = bound(x, __q_d=F.array_sort(F.when(n <= SHORT, packed).otherwise(long_ones)))
     repeated = F.aggregate(
         "__q_d", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
         lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(a["reach"], i)).alias("n"), (i + 3).alias("reach")),

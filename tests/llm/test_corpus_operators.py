@@ -477,3 +477,25 @@ def test_rows_go_one_by_one_not_by_key(spark, prose):
     assert sum(kept.values()) == 3
     for t in (d, e, f):
         assert sum(n for (_, x), n in kept.items() if x in (t, near(t))) == 1
+
+
+def test_repeated_windows_of_long_texts_are_counted_exactly(spark, monkeypatch):
+    """Three-word repeats counted by both forms of the window key, hash twins among them or not."""
+    r = random.Random(8)
+    texts = []
+    for k in range(6):
+        words = [f"w{r.randrange(10 ** 6)}" for _ in range(400)]
+        for _ in range(40):
+            at, to = r.randrange(390), r.randrange(390)
+            words[to : to + 3] = words[at : at + 3]
+        texts.append((k, " ".join(words)))
+
+    def plain(text):
+        w = text.split()
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        return len({i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)})
+
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for short in (1 << 20, 100):  # packed keys, then structs
+        monkeypatch.setattr(quality, "SHORT", short)
+        assert {x[0]: x.n_repeat_words for x in quality.measure(df).collect()} == {k: plain(t) for k, t in texts}
