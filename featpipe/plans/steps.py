@@ -20,8 +20,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from featpipe.plans.published import Published
 from featpipe.session import checkpoint_root
@@ -332,7 +331,6 @@ class StepRunner:
         staged: dict[str, str] = {}
         drops: list[str] = []
         frames: dict[str, DataFrame] = {}
-        written: dict[str, Observation] = {}
         texts = []
         try:
             base = self.published.version()
@@ -352,9 +350,8 @@ class StepRunner:
                             df = OPERATORS[s.op](self.spark, s.args) if s.op else self.spark.sql(text)
                             if s.type == "table" and not dry_run:
                                 path = f"{staging}/{s.name}"
-                                written[s.name] = Observation()  # the write itself counts its rows
                                 staged[s.name] = path
-                                df.observe(written[s.name], F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+                                df.write.mode("overwrite").parquet(path)
                                 df = self.spark.read.parquet(path)
                             self._register(s.name, df, replaced)
                             frames[s.name] = df
@@ -368,7 +365,9 @@ class StepRunner:
                 info = {"type": step.type, "schema": [(f.name, f.dataType.simpleString()) for f in frames[o].schema.fields]}
                 if count_outputs and not dry_run:
                     try:
-                        info["rows"] = written[o].get["rows"] if o in written else frames[o].count()
+                        # a table's count is read from its staged files' footers. (An Observation on the write would leave the session
+                        # with a member that cannot be serialised, and MLlib models used later in it would fail.)
+                        info["rows"] = frames[o].count()
                     except Exception as e:  # noqa: BLE001
                         raise StepFailed(o, e) from e
                 report.outputs[o] = info
