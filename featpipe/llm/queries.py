@@ -73,7 +73,7 @@ def op4_chat_formatting(spark, sf_dir):
                                   "conv_id long, turn long, role string, text string")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     formatted = chat.format_conversations(turns)
-    lost = chat.masked(chat.expand_targets(formatted)).withColumnRenamed("conv_id", "c")
+    lost = chat.masked(chat.expand_targets(formatted), formatted).withColumnRenamed("conv_id", "c")
     text = formatted.select("conv_id", F.array_join("segments", "").alias("formatted"))
     back = text.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"),
                        chat.read_turns(F.col("formatted")).alias("turns"))
@@ -81,20 +81,25 @@ def op4_chat_formatting(spark, sf_dir):
     loss = F.coalesce("loss_text", F.lit(""))
     return back.join(lost, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+        F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
+        F.coalesce("context_chars", F.lit(0)).cast("long").alias("context_chars"))
 
 
 OP4_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, 18 + length(regexp_replace(role || text, '([\[<\\])', '\1\1', 'g')) AS n FROM c),
+f AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - n AS ahead FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(18 + length(regexp_replace(role || text, '([\[<\\])', '\1\1', 'g'))) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+       CAST(sum(n) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+       CAST(coalesce(sum(ahead) FILTER (role = 'assistant'), 0) AS BIGINT) AS context_chars
+FROM f GROUP BY conv_id
 """
 
 

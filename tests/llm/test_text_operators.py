@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -128,7 +129,41 @@ def test_every_reply_is_an_example_with_all_turns_before_it(spark):
         assert text.startswith(r.text) and r.text.endswith("</s>")
         assert r.text[r.loss_start : r.loss_start + r.loss_chars] == f"say [\\{2 * i + 1}]"
         assert r.text.count("[INST]") == 2 * i + 2
-    assert chat.masked(ex).first().loss_text == "".join(f"say [{t}]" for t in range(1, 300, 2))
+    assert chat.masked(ex, f).first().loss_text == "".join(f"say [{t}]" for t in range(1, 300, 2))
+
+
+def test_losses_read_at_the_offsets_of_rendered_examples(spark):
+    said = ["grüß [dich]", "", "</s>[INST] ok [/INST]", "日本語 \\ <x>", None]
+    rows = [(c, t, "assistant" if (t + (c or 0)) % 3 else "user", said[(t * 7 + (c or 0)) % 5]) for c in (1, 2, None) for t in range(200)]
+    rows += [(3, 0, "user", "no reply")]
+    f = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    ex = chat.expand_targets(f, run=16)
+    whole = chat.render(ex, f).collect()
+    at = {(r.conv_id, r.example): r for r in ex.collect()}
+    loss, context = {}, {}
+    for r in sorted(whole, key=lambda r: r.example):
+        x, turns = at[r.conv_id, r.example], [(role, text or "") for c, _, role, text in rows if c == r.conv_id]
+        escaped = r.text[r.loss_start : r.loss_start + r.loss_chars]
+        assert r.text.encode()[x.loss_byte : x.loss_byte + x.loss_bytes] == escaped.encode()
+        told = spark_free_unescape(escaped)
+        ahead = [spark_free_turn(p) for p in r.text[: x.context_chars].split("</s>")[:-1]]
+        assert ahead == turns[: x.context_turns] and ("assistant", told) == turns[x.context_turns]  # exactly the turns before
+        loss[r.conv_id] = loss.get(r.conv_id, "") + told
+        context[r.conv_id] = context.get(r.conv_id, 0) + x.context_chars
+    got = {r.conv_id: r for r in chat.masked(ex, f).collect()}
+    assert {c: r.loss_text for c, r in got.items()} == loss and {c: r.context_chars for c, r in got.items()} == context
+    assert 3 not in got and got[None].n_examples == sum(r[0] is None and r[2] == "assistant" for r in rows)
+    # an offset that is wrong by one shows
+    assert chat.masked(ex.withColumn("loss_byte", F.col("loss_byte") - 1), f).where("conv_id = 1").first().loss_text != loss[1]
+
+
+def spark_free_unescape(s):
+    return re.sub(r"([\[<\\])\\", r"\1", s)
+
+
+def spark_free_turn(s):
+    role, text = s.removeprefix("[INST] ").split("[/INST]", 1)
+    return spark_free_unescape(role), spark_free_unescape(text)
 
 
 def test_chat_of_an_empty_table(spark):
