@@ -5,8 +5,10 @@ every block of two words, how far the search may jump (``shift``) and which wind
 A position whose block lies in no window is skipped by almost a whole window; a block that ends windows leads
 to direct comparison, word by word. Texts are scanned where they lie: the job is one pass without a shuffle.
 
-The tables hold only the benchmark. Their size is checked: a benchmark above ``block_bytes`` of text is dealt into blocks
-by item, and each block's tables go over all documents in their own pass; the passes' hits are then merged per row.
+The tables hold only the benchmark. Their size is checked before they are built: Spark counts the benchmark's words, a word
+starts at most one window, and a window takes at most WINDOW_BYTES in memory. A benchmark whose tables would exceed
+``table_bytes`` (or whose text ``block_bytes``) is dealt into blocks by item, and each block's tables go over all documents in their own pass; the passes'
+hits are then merged per row. Equal words of a block are one object.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from pyspark.sql import types as T
 from featpipe.llm.common import stored
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WINDOW_BYTES = 1024  # of tables for a benchmark word; measured: at most 980 while they are built, 580 then
+TABLE_BYTES = 256 << 20  # of a block's tables, in the driver and in every Python worker
+BLOCK_BYTES = 32 << 20  # of a block's text
 
 # every byte that is no word byte becomes a blank; A-Z become a-z (words: 0-9, a-z and all non-ASCII characters)
 _FOLD = bytes(
@@ -41,8 +46,9 @@ class Tables:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         by_length: dict[int, dict[tuple, set[str]]] = {}
+        one: dict[bytes, bytes] = {}
         for item, text in items:
-            w = words_of(text)
+            w = [one.setdefault(x, x) for x in words_of(text)]
             m = min(window, len(w))
             for i in range(len(w) - m + 1 if m else 0):
                 by_length.setdefault(m, {}).setdefault(tuple(w[i : i + m]), set()).add(item)
@@ -118,12 +124,13 @@ KINDS = ["long", "long", "array<string>", "array<array<int>>"]
 
 
 def _tag(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, keep_spans: bool,
-         block_bytes: int) -> DataFrame:
+         block_bytes: int, table_bytes: int) -> DataFrame:
     """Columns __wm_c0.. (those of ``docs``, in order) and MADE."""
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-int(size) // block_bytes))
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"),
+                     F.coalesce(F.sum(F.regexp_count("t", F.lit(WORD))), F.lit(0)).alias("words")).first()
+    blocks = max(1, -(-int(size["b"]) // block_bytes), -(-int(size["words"]) * WINDOW_BYTES // table_bytes))
     inner = docs.select(*[F.col(f"`{c}`").alias(f"__wm_c{k}") for k, c in enumerate(docs.columns)],
                         F.col(f"`{text}`").cast("string").alias("__wm_text"))
     if blocks > 1:  # rows need a name under which the passes' hits meet
@@ -158,14 +165,14 @@ def _tag(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text:
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                  item_text: str = "text", window: int = WINDOW, keep_spans: bool = False,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Every column of ``docs`` and n_words, n_hit, items (sorted), spans (word ranges, if ``keep_spans``).
 
     NULL or wordless documents have no words and no hits; NULL or wordless items have no windows; items with the same
     text, and repeated rows, all count. A NULL item id is the empty string. An empty table gives no hits.
     Columns of ``docs`` named like a result column are replaced by the result.
     """
-    tagged = _tag(docs, benchmark, text, item, item_text, window, keep_spans, block_bytes)
+    tagged = _tag(docs, benchmark, text, item, item_text, window, keep_spans, block_bytes, table_bytes)
     names = ["n_words", "n_hit", "items", "spans"]
     return tagged.select(*[F.col(f"__wm_c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in names],
                          *[F.col(m).alias(c) for m, c in zip(MADE, names, strict=True)])
@@ -177,7 +184,8 @@ def is_contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents without contamination, with their own columns."""
-    tagged = _tag(docs, benchmark, text, "item_id", "text", window, False, BLOCK_BYTES)
+    """The documents without contamination, with their own columns. NULL, empty and wordless texts stay, repeated rows are
+    judged alike, very long texts are searched whole; empty tables and columns with any names pass."""
+    tagged = _tag(docs, benchmark, text, "item_id", "text", window, False, BLOCK_BYTES, TABLE_BYTES)
     return tagged.where(~is_contaminated("__wm_words", "__wm_hit")).select(
         *[F.col(f"__wm_c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -212,6 +213,20 @@ def test_windows_equal_brute_force(spark, prose, odd_docs, block_bytes):
     assert bad and not bad & kept and {1, 2, 3, 4, 5, 6, None} <= kept
 
 
+def test_blocks_follow_the_size_of_the_tables(spark, prose, odd_docs):
+    items = [(str(i), prose(200, i)) for i in range(40)]
+    tracemalloc.start()
+    decontaminate.Tables(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 40 * 200 * decontaminate.WINDOW_BYTES
+    docs = odd_docs([(100 + i, prose(40, 900 + i) + " " + items[i][1] + " " + items[39 - i][1][:300], "en", "s") for i in range(20)])
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole, dealt = (sorted(decontaminate.find_windows(docs, bench, keep_spans=True, table_bytes=n).select(
+        "doc_id", "n_words", "n_hit", "items", "spans").collect(), key=str) for n in (1 << 30, 2 << 20))  # one block, four blocks
+    assert whole == dealt and sum(r.n_hit > 0 for r in whole) == 20
+
+
 def test_decontamination_of_empty_tables(spark, empty_docs, odd_docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_windows(empty_docs, bench).count() == 0
