@@ -282,6 +282,34 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert _replaced(spark, texts, "other key") != out and _replaced(spark, texts) == out
 
 
+def test_names_keep_script_capitals_and_shared_parts(spark):
+    texts = ["Mr Γεώργιος Παπαδόπουλος and κυρία Μαρία Παπαδοπούλου", "Mr 田中 太郎, said", "Mr. JOHN SMITH paid", "Mr. John Smith; later Mr. Smith",
+             "Dr. Jane Doe and Dr. Anna Roe", "Ms 김 민수 / господин ИВАНОВ", "Mr O'Brien's and Mr O'Brien", "Oak Dr Springfield"]
+    out = _replaced(spark, texts)
+    man, woman = re.fullmatch(r"Mr (\w+ \w+) and κυρία (\w+ \w+)", out[0]).groups()
+    assert re.fullmatch(r"[\u0370-\u03ff]+ [\u0370-\u03ff]+ίδης", man) and re.fullmatch(r"[\u0370-\u03ff]+ [\u0370-\u03ff]+ίδου", woman)
+    assert re.fullmatch(r"Mr [\u4e00-\u9fff]+ [\u4e00-\u9fff]+, said", out[1]) and "田中" not in out[1] and "太郎" not in out[1]
+    loud = re.fullmatch(r"Mr\. ([A-Z]+) ([A-Z]+) paid", out[2])
+    first, last, again = re.fullmatch(r"Mr\. ([A-Z][a-z]+) ([A-Z][a-z]+); later Mr\. (\w+)", out[3]).groups()
+    assert last == again != "Smith" and first != "John" and loud.groups() == (first.upper(), last.upper())
+    jane, doe, anna, roe = re.fullmatch(r"Dr\. (\w+) (\w+) and Dr\. (\w+) (\w+)", out[4]).groups()
+    assert not {jane, doe, anna, roe} & {"Jane", "Doe", "Anna", "Roe"} and len({doe, roe}) == 2
+    assert any(anna.startswith(n) for n in surrogates.FIRST["latin", "f"])
+    assert re.fullmatch(r"Ms [\uac00-\ud7af]+ [\uac00-\ud7af]+ / господин [А-Я]+ОВ", out[5]) and "김" not in out[5] and "ИВАНОВ" not in out[5]
+    a, b = re.fullmatch(r"Mr (\w+)'s and Mr (\w+)", out[6]).groups()
+    assert a == b and "Brien" not in out[6]
+    assert out[7] == texts[7]
+
+
+def test_distinct_names_stay_distinct_part_by_part(spark):
+    given, family = [f"G{a}{b}ko" for a in "aeiou" for b in "lmnrs"], [f"F{a}{b}sen" for a in "aeiou" for b in "lmnrs"]
+    texts = [f"Mr {g} {f} met Mr {f}." for g in given for f in family]
+    out = [re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+)\.", t).groups() for t in _replaced(spark, texts)]
+    assert all(f == alone for _, f, alone in out)
+    assert len({g for g, _, _ in out}) == 25 and len({f for _, f, _ in out}) == 25 and len({x[:2] for x in out}) == 625
+    assert not {g for g, _, _ in out} & set(given) and not {f for _, f, _ in out} & set(family)
+
+
 def test_collisions_are_drawn_again_until_all_differ(spark, monkeypatch):
     from pyspark.sql import functions as F
 
