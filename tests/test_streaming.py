@@ -69,3 +69,25 @@ def test_restart_resumes_and_late_rows_are_counted(spark, tmp_path):
     out, counts = run()  # started again: reads the new file only, goes on with the old state
     assert counts["rows"] == 2 and counts["late_rows"] == 1
     assert sorted((str(r.window_start)[:10], r.n) for r in out.collect()) == [("2024-01-01", 1), ("2024-01-10", 2)]
+
+
+def test_batches_write_runs_that_merge_by_levels(spark, tmp_path):
+    path, schema = str(tmp_path / "runs"), "k string, v long"
+    write, want = streams._fold_batches(path, ["k"], fan=2), {}
+
+    def rows(i):
+        return [("hot", i), (None, -i), (f"k{i % 3}", 10 * i)]
+
+    def got():
+        from pyspark.sql.types import StructType
+
+        return {r.k: r.v for r in streams._folded(spark, path, ["k"], StructType.fromDDL(schema)).collect()}
+
+    for i in range(7):
+        write(spark.createDataFrame(rows(i), schema).coalesce(1), i)
+        want.update(dict(rows(i)))
+        if i == 5:  # replayed after a failure
+            write(spark.createDataFrame(rows(i), schema).coalesce(1), i)
+    assert got() == want
+    assert streams._current(streams._runs(spark, path)) == [(0, 3), (4, 5), (6, 6)]
+    assert spark.read.parquet(f"{path}/run=6-6").count() == 3  # a batch's run holds its own rows only
