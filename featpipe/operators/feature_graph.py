@@ -295,7 +295,8 @@ ALIASES = {
 # ---------------------------------------------------------------- processors in order (FEA21)
 
 def fit_processors(df: DataFrame, steps: Sequence[tuple[str, Sequence[str], dict]]) -> list[dict]:
-    """Fit ``[(kind or alias, columns, params)]`` in order; each fit sees the previous output."""
+    """Fit ``[(kind or alias, columns, params)]`` in order; each fit sees the previous output. One-hot columns with more than
+    ``max_categories`` (1000) categories become one sparse vector; with ``sparse`` false they are an error."""
     states = []
     cur = df
     for kind, cols, params in steps:
@@ -308,7 +309,7 @@ def fit_processors(df: DataFrame, steps: Sequence[tuple[str, Sequence[str], dict
             st = FE.fit_robust(cur, cols)
         elif k == "onehot":
             st = {"kind": "onehot", "columns": list(cols),
-                  "params": FE.fit_categories_many(cur, cols, params.get("max_categories", 1000), params.get("sparse", False)),
+                  "params": FE.fit_categories_many(cur, cols, params.get("max_categories", 1000), params.get("sparse", True)),
                   "handle_unknown": params.get("handle_unknown", "ignore")}
         else:
             raise PipelineError(f"unknown processor {kind}")
@@ -322,8 +323,9 @@ def apply_processor(df: DataFrame, st: dict) -> DataFrame:
     if k == "onehot":
         for c in st["columns"]:
             known = st["params"][c]
-            df = FE.one_hot_sparse(df, c, known) if isinstance(known, FE.Vocabulary) else FE.one_hot(
-                df, c, known, st.get("handle_unknown", "ignore"))
+            unknown = st.get("handle_unknown", "ignore")
+            df = FE.one_hot_sparse(df, c, known, handle_unknown=unknown) if isinstance(known, FE.Vocabulary) else FE.one_hot(
+                df, c, known, unknown)
         return df
     fn = {"standard": FE.standard_scale, "minmax": FE.minmax_scale, "robust": FE.robust_scale}[k]
     return df.withColumns({c: fn(st, c) for c in st["columns"]})

@@ -11,7 +11,6 @@ All fits that need plain aggregates share one ``agg`` pass (``fit_numeric_stats`
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featpipe.operators.lookup import look_up, measured as _measured
 from featpipe.plans import ordered, selection
 
 # Fixed value: ranges / deviations at or below this count as zero.
@@ -29,20 +29,6 @@ class FeatureError(ValueError):
     pass
 
 
-def _fits_broadcast(df: DataFrame, n_bytes: int) -> bool:
-    """Whether a fitted table of this measured size may be broadcast: the session's own threshold decides."""
-    limit = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower()
-    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", limit)
-    top = int(m.group(1)) * 1024 ** " kmgt".index(m.group(2) or " ") if m else 10 << 20
-    return 0 <= n_bytes <= top
-
-
-def _measured(frame: DataFrame, value: str, extra: int) -> tuple[int, int]:
-    """Rows and bytes of a fitted table: its value as text plus ``extra`` bytes a row."""
-    r = frame.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length(F.col(value).cast("string")), F.lit(0)).cast("long")).alias("b")).first()
-    return int(r["n"]), int(r["b"] or 0) + int(r["n"]) * extra
-
-
 def _bad(v) -> bool:
     return v is None or (isinstance(v, float) and (math.isnan(v) or math.isinf(v)))
 
@@ -268,16 +254,15 @@ def fit_label_encoder(df: DataFrame, col: str, include_null: bool = True, n_buck
 
 
 def label_encode(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = None,
-                 handle_unknown: str = "use_unknown_value", unknown_value: int | None = None) -> DataFrame:
+                 handle_unknown: str = "use_unknown_value", unknown_value: int | None = None, limit: int | None = None) -> DataFrame:
     """Index of each value; unseen values -> ``unknown_value`` (default: vocabulary size), or
-    an error that lists up to 10 known values (FEA8)."""
+    an error that lists up to 10 known values (FEA8). ``limit``: bytes up to which the dictionary is broadcast, see ``look_up``."""
     out = out or f"{col}_idx"
     v = vocab.frame.select(F.col("value").alias("_fp_value"), F.col("idx").alias("_fp_idx"))
     n_bytes = _measured(vocab.frame, "value", 12)[1] if vocab.n_bytes is None else vocab.n_bytes
-    right = F.broadcast(v) if _fits_broadcast(df, n_bytes) else v
-    cond = df[col].eqNullSafe(right["_fp_value"])
+    j = look_up(df, col, v, "_fp_value", n_bytes, 12, limit=limit)
     if handle_unknown == "error":
-        unseen = df.join(right, cond, "left_anti").select(col).limit(1).collect()
+        unseen = j.where(F.col("_fp_idx").isNull()).select(col).limit(1).collect()
         if unseen:
             known = [r["value"] for r in vocab.frame.orderBy("idx").limit(10).collect()]
             shown = ", ".join(repr(k) for k in known)
@@ -287,8 +272,7 @@ def label_encode(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = N
     elif handle_unknown != "use_unknown_value":
         raise FeatureError("handle_unknown must be 'use_unknown_value' or 'error'")
     unk = vocab.size if unknown_value is None else unknown_value
-    j = df.join(right, cond, "left")
-    return j.select(*[df[c] for c in df.columns], F.coalesce(F.col("_fp_idx"), F.lit(unk)).cast("bigint").alias(out))
+    return j.select(*[j[c] for c in df.columns], F.coalesce(F.col("_fp_idx"), F.lit(unk)).cast("bigint").alias(out))
 
 
 def fit_categories(df: DataFrame, col: str, max_categories: int | None = 1000) -> list[str]:
@@ -339,17 +323,19 @@ def one_hot(df: DataFrame, col: str, categories: Sequence[str], handle_unknown:
     return df.select(*base, *cols)
 
 
-def one_hot_sparse(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = None) -> DataFrame:
+def one_hot_sparse(df: DataFrame, col: str, vocab: Vocabulary, out: str | None = None, handle_unknown: str = "ignore") -> DataFrame:
     """One-hot as an MLlib sparse vector, for many categories (FEA13): the dictionary index,
-    then ``OneHotEncoder`` sized from the dictionary itself. Unknown values -> all zeros."""
+    then ``OneHotEncoder`` sized from the dictionary itself. Unknown values -> all zeros, or an error (NULL is never one)."""
     from pyspark.ml.feature import OneHotEncoder
 
     out = out or f"{col}_onehot"
-    idx = label_encode(df, col, vocab, out="_fp_idx").withColumn("_fp_idx", F.col("_fp_idx").cast("double"))
+    if handle_unknown == "error":
+        label_encode(df.where(F.col(col).isNotNull()).select(col), col, vocab, handle_unknown="error")
+    idx = label_encode(df, col, vocab, out="_fp_no").withColumn("_fp_no", F.col("_fp_no").cast("double"))
     # the unknown index (= size) is "invalid": kept as an extra slot, which dropLast removes
-    enc = OneHotEncoder(inputCols=["_fp_idx"], outputCols=[out], dropLast=True, handleInvalid="keep")
-    model = enc.fit(vocab.frame.select(F.col("idx").cast("double").alias("_fp_idx")))
-    return model.transform(idx).drop("_fp_idx")
+    enc = OneHotEncoder(inputCols=["_fp_no"], outputCols=[out], dropLast=True, handleInvalid="keep")
+    model = enc.fit(vocab.frame.select(F.col("idx").cast("double").alias("_fp_no")))
+    return model.transform(idx).drop("_fp_no")
 
 
 def save_vocabulary(vocab: Vocabulary, path: str) -> None:
@@ -420,16 +406,16 @@ def load_target_encoding(spark, path: str) -> TargetEncoding:
     return TargetEncoding(head["feature"], t.select("value", "n", "mean"), head["global_mean"], head["smoothing"], size, n_bytes)
 
 
-def target_encode(df: DataFrame, enc: TargetEncoding, out: str | None = None) -> DataFrame:
+def target_encode(df: DataFrame, enc: TargetEncoding, out: str | None = None, limit: int | None = None) -> DataFrame:
+    """The smoothed mean of each row's category; unseen ones get the global mean (FEA17). ``limit``: see ``look_up``."""
     out = out or f"{enc.column}_te"
     s, g = F.lit(enc.smoothing), F.lit(enc.global_mean).cast("double")
     f = enc.frame.select(F.col("value").alias("_fp_value"), F.col("n").alias("_fp_n"), F.col("mean").alias("_fp_mean"))
-    if _fits_broadcast(df, _measured(enc.frame, "value", 24)[1] if enc.n_bytes is None else enc.n_bytes):
-        f = F.broadcast(f)
-    j = df.join(f, df[enc.column].eqNullSafe(f["_fp_value"]), "left")
+    n_bytes = _measured(enc.frame, "value", 24)[1] if enc.n_bytes is None else enc.n_bytes
+    j = look_up(df, enc.column, f, "_fp_value", n_bytes, 24, limit=limit)
     val = F.when(F.col("_fp_n").isNull() | ((F.col("_fp_n") + s) == 0), g) \
         .otherwise((F.col("_fp_n") * F.col("_fp_mean") + s * g) / (F.col("_fp_n") + s))
-    return j.select(*[df[c] for c in df.columns], val.alias(out))
+    return j.select(*[j[c] for c in df.columns], val.alias(out))
 
 
 # ---------------------------------------------------------------- arrays (FEA1/FEA5/FEA6)

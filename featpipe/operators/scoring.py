@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featpipe.operators.lookup import look_up
+
 # Dtype names accepted in input specs -> Spark SQL types (unknown -> float), and
 # the output names preferred when a model has several outputs.
 DTYPES = {
@@ -190,13 +192,15 @@ def dense_score(df: DataFrame, model: Dense, features: str, keep: Sequence[str],
 # ---------------------------------------------------------------- embeddings (SCR7)
 
 def embedding_lookup(df: DataFrame, idx_col: str, table: DataFrame, table_idx: str, table_vec: str,
-                     out: str, dim: int) -> DataFrame:
+                     out: str, dim: int, limit: int | None = None) -> DataFrame:
     """Row ``idx`` of a (vocab x dim) table; an index outside the table (the unknown index
-    = vocab size) gets a zero vector, the one extra row (D17)."""
+    = vocab size) gets a zero vector, the one extra row (D17), as does NULL. The table is broadcast
+    only if its counted bytes fit; frequent indexes never meet in one task (``look_up``)."""
     t = table.select(F.col(table_idx).alias("_fp_i"), F.col(table_vec).alias("_fp_vec"))
-    j = df.join(t, df[idx_col] == t["_fp_i"], "left")
+    row_bytes = 8 * dim + 24
+    j = look_up(df, idx_col, t, "_fp_i", t.select("_fp_i").count() * (row_bytes + 8), row_bytes, null_safe=False, limit=limit)
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return j.select(*[df[c] for c in df.columns], F.coalesce("_fp_vec", zero).alias(out))
+    return j.select(*[j[c] for c in df.columns], F.coalesce("_fp_vec", zero).alias(out))
 
 
 def with_numbers(vector: Column | str, columns: Sequence[str]) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from featpipe.functions.hashing import md5_bucket
 from featpipe.plans import ordered
+from featpipe.sources.files import scratch_path
 
 TRAIN, VALID, TEST = "training", "validation", "test"
 
@@ -129,10 +130,13 @@ def scaled_training_set(df: DataFrame, features: Sequence[str], target: Column |
                         strat_col: str, id_cols: Sequence[str] = (), train_tenths: int = 8,
                         rename: dict | None = None, n_buckets: int | None = None) -> DataFrame:
     """The full training-set recipe (SPL6): drop rows with NULL inputs, stratified split,
-    statistics from training rows only, scaled features + target + split."""
+    statistics from training rows only, scaled features + target + split. The ranked rows are written once
+    under the shared checkpoint folder; statistics and result read them from there."""
     cols = list(features) + [strat_col]
     clean = df.where(F.lit(True) if not cols else F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)))
-    split = stratified_split(clean, strat_col, order_by, train_tenths, "split", n_buckets)
+    path = scratch_path(df.sparkSession, "training_set")
+    stratified_split(clean, strat_col, order_by, train_tenths, "split", n_buckets).write.parquet(path)
+    split = df.sparkSession.read.parquet(path)
     stats = training_stats(split, features)
     rename = rename or {}
     tgt = F.col(target) if isinstance(target, str) else target

@@ -203,6 +203,39 @@ def fea8_label_encode_unseen_names(spark, sf_dir):
     return FE.label_encode(c, "c_name", vocab, out="name_idx").select("c_custkey", "name_idx")
 
 
+@query("fea8_label_encode_frequent_null", "FEA7 FEA8 JN5", oracle="""
+WITH k AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_orderkey END AS known_order
+           FROM lineitem),
+vocab AS (SELECT known_order, ROW_NUMBER() OVER (ORDER BY known_order NULLS LAST) - 1 AS idx
+          FROM (SELECT DISTINCT known_order FROM k WHERE l_returnflag <> 'R'))
+SELECT k.l_orderkey, k.l_linenumber, COALESCE(v.idx, (SELECT COUNT(*) FROM vocab)) AS order_idx
+FROM k LEFT JOIN vocab v ON k.known_order IS NOT DISTINCT FROM v.known_order
+""")
+def fea8_label_encode_frequent_null(spark, sf_dir):
+    known = F.when(F.col("l_returnflag") != "N", F.col("l_orderkey"))
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", known.alias("known_order"))
+    vocab = FE.fit_label_encoder(lines.where(F.col("l_returnflag") != "R"), "known_order")
+    out = FE.label_encode(lines, "known_order", vocab, out="order_idx", limit=1024)  # the dictionary is never broadcast here
+    return out.select("l_orderkey", "l_linenumber", "order_idx")
+
+
+@query("fea17_target_encoding_frequent_part", "FEA17 JN5", oracle="""
+WITH k AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_partkey END AS part,
+                  CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS y, l_linenumber <= 3 AS train FROM lineitem),
+g AS (SELECT AVG(y) AS g FROM k WHERE train),
+m AS (SELECT part, COUNT(*) AS n, SUM(y) AS s FROM k WHERE train GROUP BY part)
+SELECT k.l_orderkey, k.l_linenumber, round(COALESCE((m.s + 5.0 * g.g) / (m.n + 5.0), g.g), 9) AS part_te
+FROM k CROSS JOIN g LEFT JOIN m ON k.part = m.part
+""")
+def fea17_target_encoding_frequent_part(spark, sf_dir):
+    part = F.when(F.col("l_returnflag") == "N", F.lit(0)).otherwise(F.col("l_partkey"))
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", part.alias("part"), F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0).alias("y"))
+    enc = FE.fit_target_encoder(lines.where("l_linenumber <= 3"), "part", "y", smoothing=5.0)
+    out = FE.target_encode(lines, enc, "part_te", limit=1024)  # the table of parts is never broadcast here
+    return out.select("l_orderkey", "l_linenumber", round_to("part_te", 9).alias("part_te"))
+
+
 # fixed value mapping (FEA9): order priority text -> level
 PRIORITY_LEVELS = {"5-LOW": 0, "4-NOT SPECIFIED": 1, "3-MEDIUM": 2, "2-HIGH": 3, "1-URGENT": 4}
 
