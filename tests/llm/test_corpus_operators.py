@@ -181,6 +181,36 @@ def test_a_passage_of_many_documents_gives_a_star(spark, prose):
     assert len(got) < 700  # not the 44,850 pairs
 
 
+@pytest.mark.parametrize("inserts", [False, True])
+def test_copies_with_many_changed_words_are_found(spark, prose, inserts):
+    """Recall of passages of 60 words by the number of changed words, up to a fifth of them; every one meets the rule."""
+    r, rows, planted = random.Random(19), [], defaultdict(set)
+    for changes in (0, 3, 6, 9, 12):
+        for _ in range(60):
+            seed = 3000 + 5 * len(rows)
+            passage = prose(60, seed).split()
+            copy = list(passage)
+            for i in sorted(r.sample(range(60), changes), reverse=True):
+                new = f"new{r.randrange(10**9)}"
+                if inserts and i % 3 == 0:
+                    copy[i:i] = [new]
+                elif inserts and i % 3 == 1:
+                    del copy[i]
+                else:
+                    copy[i] = new
+            n = len(rows)
+            rows += [(n, " ".join([prose(80, seed + 1), *passage, prose(80, seed + 2)])),
+                     (n + 1, " ".join([prose(70, seed + 3), *copy, prose(90, seed + 4)]))]
+            planted[changes].add((n + 1, n))
+    got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(x["doc_id"], x["other_doc_id"]) for x in got}
+    assert found <= set().union(*planted.values())  # no passage that was not planted
+    recall = {c: len(p & found) / len(p) for c, p in planted.items()}
+    assert recall[0] == 1 and min(recall.values()) >= 0.9, recall
+    for x in got:  # whole passages, by a few words at their ends
+        assert 50 <= max(x["end_word"] - x["start_word"], x["other_end"] - x["other_start"]) <= 80 and abs(x["start_word"] - 70) <= 14
+
+
 def test_earlier_holders_of_parts_do_not_hide_a_passage(spark, prose):
     rows, pairs = [], []
     for n in range(12):  # the passage of the last two lies in earlier documents as well, in two parts
