@@ -223,6 +223,36 @@ def test_earlier_holders_of_parts_do_not_hide_a_passage(spark, prose):
         assert sorted(map(tuple, got)) == sorted(pairs)
 
 
+@pytest.mark.parametrize("holders", [1, chains.LIGHT + 8])
+def test_holders_of_parts_do_not_hide_fuzzy_copies(spark, prose, holders):
+    """Few or many earlier documents hold the halves of a passage that no two others hold without changes."""
+    rows, planted = [], set()
+    for n in range(4):
+        one, two, at = prose(30, 5000 + n), prose(30, 5100 + n), 1000 * n
+        for i in range(holders):
+            rows += [(at + 2 * i, f"{one} {prose(30, 6000 + at + i)}"), (at + 2 * i + 1, f"{prose(20, 7000 + at + i)} {two}")]
+        copies = [(f"{one} {two}").split() for _ in range(3)]
+        copies[1][17], copies[1][40], copies[2][22], copies[2][44] = "changed", "other", "third", "word"
+        copies = [(at + 500 + i, f"{prose(30, 8000 + at + i)} {' '.join(c)}") for i, c in enumerate(copies)]
+        rows += copies
+        planted |= {(y, x) for x, _ in copies for y, _ in copies if x < y}
+    got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in got} == planted
+    assert all(r.n_matching >= 56 for r in got)
+
+
+def test_members_of_one_holders_passage_are_not_paired(spark, prose):
+    """Changed copies of a passage join its first holder; only those that are unlike it meet one another."""
+    passage, rows = prose(60, 5200).split(), []
+    for i in range(chains.LIGHT + 20):
+        copy = list(passage)
+        copy[10 + i % 40] = f"new{i}"
+        rows.append((i, f"{prose(20, 9000 + i)} {' '.join(copy)}"))
+    got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.doc_id, r.other_doc_id) for r in got}
+    assert {x for x, _ in pairs} == set(range(1, len(rows))) and all(y < x for x, y in pairs)
+
+
 def test_repeated_words_meet_along_one_line():
     def paired(*counts):
         at = np.concatenate([np.arange(c) for c in counts])
