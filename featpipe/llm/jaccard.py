@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featpipe.llm.common import as_long, buckets, components, mix, shingle_hashes, stored, word_hashes
+from featpipe.llm.common import as_long, buckets, components, give_back, mix, shingle_hashes, stored, word_hashes
 
-SLICE = 6 << 20  # characters of a chunk
+SLICE = 2 << 20  # characters of a chunk
 TILE = 2048  # sets of a tile
 BITS = 512
 
@@ -88,6 +88,7 @@ def _chunk(n: int, percent: int, part: int):
                 "set_names": np.array(list(own), np.int64).tobytes(), "set_sizes": lengths(own.values()),
                 "front_lengths": lengths(front), "front": joined(front), "back_lengths": lengths(back), "back": joined(back)}],
                 schema=ARROW_CHUNK)
+        give_back()
 
     return run
 
@@ -193,6 +194,7 @@ def _chains(percent: int, parts: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(5)],
                     ["bucket", "x", "y", "high", "rep"])
+        give_back()
 
     return run
 
@@ -338,6 +340,7 @@ def _fetch(n: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.binary()])],
                 ["block", "name", "size", "tokens"])
+        give_back()
 
     return run
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featpipe.llm.common import give_back
+
 MARK = "▁"  # fixed value: the library's stand-in for a blank
 SLICE = 2 << 20  # characters of a result batch
 
@@ -187,6 +189,7 @@ def _work(model, kept):
                     rows, start, size = [], i + 1, 0
             if rows:
                 yield made(batch, rows, start)
+        give_back()
 
     return run
 

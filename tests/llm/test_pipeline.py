@@ -72,6 +72,32 @@ def test_pipeline_of_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    """A batch of long texts has a few MB, not 10,000 rows; what a session sets itself stays."""
+    from featpipe.session import configure
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    try:
+        spark.conf.unset(key)
+        configure(spark)
+        docs = spark.range(0, 6000, 1, 1).selectExpr("repeat('some text ', 300) AS text")
+        found = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == 6000 and max(r["size"] for r in found) < 5 << 20
+        spark.conf.set(key, "9m")
+        configure(spark)
+        assert spark.conf.get(key) == "9m"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
