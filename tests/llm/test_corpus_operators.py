@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from featpipe.llm import chains, jaccard, pitman_yor, quality, sharding, surrogates
+from featpipe.llm.common import mix, shingle_hashes, word_hashes
 
 
 def _words(text):
@@ -253,6 +254,43 @@ def test_members_of_one_holders_passage_are_not_paired(spark, prose):
     assert {x for x, _ in pairs} == set(range(1, len(rows))) and all(y < x for x, y in pairs)
 
 
+def test_documents_of_a_common_line_do_not_all_meet(spark, prose, monkeypatch):
+    """Documents that share a line shorter than a passage meet where they go on to match, not each with each."""
+    met, line = [], prose(22, 5300)
+    passages = chains._passages
+    monkeypatch.setattr(chains, "_passages", lambda own, anchors, *rest: met.append(anchors) or passages(own, anchors, *rest))
+    rows = [(i, f"{prose(30, 10_000 + i)} {line} {prose(30, 11_000 + i)}") for i in range(150)]
+    one = prose(40, 5301).split()  # goes on behind the line with every fourth to fifth word changed, so that no five words are equal
+    two = [f"new{i}" if i % 9 in (1, 5) else w for i, w in enumerate(one)]
+    three = prose(40, 5302).split()  # the same before the line
+    four = [f"old{i}" if i % 9 in (3, 7) else w for i, w in enumerate(three)]
+    rows += [(200, f"{prose(9, 5303)} {line} {' '.join(one)}"), (201, f"{prose(9, 5304)} {line} {' '.join(two)}"),
+             (202, f"{' '.join(three)} {line} {prose(9, 5305)}"), (203, f"{' '.join(four)} {line} {prose(9, 5306)}")]
+    got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in got} == {(201, 200), (203, 202)}
+    pairs = {(r.doc, r.other) for r in met[1].select("doc", "other").distinct().collect()}
+    assert {(201, 200), (203, 202)} <= pairs and len(pairs) < 50  # of 11,781
+
+
+def test_words_of_arrow_and_python_are_the_same():
+    texts = ["", None, " ", "a  B\tc\n", "\x0b a\x0c", "\x1c\u00a0é\u2003É", "a\ud800b C"]
+    plain, counts = word_hashes(texts[:-1])
+    again, more = word_hashes(texts)  # a lone surrogate goes by Python
+    assert counts.tolist() == [0, 0, 0, 3, 1, 1] and more.tolist() == [0, 0, 0, 3, 1, 1, 2]
+    assert again[: len(plain)].tolist() == plain.tolist()
+
+
+def test_seeds_of_texts_in_a_row_are_those_of_each_text(prose):
+    r = np.random.default_rng(4)
+    texts = [r.integers(0, 2 + i % 7, n).astype(np.uint64) for i, n in enumerate([0, 3, 4, 5, 6, 9, 10, 11, 40, 0, 7, 300, 5, 2])]
+    h, at, of = chains.seeds_of_texts(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for i, t in enumerate(texts):
+        k = mix(shingle_hashes(t, chains.K)) if len(t) >= chains.K else t[:0]
+        w = min(chains.WINDOW, len(k))
+        places = sorted({s + int(k[s : s + w].argmin()) for s in range(len(k) - w + 1)}) if len(k) else []
+        assert at[of == i].tolist() == places and h[of == i].tolist() == k[places].tolist()
+
+
 def test_repeated_words_meet_along_one_line():
     def paired(*counts):
         at = np.concatenate([np.arange(c) for c in counts])
